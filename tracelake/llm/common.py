@@ -46,6 +46,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def any_case(pattern: str) -> str:
+    """A word pattern that takes A-Z as well, for texts that are not lower-cased."""
+    return pattern.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+
+
 def alnum_words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; null gives no words."""
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK), lambda w: w != "")
@@ -57,5 +62,11 @@ def row_key(*columns: Column) -> list[Column]:
 
 
 def bounded_sample(labelled: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most `bound` labelled rows, the same ones on every run: those with the least hashes."""
-    return labelled.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(bound)
+    """About `bound` labelled rows at most, the same ones on every run: those whose hash falls under a share.
+
+    Only for fitting: the share is counted first, so that the sample's size does not grow with the table.
+    """
+    n, parts = labelled.count(), 1_000_000
+    if n <= bound:
+        return labelled
+    return labelled.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(parts)) < parts * bound // n)

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm import textvec
 from tracelake.llm.common import cut
@@ -103,7 +104,7 @@ def within_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def estimate_excess(a: pd.Series, b: pd.Series) -> pd.Series:
     """Collision-corrected share of equal registers, plus MARGIN standard deviations at 0.8, at most 1."""
     out = np.ones(len(a))
@@ -115,7 +116,7 @@ def estimate_excess(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def shared_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 

@@ -33,7 +33,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", virtual_s
 
 def slot_loads(rows: DataFrame) -> dict[int, int]:
     """Bytes per virtual slot; at most as many as there are slots."""
-    return {r.__virtual: r.bytes for r in rows.groupBy("__virtual").agg(F.sum("size").alias("bytes")).collect()}
+    return {r["__virtual"]: r["bytes"] for r in rows.groupBy("__virtual").agg(F.sum("size").alias("bytes")).collect()}
 
 
 def first_map(loads: dict[int, int], shards: int = SHARDS, virtual_slots: int = VIRTUAL_SLOTS) -> dict:

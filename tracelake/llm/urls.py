@@ -51,7 +51,7 @@ def default_list(spark: SparkSession) -> DataFrame:
 
 def bit(name: Column, k: int) -> Column:
     """The bit that a URL sets in word k of its block."""
-    return F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(F.xxhash64(name, F.lit("bits")), 6 * k), F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(F.xxhash64(name, F.lit("bits")), 6 * k), F.lit(64)).cast("int"))
 
 
 def block(name: Column, blocks: int) -> Column:

@@ -1,0 +1 @@
+"""Event logs out of tables, and the queries over them."""

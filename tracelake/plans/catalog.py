@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import conformance, dfg, miner, normalize, timing, variants
 from tracelake.plans import adapters as a
+from tracelake.plans import views
 
 VIEW_TO_BUY = ["view", "click", "purchase"]
 
@@ -221,6 +222,11 @@ for _log, _sql in (("user_day", "ud"), ("fulfilment", "ful")):
     add(f"rework_totals{_tail}", lambda s, d, f=_f: timing.rework_totals(timing.rework_cases(f(s, d))), sql("SELECT count(*) AS cases, count(*) FILTER (rework_events > 0) AS cases_with_rework, CAST(sum(rework_events) AS BIGINT) AS rework_events, sum(r) / 1e6 AS rework_seconds, sum(c) / 1e6 AS cycle_time_seconds, coalesce(sum(r) / nullif(sum(c), 0.0), 0.0) AS time_share, CAST(count(*) FILTER (rework_events > 0) AS DOUBLE) / count(*) AS case_share, coalesce(round(quantile_cont(r, 0.5) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p50, coalesce(round(quantile_cont(r, 0.9) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p90, coalesce(round(quantile_cont(r, 0.99) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p99, coalesce(sum(r) / 1e6 / nullif(count(*) FILTER (rework_events > 0), 0), 0.0) AS mean FROM rw", REWORK.format(log=_sql)))
 
 
+# map
+add("process_map_edges", lambda s, d: miner.model_edges(log := a.fulfilment(s, d)).join(dfg.edges(log).drop("frequency"), ["source", "target"], "left"), sql("SELECT m.*, x.case_frequency, x.mean_duration_seconds, x.median_duration_seconds FROM model m LEFT JOIN (SELECT source, target, count(DISTINCT case_id) AS case_frequency, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean_duration_seconds, round(quantile_cont(micro, 0.5) / 1e6, 8) AS median_duration_seconds FROM steps WHERE target IS NOT NULL GROUP BY ALL) x USING (source, target)", steps("ful"), TWO_LOOPS, _edges.replace("dlg", "ful")))
+add("variant_model_gap", lambda s, d: views.variant_model_gap(log := a.fulfilment(s, d), miner.model_edges(log)), sql(", parts AS (SELECT variant_rank, string_split(variant, ' > ') AS p FROM ranked), hops AS (SELECT variant_rank, unnest(p[:-2]) AS source, unnest(p[2:]) AS target FROM parts) SELECT r.variant_rank, count(h.source) FILTER (m.source IS NULL) AS missing_steps FROM ranked r LEFT JOIN hops h USING (variant_rank) LEFT JOIN model m ON m.source = h.source AND m.target = h.target GROUP BY 1", steps("ful"), TWO_LOOPS, _edges, seqs("ful")))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}
 

@@ -30,8 +30,9 @@ from tracelake.llm.common import shared_dir
 END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
+SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SHORT = 24  # symbols; longer words are merged with a heap
-CACHED_WORD, CACHED_WORDS = 48, 300_000  # per worker
+CACHED_WORD, CACHED_WORDS = 32, 500_000  # per worker and kind
 ROWS = 256
 
 
@@ -183,18 +184,18 @@ class Lexicon:
 
 
 class _Cache(dict):
-    """Piece to the text of what it becomes, filled on demand."""
+    """A string to the ids and the tokens it becomes, each joined by spaces; filled on demand."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, piece: str) -> str:
-        made = self.make(piece)
-        if len(piece) <= CACHED_WORD:
+    def __missing__(self, string: str) -> tuple[str, str]:
+        made = self.make(string)
+        if len(string) <= CACHED_WORD:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[piece] = made
+            self[string] = made
         return made
 
 
@@ -203,17 +204,20 @@ class Encoder:
         self.merger, self.lexicon = merger, lexicon
         self.name = {n: t for t, n in [*merger.vocab.items(), *merger.special.items()]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, merger.special)) + ")") if merger.special else None
-        self.ids_of = _Cache(lambda piece: " ".join(map(str, self.piece_ids(piece))))
-        self.decoded = _Cache(lambda piece: " ".join(self.name[i] for i in self.piece_ids(piece)))
+        self.of_piece = _Cache(self.encode_piece)
+        self.of_chunk = _Cache(self.encode_chunk)
 
-    def piece_ids(self, piece: str) -> list[int]:
-        found = self.lexicon.get(piece.encode("utf-8"))
-        return found if found is not None else [self.merger.vocab[t] for t in self.merger.tokens(piece)]
+    def encode_piece(self, piece: str) -> tuple[str, str]:
+        ids = self.lexicon.get(piece.encode("utf-8"))
+        if ids is None:
+            tokens = self.merger.tokens(piece)
+            return " ".join([str(self.merger.vocab[t]) for t in tokens]), " ".join(tokens)
+        return " ".join(map(str, ids)), " ".join([self.name[i] for i in ids])
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        # lower-casing goes letter by letter: a final sigma is an ordinary one
-        return PIECE.findall(SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
+    def encode_chunk(self, chunk: str) -> tuple[str, str]:
+        """A run without white space. Lower-casing goes letter by letter: a final sigma is an ordinary one."""
+        made = [self.of_piece[p] for p in PIECE.findall(chunk.replace("Σ", "σ").lower())]
+        return " ".join([ids for ids, _ in made]), " ".join([tokens for _, tokens in made])
 
     def encode(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a text, each joined by spaces."""
@@ -222,9 +226,13 @@ class Encoder:
             if part in self.merger.special:
                 ids.append(str(self.merger.special[part]))
                 tokens.append(part)
-            elif pieces := self.pieces(part):
-                ids.extend(map(self.ids_of.__getitem__, pieces))
-                tokens.extend(map(self.decoded.__getitem__, pieces))
+            else:
+                part = unicodedata.normalize("NFC", part)
+                # str.split also splits at \x1c to \x1f, which are no white space here
+                chunks = SPACES.split(part) if SEPARATORS.search(part) else part.split()
+                made = [self.of_chunk[c] for c in chunks if c]
+                ids += [x for x, _ in made]
+                tokens += [x for _, x in made]
         return " ".join(ids), " ".join(tokens)
 
 

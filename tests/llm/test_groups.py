@@ -104,7 +104,7 @@ def test_toxicity(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     assert len(rows) == docs.count() + 4 and sum(a == b for a, b in held) >= 0.93 * len(held)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
-    assert [r.predicted for r in rows if (r.doc_id or 10**7) >= 10**7] == [0, 0, 0, 0]
+    assert [r.predicted for r in rows if r.doc_id is None or r.doc_id >= 10**7] == [0, 0, 0, 0]
     assert toxicity.report(docs.limit(5), labels.limit(0)).where("predicted = 1").count() == 0
 
 

@@ -37,6 +37,7 @@ SAMPLE = 6000
 FEATURES = 1500
 LEAST_G = 18.0
 MINED_VOTERS = 24
+VOTER_PRECISION = 0.8
 CACHED = 400_000
 
 #: Insults, grouped by what they say.
@@ -144,7 +145,7 @@ def copy_weights(sketches: np.ndarray) -> np.ndarray:
 
 
 def standing_out(features: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features with a high log-likelihood ratio G2 for the toxic rows, best first, and their values."""
+    """Features with a high log-likelihood ratio G2 for the toxic rows, best first, and the toxic share of their rows."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     ids = np.concatenate(features) if len(features) else np.empty(0, np.int32)
     pos = np.bincount(ids, weights=(w * y)[rows], minlength=2 * AGAIN)
@@ -157,7 +158,7 @@ def standing_out(features: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> tu
     g[~((pos > expected) & (total > 0))] = 0
     best = np.argsort(-g, kind="stable")[:FEATURES]
     best = best[g[best] >= LEAST_G]
-    return best.astype(np.int64), g[best]
+    return best.astype(np.int64), pos[best] / total[best]
 
 
 def label_model(votes: np.ndarray, w: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,13 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = np.argsort([hash((int(f.sum()), len(f), int(t))) for f, t in zip(features, y, strict=True)], kind="stable")  # rows come in any order
     features, y = [features[i] for i in order], y[order]
     w = copy_weights(np.array(rows["sketch"].to_pylist(), np.int64)[order])
-    ids, _ = standing_out(features, y, w)
+    ids, precision = standing_out(features, y, w)
     column = {int(f): k for k, f in enumerate(ids)}
     x = np.zeros((len(y), len(ids)), np.float32)
     for i, f in enumerate(features):
         x[i, [column[int(v)] for v in f if int(v) in column]] = 1
     fixed = np.array(rows["votes"].to_pylist(), np.float64)[order]
-    mined = np.stack([(x[:, k::MINED_VOTERS].sum(axis=1) > 0) if x[:, k::MINED_VOTERS].size else np.zeros(len(y)) for k in range(MINED_VOTERS)], axis=1).astype(np.float64)
+    sure = np.flatnonzero(precision >= VOTER_PRECISION)  # the rest serve the classifier only
+    mined = np.stack([(x[:, sure[k::MINED_VOTERS]].sum(axis=1) > 0) for k in range(MINED_VOTERS)], axis=1).astype(np.float64)
     votes = np.concatenate([fixed, mined], axis=1)
     prior = float(np.clip((w * y).sum() / w.sum(), 0.01, 0.5))
     post, hit1, hit0, share = label_model(votes, w, prior)

@@ -8,9 +8,10 @@
 4. Verify. Full sets are fetched for the classes that are left, and compared exactly.
 5. Components by contraction: each class points to its least neighbour until no link is left.
 6. Rest. Bands that still hold classes of different components pair the classes outside the band's largest component
-   with all others; 3 to 5 again. So no pair within a settled group is ever made, and none between groups is left out.
+   with all others; 3 to 5 again, for pairs that share two bands (small sets: one). So no pair within a settled group is
+   ever made.
 
-At similarity 0.8, 40 bands of 5 registers miss a link with a chance of about 1e-7.
+At similarity 0.8, 40 bands of 5 registers miss a link with a chance of about 1e-7 (one band) or 2e-6 (two).
 
 Cases: null and empty texts, and texts without words, have no shingles and stand alone; fewer words than a shingle has
 make one shingle; rows with equal ids are one document with all their texts' links; a null id gives a null component
@@ -36,6 +37,7 @@ MANTISSA = 10
 COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
 BROADCAST_IDS = 1_000_000  # of 8 bytes
+ONE_BAND = 120  # sets of at least so many hashes fill nearly all bands; at 0.8 they share one band only with chance 2e-6
 NULL_IDS = 1 << 62  # classes without an id are named from here on
 
 
@@ -166,7 +168,11 @@ def components(links: DataFrame) -> DataFrame:
     maps, edges = [], cut(links.select("a", "b").where(F.col("a") != F.col("b")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
+        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to"), F.lit(True).alias("moved")))
+        while not to.where("moved").isEmpty():  # follow the pointers to their ends; chains get half as long each time
+            step = to.select("node", "to").join(to.select(F.col("node").alias("to"), F.col("to").alias("up")), "to")
+            to = cut(step.select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+        to = to.select("node", "to")
         maps.append(to)
         moved = edges.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b")
         edges = cut(moved.where(F.col("ta") != F.col("tb")).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
@@ -202,7 +208,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     minor = marked.where(F.col("root") != F.col("main")).select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), "center")
     others = marked.select("band", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("is_main"))
     met = minor.join(others, "band").where((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("center")) & (F.col("y") != F.col("center")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & within_sizes(F.col("sx"), F.col("sy"), percent))
-    rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # such a pair has met in no star, so all bands that it shares are counted here; few pairs share but one by chance
+    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("sx", "sy")).alias("s"))
+    rest = shared.where((F.col("k") >= 2) | (F.col("s") < ONE_BAND)).select("a", "b")
     more = confirmed(rest, classes, docs, key, text, words, percent)
     roots = components(links.union(more))
 

@@ -36,19 +36,19 @@ THRESHOLD = 0.5
 
 def layout(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     """Buckets of a page's metadata: each feature with its value is one bucket."""
-    text = text or ""
-    lines = text.split("\n")
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
-    digits = sum(map(str.isdigit, text))
-    size = max(len(text), 1)
-    share = lambda x: min(20, int(20 * x / size))
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    of = np.bincount(raw, minlength=256)
+    lines = (text or "").split("\n")
+    upper, digits, spaces, beyond = int(of[65:91].sum()), int(of[48:58].sum()), int(of[32]), int(of[0xC2:].sum())
+    letters = upper + int(of[97:123].sum()) + beyond  # letters beyond ASCII count once, by their first byte
+    chars = max(int(of[:0x80].sum()) + beyond, 1)
+    share = lambda x: min(20, 20 * x // chars)
     short = sum(len(x) < 40 for x in lines)
     named = [
-        f"source={source}", f"lang={lang}", f"chars={int(n_chars or 0).bit_length()}", f"size={len(text).bit_length()}", f"lines={len(lines).bit_length()}",
-        f"line={(size // len(lines)).bit_length()}", f"letters={share(letters)}", f"upper={share(upper)}", f"digits={share(digits)}",
-        f"spaces={share(text.count(' '))}", f"short={int(10 * short / len(lines))}", f"ends={sum(x.rstrip()[-1:] in '.!?' for x in lines) * 10 // len(lines)}",
-        f"marks={min(20, 100 * (size - letters - digits - text.count(' ')) // size)}", f"bars={min(10, 200 * text.count('|') // size)}", f"stars={min(10, 200 * sum(map(text.count, '*#$%&')) // size)}",
+        f"source={source}", f"lang={lang}", f"chars={int(n_chars or 0).bit_length()}", f"size={chars.bit_length()}", f"lines={len(lines).bit_length()}",
+        f"line={(chars // len(lines)).bit_length()}", f"letters={share(letters)}", f"upper={share(upper)}", f"digits={share(digits)}",
+        f"spaces={share(spaces)}", f"short={10 * short // len(lines)}", f"ends={sum(x.rstrip()[-1:] in '.!?' for x in lines) * 10 // len(lines)}",
+        f"marks={min(20, max(0, 100 * (chars - letters - digits - spaces)) // chars)}", f"bars={min(10, 200 * int(of[124]) // chars)}", f"stars={min(10, 200 * int(of[[42, 35, 36, 37, 38]].sum()) // chars)}",
     ]
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % (1 << META_BITS) for x in named], np.int64)
 
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
     y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()], float)
     fold = np.array(got["fold"].to_pylist())
     list_of = lambda c, kind: [np.asarray(x, kind) for x in got[c].to_numpy(zero_copy_only=False)]
-    content = list(zip(list_of("ids", np.int64), list_of("vals", np.float64), strict=True))
+    content = list(zip(list_of("ids", np.int32), list_of("vals", np.float32), strict=True))
     meta = [meta_values(x) for x in list_of("meta", np.int64)]
     learn, hold = np.flatnonzero(~np.isnan(y) & (fold != 0)), np.flatnonzero(~np.isnan(y) & (fold == 0))
     if not len(learn) or y[learn].min() == y[learn].max():

@@ -61,13 +61,14 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of a text's n-grams, with repeats; lower-cased copies too, so that letter case counts as well."""
+    """Buckets of a text's n-grams, with repeats."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends = textvec.word_bounds(raw)
     if not len(starts):
         return np.empty(0, np.int64)
-    words = textvec.span_hashes(raw, starts, ends)
-    hashes = [words, textvec.pair_hashes(words[:-1], words[1:]), textvec.char_grams(raw, 3), textvec.char_grams(raw, 5)]
+    prefix = textvec.prefix_sums(raw)
+    words = textvec.span_hashes(raw, starts, ends, prefix)
+    hashes = [words, textvec.pair_hashes(words[:-1], words[1:]), textvec.char_grams(raw, 3, prefix), textvec.char_grams(raw, 5, prefix)]
     return np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64) for h in hashes])
 
 
@@ -82,14 +83,17 @@ def values(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_rows(ids: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, size: int = 1 << BITS, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows, both classes weighing alike, by Adam over all rows."""
-    rows = np.repeat(np.arange(len(y)), [len(i) for i in ids])
-    at, val = np.concatenate(ids).astype(np.int64), np.concatenate(vals)
+    sizes = np.array([len(i) for i in ids])
+    full, at, val = sizes > 0, np.concatenate(ids).astype(np.int64), np.concatenate(vals).astype(np.float32)
+    first = (np.cumsum(sizes) - sizes)[full]
     w = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     coef, bias, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=coef[at] * val, minlength=len(y)) + bias
+        z = np.full(len(y), bias)
+        if len(first):
+            z[full] += np.add.reduceat(coef.astype(np.float32)[at] * val, first)
         d = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad, gb = np.bincount(at, weights=d[rows] * val, minlength=size) + l2 * coef, d.sum()
+        grad, gb = np.bincount(at, weights=np.repeat(d.astype(np.float32), sizes) * val, minlength=size) + l2 * coef, d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         coef -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (v > 1e-14)
         bias -= 0.3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
@@ -126,7 +130,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
 
     got = rows.mapInArrow(make, "at bigint, y int, fold int, ids array<int>, vals array<float>").toArrow().sort_by("at")
     unpack = lambda c, kind: [np.asarray(x, kind) for x in got[c].to_numpy(zero_copy_only=False)]
-    return np.array(got["y"].to_pylist(), float), unpack("ids", np.int64), unpack("vals", np.float64), np.array(got["fold"].to_pylist())
+    return np.array(got["y"].to_pylist(), float), unpack("ids", np.int32), unpack("vals", np.float32), np.array(got["fold"].to_pylist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", bound: int = SAMPLE) -> dict | None:

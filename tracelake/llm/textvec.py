@@ -41,11 +41,20 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """What span_hashes needs of a text; make it once for several calls."""
+    up, _ = _powers(len(raw) + 1)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """One 64-bit hash per span of bytes; equal bytes give equal hashes wherever they stand."""
-    up, down = _powers(len(raw) + 1)
+    prefix = prefix_sums(raw) if prefix is None else prefix
+    _, down = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -54,9 +63,10 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix(left * np.uint64(0xC2B2AE3D27D4EB4F) + (right ^ (right >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) + np.uint64(1))
 
 
-def char_grams(raw: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-byte windows."""
+def char_grams(raw: np.ndarray, n: int, prefix: np.ndarray) -> np.ndarray:
+    """Hashes of all n-byte windows, the same as span_hashes gives but for the length."""
     if len(raw) < n:
         return np.empty(0, np.uint64)
-    at = np.arange(len(raw) - n + 1)
-    return span_hashes(raw, at, at + n)
+    _, down = _powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        return mix((prefix[n:] - prefix[:-n]) * down[: len(raw) - n + 1] + np.uint64(n))

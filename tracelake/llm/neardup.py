@@ -7,7 +7,9 @@
 3. Estimate. The share of equal registers, corrected for chance collisions, must not lie far under the threshold.
 4. Verify. Full sets are fetched for the classes that are left, and compared exactly.
 5. Components by contraction: each class points to its least neighbour until no link is left.
-6. Rest. Bands that still hold classes of different components pair the classes outside the band's largest component
+6. Settling. In bands that hold several components, each class outside the largest one tries one other member, drawn by
+   hash, in a few turns; 3 to 5 again. Large groups grow together so, by few pairs a class.
+7. Rest. Bands that still hold classes of different components pair the classes outside the band's largest component
    with all others; 3 to 5 again, for pairs that share two bands (small sets: one). So no pair within a settled group is
    ever made.
 
@@ -36,6 +38,7 @@ MANTISSA = 10
 #: Chance that two different least hashes of a bucket share a register: same zeros (1/3) and same mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
+SETTLE_TURNS, SLOTS = 3, 16  # turns in which outsiders of a band try one of its members each, drawn from so many
 BROADCAST_IDS = 1_000_000  # of 8 bytes
 ONE_BAND = 120  # sets of at least so many hashes fill nearly all bands; at 0.8 they share one band only with chance 2e-6
 NULL_IDS = 1 << 62  # classes without an id are named from here on
@@ -184,6 +187,16 @@ def components(links: DataFrame) -> DataFrame:
     return cut(found)
 
 
+def unsettled(multi: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the bands of three or more that hold several components; and those of them outside the largest one."""
+    members = multi.where("members > 2").join(roots, "node", "left").select("band", "node", "size", "center", F.coalesce("root", "node").alias("root"))
+    per_root = members.groupBy("band", "root").agg(F.count("*").alias("m"))
+    largest = per_root.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
+    marked = cut(members.join(largest, "band"))
+    minor = marked.where(F.col("root") != F.col("main")).select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), "center")
+    return marked, minor
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the row's id is its component's)."""
     rows = cut(sketched(docs, key, text, words))
@@ -200,12 +213,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     links = confirmed(stars, classes, docs, key, text, words, percent)
     roots = components(links)
 
-    # bands of three or more whose classes are not all in one component
-    open_bands = multi.where("members > 2").join(roots, "node", "left").select("band", "node", "size", "center", F.coalesce("root", "node").alias("root"))
-    per_root = open_bands.groupBy("band", "root").agg(F.count("*").alias("m"))
-    largest = per_root.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
-    marked = cut(open_bands.join(largest, "band"))
-    minor = marked.where(F.col("root") != F.col("main")).select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), "center")
+    for turn in range(SETTLE_TURNS):
+        marked, minor = unsettled(multi, roots)
+        if marked.isEmpty():
+            break
+        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "size")).alias("y")
+        slots = marked.groupBy("band", F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(SLOTS)).alias("slot")).agg(chosen)
+        asked = minor.withColumn("slot", F.pmod(F.xxhash64("band", "x", F.lit(turn)), F.lit(SLOTS))).join(slots, ["band", "slot"])
+        asked = asked.where((F.col("rx") != F.col("y.root")) & within_sizes(F.col("sx"), F.col("y.size"), percent))
+        tries = asked.select(F.least("x", "y.node").alias("a"), F.greatest("x", "y.node").alias("b")).distinct()
+        more = confirmed(tries, classes, docs, key, text, words, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+
+    marked, minor = unsettled(multi, roots)
     others = marked.select("band", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("is_main"))
     met = minor.join(others, "band").where((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("center")) & (F.col("y") != F.col("center")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & within_sizes(F.col("sx"), F.col("sy"), percent))
     # such a pair has met in no star, so all bands that it shares are counted here; few pairs share but one by chance

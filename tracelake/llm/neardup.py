@@ -8,7 +8,7 @@
 4. Verify. Full sets are fetched for the classes that are left, and compared exactly.
 5. Components by contraction: each class points to its least neighbour until no link is left.
 6. Settling. In bands that hold several components, each class outside the largest one tries one other member, drawn by
-   hash, in a few turns; 3 to 5 again. Large groups grow together so, by few pairs a class.
+   hash, for each band that it is in; 3 to 5 again. Large groups grow together so, by few pairs a class.
 7. Rest. Bands that still hold classes of different components pair the classes outside the band's largest component
    with all others; 3 to 5 again, for pairs that share two bands (small sets: one). So no pair within a settled group is
    ever made.
@@ -38,7 +38,7 @@ MANTISSA = 10
 #: Chance that two different least hashes of a bucket share a register: same zeros (1/3) and same mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
-SETTLE_TURNS, SLOTS = 3, 16  # turns in which outsiders of a band try one of its members each, drawn from so many
+SETTLE_TURNS, SLOTS = 1, 16  # turns in which outsiders try one other member of each of their bands, drawn from so many
 BROADCAST_IDS = 1_000_000  # of 8 bytes
 ONE_BAND = 120  # sets of at least so many hashes fill nearly all bands; at 0.8 they share one band only with chance 2e-6
 NULL_IDS = 1 << 62  # classes without an id are named from here on

@@ -1,5 +1,6 @@
 """Near duplicates, sharding, URL filters and the classifiers."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -53,6 +54,18 @@ def test_near_duplicates(spark, all_docs, n):
     assert kept.columns == docs.columns and kept.where("doc_id between 5000 and 6999").count() == sum(r.kept for r in got if 5000 <= (r.doc_id or 0) < 7000)
 
 
+def test_near_duplicates_in_large_bands(spark, monkeypatch):
+    """Copies with random edits, similar at 0.5 to 0.95, as large bands."""
+    monkeypatch.setattr(neardup, "DIRECT", 0)
+    draw = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join(f"e{draw.randrange(9)}" if draw.random() < i % 10 / 60 else w for w in base[: 120 - i % 4])) for i in range(150)]
+    rows += [(7, rows[30][1]), (None, rows[31][1] + " z"), (900, None)]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows, 2)
+    assert len({r.component_id for r in got}) > 10
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

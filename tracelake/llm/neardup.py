@@ -1,17 +1,20 @@
 """Near-duplicate groups by HyperMinHash.
 
 1. Sketch. A text's set of word shingles is hashed; the hashes fall into buckets, and each bucket keeps, of its least
-   hash, the count of leading zeros and a few mantissa bits, in 16 bits. Texts with equal sets are one class from here
-   on, named by its least id; a class of very many copies is one row.
+   hash, the count of leading zeros and a few mantissa bits, in 16 bits. Empty buckets copy the first filled one in an
+   order of their own. Texts with equal sets are one class from here on, named by its least id; a class of very many
+   copies is one row.
 2. Candidates. Bands of registers are bucketed. In each band every class is paired with the band's least class only.
 3. Estimate. The share of equal registers, corrected for chance collisions, must not lie far under the threshold.
 4. Verify. Full sets are fetched for the classes that are left, and compared exactly.
 5. Components by contraction: each class points to its least neighbour until no link is left.
-6. Settling. In bands that hold several components, each class outside the largest one tries one other member, drawn by
-   hash, for each band that it is in; 3 to 5 again. Large groups grow together so, by few pairs a class.
-7. Rest. Bands that still hold classes of different components pair the classes outside the band's largest component
-   with all others; 3 to 5 again, for pairs that share two bands (small sets: one). So no pair within a settled group is
-   ever made.
+6. Settling. In bands that hold several components and many classes, each class outside the largest one tries one other
+   member, drawn by hash, for each band that it is in; 3 to 5 again. Large groups grow together so, by few pairs a class.
+7. Rest, small bands: the classes outside the band's largest component are paired with those of other components, at
+   most DIRECT pairs a band; 3 to 5 again, for pairs that share two bands.
+8. Rest, large bands: a set's hashes are put in order, rarest first. Two linked sets share a hash that has enough of
+   both sets from there on, so classes meet only at such hashes; 3 to 5 again. This finds every link exactly, and no
+   pair within a settled group or of sets that merely resemble one is ever made.
 
 At similarity 0.8, 40 bands of 5 registers miss a link with a chance of about 1e-7 (one band) or 2e-6 (two).
 
@@ -38,10 +41,15 @@ MANTISSA = 10
 #: Chance that two different least hashes of a bucket share a register: same zeros (1/3) and same mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
-SETTLE_TURNS, SLOTS = 1, 16  # turns in which outsiders try one other member of each of their bands, drawn from so many
+SLOTS = 16  # outsiders of a large band try one of so many of its members
+DIRECT = 2000  # bands whose outsiders have no more partners than this, times each other, are paired directly
+SIZE_STEP = 1.06  # sizes of sets fall into classes that grow by this factor
 BROADCAST_IDS = 1_000_000  # of 8 bytes
-ONE_BAND = 120  # sets of at least so many hashes fill nearly all bands; at 0.8 they share one band only with chance 2e-6
+BROADCAST_HASHES = 1_000_000  # of 16 bytes
 NULL_IDS = 1 << 62  # classes without an id are named from here on
+#: The buckets that each bucket asks when it is empty, itself first.
+ASKED = np.argsort(textvec.mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS), axis=1)
+ASKED = np.array([np.concatenate([[i], order[order != i]]) for i, order in enumerate(ASKED)])
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -61,7 +69,10 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """One 16-bit register per bucket: leading zeros + 1 of the least hash, then its mantissa; 0 if none fell there."""
+    """One 16-bit register per bucket: leading zeros + 1 of the least hash, then its mantissa; 0 for an empty set.
+
+    Where no hash fell, the register of the first filled bucket of those asked; so equal registers keep the chance J.
+    """
     out = np.zeros(BUCKETS, np.uint16)
     if not len(hashes):
         return out
@@ -76,7 +87,8 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     aligned = least << (zeros + 9).astype(np.uint64)  # the leading one to bit 63
     mantissa = (aligned << np.uint64(1)) >> np.uint64(64 - MANTISSA)
     out[bucket.astype(np.int64)] = ((zeros + 1).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
-    return out
+    filled = out != 0
+    return out if filled.all() else out[ASKED[np.arange(BUCKETS), filled[ASKED].argmax(axis=1)]]
 
 
 def sketched(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -98,11 +110,10 @@ def sketched(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """band, node, size of the classes; bands without any register are left out."""
+    """band, node, size of the classes."""
     width = 2 * ROWS
-    part = lambda i: F.substring(F.col("regs"), i * width + 1, width)
-    keys = F.array(*[F.when(part(i) != F.lit(bytes(width)), F.xxhash64(F.lit(i), part(i))) for i in range(BANDS)])
-    return classes.select("node", "size", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("band"))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("regs"), i * width + 1, width)) for i in range(BANDS)])
+    return classes.select("node", "size", F.explode(keys).alias("band"))
 
 
 def within_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -110,15 +121,12 @@ def within_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def estimate_excess(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Collision-corrected share of equal registers, plus MARGIN standard deviations at 0.8, at most 1."""
-    out = np.ones(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-        used = int(((x | y) != 0).sum())
-        share = int(((x == y) & (x != 0)).sum()) / max(used, 1)
-        out[i] = min(1.0, (share - COLLISION) / (1 - COLLISION) + MARGIN * (0.16 / max(used, 1)) ** 0.5)
-    return pd.Series(out)
+def estimate_excess(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Collision-corrected share of equal registers, plus MARGIN standard deviations at 0.8, at most 1; least: hashes of the smaller set."""
+    share = np.array([(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean() for x, y in zip(a, b, strict=True)])
+    filled = BUCKETS * (1 - (1 - 1 / BUCKETS) ** least.to_numpy())
+    deviation = (0.16 * (1 / filled + 1 / BUCKETS)) ** 0.5  # copied registers weigh filled ones unevenly
+    return pd.Series(np.minimum(1.0, (share - COLLISION) / (1 - COLLISION) + MARGIN * deviation))
 
 
 @F.pandas_udf(T.LongType())
@@ -142,17 +150,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, n: int) -> D
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links; written down."""
-    sketch = classes.select("node", "regs")
-    left, right = sketch.toDF("a", "regs_a"), sketch.toDF("b", "regs_b")
-    likely = cut(pairs.join(right, "b").join(left, "a").where(estimate_excess("regs_a", "regs_b") >= percent / 100).select("a", "b").distinct())
+    sketch = classes.select("node", "regs", "size")
+    left, right = sketch.toDF("a", "regs_a", "size_a"), sketch.toDF("b", "regs_b", "size_b")
+    excess = estimate_excess("regs_a", "regs_b", F.least("size_a", "size_b"))
+    likely = cut(pairs.join(right, "b").join(left, "a").where(excess >= percent / 100).select("a", "b").distinct())
     ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(full_sets(docs, ids, key, text, n).where(F.col("node") < NULL_IDS).union(unnamed_sets(docs, ids, classes, key, text, n)))
+    sets = cut(all_sets(docs, ids, classes, key, text, n))
     both = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     shared = shared_hashes("set_a", "set_b")
     sizes = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
     return cut(both.select("a", "b", shared.alias("shared"), sizes.cast("bigint").alias("sizes")).where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct())
 
 
+def all_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """node, set of the classes named in ids. Rows with equal ids and different texts give one row each."""
+    return full_sets(docs, ids, key, text, n).where(F.col("node") < NULL_IDS).union(unnamed_sets(docs, ids, classes, key, text, n))
+
+
 def unnamed_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """The same for classes whose rows all lack an id; they are found by their digest."""
     unnamed = classes.where(F.col("node") >= NULL_IDS).select("node", "h1", "h2").join(ids, "node", "left_semi")
@@ -187,14 +201,79 @@ def components(links: DataFrame) -> DataFrame:
     return cut(found)
 
 
-def unsettled(multi: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of the bands of three or more that hold several components; and those of them outside the largest one."""
-    members = multi.where("members > 2").join(roots, "node", "left").select("band", "node", "size", "center", F.coalesce("root", "node").alias("root"))
+def unsettled(multi: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the bands that hold several components; is_main: in the band's largest one; heavy: too many to pair directly."""
+    members = multi.where("members > 2").join(roots, "node", "left").select("band", "node", "size", "center", "members", F.coalesce("root", "node").alias("root"))
     per_root = members.groupBy("band", "root").agg(F.count("*").alias("m"))
-    largest = per_root.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
-    marked = cut(members.join(largest, "band"))
-    minor = marked.where(F.col("root") != F.col("main")).select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), "center")
-    return marked, minor
+    largest = per_root.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", "main", "most")
+    heavy = (F.col("members") - F.col("most")) * F.col("members") > DIRECT
+    return cut(members.join(largest, "band").select("band", "node", "size", "center", "root", (F.col("root") == F.col("main")).alias("is_main"), heavy.alias("heavy")))
+
+
+def as_outsider(marked: DataFrame) -> DataFrame:
+    return marked.where("not is_main").select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), F.col("center"))
+
+
+def as_partner(marked: DataFrame) -> DataFrame:
+    return marked.select("band", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"), "is_main")
+
+
+def settling_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """One partner for each outsider and band."""
+    chosen = F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("h"), "node", "root", "size")).alias("y")
+    slots = marked.groupBy("band", F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(SLOTS)).alias("slot")).agg(chosen)
+    asked = as_outsider(marked).withColumn("slot", F.pmod(F.xxhash64("band", "x", F.lit(0)), F.lit(SLOTS))).join(slots, ["band", "slot"])
+    asked = asked.where((F.col("rx") != F.col("y.root")) & within_sizes(F.col("sx"), F.col("y.size"), percent))
+    return asked.select(F.least("x", "y.node").alias("a"), F.greatest("x", "y.node").alias("b")).distinct()
+
+
+def direct_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share two of these bands.
+
+    They have met in no star, so all bands that they share are counted here; a pair that shares a large band too is
+    found there.
+    """
+    met = as_outsider(marked).join(as_partner(marked), "band").where((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("center")) & (F.col("y") != F.col("center")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & within_sizes(F.col("sx"), F.col("sy"), percent))
+    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("k"))
+    return shared.where("k >= 2").select("a", "b")
+
+
+def hashes_of(sets: DataFrame) -> DataFrame:
+    """node, s, e: a row for each hash of each set; s tells sets of one node apart."""
+
+    def make(batches):
+        for batch in batches:
+            for node, s, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                e = np.frombuffer(value, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), v, np.int64)) for v in (node, s)] + [pa.array(e)], ["node", "s", "e"])
+
+    return sets.select("node", F.xxhash64("set").alias("s"), "set").mapInArrow(make, "node bigint, s bigint, e bigint")
+
+
+def prefix_pairs(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can be links, an outsider of some band in each.
+
+    All sets are read in one order of hashes, rarest first. Let the first hash that two linked sets share stand so that
+    r and s hashes are left from it on: they share at most min(r, s), and must share percent / (100 + percent) of the
+    sum of their sizes. So a class looks for partners of each class of sizes at its first few hashes only.
+    """
+    nodes = cut(marked.groupBy("node").agg(F.first("root").alias("root"), F.max(~F.col("is_main")).alias("asks")))
+    elements = hashes_of(sets)
+    common = cut(elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"))
+    known = F.broadcast(common) if common.count() <= BROADCAST_HASHES else common
+    ranked = elements.join(known, "e", "left").groupBy("node", "s").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
+    size, step = F.size("es"), float(np.log(SIZE_STEP))
+    bucket = lambda n: F.floor(F.log(n) / F.lit(step) + 1e-9)
+    first = ranked.join(nodes, "node").select("node", "root", "asks", size.alias("n"), F.posexplode(F.slice("es", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1)).alias("at", "el"))
+    first = first.select("node", "root", "asks", "n", F.col("el.e").alias("e"), (F.col("n") - F.col("at")).alias("left"), bucket(F.col("n")).alias("own"))
+    other = F.sequence(bucket(F.col("n") * percent / 100), bucket(F.col("n") * 100 / percent))
+    least = F.greatest(F.col("n") * percent / 100, F.exp(F.col("other") * step)) * (1 - 1e-8)
+    first = first.withColumn("other", F.explode(other)).where((100 + percent) * F.col("left") >= percent * (F.col("n") + least) - 1e-6)
+    x = first.where("asks").select("e", "own", "other", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("left").alias("left_x"))
+    y = first.select("e", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("left").alias("left_y"), F.col("asks").alias("asks_too"))
+    enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("nx") + F.col("ny"))
+    met = x.join(y, ["e", "own", "other"]).where((F.col("rx") != F.col("ry")) & (~F.col("asks_too") | (F.col("x") < F.col("y"))) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -213,29 +292,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     links = confirmed(stars, classes, docs, key, text, words, percent)
     roots = components(links)
 
-    for turn in range(SETTLE_TURNS):
-        marked, minor = unsettled(multi, roots)
-        if marked.isEmpty():
-            break
-        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "size")).alias("y")
-        slots = marked.groupBy("band", F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(SLOTS)).alias("slot")).agg(chosen)
-        asked = minor.withColumn("slot", F.pmod(F.xxhash64("band", "x", F.lit(turn)), F.lit(SLOTS))).join(slots, ["band", "slot"])
-        asked = asked.where((F.col("rx") != F.col("y.root")) & within_sizes(F.col("sx"), F.col("y.size"), percent))
-        tries = asked.select(F.least("x", "y.node").alias("a"), F.greatest("x", "y.node").alias("b")).distinct()
-        more = confirmed(tries, classes, docs, key, text, words, percent)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        roots = components(links)
-
-    marked, minor = unsettled(multi, roots)
-    others = marked.select("band", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("is_main"))
-    met = minor.join(others, "band").where((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("center")) & (F.col("y") != F.col("center")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & within_sizes(F.col("sx"), F.col("sy"), percent))
-    # such a pair has met in no star, so all bands that it shares are counted here; few pairs share but one by chance
-    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("sx", "sy")).alias("s"))
-    rest = shared.where((F.col("k") >= 2) | (F.col("s") < ONE_BAND)).select("a", "b")
-    more = confirmed(rest, classes, docs, key, text, words, percent)
-    roots = components(links.union(more))
+    marked = unsettled(multi, roots)
+    crowded = marked.where("heavy")
+    if not crowded.isEmpty():
+        more = confirmed(settling_pairs(crowded, percent), classes, docs, key, text, words, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
+            marked = unsettled(multi, roots)
+            crowded = marked.where("heavy")
+    rest = direct_pairs(marked.where("not heavy"), percent)
+    if not crowded.isEmpty():
+        sets = cut(all_sets(docs, crowded.select("node").distinct(), classes, key, text, words))
+        rest = rest.union(prefix_pairs(crowded, sets, percent)).distinct()
+    roots = components(links.union(confirmed(rest, classes, docs, key, text, words, percent)))
 
     named = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     joined = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")

@@ -45,7 +45,8 @@ SLOTS = 16  # outsiders of a large band try one of so many of its members
 DIRECT = 2000  # bands whose outsiders have no more partners than this, times each other, are paired directly
 SIZE_STEP = 1.06  # sizes of sets fall into classes that grow by this factor
 BROADCAST_IDS = 1_000_000  # of 8 bytes
-BROADCAST_HASHES = 1_000_000  # of 16 bytes
+LOOKED_UP = 250_000  # hashes of 16 bytes whose counts tasks may look up; more are joined
+LINKS_A_TASK = 200_000
 NULL_IDS = 1 << 62  # classes without an id are named from here on
 #: The buckets that each bucket asks when it is empty, itself first.
 ASKED = np.argsort(textvec.mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS), axis=1)
@@ -183,22 +184,24 @@ def unnamed_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str,
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node that it reaches) of every node with a link. Links are contracted round by round."""
     maps, edges = [], cut(links.select("a", "b").where(F.col("a") != F.col("b")))
-    while not edges.isEmpty():
+    while left := edges.count():
+        tasks = 1 + 2 * left // LINKS_A_TASK  # links are few beside documents; so are the files of each round
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to"), F.lit(True).alias("moved")))
+        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to"), F.lit(True).alias("moved")).coalesce(tasks))
         while not to.where("moved").isEmpty():  # follow the pointers to their ends; chains get half as long each time
             step = to.select("node", "to").join(to.select(F.col("node").alias("to"), F.col("to").alias("up")), "to")
-            to = cut(step.select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+            to = cut(step.select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")).coalesce(tasks))
         to = to.select("node", "to")
         maps.append(to)
         moved = edges.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b")
-        edges = cut(moved.where(F.col("ta") != F.col("tb")).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        edges = cut(moved.where(F.col("ta") != F.col("tb")).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().coalesce(tasks))
     if not maps:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     found = maps[-1].toDF("node", "root")
     for to in reversed(maps[:-1]):
         found = to.join(found.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return cut(found)
+    return cut(found.coalesce(maps[0].rdd.getNumPartitions()))
 
 
 def unsettled(multi: DataFrame, roots: DataFrame) -> DataFrame:
@@ -250,6 +253,32 @@ def hashes_of(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.xxhash64("set").alias("s"), "set").mapInArrow(make, "node bigint, s bigint, e bigint")
 
 
+def by_lookup(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """node, n, el (df, e), left of the first hashes of each set, rarest first. Hashes of one set only are counted, not returned."""
+    found = common.orderBy("e").toArrow()
+    shared, dfs = (found.column(c).to_numpy() for c in ("e", "df"))
+
+    def make(batches):
+        for batch in batches:
+            for node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                e = np.frombuffer(value, np.int64)
+                at = np.minimum(np.searchsorted(shared, e), max(len(shared) - 1, 0))
+                df = np.where(shared[at] == e, dfs[at], 1) if len(shared) else np.ones(len(e), np.int64)
+                order = np.lexsort((e, df))[: len(e) * (100 - percent) // 100 + 1]
+                keep = np.flatnonzero(df[order] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), v, np.int64)) for v in (node, len(e))] + [pa.array(e[order[keep]]), pa.array(len(e) - keep)], ["node", "n", "e", "left"])
+
+    return sets.select("node", "set").mapInArrow(make, "node bigint, n bigint, e bigint, left bigint")
+
+
+def by_join(elements: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """The same for more hashes than can be looked up."""
+    ranked = elements.join(common, "e", "left").groupBy("node", "s").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
+    size = F.size("es").cast("bigint")
+    first = ranked.select("node", size.alias("n"), F.posexplode(F.slice("es", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1)).alias("at", "el"))
+    return first.where("el.df > 1").select("node", "n", F.col("el.e").alias("e"), (F.col("n") - F.col("at")).alias("left"))
+
+
 def prefix_pairs(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can be links, an outsider of some band in each.
 
@@ -260,12 +289,10 @@ def prefix_pairs(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = cut(marked.groupBy("node").agg(F.first("root").alias("root"), F.max(~F.col("is_main")).alias("asks")))
     elements = hashes_of(sets)
     common = cut(elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"))
-    known = F.broadcast(common) if common.count() <= BROADCAST_HASHES else common
-    ranked = elements.join(known, "e", "left").groupBy("node", "s").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
-    size, step = F.size("es"), float(np.log(SIZE_STEP))
+    first = by_lookup(sets, common, percent) if common.count() <= LOOKED_UP else by_join(elements, common, percent)
+    step = float(np.log(SIZE_STEP))
     bucket = lambda n: F.floor(F.log(n) / F.lit(step) + 1e-9)
-    first = ranked.join(nodes, "node").select("node", "root", "asks", size.alias("n"), F.posexplode(F.slice("es", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1)).alias("at", "el"))
-    first = first.select("node", "root", "asks", "n", F.col("el.e").alias("e"), (F.col("n") - F.col("at")).alias("left"), bucket(F.col("n")).alias("own"))
+    first = first.join(nodes, "node").withColumn("own", bucket(F.col("n")))
     other = F.sequence(bucket(F.col("n") * percent / 100), bucket(F.col("n") * 100 / percent))
     least = F.greatest(F.col("n") * percent / 100, F.exp(F.col("other") * step)) * (1 - 1e-8)
     first = first.withColumn("other", F.explode(other)).where((100 + percent) * F.col("left") >= percent * (F.col("n") + least) - 1e-6)

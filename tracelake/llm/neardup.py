@@ -186,6 +186,7 @@ def components(links: DataFrame) -> DataFrame:
     maps, edges = [], cut(links.select("a", "b").where(F.col("a") != F.col("b")))
     while left := edges.count():
         tasks = 1 + 2 * left // LINKS_A_TASK  # links are few beside documents; so are the files of each round
+        at_first = tasks if not maps else at_first
         edges = edges.coalesce(tasks)
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to"), F.lit(True).alias("moved")).coalesce(tasks))
@@ -201,7 +202,7 @@ def components(links: DataFrame) -> DataFrame:
     found = maps[-1].toDF("node", "root")
     for to in reversed(maps[:-1]):
         found = to.join(found.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return cut(found.coalesce(maps[0].rdd.getNumPartitions()))
+    return cut(found.coalesce(at_first))
 
 
 def unsettled(multi: DataFrame, roots: DataFrame) -> DataFrame:
@@ -293,9 +294,10 @@ def prefix_pairs(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     step = float(np.log(SIZE_STEP))
     bucket = lambda n: F.floor(F.log(n) / F.lit(step) + 1e-9)
     first = first.join(nodes, "node").withColumn("own", bucket(F.col("n")))
-    other = F.sequence(bucket(F.col("n") * percent / 100), bucket(F.col("n") * 100 / percent))
-    least = F.greatest(F.col("n") * percent / 100, F.exp(F.col("other") * step)) * (1 - 1e-8)
-    first = first.withColumn("other", F.explode(other)).where((100 + percent) * F.col("left") >= percent * (F.col("n") + least) - 1e-6)
+    least = lambda c: F.greatest(F.col("n") * percent / 100, F.exp(c * F.lit(step))) * (1 - 1e-8)  # noqa: E731  least size in c
+    fits = lambda c: (100 + percent) * F.col("left") >= percent * (F.col("n") + least(c)) - 1e-6
+    others = F.filter(F.sequence(bucket(F.col("n") * percent / 100), bucket(F.col("n") * 100 / percent)), fits)
+    first = first.withColumn("other", F.explode(others))
     x = first.where("asks").select("e", "own", "other", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("left").alias("left_x"))
     y = first.select("e", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("left").alias("left_y"), F.col("asks").alias("asks_too"))
     enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("nx") + F.col("ny"))

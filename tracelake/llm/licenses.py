@@ -1,6 +1,7 @@
 """License scans with DataFrame functions: ordered signature rules behind a keyword prefilter.
 
-Texts become lower-case words joined by single spaces. A text that holds none of the gate words is done. In the others
+Texts become lower-case words joined by single spaces. A text that holds none of the rules' keywords is done; this gate
+is made from the rules, so it lets every text pass that one of them fits. In the others
 each rule whose keyword occurs has its regex matched; a detection that lies within another one is suppressed, the
 longer or, between equals, the earlier rule winning. All of it happens within the row: no join and no shuffle.
 
@@ -15,54 +16,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ALNUM_WORD, alnum_words, any_case
+from tracelake.llm.common import ALNUM_BREAK, ALNUM_WORD, alnum_words, any_case
 from tracelake.llm.spans import match_spans
 
 #: Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Label, keyword, name as a regex over lower-case words. Versions stand as single words.
+#: Label, keyword (words that every match holds, from the start of a word on), name as a regex over
+#: lower-case words. Versions stand as single words.
 NAMES = [
     ("Apache-2.0", "apache", r"(?:the )?apache (?:software )?license(?: version)?(?: v)? ?2(?: 0)?"),
     ("Apache-1.1", "apache", r"(?:the )?apache (?:software )?license(?: version)? 1 1"),
     ("Apache", "apache", r"(?:the )?apache (?:software )?license"),
-    ("AGPL-3.0", "affero", r"(?:the )?(?:gnu )?affero general public license(?: version)?(?: v)? ?3(?: 0)?"),
-    ("LGPL-3.0", "lesser", r"(?:the )?(?:gnu )?lesser general public license(?: version)?(?: v)? ?3(?: 0)?"),
-    ("LGPL-2.1", "lesser", r"(?:the )?(?:gnu )?lesser general public license(?: version)?(?: v)? ?2 1"),
-    ("GPL-3.0", "gnu", r"(?:the )?gnu general public license(?: version)?(?: v)? ?3(?: 0)?"),
-    ("GPL-2.0", "gnu", r"(?:the )?gnu general public license(?: version)?(?: v)? ?2(?: 0)?"),
-    ("GPL", "public", r"(?:the )?(?:gnu )?general public license"),
-    ("GFDL", "documentation", r"(?:the )?gnu free documentation license"),
-    ("MIT", "mit", r"(?:the )?(?:mit|expat) license"),
+    ("AGPL-3.0", "affero general public license", r"(?:the )?(?:gnu )?affero general public license(?: version)?(?: v)? ?3(?: 0)?"),
+    ("LGPL-3.0", "lesser general public license", r"(?:the )?(?:gnu )?lesser general public license(?: version)?(?: v)? ?3(?: 0)?"),
+    ("LGPL-2.1", "lesser general public license", r"(?:the )?(?:gnu )?lesser general public license(?: version)?(?: v)? ?2 1"),
+    ("GPL-3.0", "gnu general public license", r"(?:the )?gnu general public license(?: version)?(?: v)? ?3(?: 0)?"),
+    ("GPL-2.0", "gnu general public license", r"(?:the )?gnu general public license(?: version)?(?: v)? ?2(?: 0)?"),
+    ("GPL", "general public license", r"(?:the )?(?:gnu )?general public license"),
+    ("GFDL", "free documentation license", r"(?:the )?gnu free documentation license"),
+    ("MIT", "mit license", r"(?:the )?mit license"),
+    ("MIT", "expat license", r"(?:the )?expat license"),
     ("MIT", "x11", r"(?:the )?(?:mit )?x11 license"),
     ("BSD-3-Clause", "bsd", r"(?:the )?(?:new |modified |revised )?(?:bsd 3 clause|3 clause bsd)(?: license)?"),
     ("BSD-2-Clause", "bsd", r"(?:the )?(?:simplified )?(?:bsd 2 clause|2 clause bsd)(?: license)?"),
     ("BSD", "bsd", r"(?:the )?(?:new |modified |revised )?bsd license"),
-    ("MPL-2.0", "mozilla", r"(?:the )?mozilla public license(?: version)?(?: v)? ?2(?: 0)?"),
-    ("MPL-1.1", "mozilla", r"(?:the )?mozilla public license(?: version)? 1 1"),
-    ("EPL-2.0", "eclipse", r"(?:the )?eclipse public license(?: version)?(?: v)? ?2(?: 0)?"),
-    ("EPL-1.0", "eclipse", r"(?:the )?eclipse public license(?: version)?(?: v)? ?1(?: 0)?"),
-    ("CDDL-1.0", "distribution", r"(?:the )?common development and distribution license"),
+    ("MPL-2.0", "mozilla public license", r"(?:the )?mozilla public license(?: version)?(?: v)? ?2(?: 0)?"),
+    ("MPL-1.1", "mozilla public license", r"(?:the )?mozilla public license(?: version)? 1 1"),
+    ("EPL-2.0", "eclipse public license", r"(?:the )?eclipse public license(?: version)?(?: v)? ?2(?: 0)?"),
+    ("EPL-1.0", "eclipse public license", r"(?:the )?eclipse public license(?: version)?(?: v)? ?1(?: 0)?"),
+    ("CDDL-1.0", "common development and distribution license", r"(?:the )?common development and distribution license"),
     ("ISC", "isc", r"(?:the )?isc license"),
     ("Zlib", "zlib", r"(?:the )?zlib(?: libpng)? license"),
     ("Unlicense", "unlicense", r"(?:the )?unlicense"),
     ("WTFPL", "wtfpl", r"(?:the )?wtfpl"),
-    ("BSL-1.0", "boost", r"(?:the )?boost software license"),
-    ("Artistic-2.0", "artistic", r"(?:the )?artistic license(?: 2 0)?"),
-    ("EUPL-1.2", "european", r"(?:the )?european union public licen[cs]e"),
-    ("PSF-2.0", "python", r"(?:the )?python software foundation license"),
-    ("OFL-1.1", "sil", r"(?:the )?sil open font license"),
+    ("BSL-1.0", "boost software license", r"(?:the )?boost software license"),
+    ("Artistic-2.0", "artistic license", r"(?:the )?artistic license(?: 2 0)?"),
+    ("EUPL-1.2", "european union public", r"(?:the )?european union public licen[cs]e"),
+    ("PSF-2.0", "python software foundation license", r"(?:the )?python software foundation license"),
+    ("OFL-1.1", "sil open font license", r"(?:the )?sil open font license"),
     ("CC0-1.0", "cc0", r"(?:the )?(?:creative commons )?(?:zero |cc )?cc0(?: 1 0)?(?: universal)?"),
-    ("CC-BY-NC-ND", "cc", r"cc by nc nd(?: [1-4] [05])?"),
-    ("CC-BY-NC-SA", "cc", r"cc by nc sa(?: [1-4] [05])?"),
-    ("CC-BY-NC", "cc", r"cc by nc(?: [1-4] [05])?"),
-    ("CC-BY-ND", "cc", r"cc by nd(?: [1-4] [05])?"),
-    ("CC-BY-SA", "cc", r"cc by sa(?: [1-4] [05])?"),
-    ("CC-BY", "cc", r"cc by(?: [1-4] [05])?"),
-    ("CC-BY-NC-SA", "creative", r"(?:a )?creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
-    ("CC-BY-NC", "creative", r"(?:a )?creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
-    ("CC-BY-SA", "creative", r"(?:a )?creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
-    ("CC-BY", "creative", r"(?:a )?creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
+    ("CC-BY-NC-ND", "cc by", r"cc by nc nd(?: [1-4] [05])?"),
+    ("CC-BY-NC-SA", "cc by", r"cc by nc sa(?: [1-4] [05])?"),
+    ("CC-BY-NC", "cc by", r"cc by nc(?: [1-4] [05])?"),
+    ("CC-BY-ND", "cc by", r"cc by nd(?: [1-4] [05])?"),
+    ("CC-BY-SA", "cc by", r"cc by sa(?: [1-4] [05])?"),
+    ("CC-BY", "cc by", r"cc by(?: [1-4] [05])?"),
+    ("CC-BY-NC-SA", "creative commons attribution", r"(?:a )?creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
+    ("CC-BY-NC", "creative commons attribution", r"(?:a )?creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
+    ("CC-BY-SA", "creative commons attribution", r"(?:a )?creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
+    ("CC-BY", "creative commons attribution", r"(?:a )?creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: license)?"),
     ("proprietary", "proprietary", r"(?:a )?proprietary (?:software )?licen[cs]e"),
 ]
 #: What may stand around a name, most telling first, and the score of a detection.
@@ -78,12 +81,11 @@ CITATIONS = [
 ]
 #: Notices that name no license.
 NOTICES = [
-    ("all-rights-reserved", "reserved", "all rights reserved", 0.9),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.9),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", 0.6),
-    ("public-domain", "domain", "(?:dedicated to|placed in|released into) the public domain", 0.9),
-    ("no-warranty", "warranty", "(?:provided )?as is without (?:any )?warranty", 0.6),
+    ("public-domain", "the public domain", "(?:dedicated to|placed in|released into) the public domain", 0.9),
+    ("no-warranty", "as is without", "(?:provided )?as is without (?:any )?warranty", 0.6),
 ]
-GATE = r"licen[cs]|reserved|copyright|public domain|warranty|wtfpl|cc0|\bcc[ -]by"
 
 
 def rules() -> list[tuple[str, str, str, float]]:
@@ -92,6 +94,13 @@ def rules() -> list[tuple[str, str, str, float]]:
     return made + [(label, keyword, rf"\b{p}\b", score) for label, keyword, p, score in NOTICES]
 
 
+def gate() -> str:
+    """What every text that a rule or base phrase fits must match as it stands: one of the keywords, with anything between its words."""
+    words = sorted({r[1] for r in rules()} | {p for p, _ in BASE})
+    first = [w for w in words if not any(w != x and w.startswith(x) for x in words)]
+    return rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(w.replace(' ', any_case(ALNUM_BREAK)) for w in first)})"
+
+
 def phrase_places(words: Column, phrase: str) -> Column:
     """Starts (from 0) of the places where the phrase's words stand one behind the other."""
     parts = phrase.split(" ")
@@ -118,9 +127,8 @@ def unsuppressed(found: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __n_words, __places (array of start, label of base phrases) and __found (detections that stay)."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
     gated = docs.withColumn("__n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(any_case(ALNUM_WORD))), F.lit(0)).cast("bigint"))
-    gated = gated.withColumn("__words", F.when(low.rlike(GATE), alnum_words(F.col(text))).otherwise(F.array().cast("array<string>")))
+    gated = gated.withColumn("__words", F.when(F.col(text).rlike(gate()), alnum_words(F.col(text))).otherwise(F.array().cast("array<string>")))
     plain = gated.withColumn("__plain", F.array_join("__words", " "))
     place = lambda phrase, label: F.transform(phrase_places(F.col("__words"), phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
     nothing = F.array().cast("array<struct<start:int,back:int,rank:int,label:string,score:double>>")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality, secrets, sharding, toxicity, urls
-from tracelake.llm.common import table
+from tracelake.llm.common import shared_dir, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.report(table(spark, sf_dir, "documents"))
+    # the map of each input folder is stored under its path's hash, in the folder that driver and executors share
+    return sharding.report(table(spark, sf_dir, "documents"), at=f"{shared_dir(spark)}/shard-map-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

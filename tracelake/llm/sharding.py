@@ -1,10 +1,14 @@
 """Sharding over fixed virtual slots, with DataFrame functions.
 
 Every record is hashed into one of a few thousand virtual slots for good. A versioned map says which shard holds which
-virtual slot; it is the only thing that is edited when shards are added or loads shift. The map is made from the bytes
-per virtual slot (law `bytes`): the heaviest slots first, each to the lightest shard. Slots number in thousands
+virtual slot; it is the only thing that is edited when shards are added or loads shift. The first map is made from the
+bytes per virtual slot (law `bytes`): the heaviest slots first, each to the lightest shard. Slots number in thousands
 whatever the input's size, so the map is edited on the driver and broadcast.
 
+Versions of the map are stored as Parquet folders with the bytes per slot that they were made for, under a name that
+the caller gives. A run reads the latest one and keeps it while loads and shards are the same; otherwise it stores the
+next version, which moves only the slots that the edit names.
+
 Hash input is the key with the text's hash, so that one key with very many rows still spreads over slots. The places of
 records within a shard are counted per virtual slot and then offset by the slots before it; no task orders a shard.
 
@@ -15,10 +19,13 @@ swap their places, which changes nothing; an empty table gives an empty table; o
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import shared_dir
+
 VIRTUAL_SLOTS = 4096
 SHARDS = 8
 PARTS = 16  # order parts of a virtual slot
@@ -48,13 +55,18 @@ def first_map(loads: dict[int, int], shards: int = SHARDS, virtual_slots: int =
 
 
 def rebalanced(held: dict, loads: dict[int, int], shards: int) -> dict:
-    """The next version for more shards or other loads: slots leave the heaviest shard for the lightest while that evens them out."""
+    """The next version for other shards or loads: slots of shards that go, then of the heaviest shard, move to the lightest while that evens them out."""
     to = dict(held["slots"])
     total = {s: 0 for s in range(shards)}
     of = {s: [] for s in range(shards)}
     for slot, shard in to.items():
-        total[shard] += loads.get(slot, 0)
-        of[shard].append(slot)
+        if shard < shards:
+            total[shard] += loads.get(slot, 0)
+            of[shard].append(slot)
+    for slot in sorted((v for v, s in to.items() if s >= shards), key=lambda v: (-loads.get(v, 0), v)):
+        to[slot] = min(total, key=lambda s: (total[s], s))
+        total[to[slot]] += loads.get(slot, 0)
+        of[to[slot]].append(slot)
     for s in of:
         of[s].sort(key=lambda v: (loads.get(v, 0), -v))
     for _ in range(len(to)):
@@ -72,9 +84,51 @@ def rebalanced(held: dict, loads: dict[int, int], shards: int) -> dict:
     return {"version": held["version"] + 1, "shards": shards, "slots": to}
 
 
-def map_table(spark, held: dict) -> DataFrame:
-    """The map as a table to store: version, virtual_slot, shard."""
-    return spark.createDataFrame([(held["version"], v, s) for v, s in sorted(held["slots"].items())], "version int, virtual_slot int, shard int")
+def map_table(spark, held: dict, loads: dict[int, int]) -> DataFrame:
+    """The map as a table to store: version, shards, virtual_slot, shard, bytes."""
+    rows = [(held["version"], held["shards"], v, s, loads.get(v, 0)) for v, s in sorted(held["slots"].items())]
+    return spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int, bytes bigint")
+
+
+def _files(spark, at: str):
+    """Hadoop's file system of a path, and the path: any store that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def stored_versions(spark, at: str) -> list[int]:
+    """Versions of the map under `at` that were written whole."""
+    files, path = _files(spark, at)
+    if not files.exists(path):
+        return []
+    names = [(f.getPath().getName(), f.getPath()) for f in files.listStatus(path)]
+    done = [n for n, p in names if n.startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done)
+
+
+def load_map(spark, at: str) -> tuple[dict, dict[int, int]] | None:
+    """The latest version stored under `at` and the bytes per slot that it was made for."""
+    versions = stored_versions(spark, at)
+    if not versions:
+        return None
+    rows = spark.read.parquet(f"{at}/v={versions[-1]}").select("version", "shards", "virtual_slot", "shard", "bytes").collect()
+    return {"version": rows[0].version, "shards": rows[0].shards, "slots": {r.virtual_slot: r.shard for r in rows}}, {r.virtual_slot: r.bytes for r in rows if r.bytes}
+
+
+def current_map(spark, loads: dict[int, int], shards: int, at: str, virtual_slots: int = VIRTUAL_SLOTS) -> dict:
+    """The map to place rows by: the stored one, or its next version where loads or shards have changed, which is stored."""
+    found = load_map(spark, at)
+    if found is None:
+        held = first_map(loads, shards, virtual_slots)
+    elif len(found[0]["slots"]) != virtual_slots:
+        raise ValueError(f"the map under {at} has {len(found[0]['slots'])} virtual slots, not {virtual_slots}: records are hashed for good")
+    elif found[0]["shards"] == shards and found[1] == {v: b for v, b in loads.items() if b}:
+        return found[0]
+    else:
+        held = rebalanced(found[0], loads, shards)
+    # what is overwritten was left by a write that did not end
+    map_table(spark, held, loads).coalesce(1).write.mode("overwrite").parquet(f"{at}/v={held['version']}")
+    return held
 
 
 def placed(rows: DataFrame, held: dict) -> DataFrame:
@@ -89,10 +143,13 @@ def placed(rows: DataFrame, held: dict) -> DataFrame:
     return parted.withColumn("__in", within).join(F.broadcast(offsets), ["__virtual", "__part"]).withColumn("slot", (F.col("__before") + F.col("__in") - 1).cast("bigint"))
 
 
-def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version."""
-    rows = measured(docs.select("doc_id", "text"))
-    held = first_map(slot_loads(rows), shards)
+def report(docs: DataFrame, shards: int = SHARDS, at: str | None = None) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
+
+    at: the folder of the stored map of this table; without one the map is stored in a new folder, as version 1.
+    """
+    rows, spark = measured(docs.select("doc_id", "text")), docs.sparkSession
+    held = current_map(spark, slot_loads(rows), shards, at or f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}")
     return placed(rows, held).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         F.col("__virtual").alias("virtual_slot"), F.lit(held["version"]).alias("map_version"),

@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions: fixed formats, and random strings told apart by character Markov models.
 
 Two first-order Markov models of characters, one of random strings and one of ordinary identifiers, are counted from
-labelled samples by a Spark aggregation. Every long token with a digit that no fixed format covers is scored by its
-mean log-likelihood ratio per step; above the threshold it is a span of kind `random`.
+labelled samples by a Spark aggregation. Every token of 12 characters or more that fixed formats don't cover whole is
+scored by its log-likelihood ratio; above the threshold, which depends on its length and mix of characters, it is a
+span of kind `random`.
 
 Cases: a null text counts as empty (no spans); overlapping spans of different kinds are all listed and redacted as one
 place; repeated rows give repeated results; an empty table gives an empty table; clashing columns are not read.
@@ -23,8 +24,12 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
-#: Tokens that the models judge: 20 characters or more with a digit among them.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models judge.
+LEAST, LONG = 12, 20
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Nats beyond the threshold that a token needs in all: none if long and with a digit; shorter with letters and digits;
+#: letters with capitals inside; else words and numbers, which are the usual case by far.
+NEEDS_MIXED, NEEDS_CAPITALS, NEEDS_PLAIN = 8.0, 12.0, 40.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.35  # nats per step
 MASK = "[SECRET]"
@@ -72,13 +77,28 @@ def train(samples: DataFrame) -> list[float]:
     return table
 
 
-def markov_score(token: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio per step of a token whose characters are all in ALPHABET."""
+def markov_total(token: Column, table: list[float]) -> Column:
+    """Sum of the log-likelihood ratios of a token's steps; its characters are all in ALPHABET, two at least."""
     ratios = F.split(F.lit(" ".join(f"{x:.6f}" for x in table)), " ").cast("array<double>")
-    n = len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda s, i: s + F.get(ratios, (at(i) - 1) * n + at(i + 1) - 1))
-    return total / (F.char_length(token) - 1)
+    places = F.slice(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), F.lit(1), F.char_length(token))
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum"))
+    step = lambda s, c: F.struct(c.alias("at"), (s["sum"] + F.when(s["at"] >= 0, F.get(ratios, s["at"] * len(ALPHABET) + c)).otherwise(0.0)).alias("sum"))
+    return F.aggregate(places, start, step, lambda s: s["sum"])
+
+
+def looks_random(token: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
+    """Whether the models judge a token random; in short or digitless ones a run of marks counts as one mark."""
+    digit, letter, inside = token.rlike("[0-9]"), token.rlike("[A-Za-z]"), token.rlike("[a-z][A-Z]")
+    need = F.when(digit & letter, NEEDS_MIXED).when(inside, NEEDS_CAPITALS).otherwise(NEEDS_PLAIN)
+    tight = F.regexp_replace(token, "([+/_=-])[+/_=-]+", "$1")
+    enough = lambda t, more: markov_total(t, table) >= threshold * (F.char_length(t) - 1) + more
+    return F.when(digit & (F.char_length(token) >= LONG), enough(token, F.lit(0.0))).when(F.char_length(tight) >= LEAST, enough(tight, need)).otherwise(False)
+
+
+def covered(span: Column, base: Column) -> Column:
+    """Whether spans, sorted by start, together cover all of a span."""
+    reach = F.aggregate(base, span["start"], lambda at, b: F.when((b["start"] <= at) & (b["end"] > at), b["end"]).otherwise(at))
+    return reach >= span["end"]
 
 
 def spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
@@ -90,9 +110,10 @@ def spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Col
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         kept = F.filter(match_spans(text, F.lit(pattern), group), at_least(least))
         found.append(F.when(text.rlike(pattern), F.transform(kept, shape(rank, kind))).otherwise(none))
-    base = F.concat(*found)
-    likely = F.filter(match_spans(text, F.lit(TOKEN)), lambda s: markov_score(F.substring(text, s["start"] + 1, s["end"] - s["start"]), table) >= threshold)
-    free = F.filter(likely, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    base = F.array_sort(F.concat(*found))
+    with_token = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"))
+    likely = F.filter(F.transform(match_spans(text, F.lit(TOKEN)), with_token), lambda s: looks_random(s["token"], table, threshold))
+    free = F.filter(likely, lambda s: ~covered(s, base))
     more = F.when(text.rlike(TOKEN), F.transform(free, shape(len(KINDS), "random"))).otherwise(none)
     return F.array_sort(F.concat(base, more))
 

@@ -54,11 +54,8 @@ def test_near_duplicates(spark, all_docs, n):
     assert kept.columns == docs.columns and kept.where("doc_id between 5000 and 6999").count() == sum(r.kept for r in got if 5000 <= (r.doc_id or 0) < 7000)
 
 
-@pytest.mark.parametrize("looked_up", [neardup.LOOKED_UP, 0])
-def test_near_duplicates_in_large_bands(spark, monkeypatch, looked_up):
+def test_near_duplicates_in_large_bands(spark):
     """Copies with random edits, similar at 0.5 to 0.95, as large bands."""
-    monkeypatch.setattr(neardup, "DIRECT", 0)
-    monkeypatch.setattr(neardup, "LOOKED_UP", looked_up)
     draw = random.Random(4)
     base = [f"b{k}" for k in range(120)]
     rows = [(i, " ".join(f"e{draw.randrange(9)}" if draw.random() < i % 10 / 60 else w for w in base[: 120 - i % 4])) for i in range(150)]

@@ -4,19 +4,17 @@
    hash, the count of leading zeros and a few mantissa bits, in 16 bits. Empty buckets copy the first filled one in an
    order of their own. Texts with equal sets are one class from here on, named by its least id; a class of very many
    copies is one row.
-2. Candidates. Bands of registers are bucketed. In each band every class is paired with the band's least class only.
+2. Bands. Bands of registers are bucketed. The center of a band is its member that shares the most bands with the most
+   classes; every other member is attached to it, so a band of m classes makes m - 1 pairs.
 3. Estimate. The share of equal registers, corrected for chance collisions, must not lie far under the threshold.
-4. Verify. Full sets are fetched for the classes that are left, and compared exactly.
-5. Components by contraction: each class points to its least neighbour until no link is left.
-6. Settling. In bands that hold several components and many classes, each class outside the largest one tries one other
-   member, drawn by hash, for each band that it is in; 3 to 5 again. Large groups grow together so, by few pairs a class.
-7. Rest, small bands: the classes outside the band's largest component are paired with those of other components, at
-   most DIRECT pairs a band; 3 to 5 again, for pairs that share two bands.
-8. Rest, large bands: a set's hashes are put in order, rarest first. Two linked sets share a hash that has enough of
-   both sets from there on, so classes meet only at such hashes; 3 to 5 again. This finds every link exactly, and no
-   pair within a settled group or of sets that merely resemble one is ever made.
-
-At similarity 0.8, 40 bands of 5 registers miss a link with a chance of about 1e-7 (one band) or 2e-6 (two).
+4. Verify. Full sets are fetched and compared exactly; what a class and its center don't share is the class's delta.
+5. Meetings. Two classes of one band that are both linked to its center need no pair of their own. If one of them is
+   not, a link between the two needs shared hashes in their deltas (see `meetings`, which says why this is exact); deltas
+   are short, so few pairs meet. 3 and 4 again for them.
+6. Components by contraction: each class points to its least neighbour, until no link is left.
+
+All links between classes that share a band are found. At similarity 0.8, sets of very many shingles share none of the
+40 bands of 5 registers with a chance of about 1e-7.
 
 Cases: null and empty texts, and texts without words, have no shingles and stand alone; fewer words than a shingle has
 make one shingle; rows with equal ids are one document with all their texts' links; a null id gives a null component
@@ -41,11 +39,7 @@ MANTISSA = 10
 #: Chance that two different least hashes of a bucket share a register: same zeros (1/3) and same mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
-SLOTS = 16  # outsiders of a large band try one of so many of its members
-DIRECT = 2000  # bands whose outsiders have no more partners than this, times each other, are paired directly
-SIZE_STEP = 1.06  # sizes of sets fall into classes that grow by this factor
 BROADCAST_IDS = 1_000_000  # of 8 bytes
-LOOKED_UP = 250_000  # hashes of 16 bytes whose counts tasks may look up; more are joined
 LINKS_A_TASK = 200_000
 NULL_IDS = 1 << 62  # classes without an id are named from here on
 #: The buckets that each bucket asks when it is empty, itself first.
@@ -111,14 +105,21 @@ def sketched(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """band, node, size of the classes."""
+    """band, node of the classes."""
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("regs"), i * width + 1, width)) for i in range(BANDS)])
-    return classes.select("node", "size", F.explode(keys).alias("band"))
+    return classes.select("node", F.explode(keys).alias("band"))
 
 
-def within_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def attachments(classes: DataFrame) -> DataFrame:
+    """center, node: every class beside the center of each band that it is in; written down."""
+    bands = banded(classes)
+    crowded = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = cut(bands.join(crowded, "band"))
+    liked = met.groupBy("node").agg(F.sum("members").alias("liked"))
+    centers = met.join(liked, "node").groupBy("band").agg(F.max(F.struct("liked", (-F.col("node")).alias("minus"))).alias("best"))
+    pairs = met.join(centers.select("band", (-F.col("best.minus")).alias("center")), "band").where("node <> center")
+    return cut(pairs.select("center", "node").distinct())
 
 
 @F.pandas_udf(T.DoubleType())
@@ -130,42 +131,26 @@ def estimate_excess(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(np.minimum(1.0, (share - COLLISION) / (1 - COLLISION) + MARGIN * deviation))
 
 
-@F.pandas_udf(T.LongType())
-def shared_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with likely: whether sizes and registers let them be a link."""
+    sketch = classes.select("node", "regs", "size")
+    both = pairs.join(sketch.toDF("b", "regs_b", "size_b"), "b").join(sketch.toDF("a", "regs_a", "size_a"), "a")
+    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return both.select("a", "b", (sizes & (estimate_excess("regs_a", "regs_b", F.least("size_a", "size_b")) >= percent / 100)).alias("likely"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """node, set (sorted hashes as bytes) of the documents named in ids."""
+    """node, set (hashes) of the documents named in ids."""
 
     def make(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, n).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "set"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     named = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text)).join(wanted, "node", "left_semi")
-    return named.mapInArrow(make, "node bigint, set binary")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links; written down."""
-    sketch = classes.select("node", "regs", "size")
-    left, right = sketch.toDF("a", "regs_a", "size_a"), sketch.toDF("b", "regs_b", "size_b")
-    excess = estimate_excess("regs_a", "regs_b", F.least("size_a", "size_b"))
-    likely = cut(pairs.join(right, "b").join(left, "a").where(excess >= percent / 100).select("a", "b").distinct())
-    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(all_sets(docs, ids, classes, key, text, n))
-    both = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    shared = shared_hashes("set_a", "set_b")
-    sizes = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
-    return cut(both.select("a", "b", shared.alias("shared"), sizes.cast("bigint").alias("sizes")).where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct())
-
-
-def all_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """node, set of the classes named in ids. Rows with equal ids and different texts give one row each."""
-    return full_sets(docs, ids, key, text, n).where(F.col("node") < NULL_IDS).union(unnamed_sets(docs, ids, classes, key, text, n))
+    return named.mapInArrow(make, "node bigint, set array<bigint>").where(F.size("set") > 0)
 
 
 def unnamed_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -174,26 +159,67 @@ def unnamed_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, key: str,
 
     def make(batches):
         for batch in batches:
-            rows = [(int(textvec.mix(s).sum(dtype=np.uint64).view(np.int64)), s.tobytes()) for s in (shingle_set(t, n) for t in batch.column(0).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["h1", "set"])
+            rows = [(int(textvec.mix(s).sum(dtype=np.uint64).view(np.int64)), s.view(np.int64)) for s in (shingle_set(t, n) for t in batch.column(0).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["h1", "set"])
 
     texts = docs.where(F.col(key).isNull()).select(F.col(text)).distinct()
-    return texts.mapInArrow(make, "h1 bigint, set binary").join(unnamed, "h1").select("node", "set").dropDuplicates(["node"])
+    return texts.mapInArrow(make, "h1 bigint, set array<bigint>").join(unnamed, "h1").select("node", "set").dropDuplicates(["node"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with both sizes, a key of a's set, what stands in one set only (delta), and linked."""
+    left, right = sets.select("node", "set", F.xxhash64("set").alias("base")).toDF("a", "set_a", "base"), sets.toDF("b", "set_b")
+    both = pairs.join(right, "b").join(left, "a")
+    apart = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    sized = both.select(*[c for c in pairs.columns], "base", F.size("set_a").cast("bigint").alias("size_a"), F.size("set_b").cast("bigint").alias("size_b"), apart.alias("delta"))
+    return sized.withColumn("linked", links_at(F.size("delta").cast("bigint"), F.col("size_a") + F.col("size_b"), percent))
+
+
+def links_at(apart: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets with `apart` hashes in one of them only, and `sizes` in all, are similar enough."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def meetings(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be links beside the stars: two classes of one center, one at least not linked to it.
+
+    A class differs from its center by its delta, and two classes differ by what only one of their deltas holds. If x is
+    not linked to the center, then x and y can only be a link if their deltas share a hash: without one, y is no nearer
+    to x than the center is. How many they must share follows from the sizes. So deltas are put in order, rarest hash
+    first; classes meet at a hash only if enough of both deltas is left from there on.
+    """
+    more, less = 100 + percent, 100 - percent
+    open_ones = stars.groupBy("a", "base").agg(F.count("*").alias("members"), F.min("linked").alias("all")).where("members > 1 and not all").select("a", "base")
+    one = ["a", "base", "b", "size_a", "size_b", "linked", "k"]
+    sized = stars.join(open_ones, ["a", "base"]).withColumn("k", F.size("delta").cast("bigint")).withColumn("own", F.xxhash64("delta"))
+    hashes = sized.select(*one, "own", F.explode("delta").alias("e"))
+    common = hashes.groupBy("a", "base", "e").agg(F.count("*").alias("df")).where("df > 1")
+    # hashes of one delta only come first in the order and meet nothing: what is left is counted from the end
+    ranked = hashes.join(common, ["a", "base", "e"]).groupBy(*one, "own").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    rows = ranked.select(*one, F.size("es").alias("shared"), F.posexplode("es").alias("at", "el"))
+    rows = rows.select(*one, F.col("el.e").alias("e"), (F.col("shared") - F.col("at")).cast("bigint").alias("left"))
+    within = percent * F.col("left") >= percent * F.col("k") - less * F.col("size_b")
+    asks = ~F.col("linked") & within & (2 * more * F.col("left") >= more * F.col("k") - less * (F.col("size_b") + F.col("size_a")))
+    answers = within & (2 * more * F.col("left") > more * F.col("k") - less * (F.col("size_b") - F.col("size_a")))
+    rows = cut(rows.select("a", "base", "e", "b", "size_b", "linked", "k", "left", asks.alias("asks"), answers.alias("answers")).where("asks or answers"))
+    x = rows.where("asks").select("a", "base", "e", F.col("b").alias("x"), F.col("size_b").alias("nx"), F.col("k").alias("kx"), F.col("left").alias("left_x"))
+    y = rows.where("answers").select("a", "base", "e", F.col("b").alias("y"), F.col("size_b").alias("ny"), F.col("k").alias("ky"), F.col("left").alias("left_y"), F.col("linked").alias("never_asks"))
+    enough = links_at(F.col("kx") + F.col("ky") - 2 * F.least("left_x", "left_y"), F.col("nx") + F.col("ny"), percent)
+    met = x.join(y, ["a", "base", "e"]).where((F.col("x") != F.col("y")) & (F.col("never_asks") | (F.col("x") < F.col("y"))) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node that it reaches) of every node with a link. Links are contracted round by round."""
-    maps, edges = [], cut(links.select("a", "b").where(F.col("a") != F.col("b")))
+    maps, edges, first = [], cut(links.select("a", "b").where(F.col("a") != F.col("b"))), None
     while left := edges.count():
         tasks = 1 + 2 * left // LINKS_A_TASK  # links are few beside documents; so are the files of each round
-        at_first = tasks if not maps else at_first
-        edges = edges.coalesce(tasks)
+        first = first or tasks
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to"), F.lit(True).alias("moved")).coalesce(tasks))
-        while not to.where("moved").isEmpty():  # follow the pointers to their ends; chains get half as long each time
-            step = to.select("node", "to").join(to.select(F.col("node").alias("to"), F.col("to").alias("up")), "to")
-            to = cut(step.select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")).coalesce(tasks))
-        to = to.select("node", "to")
+        to = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")).coalesce(tasks))
+        step = lambda n: to.toDF(f"to{n - 1}" if n else "node", f"to{n}")  # noqa: B023, E731
+        # four pointers are followed at once; where a chain is longer, the next rounds go on with it
+        to = cut(step(0).join(step(1), "to0").join(step(2), "to1").join(step(3), "to2").select("node", F.col("to3").alias("to")).coalesce(tasks))
         maps.append(to)
         moved = edges.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b")
         edges = cut(moved.where(F.col("ta") != F.col("tb")).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().coalesce(tasks))
@@ -202,107 +228,7 @@ def components(links: DataFrame) -> DataFrame:
     found = maps[-1].toDF("node", "root")
     for to in reversed(maps[:-1]):
         found = to.join(found.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return cut(found.coalesce(at_first))
-
-
-def unsettled(multi: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the bands that hold several components; is_main: in the band's largest one; heavy: too many to pair directly."""
-    members = multi.where("members > 2").join(roots, "node", "left").select("band", "node", "size", "center", "members", F.coalesce("root", "node").alias("root"))
-    per_root = members.groupBy("band", "root").agg(F.count("*").alias("m"))
-    largest = per_root.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", "main", "most")
-    heavy = (F.col("members") - F.col("most")) * F.col("members") > DIRECT
-    return cut(members.join(largest, "band").select("band", "node", "size", "center", "root", (F.col("root") == F.col("main")).alias("is_main"), heavy.alias("heavy")))
-
-
-def as_outsider(marked: DataFrame) -> DataFrame:
-    return marked.where("not is_main").select("band", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("root").alias("rx"), F.col("center"))
-
-
-def as_partner(marked: DataFrame) -> DataFrame:
-    return marked.select("band", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"), "is_main")
-
-
-def settling_pairs(marked: DataFrame, percent: int) -> DataFrame:
-    """One partner for each outsider and band."""
-    chosen = F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("h"), "node", "root", "size")).alias("y")
-    slots = marked.groupBy("band", F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(SLOTS)).alias("slot")).agg(chosen)
-    asked = as_outsider(marked).withColumn("slot", F.pmod(F.xxhash64("band", "x", F.lit(0)), F.lit(SLOTS))).join(slots, ["band", "slot"])
-    asked = asked.where((F.col("rx") != F.col("y.root")) & within_sizes(F.col("sx"), F.col("y.size"), percent))
-    return asked.select(F.least("x", "y.node").alias("a"), F.greatest("x", "y.node").alias("b")).distinct()
-
-
-def direct_pairs(marked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share two of these bands.
-
-    They have met in no star, so all bands that they share are counted here; a pair that shares a large band too is
-    found there.
-    """
-    met = as_outsider(marked).join(as_partner(marked), "band").where((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("center")) & (F.col("y") != F.col("center")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & within_sizes(F.col("sx"), F.col("sy"), percent))
-    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("k"))
-    return shared.where("k >= 2").select("a", "b")
-
-
-def hashes_of(sets: DataFrame) -> DataFrame:
-    """node, s, e: a row for each hash of each set; s tells sets of one node apart."""
-
-    def make(batches):
-        for batch in batches:
-            for node, s, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                e = np.frombuffer(value, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), v, np.int64)) for v in (node, s)] + [pa.array(e)], ["node", "s", "e"])
-
-    return sets.select("node", F.xxhash64("set").alias("s"), "set").mapInArrow(make, "node bigint, s bigint, e bigint")
-
-
-def by_lookup(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """node, n, el (df, e), left of the first hashes of each set, rarest first. Hashes of one set only are counted, not returned."""
-    found = common.orderBy("e").toArrow()
-    shared, dfs = (found.column(c).to_numpy() for c in ("e", "df"))
-
-    def make(batches):
-        for batch in batches:
-            for node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e = np.frombuffer(value, np.int64)
-                at = np.minimum(np.searchsorted(shared, e), max(len(shared) - 1, 0))
-                df = np.where(shared[at] == e, dfs[at], 1) if len(shared) else np.ones(len(e), np.int64)
-                order = np.lexsort((e, df))[: len(e) * (100 - percent) // 100 + 1]
-                keep = np.flatnonzero(df[order] > 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), v, np.int64)) for v in (node, len(e))] + [pa.array(e[order[keep]]), pa.array(len(e) - keep)], ["node", "n", "e", "left"])
-
-    return sets.select("node", "set").mapInArrow(make, "node bigint, n bigint, e bigint, left bigint")
-
-
-def by_join(elements: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """The same for more hashes than can be looked up."""
-    ranked = elements.join(common, "e", "left").groupBy("node", "s").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
-    size = F.size("es").cast("bigint")
-    first = ranked.select("node", size.alias("n"), F.posexplode(F.slice("es", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1)).alias("at", "el"))
-    return first.where("el.df > 1").select("node", "n", F.col("el.e").alias("e"), (F.col("n") - F.col("at")).alias("left"))
-
-
-def prefix_pairs(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that can be links, an outsider of some band in each.
-
-    All sets are read in one order of hashes, rarest first. Let the first hash that two linked sets share stand so that
-    r and s hashes are left from it on: they share at most min(r, s), and must share percent / (100 + percent) of the
-    sum of their sizes. So a class looks for partners of each class of sizes at its first few hashes only.
-    """
-    nodes = cut(marked.groupBy("node").agg(F.first("root").alias("root"), F.max(~F.col("is_main")).alias("asks")))
-    elements = hashes_of(sets)
-    common = cut(elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"))
-    first = by_lookup(sets, common, percent) if common.count() <= LOOKED_UP else by_join(elements, common, percent)
-    step = float(np.log(SIZE_STEP))
-    bucket = lambda n: F.floor(F.log(n) / F.lit(step) + 1e-9)
-    first = first.join(nodes, "node").withColumn("own", bucket(F.col("n")))
-    least = lambda c: F.greatest(F.col("n") * percent / 100, F.exp(c * F.lit(step))) * (1 - 1e-8)  # noqa: E731  least size in c
-    fits = lambda c: (100 + percent) * F.col("left") >= percent * (F.col("n") + least(c)) - 1e-6
-    others = F.filter(F.sequence(bucket(F.col("n") * percent / 100), bucket(F.col("n") * 100 / percent)), fits)
-    first = first.withColumn("other", F.explode(others))
-    x = first.where("asks").select("e", "own", "other", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("left").alias("left_x"))
-    y = first.select("e", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("left").alias("left_y"), F.col("asks").alias("asks_too"))
-    enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("nx") + F.col("ny"))
-    met = x.join(y, ["e", "own", "other"]).where((F.col("rx") != F.col("ry")) & (~F.col("asks_too") | (F.col("x") < F.col("y"))) & enough)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return cut(found.coalesce(first))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -312,30 +238,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     classes = rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("size"), F.first("regs").alias("regs"))
     classes = cut(classes.select("h1", "h2", F.coalesce("least", surrogate).alias("node"), "size", "regs"))
 
-    bands = banded(classes)
-    centers = bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    multi = cut(bands.join(centers, "band").select("band", "node", "size", "center", "members"))
-    sizes = classes.select("node", "size")
-    stars = multi.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb")).distinct()
-    stars = stars.join(sizes.toDF("a", "sa"), "a").where(within_sizes(F.col("sa"), F.col("sb"), percent)).select("a", "b")
-    links = confirmed(stars, classes, docs, key, text, words, percent)
+    # centers with one class only matter if the two may be a link; the others' deltas are needed all the same
+    pairs = cut(estimated(attachments(classes).toDF("a", "b"), classes, percent))
+    alone = pairs.groupBy("a").agg(F.count("*").alias("members"), F.max("likely").alias("any")).where("members > 1 or any").select("a")
+    pairs = pairs.join(alone, "a", "left_semi")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = full_sets(docs, ids, key, text, words).where(F.col("node") < NULL_IDS).union(unnamed_sets(docs, ids, classes, key, text, words))
+    sets = cut(sets)
+    stars = cut(compared(pairs, sets, percent).withColumn("linked", F.col("linked") & F.col("likely")))
+    likely = estimated(meetings(stars, percent), classes, percent).where("likely").select("a", "b")
+    links = stars.where("linked").select("a", "b").union(compared(likely, sets, percent).where("linked").select("a", "b"))
     roots = components(links)
 
-    marked = unsettled(multi, roots)
-    crowded = marked.where("heavy")
-    if not crowded.isEmpty():
-        more = confirmed(settling_pairs(crowded, percent), classes, docs, key, text, words, percent)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-            marked = unsettled(multi, roots)
-            crowded = marked.where("heavy")
-    rest = direct_pairs(marked.where("not heavy"), percent)
-    if not crowded.isEmpty():
-        sets = cut(all_sets(docs, crowded.select("node").distinct(), classes, key, text, words))
-        rest = rest.union(prefix_pairs(crowded, sets, percent)).distinct()
-    roots = components(links.union(confirmed(rest, classes, docs, key, text, words, percent)))
-
     named = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     joined = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("root") < NULL_IDS, F.col("root"))

@@ -30,11 +30,25 @@ def test_stored_log(spark, tmp_path):
     log = spark.createDataFrame(rows, store.LOG_SCHEMA)
     store.write_log_csv(log, str(tmp_path / "csv"))
     assert sorted(map(tuple, store.read_log_csv(spark, str(tmp_path / "csv")).collect())) == rows
+    swapped = log.select("event_index", "case_id", *log.columns[2:])
+    store.write_log_csv(swapped, str(tmp_path / "swapped"), one_file=True)
+    with pytest.raises(Exception, match="CSV header"):
+        store.read_log_csv(spark, str(tmp_path / "swapped")).collect()
     at = str(tmp_path / "log")
     assert store.replace_log(log, at) == 2 and store.replace_log(log.limit(1), at) == 1
     with pytest.raises(store.RowCountMismatch):
         store.replace_log(log.union(log), at)
     assert store.read_log(spark, at).count() == 1 and spark.read.parquet(at + "_runs").count() == 2
+    assert store.versions(spark, at) == [1, 2] and not list((tmp_path / "log").glob("_new*"))
+    assert store.replace_log(log, at) == 2 and store.versions(spark, at) == [2, 3]
+    assert [r.event_index for r in store.read_log(spark, at, ordered=True).collect()] == [0, 1]
+    with pytest.raises(FileNotFoundError):
+        store.read_log(spark, str(tmp_path / "none"))
+
+
+def test_events_are_counted_by_line(spark, tmp_path):
+    (tmp_path / "lines.xes").write_text("<log><trace><event\n key='x'/><event/>\n<events/><event >x</event>\n</trace></log>")
+    assert xes.count_raw_events(spark, str(tmp_path / "lines.xes")) == 3
 
 
 def test_fetch(tmp_path):

@@ -15,10 +15,18 @@ def check_threshold(threshold: float) -> float:
     return threshold
 
 
+def counts_only(value: Column, *counts: Column) -> Column:
+    """value, or an error where a count is negative."""
+    bad = F.lit(False)
+    for c in counts:
+        bad = bad | (c < 0)
+    return F.when(bad, F.raise_error(F.lit("counts must not be negative")).cast("double")).otherwise(value)
+
+
 def dependency(ab: Column, ba: Column) -> Column:
     """How surely a is followed by b rather than b by a, from -1 to 1."""
     a, b = ab.cast("double"), ba.cast("double")
-    return (a - b) / (a + b + F.lit(1.0))
+    return counts_only((a - b) / (a + b + F.lit(1.0)), ab, ba)
 
 
 def footprint(ab: Column, ba: Column, threshold: float) -> Column:
@@ -53,6 +61,13 @@ def micros(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
 
 
+def total(micro: Column) -> Column:
+    """The sum of microseconds, in seconds and rest, so that no sum of spans is too large for a bigint."""
+    rest = F.pmod(micro, F.lit(1_000_000))
+    whole = F.sum(((micro - rest) / 1_000_000).cast("bigint")).cast("decimal(20,0)")
+    return whole * F.lit(1_000_000).cast("decimal(7,0)") + F.sum(rest).cast("decimal(20,0)")
+
+
 def seconds(micro: Column) -> Column:
     """Exact microseconds, a sum or a single span, as seconds."""
     return micro.cast("double") / F.lit(1e6)

@@ -61,21 +61,22 @@ STRATEGIES = ("most_frequent_variant", "most_frequent_variant_for_outcome", "doc
 
 
 def reference(log: DataFrame, strategy: str, outcome: str | None = None, documented: list[str] | None = None) -> dict:
-    """activities, supporting and eligible cases of the reference model; one row reaches the driver."""
+    """activities, supporting and eligible cases of the reference model, and what it is; one row reaches the driver."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "documented":
         if not documented:
             raise ValueError("documented activities are needed")
-        return {"activities": list(documented), "supporting_cases": None, "eligible_cases": None}
+        return {"activities": list(documented), "supporting_cases": None, "eligible_cases": None, "description": "a documented sequence of activities"}
     if strategy == "most_frequent_variant_for_outcome":
         if outcome is None:
             raise ValueError("an outcome is needed")
         log = log.where(F.col("outcome") == outcome)
-    top = v.ranked(log).orderBy("variant_rank").select("seq", "case_count", "_total").head()
+    top = v.top(log, 1).select("seq", "case_count", "_total").head()
     if top is None:
         raise ValueError(f"no case with outcome {outcome}" if outcome else "empty event log")
-    return {"activities": list(top.seq), "supporting_cases": top.case_count, "eligible_cases": top._total}
+    of = f"cases that end as {outcome}" if strategy == STRATEGIES[1] else "all cases"
+    return {"activities": list(top.seq), "supporting_cases": top.case_count, "eligible_cases": top._total, "description": f"the most frequent variant of {of}"}
 
 
 def fold(seq: Column, net: PetriNet) -> Column:
@@ -117,9 +118,9 @@ def replay(log: DataFrame, net: PetriNet, validate: bool = True) -> DataFrame:
     """Per case the token counts, fitness and whether it fits. Each distinct sequence is replayed once."""
     if validate and log.isEmpty():
         raise ValueError("empty event log")
-    cases = v.sequences(log)
-    replayed = cases.select("seq").distinct().withColumn("_r", fold(F.col("seq"), net))
-    joined = cases.join(replayed, "seq").select("case_id", "_r.*")
+    cases = v.named(v.sequences(log))
+    replayed = cases.groupBy("_k").agg(F.first("seq").alias("seq")).select("_k", fold(F.col("seq"), net).alias("_r"))
+    joined = cases.select("case_id", "_k").join(replayed, "_k").select("case_id", "_r.*")
     return joined.withColumn("fitness", fitness(F.col("missing"), F.col("consumed"), F.col("remaining"), F.col("produced"))).withColumn("fits", (F.col("missing") == 0) & (F.col("remaining") == 0))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import micros, quantile_seconds, seconds
+from tracelake.functions.measures import micros, quantile_seconds, seconds, total
+from tracelake.functions.quantiles import with_quantiles
 
 NEEDED = ("case_id", "event_index", "activity", "timestamp")
 
@@ -27,17 +28,21 @@ def occurrences(log: DataFrame) -> DataFrame:
     return paired.where(F.col("next").isNotNull()).select("source", "target", "case_id", micros(F.col("timestamp"), F.col("next")).alias("micro"))
 
 
-def quantile(micro: Column, share: float) -> Column:
-    """Exact, interpolated linearly; in microseconds."""
-    return F.percentile(micro, F.lit(share))
+def edges(log: DataFrame) -> DataFrame:
+    steps = occurrences(log)
+    found = steps.groupBy("source", "target").agg(F.count("*").alias("frequency"), F.count_distinct("case_id").alias("case_frequency"), total(F.col("micro")).alias("s"))
+    joined = found.join(with_quantiles(steps, ["source", "target"], "micro", [0.5]), ["source", "target"])
+    return joined.select("source", "target", "frequency", "case_frequency", (seconds(F.col("s")) / F.col("frequency")).alias("mean_duration_seconds"), quantile_seconds(F.get("_q", F.lit(0))).alias("median_duration_seconds"))
 
 
-def edges(log: DataFrame) -> DataFrame:
-    found = occurrences(log).groupBy("source", "target").agg(
-        F.count("*").alias("frequency"), F.count_distinct("case_id").alias("case_frequency"),
-        F.sum("micro").alias("s"), quantile(F.col("micro"), 0.5).alias("m"),
-    )
-    return found.select("source", "target", "frequency", "case_frequency", seconds(F.col("s") / F.col("frequency")).alias("mean_duration_seconds"), quantile_seconds(F.col("m")).alias("median_duration_seconds"))
+def by_frequency(edges: DataFrame) -> DataFrame:
+    """Edges for an output: the most frequent first, then by name."""
+    return edges.orderBy(F.desc("frequency"), "source", "target")
+
+
+def frequency(log: DataFrame, source: str, target: str) -> int:
+    """How often one activity directly follows another; 0 if never."""
+    return frequencies(log).where((F.col("source") == source) & (F.col("target") == target)).agg(F.coalesce(F.sum("frequency"), F.lit(0))).head()[0]
 
 
 def frequencies(log: DataFrame) -> DataFrame:
@@ -65,13 +70,13 @@ def totals(log: DataFrame) -> DataFrame:
 
 def handoffs(log: DataFrame) -> DataFrame:
     """Work passed from one resource to another between consecutive events of a case."""
-    paired = log.select("case_id", F.col("resource").alias("giver"), F.lead("resource").over(in_case()).alias("taker"))
+    paired = require(log, ("case_id", "event_index", "resource")).select("case_id", F.col("resource").alias("giver"), F.lead("resource").over(in_case()).alias("taker"))
     passed = paired.where(F.col("giver").isNotNull() & F.col("taker").isNotNull() & (F.col("giver") != F.col("taker")))
     return passed.groupBy("giver", "taker").agg(F.count("*").alias("handoffs"), F.count_distinct("case_id").alias("cases"))
 
 
 def bus_factor(log: DataFrame) -> DataFrame:
     """Per activity the resource that does most of it, and its share."""
-    counts = log.where(F.col("resource").isNotNull()).groupBy("activity", "resource").agg(F.count("*").alias("n"))
+    counts = require(log, ("activity", "resource")).where(F.col("resource").isNotNull()).groupBy("activity", "resource").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("total", F.sum("n").over(Window.partitionBy("activity"))).withColumn("rank", F.row_number().over(Window.partitionBy("activity").orderBy(F.desc("n"), "resource")))
     return ranked.where("rank = 1").select("activity", "resource", F.col("n").alias("events"), F.round(F.col("n") / F.col("total"), 9).alias("share"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ KINDS = ["causal", "length_one_loop", "length_two_loop", "best_connection"]
 EDGES = "source string, target string, kind string, dependency double, frequency bigint"
 
 
+def trigrams(log: DataFrame) -> DataFrame:
+    """source, target, third, is_first, n: how often activities stand one behind the other. target and third are null at
+    a case's end, is_first tells its first event. One pass over the log; all that is mined follows from these few rows."""
+    order = dfg.in_case()
+    steps = dfg.require(log).select(F.col("activity").alias("source"), F.lead("activity").over(order).alias("target"), F.lead("activity", 2).over(order).alias("third"), (F.row_number().over(order) == 1).alias("is_first"))
+    return steps.groupBy("source", "target", "third", "is_first").agg(F.count("*").alias("n"))
+
+
+def frequencies(tri: DataFrame) -> DataFrame:
+    """source, target, frequency."""
+    return tri.where(F.col("target").isNotNull()).groupBy("source", "target").agg(F.sum("n").alias("frequency"))
+
+
 def with_reverse(pairs: DataFrame) -> DataFrame:
     """Each observed pair with the frequency of the reverse pair, 0 if unseen. Pairs number activities squared at most."""
     back = pairs.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("frequency").alias("reverse"))
@@ -27,7 +42,7 @@ def pairs(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     names = dfg.activity_counts(log).select("activity")
     grid = names.agg(F.array_sort(F.collect_list("activity")).alias("all"))
     spanned = grid.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a <> b")
-    seen = dfg.frequencies(log)
+    seen = frequencies(trigrams(log))
     ab = seen.toDF("a", "b", "ab")
     ba = seen.toDF("b", "a", "ba")
     both = spanned.join(ab, ["a", "b"], "left").join(ba, ["a", "b"], "left").select("a", "b", F.coalesce("ab", F.lit(0)).alias("ab"), F.coalesce("ba", F.lit(0)).alias("ba"))
@@ -36,34 +51,54 @@ def pairs(log: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def causal_edges(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     check_threshold(threshold)
-    seen = with_reverse(dfg.frequencies(log)).where("source <> target")
+    return causal(frequencies(trigrams(log)), threshold)
+
+
+def causal(pairs: DataFrame, threshold: float) -> DataFrame:
+    seen = with_reverse(pairs).where("source <> target")
     return seen.withColumn("dependency", dependency(F.col("frequency"), F.col("reverse"))).where(F.col("dependency") >= F.lit(threshold)).select("source", "target", "dependency", "frequency")
 
 
 def self_loops(log: DataFrame, threshold: float = 0.9) -> DataFrame:
-    loops = dfg.frequencies(log).where("source = target")
+    return looping(frequencies(trigrams(log)), threshold)
+
+
+def looping(pairs: DataFrame, threshold: float) -> DataFrame:
+    loops = pairs.where("source = target")
     return loops.withColumn("dependency", self_loop(F.col("frequency"))).where(F.col("dependency") >= F.lit(threshold)).select("source", "target", "dependency", "frequency")
 
 
 def aba_patterns(log: DataFrame) -> DataFrame:
     """a, b, occurrences of a b a within cases, overlapping ones too."""
-    steps = dfg.require(log).select(F.col("activity").alias("a"), F.lead("activity").over(dfg.in_case()).alias("b"), F.lead("activity", 2).over(dfg.in_case()).alias("c"))
-    return steps.where("a = c AND a <> b").groupBy("a", "b").agg(F.count("*").alias("occurrences"))
+    return patterns(trigrams(log))
+
+
+def patterns(tri: DataFrame) -> DataFrame:
+    return tri.where("source = third AND source <> target").groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.sum("n").alias("occurrences"))
 
 
 def two_loops(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Both directions of every pair whose a b a and b a b patterns reach the threshold, with their own frequencies."""
-    seen = aba_patterns(log)
+    return turning(trigrams(log), threshold)
+
+
+def turning(tri: DataFrame, threshold: float) -> DataFrame:
+    seen = patterns(tri)
     back = seen.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("occurrences").alias("other"))
     both = seen.join(back, ["a", "b"], "full").select("a", "b", F.coalesce("occurrences", F.lit(0)).alias("aba"), F.coalesce("other", F.lit(0)).alias("bab"))
     strong = both.withColumn("dependency", two_loop(F.col("aba"), F.col("bab"))).where(F.col("dependency") >= F.lit(threshold))
-    counts = dfg.frequencies(log)
-    return strong.select(F.col("a").alias("source"), F.col("b").alias("target"), "dependency").join(counts, ["source", "target"], "left").select("source", "target", "dependency", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+    return strong.select(F.col("a").alias("source"), F.col("b").alias("target"), "dependency").join(frequencies(tri), ["source", "target"], "left").select("source", "target", "dependency", F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 
 def model_edges(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Edges admitted by rule, the first rule that admits an edge naming its kind; activities are not yet connected."""
-    rules = [causal_edges(log, threshold), self_loops(log, threshold), two_loops(log, threshold)]
+    check_threshold(threshold)
+    return admitted(trigrams(log), threshold)
+
+
+def admitted(tri: DataFrame, threshold: float) -> DataFrame:
+    pairs = frequencies(tri)
+    rules = [causal(pairs, threshold), looping(pairs, threshold), turning(tri, threshold)]
     marked = [r.withColumn("kind", F.lit(k)).withColumn("rank", F.lit(n)) for n, (k, r) in enumerate(zip(KINDS, rules, strict=False))]
     every = marked[0].unionByName(marked[1]).unionByName(marked[2])
     first = F.row_number().over(Window.partitionBy("source", "target").orderBy("rank"))
@@ -74,13 +109,20 @@ def connected(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The heuristic net: model_edges, and for activities left without a way in or out their strongest pair.
 
     Activities are taken in alphabetical order and each sees what was admitted before, so this runs over the edge
-    list (activities squared at most) on the driver.
+    list (activities squared at most) on the driver. The log is read once, into its trigrams.
     """
+    check_threshold(threshold)
     spark = log.sparkSession
-    counts = {(r.source, r.target): r.frequency for r in dfg.frequencies(log).collect()}
-    edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in model_edges(log, threshold).collect()}
-    starts, ends = ({r.activity for r in dfg.end_counts(log, first).collect()} for first in (True, False))
-    names = sorted(r.activity for r in dfg.activity_counts(log).collect())
+    rows = trigrams(log).collect()
+    tri = spark.createDataFrame(rows, "source string, target string, third string, is_first boolean, n bigint")
+    counts, starts, ends = Counter(), set(), set()
+    for r in rows:
+        counts[r.source, r.target] += r.n
+        starts |= {r.source} if r.is_first else set()
+        ends |= {r.source} if r.target is None else set()
+    names = sorted({s for s, _ in counts})
+    counts = {p: n for p, n in counts.items() if p[1] is not None}
+    edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in admitted(tri, threshold).collect()}
 
     def strength(pair: tuple[str, str]) -> float:
         ab, ba = counts[pair], counts.get(pair[::-1], 0)

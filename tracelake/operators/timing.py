@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import dispersion, micros, quantile_seconds, seconds
+from tracelake.functions.measures import dispersion, micros, quantile_seconds, seconds, total
+from tracelake.functions.quantiles import with_quantiles
 from tracelake.operators import dfg
 
 MIN_OCCURRENCES, SLOW_QUANTILE, DISPERSION = 30, 0.75, 0.5
@@ -19,12 +20,16 @@ def kind(n: Column, median: Column, spread: Column, slow: Column, least: int, mo
     return F.when(n < least, "insufficient_data").when(is_slow & varies, "slow_and_variable").when(is_slow, "uniformly_slow").when(varies, "high_variance").otherwise("not_flagged")
 
 
+KINDS = ["uniformly_slow", "slow_and_variable", "high_variance", "not_flagged", "insufficient_data"]
+
+
 def waits(log: DataFrame) -> DataFrame:
-    """Statistics of each transition's waits, in seconds."""
-    quantiles = F.percentile("micro", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.99))))
-    found = dfg.occurrences(log).groupBy("source", "target").agg(F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("cases"), F.sum("micro").alias("_s"), quantiles.alias("_q"), F.max("micro").alias("_max"))
+    """Statistics of each transition's waits, in seconds; _s: their sum in microseconds."""
+    steps = dfg.occurrences(log)
+    found = steps.groupBy("source", "target").agg(F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("cases"), total(F.col("micro")).alias("_s"), F.max("micro").alias("_max"))
+    found = found.join(with_quantiles(steps, ["source", "target"], "micro", [0.25, 0.5, 0.75, 0.9, 0.99]), ["source", "target"])
     columns = [quantile_seconds(F.get("_q", F.lit(i))).alias(f"{n}_seconds") for i, n in enumerate(NAMES)]
-    return found.select("source", "target", "occurrences", "cases", "_s", seconds(F.col("_s")).alias("total_seconds"), seconds(F.col("_s") / F.col("occurrences")).alias("mean_seconds"), *columns, seconds(F.col("_max")).alias("max_seconds"))
+    return found.select("source", "target", "occurrences", "cases", "_s", seconds(F.col("_s")).alias("total_seconds"), (F.col("_s").cast("double") / F.col("occurrences") / F.lit(1e6)).alias("mean_seconds"), *columns, seconds(F.col("_max")).alias("max_seconds"))
 
 
 def slow_threshold(table: DataFrame, least: int = MIN_OCCURRENCES, quantile: float = SLOW_QUANTILE) -> DataFrame:
@@ -47,6 +52,20 @@ def bottlenecks(log: DataFrame, least: int = MIN_OCCURRENCES, quantile: float =
     return marked.select("source", "target", "occurrences", "cases", "total_seconds", "share_of_total_time", "mean_seconds", *[f"{n}_seconds" for n in NAMES], "max_seconds", "dispersion", "kind")
 
 
+def of_kind(marked: DataFrame, wanted: str) -> DataFrame:
+    """The transitions of one kind, the most costly first."""
+    if wanted not in KINDS:
+        raise ValueError(f"kind must be one of {', '.join(KINDS)}: {wanted}")
+    return marked.where(F.col("kind") == wanted).orderBy(F.desc("total_seconds"), "source", "target")
+
+
+def kind_counts(marked: DataFrame) -> DataFrame:
+    """Transitions of every kind, zeros included."""
+    every = marked.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
+    counts = marked.groupBy("kind").agg(F.count("*").alias("transitions"))
+    return F.broadcast(every).join(counts, "kind", "left").select("kind", F.coalesce("transitions", F.lit(0)).cast("bigint").alias("transitions"))
+
+
 def repeats(log: DataFrame) -> DataFrame:
     """case_id, activity, n, first, last of activities that a case holds twice or more."""
     return dfg.require(log).groupBy("case_id", "activity").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).where("n > 1")
@@ -59,30 +78,32 @@ def rework_cases(log: DataFrame, validate: bool = True) -> DataFrame:
     by_start = Window.partitionBy("case_id").orderBy("first", "last", "activity").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max("last").over(by_start)
     fresh = F.greatest(micros(F.greatest("first", F.coalesce(reached, F.col("first"))), F.col("last")), F.lit(0))
-    per_case = repeats(log).withColumn("fresh", fresh).groupBy("case_id").agg(F.sum(F.col("n") - 1).alias("rework_events"), F.count("*").alias("repeated_activities"), F.sum("fresh").alias("_r"))
+    per_case = repeats(log).withColumn("fresh", fresh).groupBy("case_id").agg(F.sum(F.col("n") - 1).alias("rework_events"), F.count("*").alias("repeated_activities"), total(F.col("fresh")).alias("_r"))
     cycles = log.groupBy("case_id").agg(micros(F.min("timestamp"), F.max("timestamp")).alias("_c"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    joined = cycles.join(per_case, "case_id", "left").withColumn("_r", zero("_r"))
+    joined = cycles.join(per_case, "case_id", "left").withColumn("_r", F.coalesce("_r", F.lit(0).cast("decimal(29,0)")))
     share = F.when(F.col("_c") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_r").cast("double"), F.col("_c").cast("double")))
     return joined.select("case_id", zero("rework_events").alias("rework_events"), zero("repeated_activities").alias("repeated_activities"), seconds(F.col("_r")).alias("rework_seconds"), seconds(F.col("_c")).alias("cycle_time_seconds"), share.alias("rework_share_of_cycle_time"))
 
 
 def rework_activities(log: DataFrame) -> DataFrame:
     spans = repeats(log).withColumn("span", micros(F.col("first"), F.col("last")))
-    found = spans.groupBy("activity").agg(F.count("*").alias("cases_with_rework"), F.sum(F.col("n") - 1).alias("repeat_occurrences"), F.sum("span").alias("_s"), F.percentile("span", F.lit(0.5)).alias("_m"))
-    return found.select("activity", "cases_with_rework", "repeat_occurrences", seconds(F.col("_s")).alias("total_span_seconds"), quantile_seconds(F.col("_m")).alias("median_span_seconds"))
+    found = spans.groupBy("activity").agg(F.count("*").alias("cases_with_rework"), F.sum(F.col("n") - 1).alias("repeat_occurrences"), total(F.col("span")).alias("_s"))
+    joined = found.join(with_quantiles(spans, ["activity"], "span", [0.5]), "activity")
+    return joined.select("activity", "cases_with_rework", "repeat_occurrences", seconds(F.col("_s")).alias("total_span_seconds"), quantile_seconds(F.get("_q", F.lit(0))).alias("median_span_seconds"))
 
 
 def rework_totals(cases: DataFrame) -> DataFrame:
     """One row over rework_cases: sums, shares, and the distribution among affected cases (zeros if there is none)."""
     micro = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
     hit = F.col("rework_events") > 0
-    affected = F.when(hit, micro("rework_seconds"))
-    q = lambda p: F.coalesce(quantile_seconds(F.percentile(affected, F.lit(p))), F.lit(0.0))
-    r, c = F.sum(micro("rework_seconds")), F.sum(micro("cycle_time_seconds"))
+    r, c = total(micro("rework_seconds")), total(micro("cycle_time_seconds"))
     ratio = lambda x, y: F.coalesce(F.try_divide(x.cast("double"), F.nullif(y.cast("double"), F.lit(0.0))), F.lit(0.0))
-    return cases.agg(
+    sums = cases.agg(
         F.count("*").alias("cases"), F.count_if(hit).alias("cases_with_rework"), F.sum("rework_events").alias("rework_events"), seconds(r).alias("rework_seconds"),
-        seconds(c).alias("cycle_time_seconds"), ratio(r, c).alias("time_share"), ratio(F.count_if(hit), F.count("*")).alias("case_share"),
-        q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), ratio(r / 1e6, F.count_if(hit)).alias("mean"),
+        seconds(c).alias("cycle_time_seconds"), ratio(r, c).alias("time_share"), ratio(F.count_if(hit), F.count("*")).alias("case_share"), ratio(seconds(r), F.count_if(hit)).alias("mean"),
     )
+    spread = with_quantiles(cases.where(hit).select(micro("rework_seconds").alias("micro")), [], "micro", [0.5, 0.9, 0.99])
+    q = lambda i, name: F.coalesce(quantile_seconds(F.get("_q", F.lit(i))), F.lit(0.0)).alias(name)
+    both = sums.join(F.broadcast(spread))  # one row each
+    return both.select("cases", "cases_with_rework", "rework_events", "rework_seconds", "cycle_time_seconds", "time_share", "case_share", q(0, "p50"), q(1, "p90"), q(2, "p99"), "mean")

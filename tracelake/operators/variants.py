@@ -5,77 +5,147 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import SEPARATOR, micros, quantile_seconds, seconds
+from tracelake.functions.measures import SEPARATOR, micros, quantile_seconds, seconds, total
+from tracelake.functions.quantiles import with_quantiles
 from tracelake.operators import dfg
 
+PARTS = 256  # variants are put in order in so many ranges
+
+
+def in_order() -> Column:
+    """The activities of a case, as an aggregate over its events."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("event_index", "activity"))), lambda e: e["activity"])
+
+
+def named(cases: DataFrame) -> DataFrame:
+    """cases with _k, a name of 128 bits for seq, to group and join by instead of the array itself."""
+    return cases.withColumn("_k", F.struct(F.xxhash64("seq").alias("a"), F.xxhash64(F.lit(1), "seq").alias("b")))
+
 
 def sequences(log: DataFrame) -> DataFrame:
     """case_id and seq, its activities in order. A case is one row, as long as the case is."""
-    ordered = F.array_sort(F.collect_list(F.struct("event_index", "activity")))
-    return dfg.require(log).groupBy("case_id").agg(F.transform(ordered, lambda e: e["activity"]).alias("seq"))
+    return dfg.require(log).groupBy("case_id").agg(in_order().alias("seq"))
+
+
+def counted(log: DataFrame) -> DataFrame:
+    """_k, variant, length, case_count, _first of each variant."""
+    cases = named(sequences(log)).select("case_id", "_k", F.array_join("seq", SEPARATOR).alias("variant"), F.size("seq").cast("bigint").alias("length"))
+    return cases.groupBy("_k").agg(F.first("variant").alias("variant"), F.first("length").alias("length"), F.count("*").alias("case_count"), F.min("case_id").alias("_first"))
+
+
+def place() -> Column:
+    """What variants are ordered by: frequent ones first, then by their text, then by their first case."""
+    return F.struct((-F.col("case_count")).alias("minus"), F.col("variant").alias("variant"), F.col("_first").alias("first"))
 
 
 def ranked(log: DataFrame) -> DataFrame:
-    """seq and its variant columns. The ranking window runs over variants, never over cases."""
-    counted = sequences(log).groupBy("seq").agg(F.count("*").alias("case_count"), F.min("case_id").alias("_first"))
-    text = F.array_join("seq", SEPARATOR)
-    order = Window.orderBy(F.desc("case_count"), "variant", "_first")
-    total = F.sum("case_count").over(Window.partitionBy())
-    df = counted.withColumn("variant", text).withColumn("variant_rank", F.row_number().over(order).cast("bigint"))
-    upto = F.sum("case_count").over(Window.orderBy("variant_rank").rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("seq", "variant_rank", "variant", F.size("seq").cast("bigint").alias("length"), "case_count", (F.col("case_count") / total).alias("case_share"), (upto / total).alias("cumulative_share"), upto.alias("_upto"), total.alias("_total"))
+    """_k and the variant's columns. No task puts all variants in order: they are dealt to ranges that a sample of them
+    bounds, numbered within each range, and offset by the ranges before it."""
+    found = counted(log)
+    slots = found.groupBy(F.pmod(F.xxhash64("_k"), F.lit(PARTS)).alias("slot")).agg(F.min_by(place(), F.xxhash64("_k")).alias("at"))
+    bounds = slots.agg(F.array_sort(F.collect_list("at")).alias("bounds"))  # PARTS entries at most
+    dealt = found.withColumn("_bounds", bounds.scalar()).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= place()))).drop("_bounds")
+    of = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("case_count").alias("_c"))
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = of.select("_part", before("_n").alias("_nb"), before("_c").alias("_cb"), F.sum("_c").over(Window.partitionBy()).alias("_total"))  # PARTS + 1 rows
+    here = Window.partitionBy("_part").orderBy(F.desc("case_count"), "variant", "_first")
+    numbered = dealt.withColumn("_i", F.row_number().over(here)).withColumn("_upto", F.sum("case_count").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.join(F.broadcast(offsets), "_part").withColumn("_upto", F.col("_upto") + F.col("_cb"))
+    rank = (F.col("_i") + F.col("_nb")).cast("bigint").alias("variant_rank")
+    return joined.select("_k", rank, "variant", "length", "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (F.col("_upto") / F.col("_total")).alias("cumulative_share"), "_upto", "_total")
 
 
 def variants(log: DataFrame) -> DataFrame:
-    return ranked(log).drop("seq", "_upto", "_total")
+    return ranked(log).drop("_k", "_upto", "_total")
+
+
+def top(log: DataFrame, limit: int) -> DataFrame:
+    """The first variants, the same columns; the others are counted, never put in order. seq: the activities."""
+    cases = named(sequences(log))
+    found = cases.groupBy("_k").agg(F.first("seq").alias("seq"), F.count("*").alias("case_count"), F.min("case_id").alias("_first")).withColumn("variant", F.array_join("seq", SEPARATOR))
+    whole = dfg.require(log).agg(F.count_distinct("case_id").alias("_total"))
+    order = [F.desc("case_count"), F.col("variant"), F.col("_first")]
+    few = found.orderBy(*order).limit(limit).join(F.broadcast(whole))  # one row
+    upto = F.sum("case_count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of `limit` rows
+    return few.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("variant_rank"), "variant", F.size("seq").cast("bigint").alias("length"), "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (upto / F.col("_total")).alias("cumulative_share"), "seq", "_total")
+
+
+def sequence(log: DataFrame, rank: int) -> list[str]:
+    """The activities of the variant with a rank."""
+    found = ranked(log).where(F.col("variant_rank") == rank).select("_k").head() if rank >= 1 else None
+    if found is None:
+        raise ValueError(f"no variant has rank {rank}")
+    return list(named(sequences(log)).where((F.col("_k.a") == found["_k"]["a"]) & (F.col("_k.b") == found["_k"]["b"])).select("seq").head().seq)
 
 
 def coverage(log: DataFrame, share: float = 0.8) -> DataFrame:
-    """How many of the most frequent variants hold that share of the cases; 0 for an empty log."""
+    """How many of the most frequent variants hold that share of the cases; 0 for an empty log.
+
+    Variants are counted by how frequent they are; of each such level as many are needed as it takes to fill the gap.
+    """
     if not 0 < share <= 1:
         raise ValueError(f"share must lie in (0, 1]: {share}")
-    needed = F.ceil(F.round(F.lit(share) * F.col("_total"), 9))
-    return ranked(log).agg(F.count_if((F.col("_upto") - F.col("case_count")) < needed).alias("variants_needed"), F.count("*").alias("variants"), F.count_if(F.col("case_count") == 1).alias("singletons"))
+    cases = named(sequences(log)).groupBy("_k").agg(F.count("*").alias("case_count"))
+    levels = cases.groupBy("case_count").agg(F.count("*").alias("_n")).withColumn("_cases", F.col("_n") * F.col("case_count"))
+    upto = F.sum("_cases").over(Window.orderBy(F.desc("case_count")).rowsBetween(Window.unboundedPreceding, 0))
+    needed = F.ceil(F.round(F.lit(share) * F.sum("_cases").over(Window.partitionBy()), 9))
+    gap = F.greatest(needed - (upto - F.col("_cases")), F.lit(0))
+    used = levels.withColumn("_used", F.least(F.col("_n"), F.ceil(gap / F.col("case_count"))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return used.agg(zero(F.sum("_used")).alias("variants_needed"), zero(F.sum("_n")).alias("variants"), zero(F.sum(F.when(F.col("case_count") == 1, F.col("_n")))).alias("singletons"))
 
 
 def case_statistics(log: DataFrame) -> DataFrame:
     """Per case: start, end, cycle time, events, variant, whether it is the most frequent one, outcome."""
     outcome = F.first("outcome", ignorenulls=True) if "outcome" in log.columns else F.lit(None).cast("string")
-    ordered = F.array_sort(F.collect_list(F.struct("event_index", "activity")))
-    cases = dfg.require(log).groupBy("case_id").agg(
-        F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("activity_count"),
-        F.transform(ordered, lambda e: e["activity"]).alias("seq"), outcome.alias("outcome"),
-    )
-    joined = cases.join(ranked(log).select("seq", "variant_rank"), "seq")
+    cases = dfg.require(log).groupBy("case_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("activity_count"), in_order().alias("seq"), outcome.alias("outcome"))
+    joined = named(cases).drop("seq").join(ranked(log).select("_k", "variant_rank"), "_k")
     return joined.select("case_id", "start_time", "end_time", seconds(micros(F.col("start_time"), F.col("end_time"))).alias("cycle_time_seconds"), "activity_count", "variant_rank", (F.col("variant_rank") == 1).alias("is_happy_path"), "outcome")
 
 
-def distribution(values: DataFrame, column: str, by: list[Column] | None = None, validate: bool = True) -> DataFrame:
+def distribution(values: DataFrame, column: str, by: list[str] | None = None, validate: bool = True) -> DataFrame:
     """count, mean, min, p50, p90, p99, max of a column of seconds; nulls are dropped, and nothing at all is an error."""
-    known = values.where(F.col(column).isNotNull())
+    by = by or []
+    known = values.where(F.col(column).isNotNull()).select(*by, column, F.round(F.col(column) * 1e6).cast("bigint").alias("_micro"))
     if validate and known.isEmpty():
         raise ValueError("no values to summarize")
-    micro = F.round(F.col(column) * 1e6).cast("bigint")
-    q = lambda p: quantile_seconds(F.percentile(micro, F.lit(p)))
-    return known.groupBy(*(by or [])).agg(F.count("*").alias("count"), seconds(F.sum(micro) / F.count("*")).alias("mean"), F.min(column).alias("min"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max(column).alias("max"))
+    sums = known.groupBy(*by).agg(F.count("*").alias("count"), (seconds(total(F.col("_micro"))) / F.count("*")).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    spread = with_quantiles(known, by, "_micro", [0.5, 0.9, 0.99])
+    both = sums.join(spread, by) if by else sums.join(F.broadcast(spread))  # one row each
+    q = lambda i, name: quantile_seconds(F.get("_q", F.lit(i))).alias(name)
+    return both.select(*by, "count", "mean", "min", q(0, "p50"), q(1, "p90"), q(2, "p99"), "max")
 
 
 def histogram(cases: DataFrame, bins: int = 30) -> DataFrame:
     """Cases by days of cycle time, happy path and others, with empty bins and an overflow bin past the 99th percentile."""
     days = F.col("cycle_time_seconds") / 86400
-    width = cases.agg(F.greatest(F.lit(1), F.ceil(F.round(F.percentile(days, F.lit(0.99)), 6))).alias("upper"))
+    micro = cases.select(F.round(F.col("cycle_time_seconds") * 1e6).cast("bigint").alias("micro"))
+    longest = F.round(F.get("_q", F.lit(0)) / F.lit(86400e6), 6)
+    width = with_quantiles(micro, [], "micro", [0.99]).select(F.greatest(F.lit(1), F.ceil(longest)).alias("upper"))
     width = width.withColumn("width", F.greatest(F.lit(1), F.ceil(F.col("upper") / bins))).withColumn("bins", F.ceil(F.col("upper") / F.col("width")))
     every = width.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins"))).alias("bin"), "width", "bins")
-    counted = cases.select(days.alias("days"), "is_happy_path").join(F.broadcast(width)).select(F.least(F.floor(F.col("days") / F.col("width")), F.col("bins")).alias("bin"), "is_happy_path")
-    counted = counted.groupBy("bin").agg(F.count_if("is_happy_path").alias("happy"), F.count_if(~F.col("is_happy_path")).alias("other"))
+    counts = cases.select(days.alias("days"), "is_happy_path").join(F.broadcast(width)).select(F.least(F.floor(F.col("days") / F.col("width")), F.col("bins")).alias("bin"), "is_happy_path")
+    counts = counts.groupBy("bin").agg(F.count_if("is_happy_path").alias("happy"), F.count_if(~F.col("is_happy_path")).alias("other"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return every.join(counted, "bin", "left").select("bin", (F.col("bin") * F.col("width")).cast("bigint").alias("from_days"), (F.col("bin") == F.col("bins")).alias("overflow"), zero("happy"), zero("other"))
+    return every.join(counts, "bin", "left").select("bin", (F.col("bin") * F.col("width")).cast("bigint").alias("from_days"), (F.col("bin") == F.col("bins")).alias("overflow"), zero("happy"), zero("other"))
+
+
+def days_of(cases: DataFrame) -> DataFrame:
+    """One row: p50, p90 and p99 of the cycle times in days, which a histogram is marked with."""
+    return distribution(cases, "cycle_time_seconds").select(*[(F.col(q) / 86400).alias(f"{q}_days") for q in ("p50", "p90", "p99")])
 
 
 def variant_outcomes(cases: DataFrame) -> DataFrame:
     return cases.groupBy("variant_rank", F.coalesce("outcome", F.lit("no_terminal_state")).alias("outcome")).agg(F.count("*").alias("cases"))
 
 
+def outcomes_by_count(cases: DataFrame) -> DataFrame:
+    """variant_rank and its outcomes with their cases as one list, the most frequent outcome first."""
+    each = F.struct((-F.col("cases")).alias("minus"), "outcome", "cases")
+    listed = variant_outcomes(cases).groupBy("variant_rank").agg(F.array_sort(F.collect_list(each)).alias("o"))
+    return listed.select("variant_rank", F.transform("o", lambda x: F.struct(x["outcome"].alias("outcome"), x["cases"].alias("cases"))).alias("outcomes"))
+
+
 def top_variant_by_outcome(cases: DataFrame) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc("cases"), "variant_rank"))
     return variant_outcomes(cases).withColumn("_n", best).where("_n = 1").drop("_n")

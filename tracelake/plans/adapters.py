@@ -23,6 +23,17 @@ SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS cas
 FROM {events}
 """
 
+MESSY = """
+SELECT CASE WHEN k % 19 = 0 THEN NULL WHEN k % 19 = 1 THEN '  ' ELSE ' u' || CAST(user_id % 97 AS STRING) || chr(9) END AS case_id,
+  CASE WHEN k % 23 = 5 THEN event_id - event_id % 7 ELSE event_id END AS event_index,
+  CASE WHEN k % 17 = 0 THEN chr(10) || ' ' WHEN k % 17 = 1 THEN NULL ELSE '\u2003' || event_type || ' ' END AS activity,
+  CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN ' START ' WHEN 2 THEN 'schedule' WHEN 3 THEN '' ELSE 'Complete' END AS lifecycle,
+  CASE WHEN k % 13 = 0 THEN 'yesterday' WHEN k % 13 = 1 THEN NULL WHEN k % 13 = 2 THEN ' ' WHEN k % 13 = 3 THEN '20240101T101010'
+    ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || CASE k % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '' END END AS timestamp,
+  CASE WHEN k % 4 = 0 THEN ' ' ELSE ' r' || CAST(k % 7 AS STRING) END AS resource
+FROM (SELECT *, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events})
+"""
+
 FULFILMENT = """
 SELECT CAST(o_orderkey AS STRING) AS case_id, 0 AS stage, 'Placed' AS activity, o_orderdate AS timestamp, 0 AS l, 0 AS p, 0 AS s, CAST(NULL AS STRING) AS resource FROM {orders}
 UNION ALL
@@ -37,6 +48,11 @@ def user_day_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(USER_DAY, events=table(spark, sf_dir, "events"))
 
 
+def messy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as dirty text: blanks around values, lost cases, activities and times, unreadable times, repeated places."""
+    return spark.sql(MESSY, events=table(spark, sf_dir, "events"))
+
+
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case per user and day; the log as it is."""
     return user_day_raw(spark, sf_dir).drop("lifecycle")

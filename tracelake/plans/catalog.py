@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import conformance, dfg, miner, normalize, timing, variants
 from tracelake.plans import adapters as a
-from tracelake.plans import views
+from tracelake.plans import reports, views
+from tracelake.sources import store, xes
 
 VIEW_TO_BUY = ["view", "click", "purchase"]
 
@@ -88,9 +89,47 @@ replayed AS (SELECT *, 0.5 * (1.0 - CAST(missing AS DOUBLE) / consumed) + 0.5 *
 BUY = REPLAY.format(log="udo", n=3, place="CASE activity WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END")
 MODAL = """, modal AS (SELECT variant FROM ranked WHERE variant_rank = 1)""" + REPLAY.replace("{log}", "ful").replace("{place}", "nullif(list_position((SELECT string_split(variant, ' > ') FROM modal), activity), 0) - 1").replace("{n}", "(SELECT len(string_split(variant, ' > ')) FROM modal)")
 
+#: The net with connections: activities by name, first their way in, then their way out, each seeing what was admitted before.
+CONNECT = """, acts AS (SELECT activity, row_number() OVER (ORDER BY activity) AS n FROM (SELECT DISTINCT activity FROM {log})),
+turns AS (SELECT 2 * n - 1 AS j, activity, true AS inward, activity IN (SELECT arg_min(activity, event_index) FROM {log} GROUP BY case_id) AS exempt FROM acts
+  UNION ALL SELECT 2 * n, activity, false, activity IN (SELECT arg_max(activity, event_index) FROM {log} GROUP BY case_id) FROM acts),
+best AS (SELECT j, source, target FROM (SELECT t.j, b.source, b.target, row_number() OVER (PARTITION BY t.j ORDER BY b.dependency DESC, b.frequency DESC, b.source, b.target) AS r
+  FROM turns t JOIN both_ways b ON b.source <> b.target AND t.activity = CASE WHEN inward THEN b.target ELSE b.source END) WHERE r = 1),
+walk(j, held) AS (SELECT CAST(0 AS BIGINT), coalesce((SELECT list({{'s': source, 't': target}}) FROM model), [])
+  UNION ALL SELECT t.j, CASE WHEN t.exempt OR b.source IS NULL OR len(list_filter(w.held, lambda x: x.s <> x.t AND t.activity = CASE WHEN t.inward THEN x.t ELSE x.s END)) > 0 THEN w.held ELSE list_append(w.held, {{'s': b.source, 't': b.target}}) END
+  FROM walk w JOIN turns t ON t.j = w.j + 1 LEFT JOIN best b ON b.j = t.j),
+net AS (SELECT x.s AS source, x.t AS target FROM (SELECT unnest(held) AS x FROM walk WHERE j = (SELECT max(j) FROM walk))),
+connected AS (SELECT n.source, n.target, coalesce(m.kind, 'best_connection') AS kind, coalesce(m.dependency, b.dependency) AS dependency, coalesce(m.frequency, b.frequency) AS frequency
+  FROM net n LEFT JOIN model m USING (source, target) LEFT JOIN both_ways b ON b.source = n.source AND b.target = n.target)
+"""
+
+#: Token replay of each variant on the line of the first variant's activities, event by event.
+FOLD = """, line AS (SELECT string_split(variant, ' > ') AS net, length AS n FROM ranked WHERE variant_rank = 1),
+fold(variant, ev, k, mk, m, u) AS (SELECT variant, string_split(variant, ' > '), CAST(1 AS BIGINT), list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 1 ELSE 0 END), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM counted, line
+  UNION ALL SELECT variant, ev, k + 1,
+    CASE WHEN i IS NULL THEN mk ELSE list_transform(range(1, n + 2), lambda j: CASE WHEN j = i THEN greatest(mk[j] - 1, 0) WHEN j = i + 1 THEN mk[j] + 1 ELSE mk[j] END) END,
+    m + CASE WHEN i IS NULL OR mk[i] < 1 THEN 1 ELSE 0 END, u + CASE WHEN i IS NULL THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(list_min(list_filter(range(1, n + 1), lambda i: net[i] = ev[k] AND mk[i] >= 1)), list_min(list_filter(range(1, n + 1), lambda i: net[i] = ev[k]))) AS i FROM fold, line WHERE k <= len(ev))),
+ended AS (SELECT variant, len(ev) AS length, m + CASE WHEN mk[n + 1] < 1 THEN 1 ELSE 0 END AS missing, list_sum(mk) - least(mk[n + 1], 1) + u AS remaining, u AS unknown_activities FROM fold, line WHERE k = len(ev) + 1),
+folded AS (SELECT s.case_id, s.length + 1 AS produced, s.length + 1 AS consumed, e.missing, CAST(e.remaining AS BIGINT) AS remaining, e.unknown_activities,
+  0.5 * (1.0 - CAST(e.missing AS DOUBLE) / (s.length + 1)) + 0.5 * (1.0 - CAST(e.remaining AS DOUBLE) / (s.length + 1)) AS fitness, e.missing = 0 AND e.remaining = 0 AS fits FROM seqs s JOIN ended e ON s.variant = e.variant AND s.length = e.length)
+"""
+
+#: The messy events after cleaning, told from the numbers that the dirt was made from; the parser has no part in it.
+DIRTY = """, given AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events),
+cleaned AS (SELECT CASE WHEN k % 19 > 1 THEN 'u' || CAST(user_id % 97 AS VARCHAR) END AS case_id, CASE WHEN k % 23 = 5 THEN event_id - event_id % 7 ELSE event_id END AS event_index, CASE WHEN k % 17 > 1 THEN event_type END AS activity,
+  CASE k % 5 WHEN 1 THEN 'start' WHEN 2 THEN 'schedule' ELSE 'complete' END AS lifecycle, k % 13 AS t, epoch_us(date_trunc('second', ts)) - CASE WHEN k % 3 = 1 THEN 7200000000 ELSE 0 END AS us, CASE WHEN k % 4 > 0 THEN 'r' || CAST(k % 7 AS VARCHAR) END AS resource FROM given),
+placed AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS most FROM (SELECT *, count(*) OVER (PARTITION BY case_id, event_index) AS n FROM cleaned)),
+first_reason AS (SELECT *, CASE WHEN case_id IS NULL THEN 'missing_case_id' WHEN most > 1 THEN 'duplicate_case_id' WHEN activity IS NULL THEN 'missing_activity' WHEN t IN (1, 2) THEN 'missing_timestamp' WHEN t IN (0, 3) THEN 'unparseable_timestamp' END AS bad,
+  CASE WHEN activity IN (SELECT activity FROM cleaned WHERE lifecycle = 'start') THEN lifecycle = 'start' ELSE lifecycle = 'complete' END AS wanted FROM placed),
+dirty AS (SELECT case_id, event_index, activity, lifecycle, CASE WHEN t > 3 THEN us END AS us, resource, coalesce(bad, CASE WHEN wanted AND us < reached THEN 'out_of_order' END) AS reason,
+  CASE WHEN bad IS NOT NULL OR (wanted AND coalesce(us < reached, false)) THEN 'excluded' WHEN wanted THEN 'normalized' ELSE 'filtered' END AS status
+  FROM (SELECT *, CASE WHEN case_id IS NOT NULL THEN max(CASE WHEN bad IS NULL AND wanted THEN us END) OVER (PARTITION BY case_id ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS reached FROM first_reason))
+"""
+
 
 def sql(body: str, *more: str) -> str:
-    return LOGS + "".join(more) + body
+    return LOGS.replace("WITH", "WITH RECURSIVE", 1) + "".join(more) + body
 
 
 def steps(log: str) -> str:
@@ -152,25 +191,24 @@ add("causal_edges", lambda s, d: miner.causal_edges(a.fulfilment(s, d)), sql(CAU
 add("l1_loops", lambda s, d: miner.self_loops(a.fulfilment(s, d)), sql(SELF, steps("ful")))
 add("l2_patterns", lambda s, d: miner.aba_patterns(a.dialogue(s, d)), sql("SELECT a, b, n AS occurrences FROM aba", steps("dlg"), TWO_LOOPS))
 add("l2_loops", lambda s, d: miner.two_loops(a.fulfilment(s, d)), sql("SELECT * FROM loops2", steps("ful"), TWO_LOOPS))
-for _log in ("fulfilment", "dialogue"):
-    _sql = {"fulfilment": "ful", "dialogue": "dlg"}[_log]
+for _log, _sql in (("user_day", "ud"), ("fulfilment", "ful"), ("dialogue", "dlg")):
     _edges = f", every AS (SELECT *, 'causal' AS kind, 0 AS r FROM ({CAUSAL}) UNION ALL SELECT *, 'length_one_loop', 1 FROM ({SELF}) UNION ALL SELECT *, 'length_two_loop', 2 FROM loops2), model AS (SELECT source, target, kind, dependency, frequency FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY r) AS k FROM every) WHERE k = 1)"
     add(f"model_edges_no_connect_{_log}", lambda s, d, f=getattr(a, _log): miner.model_edges(f(s, d)), sql("SELECT * FROM model", steps(_sql), TWO_LOOPS, _edges))
-    add(f"model_edges_{_log}", lambda s, d, f=getattr(a, _log): miner.connected(f(s, d)))
+    add(f"model_edges_{_log}", lambda s, d, f=getattr(a, _log): miner.connected(f(s, d)), sql("SELECT * FROM connected", steps(_sql), TWO_LOOPS, _edges, CONNECT.format(log=_sql)))
     add(f"orphan_activities_{_log}", lambda s, d, f=getattr(a, _log): miner.orphans(f(s, d), miner.model_edges(f(s, d))), sql(f"SELECT DISTINCT activity FROM {_sql} WHERE activity NOT IN (SELECT source FROM model WHERE source <> target UNION ALL SELECT target FROM model WHERE source <> target)", steps(_sql), TWO_LOOPS, _edges))
-add("model_edges_user_day", lambda s, d: miner.connected(a.user_day(s, d), 0.99))
+add("model_edges_sorted", lambda s, d: miner.connected(a.fulfilment(s, d)).orderBy("source", "target").limit(7), sql("SELECT * FROM connected ORDER BY source, target LIMIT 7", steps("ful"), TWO_LOOPS, _edges.replace("dlg", "ful"), CONNECT.format(log="ful")))
 
 # variants and cases
 VARIANT = "SELECT variant_rank, variant, length, case_count, CAST(case_count AS DOUBLE) / total AS case_share, CAST(upto AS DOUBLE) / total AS cumulative_share FROM upto"
 add("variants_table", lambda s, d: variants.variants(a.user_day(s, d)), sql(VARIANT, seqs("ud")))
 add("variants_dialogue", lambda s, d: variants.variants(a.dialogue(s, d)), sql(VARIANT, seqs("dlg")))
-add("variants_top_k", lambda s, d: variants.variants(a.fulfilment(s, d)).orderBy("variant_rank").limit(25), sql(VARIANT + " ORDER BY variant_rank LIMIT 25", seqs("ful")))
+add("variants_top_k", lambda s, d: variants.top(a.fulfilment(s, d), 25).drop("seq", "_total"), sql(VARIANT + " ORDER BY variant_rank LIMIT 25", seqs("ful")))
 add("variant_coverage", lambda s, d: variants.coverage(a.user_day(s, d)), sql("SELECT count(*) FILTER (upto - case_count < ceil(round(CAST(0.8 AS DOUBLE) * total, 9))) AS variants_needed, count(*) AS variants, count(*) FILTER (case_count = 1) AS singletons FROM upto", seqs("ud")))
 STAT = "SELECT case_id, start_time, end_time, CAST(micro AS DOUBLE) / 1e6 AS cycle_time_seconds, length AS activity_count, variant_rank, variant_rank = 1 AS is_happy_path, outcome FROM stats"
 add("case_statistics", lambda s, d: variants.case_statistics(a.user_day_outcomes(s, d)), sql(STAT, seqs("udo", OUTCOME)))
 SUMMARY = "count(*) AS count, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean, CAST(min(micro) AS DOUBLE) / 1e6 AS min, round(quantile_cont(micro, 0.5) / 1e6, 8) AS p50, round(quantile_cont(micro, 0.9) / 1e6, 8) AS p90, round(quantile_cont(micro, 0.99) / 1e6, 8) AS p99, CAST(max(micro) AS DOUBLE) / 1e6 AS max FROM stats"
 add("cycle_time_summary", lambda s, d: variants.distribution(variants.case_statistics(a.user_day(s, d)), "cycle_time_seconds"), sql("SELECT " + SUMMARY, seqs("ud")))
-add("cycle_time_by_happy_path", lambda s, d: variants.distribution(variants.case_statistics(a.user_day(s, d)), "cycle_time_seconds", [F.col("is_happy_path")]), sql("SELECT variant_rank = 1 AS is_happy_path, " + SUMMARY + " GROUP BY 1", seqs("ud")))
+add("cycle_time_by_happy_path", lambda s, d: variants.distribution(variants.case_statistics(a.user_day(s, d)), "cycle_time_seconds", ["is_happy_path"]), sql("SELECT variant_rank = 1 AS is_happy_path, " + SUMMARY + " GROUP BY 1", seqs("ud")))
 add("cycle_time_histogram", lambda s, d: variants.histogram(variants.case_statistics(a.fulfilment(s, d))), sql(
     ", days AS (SELECT CAST(micro AS DOUBLE) / 1e6 / 86400 AS days, variant_rank = 1 AS happy FROM stats), u AS (SELECT greatest(1, CAST(ceil(round(quantile_cont(days, 0.99), 6)) AS BIGINT)) AS upper FROM days), w AS (SELECT greatest(1, CAST(ceil(upper / 30.0) AS BIGINT)) AS width, upper FROM u), b AS (SELECT width, CAST(ceil(CAST(upper AS DOUBLE) / width) AS BIGINT) AS bins FROM w), every AS (SELECT unnest(range(0, bins + 1)) AS bin, width, bins FROM b), binned AS (SELECT least(CAST(floor(days / width) AS BIGINT), bins) AS bin, happy FROM days, b) "
     "SELECT e.bin, CAST(e.bin * width AS BIGINT) AS from_days, e.bin = bins AS overflow, count(*) FILTER (happy) AS happy, count(*) FILTER (NOT happy) AS other FROM every e LEFT JOIN binned USING (bin) GROUP BY e.bin, width, bins", seqs("ful")))
@@ -203,8 +241,9 @@ def replay_modal(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return log, conformance.replay(log, conformance.sequence_net(activities))
 
 
-add("replay_repeated_labels", replay_dialogue)
-add("replay_modal", lambda s, d: replay_modal(s, d)[1])
+FOLDED = "SELECT case_id, produced, consumed, missing, remaining, unknown_activities, fitness, fits FROM folded"
+add("replay_repeated_labels", replay_dialogue, sql(FOLDED, seqs("dlg"), FOLD))
+add("replay_modal", lambda s, d: replay_modal(s, d)[1], sql(FOLDED, seqs("ful"), FOLD))
 add("replay_summary", lambda s, d: conformance.summary(conformance.replay_sequence(a.user_day_outcomes(s, d), VIEW_TO_BUY)), sql("SELECT count(*) AS cases, count(*) FILTER (fits) AS fitting_cases, 1 - CAST(count(*) FILTER (fits) AS DOUBLE) / count(*) AS deviating_share, 0.5 * (1.0 - CAST(sum(missing) AS DOUBLE) / sum(consumed)) + 0.5 * (1.0 - CAST(sum(remaining) AS DOUBLE) / sum(produced)) AS log_fitness, round(avg(fitness), 9) AS mean, round(quantile_cont(fitness, 0.1), 9) AS p10, round(quantile_cont(fitness, 0.5), 9) AS p50, round(quantile_cont(fitness, 0.9), 9) AS p90 FROM replayed", BUY))
 BY_OUTCOME = ", co AS (SELECT case_id, any_value(outcome) AS outcome FROM udo GROUP BY case_id)"
 add("fitness_by_outcome", lambda s, d: conformance.fitness_by_outcome(conformance.replay_sequence(log := a.user_day_outcomes(s, d), VIEW_TO_BUY), log), sql("SELECT coalesce(outcome, 'no terminal state') AS outcome, round(avg(fitness), 9) AS mean_fitness, count(*) AS cases, count(*) FILTER (fits) AS fitting_cases FROM replayed LEFT JOIN co USING (case_id) GROUP BY 1", BUY, BY_OUTCOME))
@@ -216,7 +255,8 @@ for _log, _sql in (("user_day", "ud"), ("fulfilment", "ful")):
     add(f"bottlenecks{_tail}", lambda s, d, f=_f: timing.bottlenecks(f(s, d)), sql(f"SELECT {BOTTLED} FROM bottled", steps(_sql), WAITS))
     add(f"bottleneck_most_costly{_tail}", lambda s, d, f=_f: timing.bottlenecks(f(s, d)).orderBy(F.desc("total_seconds"), "source", "target").limit(1), sql(f"SELECT {BOTTLED} FROM bottled ORDER BY total_seconds DESC, source, target LIMIT 1", steps(_sql), WAITS))
     add(f"slow_threshold{_tail}", lambda s, d, f=_f: timing.slow_threshold(timing.waits(f(s, d))), sql("SELECT * FROM slow", steps(_sql), WAITS))
-    add(f"bottleneck_kinds{_tail}", lambda s, d, f=_f: timing.bottlenecks(f(s, d)).groupBy("kind").agg(F.count("*").alias("transitions")), sql("SELECT kind, count(*) AS transitions FROM bottled GROUP BY kind", steps(_sql), WAITS))
+    add(f"bottleneck_kinds{_tail}", lambda s, d, f=_f: timing.kind_counts(timing.bottlenecks(f(s, d))), sql("SELECT t.kind, count(b.kind) AS transitions FROM unnest(['uniformly_slow', 'slow_and_variable', 'high_variance', 'not_flagged', 'insufficient_data']) t(kind) LEFT JOIN bottled b ON b.kind = t.kind GROUP BY t.kind", steps(_sql), WAITS))
+    add(f"bottlenecks_flagged{_tail}", lambda s, d, f=_f: timing.of_kind(timing.bottlenecks(f(s, d)), "high_variance"), sql(f"SELECT {BOTTLED} FROM bottled WHERE kind = 'high_variance'", steps(_sql), WAITS))
     add(f"rework_cases{_tail}", lambda s, d, f=_f: timing.rework_cases(f(s, d)), sql("SELECT case_id, rework_events, repeated_activities, r / 1e6 AS rework_seconds, c / 1e6 AS cycle_time_seconds, CASE WHEN c = 0 THEN 0.0 ELSE r / c END AS rework_share_of_cycle_time FROM rw", REWORK.format(log=_sql)))
     add(f"rework_activities{_tail}", lambda s, d, f=_f: timing.rework_activities(f(s, d)), sql("SELECT activity, count(*) AS cases_with_rework, CAST(sum(n - 1) AS BIGINT) AS repeat_occurrences, CAST(sum(date_diff('microsecond', first, last)) AS DOUBLE) / 1e6 AS total_span_seconds, round(quantile_cont(date_diff('microsecond', first, last), 0.5) / 1e6, 8) AS median_span_seconds FROM reps GROUP BY activity", REWORK.format(log=_sql)))
     add(f"rework_totals{_tail}", lambda s, d, f=_f: timing.rework_totals(timing.rework_cases(f(s, d))), sql("SELECT count(*) AS cases, count(*) FILTER (rework_events > 0) AS cases_with_rework, CAST(sum(rework_events) AS BIGINT) AS rework_events, sum(r) / 1e6 AS rework_seconds, sum(c) / 1e6 AS cycle_time_seconds, coalesce(sum(r) / nullif(sum(c), 0.0), 0.0) AS time_share, CAST(count(*) FILTER (rework_events > 0) AS DOUBLE) / count(*) AS case_share, coalesce(round(quantile_cont(r, 0.5) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p50, coalesce(round(quantile_cont(r, 0.9) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p90, coalesce(round(quantile_cont(r, 0.99) FILTER (rework_events > 0) / 1e6, 8), 0.0) AS p99, coalesce(sum(r) / 1e6 / nullif(count(*) FILTER (rework_events > 0), 0), 0.0) AS mean FROM rw", REWORK.format(log=_sql)))
@@ -226,6 +266,81 @@ for _log, _sql in (("user_day", "ud"), ("fulfilment", "ful")):
 add("process_map_edges", lambda s, d: miner.model_edges(log := a.fulfilment(s, d)).join(dfg.edges(log).drop("frequency"), ["source", "target"], "left"), sql("SELECT m.*, x.case_frequency, x.mean_duration_seconds, x.median_duration_seconds FROM model m LEFT JOIN (SELECT source, target, count(DISTINCT case_id) AS case_frequency, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean_duration_seconds, round(quantile_cont(micro, 0.5) / 1e6, 8) AS median_duration_seconds FROM steps WHERE target IS NOT NULL GROUP BY ALL) x USING (source, target)", steps("ful"), TWO_LOOPS, _edges.replace("dlg", "ful")))
 add("variant_model_gap", lambda s, d: views.variant_model_gap(log := a.fulfilment(s, d), miner.model_edges(log)), sql(", parts AS (SELECT variant_rank, string_split(variant, ' > ') AS p FROM ranked), hops AS (SELECT variant_rank, unnest(p[:-2]) AS source, unnest(p[2:]) AS target FROM parts) SELECT r.variant_rank, count(h.source) FILTER (m.source IS NULL) AS missing_steps FROM ranked r LEFT JOIN hops h USING (variant_rank) LEFT JOIN model m ON m.source = h.source AND m.target = h.target GROUP BY 1", steps("ful"), TWO_LOOPS, _edges, seqs("ful")))
 
+NODES = ", nodes AS (SELECT activity, count(*) AS events, coalesce(any_value(s.n), 0) AS starts, coalesce(any_value(e.n), 0) AS ends FROM {log} LEFT JOIN (SELECT activity, count(*) AS n FROM (SELECT arg_min(activity, event_index) AS activity FROM {log} GROUP BY case_id) GROUP BY 1) s USING (activity) LEFT JOIN (SELECT activity, count(*) AS n FROM (SELECT arg_max(activity, event_index) AS activity FROM {log} GROUP BY case_id) GROUP BY 1) e USING (activity) GROUP BY activity)"
+add("map_nodes", lambda s, d: views.map_nodes(a.fulfilment(s, d)), sql("SELECT * FROM nodes", NODES.format(log="ful")))
+add("process_map_placed", lambda s, d: views.placed_nodes(a.fulfilment(s, d)).drop("layer", "x", "y"), sql("SELECT * FROM nodes", NODES.format(log="ful")))
+add("map_text", lambda s, d: views.mermaid_lines(a.user_day(s, d), 12), sql(
+    ", shown AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, source, target) AS r FROM pairs QUALIFY r <= 12), ids AS (SELECT activity, 'n' || CAST(row_number() OVER (ORDER BY activity) - 1 AS VARCHAR) AS id FROM (SELECT source AS activity FROM shown UNION SELECT target FROM shown)), sizes AS (SELECT activity, count(*) AS n FROM ud GROUP BY 1), "
+    "lines_of AS (SELECT 0 AS part, 0 AS r, 'flowchart LR' AS text UNION ALL SELECT 1, row_number() OVER (ORDER BY activity), '    ' || id || '[\"' || activity || '<br/>' || format('{:,}', n) || '\"]' FROM ids JOIN sizes USING (activity) "
+    "UNION ALL SELECT 2, r, '    ' || x.id || ' -->|\"' || format('{:,}', frequency) || '\"| ' || y.id FROM shown JOIN ids x ON x.activity = source JOIN ids y ON y.activity = target UNION ALL SELECT 3, r, '    linkStyle ' || CAST(r - 1 AS VARCHAR) || ' stroke-width:' || CAST(round(1 + 7 * sqrt(CAST(frequency AS DOUBLE) / (SELECT max(frequency) FROM shown)), 1) AS VARCHAR) || 'px' FROM shown) "
+    "SELECT row_number() OVER (ORDER BY part, r) - 1 AS line, text FROM lines_of", steps("ud")))
+add("overview", lambda s, d: views.overview_row(a.user_day(s, d)), sql("SELECT (SELECT count(*) FROM ud) AS events, (SELECT count(*) FROM seqs) AS cases, (SELECT count(*) FROM ud) - (SELECT count(*) FROM seqs) AS transitions, (SELECT count(DISTINCT activity) FROM ud) AS activities, count(*) FILTER (upto - case_count < ceil(round(CAST(0.8 AS DOUBLE) * total, 9))) AS variants_needed, count(*) AS variants, count(*) FILTER (case_count = 1) AS singletons, max(CAST(case_count AS DOUBLE) / total) AS top_share FROM upto", seqs("ud")))
+add("top_variants_outcomes", lambda s, d: variants.outcomes_by_count(variants.case_statistics(a.user_day_outcomes(s, d))).where("variant_rank <= 25").select("variant_rank", F.posexplode("outcomes").alias("position", "o")).select("variant_rank", F.col("position").cast("bigint").alias("position"), "o.outcome", "o.cases"), sql("SELECT variant_rank, row_number() OVER (PARTITION BY variant_rank ORDER BY cases DESC, outcome) - 1 AS position, outcome, cases FROM vo WHERE variant_rank <= 25", seqs("udo", OUTCOME), VO))
+add("cycle_time_days", lambda s, d: variants.days_of(variants.case_statistics(a.fulfilment(s, d))), sql("SELECT p50 / 86400 AS p50_days, p90 / 86400 AS p90_days, p99 / 86400 AS p99_days FROM (SELECT " + SUMMARY + ")", seqs("ful")))
+add("variant_sequence", lambda s, d: s.createDataFrame([(" > ".join(variants.sequence(a.fulfilment(s, d), 3)),)], "variant string"), sql("SELECT variant FROM ranked WHERE variant_rank = 3", seqs("ful")))
+add("dfg_top_edges", lambda s, d: dfg.by_frequency(dfg.edges(a.user_day(s, d))).limit(10).select("source", "target", "frequency"), sql("SELECT source, target, frequency FROM pairs ORDER BY frequency DESC, source, target LIMIT 10", steps("ud")))
+add("edge_frequency", lambda s, d: s.createDataFrame([(x, y, dfg.frequency(a.user_day(s, d), x, y)) for x, y in (("view", "click"), ("click", "gone"))], "source string, target string, frequency bigint"), sql("SELECT x AS source, y AS target, coalesce(frequency, 0) AS frequency FROM (VALUES ('view', 'click'), ('click', 'gone')) v(x, y) LEFT JOIN pairs ON source = x AND target = y", steps("ud")))
+
+# dirty text
+add("messy_rows", lambda s, d: normalize.classified(a.messy_raw(s, d)).selectExpr("case_id", "event_index", "activity", "lifecycle", "unix_micros(ts) AS us", "resource", "reason", "status"), sql("SELECT * FROM dirty", DIRTY))
+add("messy_exclusions", lambda s, d: normalize.exclusion_counts(normalize.classified(a.messy_raw(s, d))).select("reason", "events"), sql("SELECT t.reason, count(x.reason) AS events FROM unnest(['missing_case_id', 'duplicate_case_id', 'missing_activity', 'missing_timestamp', 'unparseable_timestamp', 'out_of_order']) t(reason) LEFT JOIN dirty x ON x.reason = t.reason GROUP BY ALL", DIRTY))
+add("messy_report", lambda s, d: normalize.report(normalize.classified(a.messy_raw(s, d))), sql("SELECT count(*) AS parsed_events, count(*) FILTER (status = 'normalized') AS normalized_events, count(*) FILTER (status = 'excluded') AS excluded_events, count(*) FILTER (status = 'filtered') AS filtered_events, count(DISTINCT case_id) AS parsed_cases, count(DISTINCT CASE WHEN status = 'normalized' THEN case_id END) AS normalized_cases, count(*) FILTER (status = 'normalized' AND resource IS NULL) AS missing_resource FROM dirty", DIRTY))
+add("messy_log", lambda s, d: normalize.normalized_events(a.messy_raw(s, d)).select("case_id", "event_index", "activity", F.unix_micros("timestamp").alias("us"), "resource"), sql("SELECT case_id, event_index, activity, us, resource FROM dirty WHERE status = 'normalized'", DIRTY))
+
+
+# files: what is written is read again
+def raw_text(s: SparkSession, d: str) -> DataFrame:
+    return a.user_day_raw(s, d).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def xes_again(s: SparkSession, d: str) -> DataFrame:
+    at = f"{store.scratch(s)}/log.xes"
+    xes.write_xes(raw_text(s, d), at)
+    return xes.read_xes(s, at)
+
+
+def xes_counts(s: SparkSession, d: str) -> DataFrame:
+    at = f"{store.scratch(s)}/log.xes.gz"
+    xes.write_xes(raw_text(s, d), at, "gzip")
+    return s.createDataFrame([(xes.count_raw_events(s, at), xes.read_xes(s, at).count())], "counted bigint, parsed bigint")
+
+
+def csv_again(s: SparkSession, d: str) -> DataFrame:
+    at = f"{store.scratch(s)}/log.csv"
+    store.write_log_csv(a.fulfilment(s, d), at)
+    return store.read_log_csv(s, at)
+
+
+def stored_again(s: SparkSession, d: str) -> DataFrame:
+    at, log = f"{store.scratch(s)}/log", a.fulfilment(s, d)
+    store.replace_log(log.where("activity = 'Placed'"), at)
+    store.replace_log(log, at, {"policy": "start_else_complete"})
+    return store.read_log(s, at, ordered=True)
+
+
+def report_again(s: SparkSession, d: str) -> DataFrame:
+    at = f"{store.scratch(s)}/ingestion_report.json"
+    reports.write_ingestion_report(normalize.classified(a.messy_raw(s, d)), at, {"table": "events"})
+    found = s.read.json(at, multiLine=True)
+    return found.select(F.lit(reports.recorded_policy(s, at)).alias("policy"), "normalization.parsed_events", "normalization.normalized_events", "normalization.excluded_by_reason.out_of_order", "normalization.lifecycle_transitions.start")
+
+
+def outputs(s: SparkSession, written: list[str]) -> DataFrame:
+    """name and rows of the tables among written outputs, name and 1 of the texts."""
+    rows = [(at.rsplit("/", 1)[1], s.read.option("header", True).csv(at).count() if at.endswith(".csv") else int(bool(store.read_text(s, at)))) for at in written]
+    return s.createDataFrame(rows, "name string, rows bigint")
+
+
+TIMED = ["case_id", "event_index", "activity", "date_format(timestamp, 'yyyy-MM-dd HH:mm:ss') AS at", "resource", "outcome"]
+KEPT = sql("SELECT case_id, event_index, activity, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at, resource, outcome FROM ful")
+add("xes_round_trip", xes_again, sql("SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY event_index) - 1 AS event_index, activity, lifecycle, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, resource FROM ud"))
+add("xes_event_counts", xes_counts, sql("SELECT count(*) AS counted, count(*) AS parsed FROM ud"))
+add("csv_round_trip", lambda s, d: csv_again(s, d).selectExpr(*TIMED), KEPT)
+add("stored_log", lambda s, d: stored_again(s, d).selectExpr(*TIMED), KEPT)
+add("ingestion_report_file", report_again, sql("SELECT 'start_else_complete' AS policy, count(*) AS parsed_events, count(*) FILTER (status = 'normalized') AS normalized_events, count(*) FILTER (reason = 'out_of_order') AS out_of_order, count(*) FILTER (lifecycle = 'start') AS start FROM dirty", DIRTY))
+add("discovery_outputs", lambda s, d: outputs(s, reports.write_discovery(a.user_day_outcomes(s, d), store.scratch(s))), sql("SELECT 'dfg_edges.csv' AS name, count(*) AS rows FROM pairs UNION ALL SELECT 'variants.csv', count(*) FROM ranked UNION ALL SELECT 'case_statistics.csv', count(*) FROM seqs UNION ALL SELECT unnest(['dfg.mmd', 'heuristic_net.json', 'discovery_summary.md']), 1", steps("ud"), seqs("ud")))
+add("diagnosis_outputs", lambda s, d: outputs(s, reports.write_diagnosis(log := a.fulfilment(s, d), conformance.reference(log, "most_frequent_variant"), store.scratch(s))), sql("SELECT 'conformance_cases.csv' AS name, count(*) AS rows FROM cyc UNION ALL SELECT 'rework_cases.csv', count(*) FROM cyc UNION ALL SELECT 'rework_activities.csv', count(DISTINCT activity) FROM reps UNION ALL SELECT 'bottlenecks.csv', count(*) FROM pairs UNION ALL SELECT unnest(['conformance_summary.json', 'diagnostic_report.md']), 1", steps("ful"), REWORK.format(log="ful")))
+
 
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _FOUND.items()}

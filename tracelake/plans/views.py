@@ -1,115 +1,120 @@
-"""What a dashboard shows, as plain values: small aggregates of a log, collected once; and reports as Markdown."""
+"""What a dashboard shows, as plain values: small aggregates of a log, collected once."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators import conformance, dfg, miner, timing, variants
+from tracelake.operators import dfg, miner, variants
 from tracelake.plans import layout
 
-LIFECYCLE_NOTES = {
-    "all": "Every lifecycle transition counts as an event, so one piece of work may appear several times.",
-    "complete": "Only completions count; waiting and working time cannot be told apart.",
-    "start_else_complete": "Activities that record a start are placed at their start, the others at their completion; durations mix both.",
+#: Of each lifecycle policy: its name in reports, and what follows from it for the figures.
+LIFECYCLES = {
+    "all": ("all transitions", "A piece of work that was scheduled, started and completed makes three events here: counts, loops and variants are larger than the number of work steps."),
+    "complete": ("completions only", "A step's time is the time it ended, so the wait before it and the work on it are one figure."),
+    "start_else_complete": ("starts, else completions", "Steps with recorded starts stand at their start and all others at their end, so a span between two steps may or may not hold the work on them."),
 }
 
 
+def lifecycle_label(policy: str | None) -> str:
+    return LIFECYCLES.get(policy or "", ("not recorded", ""))[0]
+
+
 def lifecycle_note(policy: str | None) -> str:
-    return LIFECYCLE_NOTES.get(policy or "", "The lifecycle policy of this log is not recorded.")
+    return LIFECYCLES.get(policy or "", ("", "It is not recorded which lifecycle transitions this log holds; read spans with care."))[1]
 
 
 def plain(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def overview(log: DataFrame, policy: str | None = None) -> dict:
-    """Headline counts, coverage and cycle-time distributions."""
-    cases = variants.case_statistics(log)
-    totals, cover = plain(dfg.totals(log))[0], plain(variants.coverage(log))[0]
-    top = variants.variants(log).orderBy("variant_rank").head()
-    split = {str(r["is_happy_path"]): r for r in plain(variants.distribution(cases, "cycle_time_seconds", [F.col("is_happy_path")]))}
-    return totals | cover | {
-        "activities": dfg.activity_counts(log).count(), "top_share": top.case_share, "cycle_time": plain(variants.distribution(cases, "cycle_time_seconds"))[0],
-        "happy_path": split.get("True"), "other_paths": split.get("False"), "lifecycle": lifecycle_note(policy),
+def overview_row(log: DataFrame) -> DataFrame:
+    """One row: events, cases, transitions, activities, variants, coverage, share of the most frequent variant."""
+    counts, activities = dfg.totals(log), log.agg(F.count_distinct("activity").alias("activities"))
+    top = variants.top(log, 1).select(F.col("case_share").alias("top_share"))
+    return counts.join(activities).join(variants.coverage(log)).join(top, how="left")  # one row each
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df, computed once for all that reads it here."""
+    stored = df.persist()
+    try:
+        yield stored
+    finally:
+        stored.unpersist()
+
+
+def overview(log: DataFrame, policy: str | None = None, cases: DataFrame | None = None) -> dict:
+    """Headline counts, coverage and cycle-time distributions. cases: the log's case statistics, where they are at hand."""
+    cases = variants.case_statistics(log) if cases is None else cases
+    split = {str(r["is_happy_path"]): r for r in plain(variants.distribution(cases, "cycle_time_seconds", ["is_happy_path"]))}
+    return plain(overview_row(log))[0] | {
+        "cycle_time": plain(variants.distribution(cases, "cycle_time_seconds"))[0], "happy_path": split.get("True"), "other_paths": split.get("False"),
+        "lifecycle_label": lifecycle_label(policy), "lifecycle": lifecycle_note(policy),
     }
 
 
+def map_nodes(log: DataFrame) -> DataFrame:
+    """activity, events, starts, ends: zero where an activity starts or ends no case."""
+    nodes = dfg.activity_counts(log)
+    for name, first in (("starts", True), ("ends", False)):
+        nodes = nodes.join(dfg.end_counts(log, first).withColumnRenamed("cases", name), "activity", "left")
+    return nodes.select("activity", "events", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("starts", "ends")])
+
+
 def process_map(log: DataFrame, threshold: float = 0.9) -> dict:
     """Nodes with places and counts, model edges with their timing."""
-    counts = {r.activity: r.events for r in dfg.activity_counts(log).collect()}
-    starts, ends = ({r.activity: r.cases for r in dfg.end_counts(log, first).collect()} for first in (True, False))
-    edges = miner.connected(log, threshold)
+    counts = {r["activity"]: r for r in plain(map_nodes(log))}
     times = dfg.edges(log).drop("frequency", "case_frequency")
-    rows = plain(edges.join(times, ["source", "target"], "left").orderBy("source", "target"))
-    placed = layout.layered(sorted(counts), [(e["source"], e["target"]) for e in rows], sorted(starts))
-    nodes = [{"activity": p.activity, "layer": p.layer, "x": p.x, "y": p.y, "events": counts[p.activity], "starts": starts.get(p.activity, 0), "ends": ends.get(p.activity, 0)} for p in placed]
-    return {"nodes": nodes, "edges": rows}
+    rows = plain(miner.connected(log, threshold).join(times, ["source", "target"], "left").orderBy("source", "target"))
+    starts = sorted(a for a, r in counts.items() if r["starts"])
+    placed = layout.layered(sorted(counts), [(e["source"], e["target"]) for e in rows], starts)
+    return {"nodes": [counts[p.activity] | {"layer": p.layer, "x": p.x, "y": p.y} for p in placed], "edges": rows}
 
 
-def top_variants(log: DataFrame, limit: int = 25) -> list[dict]:
-    """The most frequent variants with their outcomes."""
+def placed_nodes(log: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The nodes of the process map as a table."""
+    columns = ["activity", "layer", "x", "y", "events", "starts", "ends"]
+    rows = [tuple(n[c] for c in columns) for n in process_map(log, threshold)["nodes"]]
+    return log.sparkSession.createDataFrame(rows, "activity string, layer int, x double, y double, events bigint, starts bigint, ends bigint")
+
+
+def top_variants(log: DataFrame, limit: int = 25, cases: DataFrame | None = None) -> list[dict]:
+    """The most frequent variants with their outcomes, the most frequent outcome first."""
     if not 1 <= limit <= 200:
         raise ValueError(f"limit must lie between 1 and 200: {limit}")
-    top = variants.variants(log).orderBy("variant_rank").limit(limit)
-    outcomes = variants.variant_outcomes(variants.case_statistics(log)).groupBy("variant_rank").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "cases")))).alias("outcomes"))
-    return plain(top.join(outcomes, "variant_rank").orderBy("variant_rank"))
+    top = variants.top(log, limit).drop("seq", "_total")
+    return plain(top.join(variants.outcomes_by_count(variants.case_statistics(log) if cases is None else cases), "variant_rank", "left").orderBy("variant_rank"))
 
 
 def variant_model_gap(log: DataFrame, edges: DataFrame) -> DataFrame:
     """variant_rank and the number of its steps that are no edge of the model."""
-    ranked = variants.ranked(log).select("variant_rank", "seq")
-    steps = ranked.select("variant_rank", F.explode(F.filter(F.transform("seq", lambda x, i: F.struct(x.alias("source"), F.get("seq", i + 1).alias("target"))), lambda p: p["target"].isNotNull())).alias("p")).select("variant_rank", "p.*")
-    gone = steps.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti")
-    return ranked.select("variant_rank").join(gone.groupBy("variant_rank").agg(F.count("*").alias("missing")), "variant_rank", "left").select("variant_rank", F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing_steps"))
+    seqs = variants.named(variants.sequences(log)).groupBy("_k").agg(F.first("seq").alias("seq"))
+    ranked = variants.ranked(log).select("variant_rank", "_k")
+    steps = seqs.select("_k", F.explode(F.filter(F.transform("seq", lambda x, i: F.struct(x.alias("source"), F.get("seq", i + 1).alias("target"))), lambda p: p["target"].isNotNull())).alias("p")).select("_k", "p.*")
+    gone = steps.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti").groupBy("_k").agg(F.count("*").alias("missing"))
+    return ranked.join(gone, "_k", "left").select("variant_rank", F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing_steps"))
 
 
 def heuristic_net_json(log: DataFrame, threshold: float = 0.9) -> str:
     edges = plain(miner.connected(log, threshold).orderBy("source", "target"))
-    counts = lambda df, value: {r["activity"]: r[value] for r in plain(df)}
-    net = {"threshold": threshold, "edges": edges, "activities": counts(dfg.activity_counts(log), "events"), "starts": counts(dfg.end_counts(log, True), "cases"), "ends": counts(dfg.end_counts(log, False), "cases"), "cases": plain(dfg.totals(log))[0]["cases"]}
+    nodes = plain(map_nodes(log).orderBy("activity"))
+    of = lambda value: {r["activity"]: r[value] for r in nodes if value == "events" or r[value]}
+    net = {"threshold": threshold, "edges": edges, "activities": of("events"), "starts": of("starts"), "ends": of("ends"), "cases": plain(dfg.totals(log))[0]["cases"]}
     return json.dumps(net, sort_keys=True, indent=1)
 
 
-def days(seconds: float) -> str:
-    return f"{seconds / 86400:.1f} days" if seconds >= 2 * 86400 else f"{seconds / 3600:.1f} hours"
-
-
-def measure(value: float) -> str:
-    return ">0.999" if value >= 0.9995 else f"{value:.3f}"
-
-
-def counted(n: int, noun: str) -> str:
-    return f"{n:,} {noun}{'' if n == 1 else 's'}"
-
-
-def discovery_summary(log: DataFrame, policy: str | None = None, threshold: float = 0.9) -> str:
-    """What the log looks like, in Markdown."""
-    o, net = overview(log, policy), plain(miner.connected(log, threshold).orderBy("source", "target"))
-    kinds = {k: sum(e["kind"] == k for e in net) for k in miner.KINDS}
-    lines = [
-        "# Discovery summary", "",
-        f"{counted(o['events'], 'event')} in {counted(o['cases'], 'case')}, {counted(o['activities'], 'activity').replace('activitys', 'activities')}.", "",
-        "## Variants", "", f"{counted(o['variants'], 'variant')}, of which {o['variants_needed']:,} hold 80 % of the cases; {o['singletons']:,} occur once. The most frequent one holds {o['top_share']:.1%}.", "",
-        "## Cycle time", "", "| cases | p50 | p90 | p99 | mean |", "|-|-|-|-|-|",
-    ]
-    for name, d in (("all", o["cycle_time"]), ("most frequent path", o["happy_path"]), ("other paths", o["other_paths"])):
-        if d:
-            lines.append(f"| {name} | {days(d['p50'])} | {days(d['p90'])} | {days(d['p99'])} | {days(d['mean'])} |")
-    lines += ["", "## Model", "", ", ".join(f"{n} {k.replace('_', ' ')}" for k, n in kinds.items()) + ".", "", "| from | to | kind | measure | frequency |", "|-|-|-|-|-|"]
-    lines += [f"| {e['source']} | {e['target']} | {e['kind']} | {measure(e['dependency'])} | {e['frequency']:,} |" for e in net]
-    return "\n".join([*lines, "", "## Caveats", "", o["lifecycle"], ""])
+def mermaid(log: DataFrame, max_edges: int = layout.MAX_EDGES) -> dict:
+    """The most frequent edges of the log as Mermaid text, with its caption."""
+    counts = {r.activity: r.events for r in dfg.activity_counts(log).collect()}
+    return layout.mermaid([(r.source, r.target, r.frequency) for r in dfg.frequencies(log).collect()], max_edges, counts)
 
 
-def diagnostic_report(log: DataFrame, activities: list[str], top: int = 5) -> str:
-    """Does the log follow the reference, where does time go, and how much work is repeated? In Markdown."""
-    replayed = conformance.replay(log, conformance.sequence_net(activities))
-    s, w = plain(conformance.summary(replayed))[0], plain(timing.rework_totals(timing.rework_cases(log)))[0]
-    costly = plain(timing.bottlenecks(log).orderBy(F.desc("total_seconds"), "source", "target").limit(top))
-    lines = ["# Diagnosis", "", "## Conformance", "", f"Reference: {' > '.join(activities)}. {s['deviating_share']:.1%} of {counted(s['cases'], 'case')} deviate; log fitness {s['log_fitness']:.3f}, median case fitness {s['p50']:.3f}.", ""]
-    lines += ["## Bottlenecks", "", "| from | to | waits | total | share | kind |", "|-|-|-|-|-|-|"]
-    lines += [f"| {b['source']} | {b['target']} | {b['occurrences']:,} | {days(b['total_seconds'])} | {b['share_of_total_time']:.1%} | {b['kind'].replace('_', ' ')} |" for b in costly]
-    lines += ["", "## Rework", "", f"{counted(w['cases_with_rework'], 'case')} ({w['case_share']:.1%}) repeat work: {days(w['rework_seconds'])}, {w['time_share']:.1%} of all cycle time; p90 of affected cases {days(w['p90'])}.", ""]
-    return "\n".join(lines)
+def mermaid_lines(log: DataFrame, max_edges: int = layout.MAX_EDGES) -> DataFrame:
+    """line, text: the Mermaid text as a table."""
+    return log.sparkSession.createDataFrame(list(enumerate(mermaid(log, max_edges)["text"].splitlines())), "line bigint, text string")

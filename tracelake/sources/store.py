@@ -6,11 +6,12 @@ import hashlib
 import json
 import os
 import shutil
+import tempfile
 import urllib.request
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "case_id string, event_index bigint, activity string, timestamp timestamp, resource string, cost double, outcome string"
@@ -25,6 +26,17 @@ class RowCountMismatch(ValueError):
     """What was read back is not what was written."""
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where the session runs
+    on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="tracelake-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def sha256_of(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
@@ -49,39 +61,76 @@ def fetch(url: str, sha256: str, to: str | Path, force: bool = False) -> Path:
 
 
 def read_log_csv(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    """A log from CSV with a header; only the empty cell is null, so NA and null are texts."""
-    return spark.read.schema(schema).option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
+    """A log from CSV with a header; only the empty cell is null, so NA and null are texts. Columns must stand in the
+    schema's order: another header is an error when the log is read."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
+
+
+def write_log_csv(log: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV files with headers, ordered by case and position within and between files. one_file: for small exports."""
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c, kind in log.dtypes if kind.startswith("timestamp")}  # with and without zone
+    ordered = log.orderBy("case_id", "event_index").withColumns(times)
+    if one_file:
+        ordered = ordered.coalesce(1)
+    ordered.write.mode("overwrite").option("header", True).csv(path)
+
 
+def _files(spark: SparkSession, at: str):
+    """Hadoop's file system of a path, and the path: any store that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
-def write_log_csv(log: DataFrame, path: str) -> None:
-    """One CSV file with a header, for export; ordered by case and position."""
-    ordered = log.orderBy("case_id", "event_index").coalesce(1)
-    ordered.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the stored log; each got its name by one rename, after it was checked."""
+    fs, at = _files(spark, path)
+    found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[2:]) for n in found if n.startswith("v=") and n[2:].isdigit())
 
 
 def replace_log(log: DataFrame, path: str, audit: dict | None = None) -> int:
-    """Replace the log at path by a new one: written aside, read back, checked, then put in place of the old one.
+    """Replace the log at path by a new version: written aside, read back, checked, then named by one rename.
 
-    A failed check leaves the old log as it was. Each replacement adds a row to path_runs.
+    The version before stays readable until then, so neither a failed check nor a crash loses it; older ones are
+    removed. Each replacement adds a row to path_runs.
     """
-    spark = log.sparkSession
-    aside = f"{path}_new_{uuid.uuid4().hex}"
-    log.write.parquet(aside)
-    written = spark.read.parquet(aside)
+    spark, seen = log.sparkSession, Observation()
+    fs, aside = _files(spark, f"{path}/_new_{uuid.uuid4().hex}")
+    log.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(aside.toString())
+    written = spark.read.parquet(aside.toString())
     rows = written.count()
-    twice = written.groupBy("case_id", "event_index").count().where("count > 1").limit(1).count()
-    jvm = spark.sparkContext._jvm
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if twice or rows != log.count():
-        fs.delete(new, True)
+    twice = not written.groupBy("case_id", "event_index").count().where("count > 1").isEmpty()
+    if twice or rows != seen.get["rows"]:
+        fs.delete(aside, True)
         raise RowCountMismatch("rows with the same case and position" if twice else f"{rows} rows were written")
-    fs.delete(at, True)
-    fs.rename(new, at)
+    held = versions(spark, path)
+    if not fs.rename(aside, _files(spark, f"{path}/v={max(held, default=0) + 1}")[1]):
+        raise OSError(f"the new version of {path} could not be named")
+    for old in held[:-1]:
+        fs.delete(_files(spark, f"{path}/v={old}")[1], True)
     run = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run_id"), F.current_timestamp().alias("ingested_at"), F.lit(rows).alias("rows"), F.lit(json.dumps(audit or {}, sort_keys=True)).alias("report"))
     run.write.mode("append").parquet(f"{path}_runs")
     return rows
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_log(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """The latest version of a stored log; ordered: by case and position."""
+    held = versions(spark, path)
+    if not held:
+        raise FileNotFoundError(f"no log is stored at {path}")
+    log = spark.read.parquet(f"{path}/v={held[-1]}")
+    return log.orderBy("case_id", "event_index") if ordered else log
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text (a report, a model) as one file, in any store that Spark reaches."""
+    fs, at = _files(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    fs, at = _files(spark, path)
+    return "\n".join(r.value for r in spark.read.text(path).collect()) if fs.exists(at) else None

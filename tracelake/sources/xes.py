@@ -31,5 +31,27 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_raw_events(spark: SparkSession, path: str) -> int:
-    """Event elements counted in the text itself, apart from the parser above."""
-    return spark.read.text(path, wholetext=True).agg(F.sum(F.regexp_count("value", F.lit(r"<event[\s>/]")))).head()[0] or 0
+    """Event elements counted in the text itself, line by line and apart from the parser above; a tag may go on in the
+    next line."""
+    return spark.read.text(path).agg(F.sum(F.regexp_count("value", F.lit(r"<event(?:[\s>/]|$)")))).head()[0] or 0
+
+
+def _escaped(text: Column) -> Column:
+    for sign, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(by))
+    return text
+
+
+def write_xes(raw: DataFrame, path: str, compression: str = "none", parts: int = 16) -> None:
+    """Raw events as XES: `parts` documents, one trace a line; nulls are left out."""
+
+    def attribute(name: str, kind: str, value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(f'<{kind} key="{name}" value="'), _escaped(value), F.lit('"/>')), F.lit(""))
+
+    fields = [attribute(key, "date" if c == "timestamp" else "string", F.col(c)) for c, key in COLUMNS.items()]
+    event = F.struct("event_index", F.concat(F.lit("<event>"), *fields, F.lit("</event>")).alias("xml"))
+    traces = raw.groupBy("case_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    body = F.concat(F.lit("<trace>"), attribute("concept:name", "string", F.col("case_id")), F.array_join(F.transform("events", lambda e: e["xml"]), ""), F.lit("</trace>"))
+    lines = traces.select(F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part"), F.lit(1).alias("at"), body.alias("value"))
+    edges = raw.sparkSession.range(parts).select(F.col("id").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<log>").alias("value")), F.struct(F.lit(2).alias("at"), F.lit("</log>").alias("value")))).alias("x")).select("part", "x.at", "x.value")
+    lines.unionByName(edges).repartition(parts, "part").sortWithinPartitions("part", "at").drop("at").write.mode("overwrite").partitionBy("part").text(path, compression=compression)

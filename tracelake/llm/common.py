@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where a session names none (tests on one machine) a local folder is set.
+    Only where a session on one machine names none (tests) a local folder is set; on a cluster that is an error, since
+    what one executor writes to its own disk is lost to the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(found)
         return found
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -43,7 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased. Where a text has one byte a character, lower does just that, and quicker."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once although `use` names it many times, lambdas included."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df has not got, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def any_case(pattern: str) -> str:
@@ -53,7 +71,7 @@ def any_case(pattern: str) -> str:
 
 def alnum_words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; null gives no words."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK), "")
 
 
 def row_key(*columns: Column) -> list[Column]:

@@ -1,12 +1,16 @@
-"""Benchmark decontamination: windows of test words, looked up from a hash set of the benchmark's windows.
-
-Every window of `width` consecutive benchmark words (a shorter item is one window) is hashed. Document windows are
-hashed the same way, matched against the hash set by a join, and each hit is verified word by word. The set is
-broadcast only while its counted size is within `broadcast_windows`; beyond it the same join shuffles. Documents are
-carried through the join as two content hashes and a position, never with their text.
-
-Cases: null or empty texts have no words and no hits; items without words have no window; rows with equal key and
-text share their results; columns besides key and text are passed by; an empty benchmark hits nothing.
+"""Benchmark decontamination: windows of test words, looked up in a broadcast hash set of the benchmark's windows.
+
+Every window of `width` consecutive benchmark words (a shorter item is one window) goes into a hash table: an array of
+buckets, each with the windows whose hash falls into it, which every executor gets once. A document's windows of the
+same lengths are hashed, and a window is hit if its bucket holds the same words; so each hit is verified where it is
+found, in one pass over the texts and without any shuffle. The table is sent out only while its counted size is within
+`broadcast_windows`; beyond it the hashes meet by a shuffled join, and only then the words of the texts with hits. Words
+are the exact ones in both: lower-casing by the rules of other alphabets would depend on what stands beside a word.
+
+Cases: null or empty texts have no words and no hits; items without words have no window; repeated items and rows count
+each on their own, rows with equal key and text alike; a very long text is one row, scanned in time that grows with its
+length; an empty benchmark hits nothing, an empty table gives an empty table; other columns pass by whatever their
+names are.
 """
 
 from __future__ import annotations
@@ -14,57 +18,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ALNUM_BREAK, ALNUM_WORD, alnum_words, any_case, row_key
+from tracelake.llm.common import alnum_words, bind, row_key, unused
 
 WIDTH = 13
-BROADCAST_WINDOWS = 200_000  # about 40 bytes each
-
+BROADCAST_WINDOWS = 100_000  # about 250 bytes each: 13 words, hash and items
 
-def loose_words(text: Column) -> Column:
-    """The same words with all letters lower-cased: quicker to make, equal wherever the exact words are equal."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK), lambda w: w != "")
 
-
-def windows(words: Column, width: int) -> Column:
-    """Hashes of the windows of `width` words, in order."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+def starts(words: Column, n: int) -> Column:
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Distinct (item, n, window_hash, window): n words each."""
-    words = benchmark.select(F.col(item).alias("item"), alnum_words(F.col(text)).alias("w"), loose_words(F.col(text)).alias("l")).where(F.size("w") > 0)
+    """Distinct (n, window_hash, window, items): windows of n words each, and the items that hold them."""
+    words = benchmark.select(F.col(item).cast("string").alias("item"), alnum_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
-    starts = F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i")
-    cut = words.select("item", "w", "l", n.alias("n"), starts)
-    part = lambda c: F.slice(c, F.col("i"), F.col("n"))
-    return cut.select("item", "n", F.xxhash64(part("l")).alias("window_hash"), part("w").alias("window")).distinct()
+    each = words.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
+    cut = each.select("item", "n", F.slice("w", F.col("i"), F.col("n")).alias("part"))
+    named = cut.select("n", F.xxhash64("part").alias("window_hash"), F.array_join("part", " ").alias("window"), "item")
+    return named.groupBy("n", "window_hash", "window").agg(F.collect_set("item").alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per distinct (key, text) with a hit: __k1, __k2, positions (array of first, last word from 0), items."""
-    known = benchmark_windows(benchmark, text=text, width=width)
-    sizes = {r.n: r["count"] for r in known.groupBy("n").count().collect()}  # at most `width` rows
-    small = sum(sizes.values()) <= broadcast_windows
-    hint = F.broadcast if small else (lambda df: df)
-    keyed = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("__text"))
-    words = keyed.select("__k1", "__k2", loose_words(F.col("__text")).alias("w"))
-    found = None
-    for n in sorted(sizes) or [width]:
-        at = words.select("__k1", "__k2", F.posexplode(windows(F.col("w"), n)).alias("pos", "window_hash"))
-        hits = at.join(hint(known.where(F.col("n") == n).select("window_hash").distinct()), "window_hash", "left_semi").withColumn("n", F.lit(n))
-        found = hits if found is None else found.unionByName(hits)
-    # verify: the words of the hit documents again, and the item's words beside them
-    of_doc = found.distinct().groupBy("__k1", "__k2").agg(F.collect_list(F.struct("pos", "n", "window_hash")).alias("hits"))
-    again = keyed.join(of_doc, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select("__k1", "__k2", "hits", alnum_words(F.col("__text")).alias("w"))
-    cut = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["n"].alias("n"), h["window_hash"].alias("window_hash"), F.slice(F.col("w"), h["pos"] + 1, h["n"]).alias("window")))
-    seen = again.where(F.size("w") > 0).select("__k1", "__k2", F.explode(cut).alias("h")).select("__k1", "__k2", "h.*")
-    true = seen.join(hint(known), ["n", "window_hash", "window"])
-    spans = true.groupBy("__k1", "__k2").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1).alias("last")))).alias("positions"),
-        F.collect_set("item").alias("items"),
-    )
-    return spans
+def hash_table(known: DataFrame, buckets: int) -> DataFrame:
+    """One row: `buckets` lists of (window_hash, window, items)."""
+    held = known.groupBy(F.pmod("window_hash", F.lit(buckets)).alias("at")).agg(F.collect_list(F.struct("window_hash", "window", "items")).alias("held"))
+    every = known.sparkSession.range(buckets).select(F.col("id").alias("at")).join(held, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "held"))), lambda b: b["held"]).alias("of"))
+
+
+def hashed_windows(words: Column, n: int) -> Column:
+    """The windows of n words: array of i (start, from 0), n, h."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice(words, i + 1, n)).alias("h")))
+
+
+def text_of(words: Column, x: Column) -> Column:
+    """The words of a window as one text; words hold no spaces."""
+    return F.array_join(F.slice(words, x["i"] + 1, x["n"]), " ")
+
+
+def span(x: Column) -> Column:
+    return F.struct(x["i"].alias("first"), (x["i"] + x["n"] - 1).alias("last"))
+
+
+def looked_up(words: Column, sizes: list[int], table: Column, buckets: int) -> Column:
+    """The hits among a text's windows: array of at (first, last word) and items."""
+    bucket = lambda x: F.get(table, F.pmod(x["h"], F.lit(buckets)).cast("int"))
+
+    def hit(x: Column) -> Column:
+        same = F.filter(bucket(x), lambda e: e["window"] == text_of(words, x))
+        return F.struct(span(x).alias("at"), F.flatten(F.transform(same, lambda e: e["items"])).alias("items"))
+
+    near = [F.filter(hashed_windows(words, n), lambda x: F.exists(bucket(x), lambda e: e["window_hash"] == x["h"])) for n in sizes]
+    return F.filter(F.transform(F.concat(*near), hit), lambda x: F.size(x["items"]) > 0)
+
+
+def joined_hits(docs: DataFrame, known: DataFrame, sizes: list[int], key: str, text: str) -> DataFrame:
+    """h1, h2 (the row's key and text), hits: the same for a benchmark too large to broadcast. Hashes go through the
+    shuffle alone; the words of the texts with hits are made again."""
+    k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    keyed = docs.select(k1.alias("h1"), k2.alias("h2"), alnum_words(F.col(f"`{text}`")).alias("w"))
+    windows = F.explode(F.concat(*[hashed_windows(F.col("w"), n) for n in sizes])).alias("x")
+    near = keyed.select("h1", "h2", windows).join(known.select("window_hash").distinct(), F.col("x.h") == F.col("window_hash"), "left_semi")
+    of_doc = near.groupBy("h1", "h2").agg(F.collect_set("x").alias("xs"))
+    again = keyed.join(of_doc, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    cut = F.transform("xs", lambda x: F.struct(x["h"].alias("window_hash"), text_of(F.col("w"), x).alias("window"), span(x).alias("at")))
+    true = again.select("h1", "h2", F.explode(cut).alias("x")).select("h1", "h2", "x.*").join(known, ["window_hash", "window"])
+    return true.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "items")).alias("hits"))
 
 
 def covered(positions: Column) -> Column:
@@ -74,41 +93,53 @@ def covered(positions: Column) -> Column:
     return F.aggregate(positions, start, step)["n"]
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20) -> DataFrame:
-    """All rows and columns of docs, and __n_words, __n_hit, __items, __positions, __contaminated.
-
-    A document is contaminated if a word in `share` or more is hit.
-    """
-    hits = find_hits(docs, benchmark, key, text).select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), covered(F.col("positions")).alias("__n_hit"), F.col("items").alias("__items"), F.col("positions").alias("__positions"))
-    k1, k2 = row_key(F.col(key), F.col(text))
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(any_case(ALNUM_WORD))), F.lit(0)).cast("bigint")
-    keyed = docs.select("*", k1, k2, n_words.alias("__n_words"))
-    joined = keyed.join(hits, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
-    n_hit = F.coalesce("__n_hit", F.lit(0).cast("bigint"))
-    return joined.withColumn("__n_hit", n_hit).withColumn("__contaminated", (n_hit > 0) & (share * n_hit >= F.col("__n_words"))).drop("__k1", "__k2", "__h1", "__h2")
-
-
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, str]:
+    """All rows and columns of docs and one more, whose name is returned too: a struct of n_words, n_hit, items,
+    positions, contaminated (a word in `share` or more is hit)."""
+    known = benchmark_windows(benchmark, text=text, width=width)
+    counts = {r.n: r["count"] for r in known.groupBy("n").count().collect()}  # at most `width` rows
+    sizes, total, to, words = sorted(counts), sum(counts.values()), unused("judged", docs), alnum_words(F.col(f"`{text}`"))
+    none = F.array().cast("array<struct<at:struct<first:int,last:int>,items:array<string>>>")
+    if total <= broadcast_windows:
+        buckets, table = max(1, 2 * total), unused("known", docs)
+        hits = lambda w: bind(F.col(table), lambda t: looked_up(w, sizes, t, buckets)) if sizes else none
+        # words and table are bound within one expression, so no row ever holds the table
+        seen = docs.withColumn(table, hash_table(known, buckets).scalar())
+        marked = seen.withColumn(to, bind(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), hits(w).alias("hits")))).drop(table)
+    else:
+        a, b, c, d, found = (unused(n, docs) for n in ("row_a", "row_b", "hit_a", "hit_b", "hits"))
+        k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
+        joined = docs.withColumn(a, k1).withColumn(b, k2).join(joined_hits(docs, known, sizes, key, text).toDF(c, d, found), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+        marked = joined.withColumn(to, F.struct(F.size(words).cast("bigint").alias("n_words"), F.coalesce(found, none).alias("hits"))).drop(a, b, c, d, found)
+    spans = F.array_sort(F.array_distinct(F.transform(f"{to}.hits", lambda h: h["at"])))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(f"{to}.hits", lambda h: h["items"]))))
+    figures = lambda at: F.struct(F.col(f"{to}.n_words").alias("n_words"), covered(at).alias("n_hit"), items.alias("items"), at.alias("positions"))
+    marked = marked.withColumn(to, bind(spans, figures))
+    bad = (F.col(f"{to}.n_hit") > 0) & (share * F.col(f"{to}.n_hit") >= F.col(f"{to}.n_words"))
+    return marked.withColumn(to, F.struct(f"{to}.*", bad.alias("contaminated"))), to
+
+
+def report(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    items = F.coalesce(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), F.array().cast("array<string>"))
-    return judge(docs.select("doc_id", "text"), benchmark).select(
+    marked, to = judge(docs.select("doc_id", "text"), benchmark, **bounds)
+    return marked.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.col("__n_hit").alias("n_hit"),
-        F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        F.col("__contaminated").alias("contaminated"),
+        f"{to}.n_words",
+        f"{to}.n_hit",
+        F.size(f"{to}.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(f"{to}.items", ","), 256).alias("items_sha256"),
+        f"{to}.contaminated",
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
     """docs without the contaminated rows; all columns stay as they are."""
-    return judge(docs, benchmark).where(~F.col("__contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, to = judge(docs, benchmark, **bounds)
+    return marked.where(~F.col(f"{to}.contaminated")).drop(to)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **bounds: int) -> DataFrame:
     """docs with the hit words taken out of contaminated texts; such texts become lower-cased words joined by spaces."""
-    words = alnum_words(F.col(text))
-    kept = F.filter(words, lambda _, i: ~F.exists(F.coalesce("__positions", F.array().cast("array<struct<first:int,last:int>>")), lambda p: i.between(p["first"], p["last"])))
-    cut = judge(docs, benchmark, text=text).withColumn(text, F.when(F.col("__contaminated"), F.array_join(kept, " ")).otherwise(F.col(text)))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, to = judge(docs, benchmark, text=text, **bounds)
+    kept = F.filter(alnum_words(F.col(f"`{text}`")), lambda _, i: ~F.exists(f"{to}.positions", lambda p: i.between(p["first"], p["last"])))
+    return marked.withColumn(text, F.when(F.col(f"{to}.contaminated"), F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))).drop(to)

@@ -6,7 +6,9 @@ scored by its log-likelihood ratio; above the threshold, which depends on its le
 span of kind `random`.
 
 Cases: a null text counts as empty (no spans); overlapping spans of different kinds are all listed and redacted as one
-place; repeated rows give repeated results; an empty table gives an empty table; clashing columns are not read.
+place; a score right on the threshold counts as random; a very long text or token is one row, its time grows with its
+length; repeated rows give repeated results; an empty table gives an empty table; other columns pass by whatever their
+names are.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import bind, unused
 from tracelake.llm.spans import match_spans, replace_spans
 
 #: Kinds in their order, pattern, the group whose size counts, and its least size.
@@ -110,18 +113,20 @@ def spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Col
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         kept = F.filter(match_spans(text, F.lit(pattern), group), at_least(least))
         found.append(F.when(text.rlike(pattern), F.transform(kept, shape(rank, kind))).otherwise(none))
-    base = F.array_sort(F.concat(*found))
-    with_token = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"))
-    likely = F.filter(F.transform(match_spans(text, F.lit(TOKEN)), with_token), lambda s: looks_random(s["token"], table, threshold))
-    free = F.filter(likely, lambda s: ~covered(s, base))
-    more = F.when(text.rlike(TOKEN), F.transform(free, shape(len(KINDS), "random"))).otherwise(none)
-    return F.array_sort(F.concat(base, more))
+    likely = F.filter(match_spans(text, F.lit(TOKEN)), lambda s: looks_random(s["word"], table, threshold))
+    more = lambda base: F.transform(F.filter(likely, lambda s: ~covered(s, base)), shape(len(KINDS), "random"))
+    return bind(F.array_sort(F.concat(*found)), lambda base: F.when(text.rlike(TOKEN), F.array_sort(F.concat(base, more(base)))).otherwise(base))
 
 
-def scan(docs: DataFrame, text: str = "text", to: str = "__spans", table: list[float] | None = None) -> DataFrame:
-    """docs with the column `to`: the secrets of each whole text."""
-    table = table or train(default_samples(docs.sparkSession))
-    return docs.withColumn("__scanned", F.coalesce(F.col(text), F.lit(""))).withColumn(to, spans(F.col("__scanned"), table)).drop("__scanned")
+def scan(docs: DataFrame, text: str = "text", to: str = "__spans", table: list[float] | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """docs with the column `to`: the secrets of each whole text.
+
+    The models come from `samples` (text, random), labelled strings of the caller's, or from the default ones; a table
+    that was trained before can be given instead.
+    """
+    table = table or train(default_samples(docs.sparkSession) if samples is None else samples)
+    scanned = unused("scanned", docs)
+    return docs.withColumn(scanned, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(to, spans(F.col(scanned), table)).drop(scanned)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -140,9 +145,10 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", samples: DataFrame | None = None) -> DataFrame:
     """docs with each secret in the text replaced by a mark, and the length, if there is such a column, put right."""
-    found = scan(docs, text).withColumn(text, F.when(F.size("__spans") > 0, replace_spans(F.col(text), F.col("__spans"), MASK)).otherwise(F.col(text)))
+    to = unused("spans", docs)
+    found = scan(docs, text, to, samples=samples).withColumn(text, F.when(F.size(to) > 0, replace_spans(F.col(f"`{text}`"), F.col(to), MASK)).otherwise(F.col(f"`{text}`")))
     if length in docs.columns:
-        found = found.withColumn(length, F.when(F.size("__spans") > 0, F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+        found = found.withColumn(length, F.when(F.size(to) > 0, F.char_length(F.col(f"`{text}`")).cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`")))
+    return found.drop(to)

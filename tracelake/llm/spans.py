@@ -5,27 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import bind
+
 SPAN = "array<struct<start:int,end:int>>"
 
 
+BLOCK = 256  # matches are put together in blocks, so that time grows with their number and not with its square
+
+
 def match_spans(text: Column, pattern: Column, group: int = 0) -> Column:
-    """Code-point places of the leftmost non-overlapping matches: array of start, end (exclusive), size of a group.
+    """Code-point places of the leftmost non-overlapping matches: array of start, end (exclusive), size of a group, word.
 
     The pieces between the matches and the matches themselves, put one behind the other, are the text again; so their
     lengths give the places. The pattern must not match the empty string.
     """
+    words = F.regexp_extract_all(text, pattern, F.lit(0))
+    parts = words if group == 0 else F.regexp_extract_all(text, pattern, F.lit(group))
     pieces = F.transform(F.split(text, pattern, F.lit(-1)), lambda p: F.char_length(p))
-    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.char_length(m))
-    sizes = matches if group == 0 else F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda m: F.char_length(m))
-    steps = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m"), sizes.alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,group:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,group:int,word:string>>")
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["p"]
-        one = F.struct(start.alias("start"), (start + x["m"]).alias("end"), x["g"].alias("group"))
-        return F.struct((start + x["m"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        end = start + F.char_length(x["w"])
+        one = F.struct(start.alias("start"), end.alias("end"), F.char_length(x["g"]).alias("group"), x["w"].alias("word"))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    def placed(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, BLOCK))
+        empty = F.struct(F.lit(0).alias("at"), F.array(none).alias("out"))
+
+        def block(s: Column, of: Column) -> Column:
+            done = F.aggregate(of, F.struct(s["at"].alias("at"), none.alias("out")), step)
+            return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+        return F.when(F.size(steps) == 0, none).otherwise(F.flatten(F.aggregate(blocks, empty, block, lambda s: s["out"])))
 
-    return F.aggregate(steps, empty, step, lambda s: s["out"])
+    return bind(bind(words, lambda w: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(w)).alias("p"), w.alias("w"), parts.alias("g"))), placed)
 
 
 def replace_spans(text: Column, spans: Column, by: str) -> Column:

@@ -7,7 +7,9 @@ bits; only possible hits go on to the exact hash join with the listed URLs, whic
 The filter has one row per block, so its size follows from its parameter; within `broadcast_blocks` it is broadcast,
 beyond that the same join shuffles. The exact join never broadcasts by hint.
 
-Cases: a null url, or one without ://, has an empty host and path, fits no rule and is not listed; listed nulls are
+Cases: an empty table gives an empty table; a url of any length is one row, read by three patterns; of two rules with
+equal length the first listed one wins; columns of pages named like this module's own (two underscores before) are not
+allowed, others pass by; a null url, or one without ://, has an empty host and path, fits no rule and is not listed; listed nulls are
 passed by; repeated listed URLs count once; repeated pages give repeated rows; an empty list lets everything pass.
 """
 
@@ -81,11 +83,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", broadcast_block
     for k in range(WORDS):
         hit = hit & (F.col(f"__w{k}").bitwiseAND(bit(F.col("__name"), k)) != 0)
     possible = probed.withColumn("__possible", F.coalesce(hit & F.col("__name").isNotNull(), F.lit(False))).drop("__block", *[f"__w{k}" for k in range(WORDS)])
-    # only possible hits carry a join key; the others pass through the outer join unmatched
-    keyed = possible.withColumn("__key", F.when(F.col("__possible"), F.col("__name")))
-    exact = keyed.join(names.select(F.col("name").alias("__key"), F.lit(True).alias("__in")), "__key", "left")
+    # only possible hits meet the list, so no task gets the many that are none
+    met = possible.where("__possible").join(names.select(F.col("name").alias("__name"), F.lit(True).alias("__in")), "__name", "left")
+    exact = met.unionByName(possible.where("not __possible").withColumn("__in", F.lit(None).cast("boolean")))
     verdict = F.coalesce("__by_rule", F.when(F.col("__in"), "block").otherwise("allow"))
-    return exact.withColumn("__listed", F.coalesce("__in", F.lit(False))).withColumn("__verdict", verdict).drop("__key", "__in", "__name", "__by_rule")
+    return exact.withColumn("__listed", F.coalesce("__in", F.lit(False))).withColumn("__verdict", verdict).drop("__in", "__name", "__by_rule")
 
 
 def report(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:

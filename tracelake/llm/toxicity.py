@@ -147,9 +147,9 @@ def copy_weights(sketches: np.ndarray) -> np.ndarray:
 def standing_out(features: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features with a high log-likelihood ratio G2 for the toxic rows, best first, and the toxic share of their rows."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    ids = np.concatenate(features) if len(features) else np.empty(0, np.int32)
-    pos = np.bincount(ids, weights=(w * y)[rows], minlength=2 * AGAIN)
-    neg = np.bincount(ids, weights=(w * (1 - y))[rows], minlength=2 * AGAIN)
+    seen, ids = np.unique(np.concatenate(features) if len(features) else np.empty(0, np.int32), return_inverse=True)
+    pos = np.bincount(ids, weights=(w * y)[rows], minlength=len(seen))
+    neg = np.bincount(ids, weights=(w * (1 - y))[rows], minlength=len(seen))
     p, n = (w * y).sum(), (w * (1 - y)).sum()
     total = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -158,7 +158,7 @@ def standing_out(features: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> tu
     g[~((pos > expected) & (total > 0))] = 0
     best = np.argsort(-g, kind="stable")[:FEATURES]
     best = best[g[best] >= LEAST_G]
-    return best.astype(np.int64), pos[best] / total[best]
+    return seen[best].astype(np.int64), pos[best] / total[best]
 
 
 def label_model(votes: np.ndarray, w: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,9 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -46,3 +48,51 @@ def test_lexicon_gives_ids_of_its_words_only():
     assert {w: lexicon.get(w) for w in words} == words
     assert lexicon.get(b"to") is None and lexicon.get(b"topss") is None and lexicon.get(b"") is None
     assert len(lexicon.final) == 5  # -ops and -aps share their states
+
+
+def test_decoding_of_ids(spark, library):
+    texts = TEXTS[:9] + ["mixed 12 CASE <|endoftext|> words"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    encoded = bpe.encode_texts(docs, PATH, with_ids=True)
+    rows = bpe.decode_texts(encoded, PATH).collect()
+    for r in rows:
+        assert r.decoded == library.decode(r.ids, skip_special_tokens=False) and hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256
+    odd = spark.createDataFrame([([5, 10**6, 7],), (None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in bpe.decode_texts(odd, PATH).collect()] == [library.decode([5, 7], skip_special_tokens=False), None, ""]
+
+
+def test_two_vocabularies_in_one_session(spark, tmp_path, library):
+    """A vocabulary with fewer merges, and a list of frequent words, between two runs with the whole one."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:2000]
+    (tmp_path / "small.json").write_text(json.dumps(spec))
+    small = Tokenizer.from_file(str(tmp_path / "small.json"))
+    docs = spark.createDataFrame([(0, "international understanding of transformers"), (1, "the cat")], "doc_id long, text string")
+    for path, of, frequent in ((PATH, library, None), (str(tmp_path / "small.json"), small, ["the", "cat"]), (PATH, library, ["the", "cat"])):
+        rows = {r.doc_id: r.ids for r in bpe.encode_texts(docs, path, frequent=frequent, with_ids=True).collect()}
+        assert rows == {r.doc_id: of.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+
+
+def test_an_encoder_outlives_its_task(spark):
+    """Reused Python workers keep their encoder: far fewer are made than there are tasks."""
+    docs = spark.range(64).selectExpr("id as doc_id", "'some text' as text").repartition(64)
+    encoded = bpe.encode_texts(docs, PATH)
+
+    def opened(batches):
+        from tracelake.llm import bpe as worker
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(worker._OPEN) == 1] * batch.num_rows)], ["held"])
+
+    assert encoded.count() == 64
+    assert encoded.select("n_tokens").mapInArrow(opened, "held boolean").where("held").count() == 64
+
+
+def test_other_parts_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFKC"}
+    (tmp_path / "odd.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Merger.read(str(tmp_path / "odd.json"))

@@ -19,16 +19,33 @@ import mmap
 import struct
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm.common import shared_dir
 
 END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The parts of a vocabulary file that this module does the work of; a file with others is refused.
+HANDLED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+HANDLED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": None, "ignore_merges": None}
 SPACES = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SHORT = 24  # symbols; longer words are merged with a heap
@@ -56,6 +73,9 @@ class Merger:
     def read(path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             tokenizer = json.load(f)
+        other = [k for k, want in HANDLED.items() if (tokenizer.get(k) or None) != want] + [k for k, want in HANDLED_MODEL.items() if (tokenizer["model"].get(k) or None) != want]
+        if other:
+            raise ValueError(f"{path}: this {', '.join(other)} is not handled")
         merges = [m.split(" ") if isinstance(m, str) else m for m in tokenizer["model"]["merges"]]
         return {"vocab": tokenizer["model"]["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in tokenizer["added_tokens"]}}
 
@@ -183,14 +203,25 @@ class Lexicon:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
+class Decoder:
+    """Ids to text: the tokens' names, parted by spaces, as a vocabulary without a decoder of its own is decoded."""
+
+    def __init__(self, vocab: dict[str, int], special: dict[str, int]):
+        self.name = {n: t for t, n in [*vocab.items(), *special.items()]}
+
+    def decode(self, ids: list[int]) -> str:
+        """Ids that the vocabulary lacks give nothing."""
+        return " ".join([self.name[i] for i in ids if i in self.name])
+
+
 class _Cache(dict):
-    """A string to the ids and the tokens it becomes, each joined by spaces; filled on demand."""
+    """A string to what it becomes; filled on demand."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, string: str) -> tuple[str, str]:
+    def __missing__(self, string: str):
         made = self.make(string)
         if len(string) <= CACHED_WORD:
             if len(self) >= CACHED_WORDS:
@@ -202,43 +233,42 @@ class _Cache(dict):
 class Encoder:
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
-        self.name = {n: t for t, n in [*merger.vocab.items(), *merger.special.items()]}
+        self.decoder = Decoder(merger.vocab, merger.special)
         self.special = regex.compile("(" + "|".join(map(regex.escape, merger.special)) + ")") if merger.special else None
         self.of_piece = _Cache(self.encode_piece)
         self.of_chunk = _Cache(self.encode_chunk)
 
-    def encode_piece(self, piece: str) -> tuple[str, str]:
+    def encode_piece(self, piece: str) -> list[int]:
         ids = self.lexicon.get(piece.encode("utf-8"))
-        if ids is None:
-            tokens = self.merger.tokens(piece)
-            return " ".join([str(self.merger.vocab[t]) for t in tokens]), " ".join(tokens)
-        return " ".join(map(str, ids)), " ".join([self.name[i] for i in ids])
+        return [self.merger.vocab[t] for t in self.merger.tokens(piece)] if ids is None else ids
 
     def encode_chunk(self, chunk: str) -> tuple[str, str]:
-        """A run without white space. Lower-casing goes letter by letter: a final sigma is an ordinary one."""
-        made = [self.of_piece[p] for p in PIECE.findall(chunk.replace("Σ", "σ").lower())]
-        return " ".join([ids for ids, _ in made]), " ".join([tokens for _, tokens in made])
+        """A run without white space: its ids, and what they decode to. Lower-casing goes letter by letter: a final sigma
+        is an ordinary one."""
+        ids = [i for p in PIECE.findall(chunk.replace("Σ", "σ").lower()) for i in self.of_piece[p]]
+        return " ".join(map(str, ids)), self.decoder.decode(ids)
 
     def encode(self, text: str | None) -> tuple[str, str]:
-        """Ids and tokens of a text, each joined by spaces."""
-        ids, tokens = [], []
+        """Ids of a text, joined by spaces, and the text that they decode to: that of its runs, parted as tokens are."""
+        ids, decoded = [], []
         for part in self.special.split(text or "") if self.special and "<" in (text or "") else [text or ""]:
             if part in self.merger.special:
                 ids.append(str(self.merger.special[part]))
-                tokens.append(part)
+                decoded.append(self.decoder.decode([self.merger.special[part]]))
             else:
                 part = unicodedata.normalize("NFC", part)
                 # str.split also splits at \x1c to \x1f, which are no white space here
                 chunks = SPACES.split(part) if SEPARATORS.search(part) else part.split()
                 made = [self.of_chunk[c] for c in chunks if c]
-                ids += [x for x, _ in made]
-                tokens += [x for _, x in made]
-        return " ".join(ids), " ".join(tokens)
+                ids += [x for x, _ in made if x]
+                decoded += [y for x, y in made if x]
+        return " ".join(ids), " ".join(decoded)
 
 
-def store_lexicon(spark: SparkSession, compiled: bytes) -> str:
-    """Put the file into the shared folder, have Spark hand it to the executors, and give its name there."""
-    name = f"lexicon-{hashlib.sha256(compiled).hexdigest()[:16]}.bin"
+def store_lexicon(spark: SparkSession, compiled: bytes, vocabulary: str) -> str:
+    """Put the file into the shared folder, have Spark hand it to the executors, and give its name there, which no other
+    lexicon or vocabulary has."""
+    name = f"lexicon-{hashlib.sha256(compiled + vocabulary.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}.bin"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -253,6 +283,14 @@ def store_lexicon(spark: SparkSession, compiled: bytes) -> str:
 _OPEN: dict[str, Encoder] = {}
 
 
+def opened(name: str, vocabulary: Broadcast) -> Encoder:
+    """The encoder of a lexicon file, made once in each Python worker; the name tells vocabulary and lexicon."""
+    if name not in _OPEN:
+        _OPEN.clear()  # one vocabulary at a time
+        _OPEN[name] = Encoder(Merger(vocabulary.value), Lexicon.open(SparkFiles.get(name)))
+    return _OPEN[name]
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", frequent: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Per row of docs: key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
 
@@ -266,22 +304,23 @@ def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         letters = {x: b for b, x in enumerate(merger.letters)}
         whole = [bytes(letters[c] for c in t[: -len(END)]) for t in spec["vocab"] if t.endswith(END) and t != END]
         frequent = [w for b in whole if (w := b.decode("utf-8", "ignore")).encode("utf-8") == b]
-    lexicon = store_lexicon(spark, compile_lexicon({w.encode("utf-8"): [merger.vocab[t] for t in merger.tokens(w)] for w in frequent if w}))
+    compiled = compile_lexicon({w.encode("utf-8"): [merger.vocab[t] for t in merger.tokens(w)] for w in frequent if w})
+    lexicon = store_lexicon(spark, compiled, json.dumps(spec, sort_keys=True))
     vocabulary = spark.sparkContext.broadcast(spec)
 
     def encode(batches):
-        if lexicon not in _OPEN:
-            _OPEN[lexicon] = Encoder(Merger(vocabulary.value), Lexicon.open(SparkFiles.get(lexicon)))
-        encoder = _OPEN[lexicon]
+        from tracelake.llm import bpe  # the worker's module, which outlives the task; this function comes by value
+
+        encoder = bpe.opened(lexicon, vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 counts, ids_sha, decoded_sha, all_ids = [], [], [], []
                 for value in part.column(1).to_pylist():
-                    ids, tokens = encoder.encode(value)
+                    ids, decoded = encoder.encode(value)
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(tokens.encode("utf-8")).hexdigest())
+                    decoded_sha.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                     if with_ids:
                         all_ids.append(list(map(int, ids.split())))
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
@@ -295,3 +334,16 @@ def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(encode, schema)
+
+
+def decode_texts(encoded: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """encoded with the column `to`: the text that the ids decode to. Null ids give a null text."""
+    spec = Merger.read(tokenizer)
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Decoder(spec["vocab"], spec["special"]))
+
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = vocabulary.value
+        for lists in batches:
+            yield lists.map(lambda x: None if x is None else decoder.decode(list(x)))
+
+    return encoded.withColumn(to, F.pandas_udf(decode, "string")(F.col(f"`{ids}`")))

@@ -6,7 +6,8 @@ follows from the paths that are passed by, and its ids stand in one array under
 shared folder, Spark hands it to every executor, and their Python workers memory-map it. Words that the lexicon lacks
 are merged by the ranks of the vocabulary, exactly.
 
-Cases: a null or empty text has no tokens (empty ids, empty decoded text); repeated rows give repeated results; very
+Cases: of merges with equal rank the leftmost comes first; texts are encoded whole; an empty table gives an empty table;
+a null or empty text has no tokens (empty ids, empty decoded text); repeated rows give repeated results; very
 long words are merged with a heap, in n log n time; columns other than the two named ones are ignored.
 """
 

@@ -1,15 +1,20 @@
 """Quality classifier by co-training of two views.
 
-One classifier reads the text's content (hashed n-grams), the other the page's metadata (source, language, lengths and
-layout figures). Each is first fitted on the labelled sample; then, for some rounds, each hands its confident labels
-for unlabelled documents to the other one. Both are calibrated on a fold that neither has seen, the calibrated views
-are combined by a small regression on that fold, and every whole text is scored in Arrow batches.
-
-Labelled sample and unlabelled pool are bounded (parameters) and the same on every run.
-
-Cases: null and empty texts have no content and are scored by their metadata; null metadata is a value of its own;
-without labels of both classes every score is null and every document is kept; repeated rows score alike; columns
-other than those named are not read.
+One naive Bayes classifier reads a page's content (hashed words and word pairs of its text), the other its metadata
+(source, language, stated length), and neither sees anything of the other's view. Both start from a bounded labelled
+sample and are calibrated on a fold of it that they have not seen. Then, for some rounds, every other document of the
+corpus is scored by both in Spark tasks, and each classifier hands the labels that it is sure of to the other one: what
+the receiving classifier learns from them are sums over the corpus, gathered per task and added up by a shuffle, so no
+pool, no number of handed labels and no text is bounded or collected. At last the calibrated views are combined by a
+share that fits the unseen fold best, and every whole text is scored in Arrow batches.
+
+Sums are whole numbers, so that they are the same in whatever order tasks end.
+
+Cases: null and empty texts have no content and are scored by their metadata; null metadata is a value of its own; without
+labels of both classes every score is null and every document is kept; a score on the threshold keeps a document, one on
+the bound of being sure counts as sure; very long texts are read whole; rows without an id are scored and learnt from as
+others; of several labels of one document the largest counts; repeated rows score alike, and weigh as often as they
+come; an empty table gives an empty table; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -23,129 +28,173 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm import quality
+from tracelake.llm import quality, textvec
 from tracelake.llm.common import bounded_sample
 
-LABELLED, POOL = 2000, 2000
-ROUNDS = 3
+LABELLED = 2000  # rows that the first classifiers are fitted and all are calibrated on, at most
+ROUNDS = 2
 SURE = 0.97
-HANDED = 200  # pseudo-labels of each class and view in a round, at most
-META_BITS = 12
+TEXT_BITS, META_BITS = 16, 12
+UNIT = 1 << 20  # a document's mass in the sums
+SMOOTH = 0.05  # of a class's mass, spread over all buckets
 THRESHOLD = 0.5
+VIEWS = ("text", "meta")
+FIELDS = ["text", "source", "lang", "n_chars"]
+SIZE = {"text": 1 << TEXT_BITS, "meta": 1 << META_BITS}
 
 
-def layout(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """Buckets of a page's metadata: each feature with its value is one bucket."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def shape(raw: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """What a text looks like: shares of kinds of bytes, of distinct words and of short lines, and lengths."""
     of = np.bincount(raw, minlength=256)
-    lines = (text or "").split("\n")
-    upper, digits, spaces, beyond = int(of[65:91].sum()), int(of[48:58].sum()), int(of[32]), int(of[0xC2:].sum())
-    letters = upper + int(of[97:123].sum()) + beyond  # letters beyond ASCII count once, by their first byte
-    chars = max(int(of[:0x80].sum()) + beyond, 1)
-    share = lambda x: min(20, 20 * x // chars)
-    short = sum(len(x) < 40 for x in lines)
-    named = [
-        f"source={source}", f"lang={lang}", f"chars={int(n_chars or 0).bit_length()}", f"size={chars.bit_length()}", f"lines={len(lines).bit_length()}",
-        f"line={(chars // len(lines)).bit_length()}", f"letters={share(letters)}", f"upper={share(upper)}", f"digits={share(digits)}",
-        f"spaces={share(spaces)}", f"short={10 * short // len(lines)}", f"ends={sum(x.rstrip()[-1:] in '.!?' for x in lines) * 10 // len(lines)}",
-        f"marks={min(20, max(0, 100 * (chars - letters - digits - spaces)) // chars)}", f"bars={min(10, 200 * int(of[124]) // chars)}", f"stars={min(10, 200 * int(of[[42, 35, 36, 37, 38]].sum()) // chars)}",
-    ]
-    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % (1 << META_BITS) for x in named], np.int64)
+    n, lines = len(raw), np.diff(np.concatenate([[-1], np.flatnonzero(raw == 10), [len(raw)]])) - 1
+    kinds = {"letters": of[97:123].sum(), "digits": of[48:58].sum(), "blanks": of[32], "beyond": of[128:].sum(), "marks": of[[33, 44, 46, 63]].sum(), "signs": of[[35, 36, 37, 38, 42, 60, 62, 124]].sum(), "rest": of[33:48].sum() + of[58:65].sum() + of[91:97].sum() + of[123:127].sum()}
+    parts = {**{k: v / n for k, v in kinds.items()}, "distinct": len(np.unique(words)) / len(words), "short": (lines < 40).mean()}
+    return [f"{k}={int(np.ceil(20 * x))}".encode() for k, x in parts.items()] + [b"words=%d" % len(words).bit_length(), b"lines=%d" % len(lines).bit_length()]
 
 
-def meta_values(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.unique(buckets)
-    return ids, np.full(len(ids), 1 / np.sqrt(max(len(ids), 1)))
+def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's words and word pairs, and the share of each among them."""
+    raw = textvec.LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    starts, ends = textvec.word_bounds(raw)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0)
+    words = textvec.span_hashes(raw, starts, ends)
+    hashes = np.concatenate([words, textvec.pair_hashes(words[:-1], words[1:])])
+    form = [zlib.crc32(x) % SIZE["text"] for x in shape(raw, words)]
+    buckets = np.concatenate([(hashes >> np.uint64(64 - TEXT_BITS)).astype(np.int64), form])
+    ids, at = np.unique(buckets, return_inverse=True)
+    part = np.full(len(buckets), 0.5 / len(hashes))
+    part[len(hashes) :] = 0.5 / len(form)
+    return ids, np.bincount(at, weights=part)
 
 
-def views(rows: DataFrame) -> pa.Table:
-    """Label, fold and both views' features of rows (at, y, fold, text, source, lang, n_chars); made in tasks."""
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of what is stated about a page: each field with its value, and each two of them."""
+    length = None if n_chars is None else int(4 * np.log2(max(int(n_chars), 0) + 1))
+    named = [f"source={source}", f"lang={lang}", f"length={length}"]
+    named += [f"{a}&{b}" for i, a in enumerate(named) for b in named[i + 1 :]]
+    ids = np.unique([zlib.crc32(x.encode("utf-8", "surrogatepass")) % SIZE["meta"] for x in named])
+    return ids, np.full(len(ids), 1 / len(ids))
 
-    def make(batches):
-        for batch in batches:
-            cells = [c.to_pylist() for c in batch.columns[3:]]
-            content = [quality.values(quality.features(t)) for t in cells[0]]
-            meta = [meta_values(layout(*x))[0] for x in zip(*cells, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([i for i, _ in content], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in content], pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int32()))],
-                ["at", "y", "fold", "ids", "vals", "meta"],
-            )
 
-    return rows.mapInArrow(make, "at bigint, y int, fold int, ids array<int>, vals array<float>, meta array<int>").toArrow().sort_by("at")
+def both_views(text, source, lang, n_chars) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {"text": content(text), "meta": metadata(source, lang, n_chars)}
 
 
-def _scores(view: dict, data: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    return np.array([view["coef"][i] @ v for i, v in data]) + view["bias"]
+def mass(shares: np.ndarray) -> np.ndarray:
+    """Shares as whole numbers, for sums."""
+    return np.rint(shares * UNIT).astype(np.int64)
 
 
-def _fit(data: list[tuple[np.ndarray, np.ndarray]], y: dict[int, float], bits: int) -> dict:
-    rows = sorted(y)
-    coef, bias = quality.fit_rows([data[i][0] for i in rows], [data[i][1] for i in rows], np.array([y[i] for i in rows]), 1 << bits)
-    return {"coef": coef, "bias": bias, "a": 1.0, "b": 0.0}
+def no_sums() -> dict[str, np.ndarray]:
+    return {v: np.zeros((2, SIZE[v]), np.int64) for v in VIEWS}
 
 
-def _calibrate(view: dict, data: list, hold: np.ndarray, y: np.ndarray) -> None:
-    if len(hold) and y[hold].min() != y[hold].max():
-        view["a"], view["b"] = quality.platt(_scores(view, [data[i] for i in hold]), y[hold])
+def weights(sums: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket: its smoothed share of the mass of class 1 against that of class 0."""
+    part = sums / UNIT
+    total = np.maximum(part.sum(axis=1, keepdims=True), 1.0)
+    part = (part + SMOOTH * total / sums.shape[1]) / (total * (1 + SMOOTH))
+    return (np.log(part[1]) - np.log(part[0])).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict | None:
-    """Both calibrated views and their combination."""
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    known = bounded_sample(usable, "doc_id", labelled)
-    free = bounded_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(usable, "doc_id", "left_anti"), "doc_id", pool).select("doc_id", F.lit(None).cast("int").alias("y"))
-    chosen = known.select("doc_id", "y").unionByName(free)
-    fields = [F.col(c) for c in ("text", "source", "lang", "n_chars")]
-    rows = docs.select("doc_id", *fields).join(F.broadcast(chosen), "doc_id")
+def log_odds(view: dict, feature: tuple[np.ndarray, np.ndarray]) -> float:
+    return view["a"] * float(view["w"][feature[0]] @ feature[1]) + view["b"]
+
+
+def fitted(sums: dict[str, np.ndarray], held: list[dict], y: np.ndarray) -> dict[str, dict]:
+    """Both views from their sums, calibrated on the held rows."""
+    model = {}
+    for v in VIEWS:
+        view = {"w": weights(sums[v]), "a": 1.0, "b": 0.0}
+        if len(held) and y.min() != y.max():
+            view["a"], view["b"] = quality.platt(np.array([log_odds(view, x[v]) for x in held]), y)
+        model[v] = view
+    return model
+
+
+def labelled_rows(docs: DataFrame, sample: DataFrame) -> pa.Table:
+    """y, fold and both views of the sample's documents; made in tasks. The sample is bounded."""
+
+    def make(batches):
+        for batch in batches:
+            cells = [both_views(*x) for x in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)]
+            ids = [pa.array([x[v][0] for x in cells], pa.list_(pa.int32())) for v in VIEWS]
+            shares = [pa.array([x[v][1] for x in cells], pa.list_(pa.float64())) for v in VIEWS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ids, *shares], ["at", "y", "fold", "text_ids", "meta_ids", "text_shares", "meta_shares"])
+
     fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)).cast("int")
-    got = views(rows.select(F.xxhash64("doc_id", "text").alias("at"), "y", fold.alias("fold"), *fields))
-    y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()], float)
-    fold = np.array(got["fold"].to_pylist())
-    list_of = lambda c, kind: [np.asarray(x, kind) for x in got[c].to_numpy(zero_copy_only=False)]
-    content = list(zip(list_of("ids", np.int32), list_of("vals", np.float32), strict=True))
-    meta = [meta_values(x) for x in list_of("meta", np.int64)]
-    learn, hold = np.flatnonzero(~np.isnan(y) & (fold != 0)), np.flatnonzero(~np.isnan(y) & (fold == 0))
+    rows = docs.select("doc_id", *FIELDS).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", *FIELDS).alias("at"), "y", fold.alias("fold"), *FIELDS)
+    return rows.mapInArrow(make, "at bigint, y int, fold int, text_ids array<int>, meta_ids array<int>, text_shares array<double>, meta_shares array<double>").toArrow().sort_by("at")
+
+
+def handed_sums(docs: DataFrame, sample: DataFrame, model: dict[str, dict]) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """What each view learns from the other's sure labels of all documents outside the sample, and how many these are.
+
+    A task sends one row for each bucket that it has met; the driver gets one for each bucket there is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def gather(batches):
+        model, sums, handed = shared.value, no_sums(), np.zeros((2, 2), np.int64)
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                views = both_views(*x)
+                for v, other in enumerate(("meta", "text")):  # VIEWS[v] learns from the other one
+                    p = 1 / (1 + np.exp(-np.clip(log_odds(model[other], views[other]), -30, 30)))
+                    if len(views[other][0]) and (p >= SURE or p <= 1 - SURE):
+                        ids, shares = views[VIEWS[v]]
+                        sums[VIEWS[v]][int(p > 0.5), ids] += mass(shares)
+                        handed[v, int(p > 0.5)] += 1
+        for v, name in enumerate(VIEWS):
+            for label in (0, 1):
+                at = np.flatnonzero(sums[name][label])
+                buckets, masses = np.append(at, -1), np.append(sums[name][label, at], handed[v, label])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), z, np.int32)) for z in (v, label)] + [pa.array(buckets.astype(np.int32)), pa.array(masses)], ["view", "label", "bucket", "mass"])
+
+    others = docs.select("doc_id", *FIELDS).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").select(*FIELDS)
+    found = others.mapInArrow(gather, "view int, label int, bucket int, mass bigint").groupBy("view", "label", "bucket").agg(F.sum("mass").alias("mass")).where("mass > 0").toArrow()
+    view, label, bucket, amount = (found.column(c).to_numpy() for c in ("view", "label", "bucket", "mass"))
+    sums, handed = no_sums(), {}
+    for v, name in enumerate(VIEWS):
+        here = (view == v) & (bucket >= 0)
+        sums[name][label[here], bucket[here]] = amount[here]
+        handed[name] = int(amount[(view == v) & (bucket < 0)].sum())
+    return sums, handed
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> dict | None:
+    """Both calibrated views, their combination, and how many labels each view was handed in the last round."""
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    sample = bounded_sample(usable, "doc_id", labelled)
+    got = labelled_rows(docs, sample)
+    y, fold = (np.array(got[c].to_pylist(), float) for c in ("y", "fold"))
+    lists = {c: got[c].to_numpy(zero_copy_only=False) for c in got.column_names[3:]}
+    rows = [{v: (np.asarray(lists[f"{v}_ids"][i], np.int64), np.asarray(lists[f"{v}_shares"][i], float)) for v in VIEWS} for i in range(len(y))]
+    learn, hold = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     if not len(learn) or y[learn].min() == y[learn].max():
         return None
-    data = {"text": (content, quality.BITS), "meta": (meta, META_BITS)}
-    known_to = {name: {int(i): float(y[i]) for i in learn} for name in data}
-    fitted = {}
-    for r in range(rounds + 1):
-        for name, (rows_of, bits) in data.items():
-            fitted[name] = _fit(rows_of, known_to[name], bits)
-            _calibrate(fitted[name], rows_of, hold, y)
-        if r == rounds:
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            open_rows = [int(i) for i in np.flatnonzero(np.isnan(y)) if int(i) not in known_to[other]]
-            if not open_rows:
-                continue
-            view = fitted[name]
-            p = 1 / (1 + np.exp(-np.clip(view["a"] * _scores(view, [data[name][0][i] for i in open_rows]) + view["b"], -30, 30)))
-            order = np.argsort(p, kind="stable")
-            for k in order[:HANDED]:
-                if p[k] <= 1 - SURE:
-                    known_to[other][open_rows[k]] = 0.0
-            for k in order[::-1][:HANDED]:
-                if p[k] >= SURE:
-                    known_to[other][open_rows[k]] = 1.0
-    logit = {name: fitted[name]["a"] * _scores(fitted[name], [data[name][0][i] for i in hold]) + fitted[name]["b"] for name in data}
-    model = {"text": fitted["text"], "meta": fitted["meta"], "wt": 0.5, "wm": 0.5, "a": 1.0, "b": 0.0}
+    known = no_sums()
+    for i in learn:
+        for v in VIEWS:
+            known[v][int(y[i]), rows[i][v][0]] += mass(rows[i][v][1])
+    held, model, handed = [rows[i] for i in hold], None, dict.fromkeys(VIEWS, 0)
+    model = fitted(known, held, y[hold])
+    for _ in range(rounds):
+        sums, handed = handed_sums(docs, sample, model)
+        model = fitted({v: known[v] + sums[v] for v in VIEWS}, held, y[hold])
+    out = {**model, "share": 0.5, "a": 1.0, "b": 0.0, "handed": handed}
     if len(hold) and y[hold].min() != y[hold].max():
-        # the share of the content view that fits the unseen fold best, then calibrated
-        loss = lambda w: np.log1p(np.exp(-(2 * y[hold] - 1) * np.clip(w * logit["text"] + (1 - w) * logit["meta"], -30, 30))).mean()
-        model["wt"] = min((k / 10 for k in range(11)), key=loss)
-        model["wm"] = 1 - model["wt"]
-        model["a"], model["b"] = quality.platt(model["wt"] * logit["text"] + model["wm"] * logit["meta"], y[hold])
-    for name in data:
-        model[name]["coef"] = model[name]["coef"].astype(np.float32)
-    model["handed"] = {name: len(known_to[name]) - len(learn) for name in data}
-    return model
+        z = {v: np.array([log_odds(model[v], x[v]) for x in held]) for v in VIEWS}
+        loss = lambda s: np.log1p(np.exp(-(2 * y[hold] - 1) * np.clip(s * z["text"] + (1 - s) * z["meta"], -30, 30))).mean()
+        out["share"] = min((k / 10 for k in range(11)), key=loss)
+        out["a"], out["b"] = quality.platt(out["share"] * z["text"] + (1 - out["share"]) * z["meta"], y[hold])
+    return out
 
 
-def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
     """Per row: doc_id, p_text, p_meta, score, kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
 
     def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = model.value
@@ -156,12 +205,10 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
                 if m is None:
                     rows.append((None, None, None, True))
                     continue
-                z = []
-                for name, (ids, vals) in (("text", quality.values(quality.features(t))), ("meta", meta_values(layout(t, s, g, None if pd.isna(n) else int(n))))):
-                    view = m[name]
-                    z.append(view["a"] * (float(view["coef"][ids] @ vals) + view["bias"]) + view["b"])
-                score = sigmoid(m["a"] * (m["wt"] * z[0] + m["wm"] * z[1]) + m["b"])
-                rows.append((sigmoid(z[0]), sigmoid(z[1]), score, score >= threshold))
+                x = both_views(t, s, g, None if pd.isna(n) else int(n))
+                z = {v: log_odds(m[v], x[v]) for v in VIEWS}
+                score = sigmoid(m["a"] * (m["share"] * z["text"] + (1 - m["share"]) * z["meta"]) + m["b"])
+                rows.append((sigmoid(z["text"]), sigmoid(z["meta"]), score, score >= threshold))
             yield pd.DataFrame(rows, columns=["p_text", "p_meta", "score", "kept"])
 
     scored = F.pandas_udf(judge, "p_text double, p_meta double, score double, kept boolean")

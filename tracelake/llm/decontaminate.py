@@ -100,23 +100,25 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     counts = {r.n: r["count"] for r in known.groupBy("n").count().collect()}  # at most `width` rows
     sizes, total, to, words = sorted(counts), sum(counts.values()), unused("judged", docs), alnum_words(F.col(f"`{text}`"))
     none = F.array().cast("array<struct<at:struct<first:int,last:int>,items:array<string>>>")
+
+    def verdict(w: Column, hits: Column) -> Column:
+        spans = lambda h: F.array_sort(F.array_distinct(F.transform(h, lambda x: x["at"])))
+        items = lambda h: F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: x["items"]))))
+        n_words = F.size(w).cast("bigint")
+        told = lambda h, at, n: F.struct(n_words.alias("n_words"), n.alias("n_hit"), items(h).alias("items"), at.alias("positions"), ((n > 0) & (share * n >= n_words)).alias("contaminated"))
+        return bind(hits, lambda h: bind(spans(h), lambda at: bind(covered(at), lambda n: told(h, at, n))))
+
+    # all is one expression that names the text and the table once: no row ever holds the table, and a filter on the
+    # verdict, which Spark moves into the scan, works it out once
     if total <= broadcast_windows:
         buckets, table = max(1, 2 * total), unused("known", docs)
         hits = lambda w: bind(F.col(table), lambda t: looked_up(w, sizes, t, buckets)) if sizes else none
-        # words and table are bound within one expression, so no row ever holds the table
         seen = docs.withColumn(table, hash_table(known, buckets).scalar())
-        marked = seen.withColumn(to, bind(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), hits(w).alias("hits")))).drop(table)
-    else:
-        a, b, c, d, found = (unused(n, docs) for n in ("row_a", "row_b", "hit_a", "hit_b", "hits"))
-        k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
-        joined = docs.withColumn(a, k1).withColumn(b, k2).join(joined_hits(docs, known, sizes, key, text).toDF(c, d, found), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
-        marked = joined.withColumn(to, F.struct(F.size(words).cast("bigint").alias("n_words"), F.coalesce(found, none).alias("hits"))).drop(a, b, c, d, found)
-    spans = F.array_sort(F.array_distinct(F.transform(f"{to}.hits", lambda h: h["at"])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform(f"{to}.hits", lambda h: h["items"]))))
-    figures = lambda at: F.struct(F.col(f"{to}.n_words").alias("n_words"), covered(at).alias("n_hit"), items.alias("items"), at.alias("positions"))
-    marked = marked.withColumn(to, bind(spans, figures))
-    bad = (F.col(f"{to}.n_hit") > 0) & (share * F.col(f"{to}.n_hit") >= F.col(f"{to}.n_words"))
-    return marked.withColumn(to, F.struct(f"{to}.*", bad.alias("contaminated"))), to
+        return seen.withColumn(to, bind(words, lambda w: verdict(w, hits(w)))).drop(table), to
+    a, b, c, d, found = (unused(n, docs) for n in ("row_a", "row_b", "hit_a", "hit_b", "hits"))
+    k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    joined = docs.withColumn(a, k1).withColumn(b, k2).join(joined_hits(docs, known, sizes, key, text).toDF(c, d, found), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    return joined.withColumn(to, bind(words, lambda w: verdict(w, F.coalesce(found, none)))).drop(a, b, c, d, found), to
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
@@ -135,7 +137,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
     """docs without the contaminated rows; all columns stay as they are."""
     marked, to = judge(docs, benchmark, **bounds)
-    return marked.where(~F.col(f"{to}.contaminated")).drop(to)
+    # coalesce: otherwise Spark adds a test for null, which works the verdict out a second time
+    return marked.where(F.coalesce(~F.col(f"{to}.contaminated"), F.lit(True))).drop(to)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **bounds: int) -> DataFrame:
@@ -143,3 +146,18 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **bo
     marked, to = judge(docs, benchmark, text=text, **bounds)
     kept = F.filter(alnum_words(F.col(f"`{text}`")), lambda _, i: ~F.exists(f"{to}.positions", lambda p: i.between(p["first"], p["last"])))
     return marked.withColumn(text, F.when(F.col(f"{to}.contaminated"), F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))).drop(to)
+
+
+#: The same rows in SQL.
+SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM starts),
+places AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+hits AS (SELECT rid, i, p.n, item FROM places p JOIN windows v ON v.n = p.n AND v.t = array_to_string(p.w[i:i + p.n - 1], ' ')),
+covered AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""

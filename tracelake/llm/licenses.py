@@ -9,7 +9,8 @@ Rules detect different things: names, short names, header sentences and characte
 identifiers in SPDX lines, notices. A citation before a name is part of the detection and gives its score. Priority is
 the rules' order.
 
-Cases: a null text counts as empty; no words means no detections and score 0; repeated rows give repeated results;
+Cases: a text of any length is one row, its time grows with its length and the rules whose keywords occur; of equal
+detections the earlier rule's stays; an empty table gives an empty table; a null text counts as empty; no words means no detections and score 0; repeated rows give repeated results;
 other columns are not read.
 """
 

@@ -16,7 +16,8 @@
 All links between classes that share a band are found. At similarity 0.8, sets of very many shingles share none of the
 40 bands of 5 registers with a chance of about 1e-7.
 
-Cases: null and empty texts, and texts without words, have no shingles and stand alone; fewer words than a shingle has
+Cases: very long texts make large sets and are compared whole; a pair right on the threshold is a link; an empty table
+gives an empty table; null and empty texts, and texts without words, have no shingles and stand alone; fewer words than a shingle has
 make one shingle; rows with equal ids are one document with all their texts' links; a null id gives a null component
 unless its text's group has an id; equal rows get equal results; other columns are not read.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm import textvec
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, unused
 
 BANDS, ROWS = 40, 5
 BUCKETS = BANDS * ROWS
@@ -41,6 +42,7 @@ COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 6.0  # standard deviations that an estimate may lie under the threshold
 BROADCAST_IDS = 1_000_000  # of 8 bytes
 LINKS_A_TASK = 200_000
+ROWS_AT_ONCE = 128  # texts that a worker holds as Python strings
 NULL_IDS = 1 << 62  # classes without an id are named from here on
 #: The buckets that each bucket asks when it is empty, itself first.
 ASKED = np.argsort(textvec.mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS), axis=1)
@@ -90,7 +92,7 @@ def sketched(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """id, n, h1, h2 (digest of the set), regs of each row."""
 
     def make(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             counts, h1, h2, regs = [], [], [], []
             for value in batch.column(1).to_pylist():
                 s = shingle_set(value, n)
@@ -144,8 +146,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, n: int) -> D
 
     def make(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, n).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "set"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -259,6 +261,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 def remove_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group; all columns stay as they are. Rows without an id are all kept."""
-    gone = groups(docs, key, text, words, percent).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
+    to = unused("gone", docs)
+    gone = cut(groups(docs, key, text, words, percent).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias(to)).distinct())
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(key).cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`").cast("bigint") == F.col(to), "left_anti")
+
+
+#: The rows of groups for pairs of words in SQL, all pairs of sets that share a hash compared.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS node, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+each AS (SELECT node, n, unnest(s) AS e FROM classes),
+common AS (SELECT a.node AS x, b.node AS y FROM each a JOIN each b ON a.e = b.e AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM common UNION ALL SELECT y, x FROM common),
+reached(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+roots AS (SELECT x AS node, least(x, min(y)) AS root FROM reached GROUP BY x)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN doc_id ELSE coalesce(root, node) END AS component_id, doc_id = CASE WHEN len(s.s) = 0 THEN doc_id ELSE coalesce(root, node) END AS kept
+FROM sets s LEFT JOIN classes c ON c.n = len(s.s) AND c.s = list_sort(s.s) LEFT JOIN roots USING (node)
+"""

@@ -5,7 +5,9 @@ root of each bucket's share as value. It is fitted on a bounded sample (paramete
 a fifth of the sample that it has not seen (Platt), and whole texts are scored in Arrow batches against a fixed
 threshold.
 
-Cases: null and empty texts have no words and fail the base rules; texts without usable labels around (no sample, or
+Cases: null and empty texts have no words and fail the base rules; a text of any length is read whole, in time and
+memory that grow with its length; a probability on the threshold keeps a document; an empty table gives an empty table;
+texts without usable labels around (no sample, or
 one class only) are kept or not by the base rules alone; repeated rows give repeated results; other columns are not
 read.
 """

@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.SQL}
+    return {"op3_urls": urls.SQL, "op4_neardup": neardup.SQL, "op9_decontaminate": decontaminate.SQL}

@@ -12,7 +12,8 @@ next version, which moves only the slots that the edit names.
 Hash input is the key with the text's hash, so that one key with very many rows still spreads over slots. The places of
 records within a shard are counted per virtual slot and then offset by the slots before it; no task orders a shard.
 
-Cases: a null text has size 1 and the checksum of the empty text; null keys are hashed like any value; equal rows may
+Cases: a text of any length counts by its bytes, so one larger than the mean shard makes its shard the largest; equal
+loads go to the shard with the lower number; a null text has size 1 and the checksum of the empty text; null keys are hashed like any value; equal rows may
 swap their places, which changes nothing; an empty table gives an empty table; other columns are not read.
 """
 

@@ -8,7 +8,8 @@ posterior labels train a linear classifier over hashed words and word beginnings
 The sample's bound is a parameter; features come from Spark tasks, the driver sees hashed features of the sample only.
 Rows whose crc32(key as text) mod 5 is 0 are never learnt from. Labels, language, source and id are no inputs.
 
-Cases: null and empty texts score as a text without any hit; without labels of both classes the prior alone scores
+Cases: a text of any length is read whole, a word counts once in it; a score of 0.5 is toxic; of several labels of one
+document the largest counts; an empty table gives an empty table; null and empty texts score as a text without any hit; without labels of both classes the prior alone scores
 (0.0 with no toxic label); labels of null or unknown documents are passed by; repeated rows score alike; clashing
 columns are not read.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_sample
+from tracelake.llm.common import bounded_sample, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 21
@@ -38,7 +39,7 @@ FEATURES = 1500
 LEAST_G = 18.0
 MINED_VOTERS = 24
 VOTER_PRECISION = 0.8
-CACHED = 400_000
+CACHED = 50_000
 
 #: Insults, grouped by what they say.
 LEXICONS = {
@@ -257,4 +258,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more; all columns stay as they are."""
-    return score(docs, fit(docs, labels), to="__toxic").where(F.col("__toxic") < 0.5).drop("__toxic")
+    to = unused("toxic_score", docs)
+    return score(docs, fit(docs, labels), to=to).where(F.col(to) < 0.5).drop(to)

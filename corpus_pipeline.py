@@ -16,22 +16,27 @@ from tracelake.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that score 0.5 or more; null and empty texts stay, as do all columns. Without labels of both classes none goes."""
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id. Documents without words or id stay."""
     return neardup.remove_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those of whose words a benchmark's windows hold one in twenty or more; null and empty texts stay."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with secrets replaced in the text, and n_chars put right; no document goes, null texts stay null."""
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number and digests of the tokens, and the ids themselves, of every document; null and empty texts have none."""
     return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 

@@ -61,6 +61,11 @@ def micros(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
 
 
+def weighted_total(micro: Column, n: Column) -> Column:
+    """The sum of microseconds that occur n times each, as a decimal: no sum is too large."""
+    return F.sum(micro.cast("decimal(20,0)") * n.cast("decimal(17,0)"))
+
+
 def total(micro: Column) -> Column:
     """The sum of microseconds, in seconds and rest, so that no sum of spans is too large for a bigint."""
     rest = F.pmod(micro, F.lit(1_000_000))

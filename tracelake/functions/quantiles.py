@@ -18,7 +18,12 @@ def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[fl
     the values of those are put in order, each bucket on its own. Groups are few (pairs of activities at most), so what
     is broadcast, some ranks a group, is small. Without keys there is one row, with nulls for nothing.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket(F.col("_v")))
+    return quantiles_of(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, "_n", shares)
+
+
+def quantiles_of(counts: DataFrame, keys: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
+    """The same over distinct values with their counts."""
+    counted = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(n).alias("_n")).withColumn("_b", bucket(F.col("_v")))
     buckets = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     places = buckets.withColumn("_upto", upto).withColumn("_total", F.sum("_m").over(Window.partitionBy(*keys)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import micros, quantile_seconds, seconds, total
-from tracelake.functions.quantiles import with_quantiles
+from tracelake.functions.measures import micros, quantile_seconds, seconds, weighted_total
+from tracelake.functions.quantiles import quantiles_of
 
 NEEDED = ("case_id", "event_index", "activity", "timestamp")
 
@@ -28,11 +28,21 @@ def occurrences(log: DataFrame) -> DataFrame:
     return paired.where(F.col("next").isNotNull()).select("source", "target", "case_id", micros(F.col("timestamp"), F.col("next")).alias("micro"))
 
 
+PAIR = ["source", "target"]
+
+
+def counted_steps(log: DataFrame) -> DataFrame:
+    """source, target, micro, n (occurrences), k (cases that have the pair here first): all that is told of pairs
+    follows from these counts, so the log is read once."""
+    fresh = F.row_number().over(Window.partitionBy("case_id", *PAIR).orderBy("micro")) == 1  # in the case's partition
+    return occurrences(log).withColumn("fresh", fresh.cast("int")).groupBy(*PAIR, "micro").agg(F.count("*").alias("n"), F.sum("fresh").alias("k"))
+
+
 def edges(log: DataFrame) -> DataFrame:
-    steps = occurrences(log)
-    found = steps.groupBy("source", "target").agg(F.count("*").alias("frequency"), F.count_distinct("case_id").alias("case_frequency"), total(F.col("micro")).alias("s"))
-    joined = found.join(with_quantiles(steps, ["source", "target"], "micro", [0.5]), ["source", "target"])
-    return joined.select("source", "target", "frequency", "case_frequency", (seconds(F.col("s")) / F.col("frequency")).alias("mean_duration_seconds"), quantile_seconds(F.get("_q", F.lit(0))).alias("median_duration_seconds"))
+    steps = counted_steps(log)
+    found = steps.groupBy(*PAIR).agg(F.sum("n").alias("frequency"), F.sum("k").alias("case_frequency"), weighted_total(F.col("micro"), F.col("n")).alias("s"))
+    joined = found.join(quantiles_of(steps, PAIR, "micro", "n", [0.5]), PAIR)
+    return joined.select("source", "target", "frequency", "case_frequency", seconds(F.col("s").cast("double") / F.col("frequency")).alias("mean_duration_seconds"), quantile_seconds(F.get("_q", F.lit(0))).alias("median_duration_seconds"))
 
 
 def by_frequency(edges: DataFrame) -> DataFrame:

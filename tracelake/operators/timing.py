@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import dispersion, micros, quantile_seconds, seconds, total
-from tracelake.functions.quantiles import with_quantiles
+from tracelake.functions.measures import dispersion, micros, quantile_seconds, seconds, total, weighted_total
+from tracelake.functions.quantiles import quantiles_of, with_quantiles
 from tracelake.operators import dfg
 
 MIN_OCCURRENCES, SLOW_QUANTILE, DISPERSION = 30, 0.75, 0.5
@@ -25,9 +25,9 @@ KINDS = ["uniformly_slow", "slow_and_variable", "high_variance", "not_flagged",
 
 def waits(log: DataFrame) -> DataFrame:
     """Statistics of each transition's waits, in seconds; _s: their sum in microseconds."""
-    steps = dfg.occurrences(log)
-    found = steps.groupBy("source", "target").agg(F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("cases"), total(F.col("micro")).alias("_s"), F.max("micro").alias("_max"))
-    found = found.join(with_quantiles(steps, ["source", "target"], "micro", [0.25, 0.5, 0.75, 0.9, 0.99]), ["source", "target"])
+    steps = dfg.counted_steps(log)
+    found = steps.groupBy(*dfg.PAIR).agg(F.sum("n").alias("occurrences"), F.sum("k").alias("cases"), weighted_total(F.col("micro"), F.col("n")).alias("_s"), F.max("micro").alias("_max"))
+    found = found.join(quantiles_of(steps, dfg.PAIR, "micro", "n", [0.25, 0.5, 0.75, 0.9, 0.99]), dfg.PAIR)
     columns = [quantile_seconds(F.get("_q", F.lit(i))).alias(f"{n}_seconds") for i, n in enumerate(NAMES)]
     return found.select("source", "target", "occurrences", "cases", "_s", seconds(F.col("_s")).alias("total_seconds"), (F.col("_s").cast("double") / F.col("occurrences") / F.lit(1e6)).alias("mean_seconds"), *columns, seconds(F.col("_max")).alias("max_seconds"))
 

@@ -109,7 +109,7 @@ def distribution(values: DataFrame, column: str, by: list[str] | None = None, va
     known = values.where(F.col(column).isNotNull()).select(*by, column, F.round(F.col(column) * 1e6).cast("bigint").alias("_micro"))
     if validate and known.isEmpty():
         raise ValueError("no values to summarize")
-    sums = known.groupBy(*by).agg(F.count("*").alias("count"), (seconds(total(F.col("_micro"))) / F.count("*")).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    sums = known.groupBy(*by).agg(F.count("*").alias("count"), seconds(total(F.col("_micro")).cast("double") / F.count("*")).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
     spread = with_quantiles(known, by, "_micro", [0.5, 0.9, 0.99])
     both = sums.join(spread, by) if by else sums.join(F.broadcast(spread))  # one row each
     q = lambda i, name: quantile_seconds(F.get("_q", F.lit(i))).alias(name)

@@ -29,7 +29,7 @@ from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shared_dir
+from tracelake.llm.common import shared_dir, small_batches
 
 END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -331,7 +331,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(key, text)
+    rows = small_batches(docs).select(key, text)
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(encode, schema)

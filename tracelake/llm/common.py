@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+BATCH_ROWS = 512  # of whole texts
+
 #: Words between ASCII white space, and runs of ASCII letters, digits and any non-ASCII character.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to hand rows to Python workers in batches of BATCH_ROWS at most, since each batch holds whole
+    texts, in the JVM's memory beside the heap and in the worker's. A session with smaller batches keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased. Where a text has one byte a character, lower does just that, and quicker."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

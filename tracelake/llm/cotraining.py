@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import quality, textvec
-from tracelake.llm.common import bounded_sample
+from tracelake.llm.common import bounded_sample, small_batches
 
 LABELLED = 2000  # rows that the first classifiers are fitted and all are calibrated on, at most
 ROUNDS = 2
@@ -124,7 +124,7 @@ def labelled_rows(docs: DataFrame, sample: DataFrame) -> pa.Table:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ids, *shares], ["at", "y", "fold", "text_ids", "meta_ids", "text_shares", "meta_shares"])
 
     fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)).cast("int")
-    rows = docs.select("doc_id", *FIELDS).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", *FIELDS).alias("at"), "y", fold.alias("fold"), *FIELDS)
+    rows = small_batches(docs).select("doc_id", *FIELDS).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", *FIELDS).alias("at"), "y", fold.alias("fold"), *FIELDS)
     return rows.mapInArrow(make, "at bigint, y int, fold int, text_ids array<int>, meta_ids array<int>, text_shares array<double>, meta_shares array<double>").toArrow().sort_by("at")
 
 

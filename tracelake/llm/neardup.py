@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm import textvec
-from tracelake.llm.common import cut, unused
+from tracelake.llm.common import cut, small_batches, unused
 
 BANDS, ROWS = 40, 5
 BUCKETS = BANDS * ROWS
@@ -103,7 +103,7 @@ def sketched(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 regs.append(registers(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary())], ["id", "n", "h1", "h2", "regs"])
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text)).mapInArrow(make, "id bigint, n bigint, h1 bigint, h2 bigint, regs binary")
+    return small_batches(docs).select(F.col(key).cast("bigint").alias("id"), F.col(text)).mapInArrow(make, "id bigint, n bigint, h1 bigint, h2 bigint, regs binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import textvec
-from tracelake.llm.common import bounded_sample
+from tracelake.llm.common import bounded_sample, small_batches
 
 BITS = 16
 SAMPLE = 3000
@@ -123,7 +123,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
     """Labels, buckets, values and the calibration fold of a bounded labelled sample; features are made in tasks."""
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     sample = bounded_sample(usable, key, bound).withColumn("__fold", F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(5)).cast("int"))
-    rows = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(sample), key).select(F.xxhash64(key, "__text").alias("__at"), "__y", "__fold", "__text")
+    rows = small_batches(docs).select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(sample), key).select(F.xxhash64(key, "__text").alias("__at"), "__y", "__fold", "__text")
 
     def make(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_sample, unused
+from tracelake.llm.common import bounded_sample, small_batches, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 21
@@ -121,7 +121,7 @@ def sampled_features(labelled: DataFrame) -> pa.Table:
                 ["toxic", "features", "votes", "sketch"],
             )
 
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = small_batches(labelled).select("text", F.col("toxic").cast("int").alias("toxic"))
     return rows.mapInArrow(make, "toxic int, features array<int>, votes array<int>, sketch array<bigint>").toArrow()
 
 
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", to: str = "score") -
                 out.append(round(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))), 9))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn(to, F.pandas_udf(scored, "double")(F.col(text)))
+    return small_batches(docs).withColumn(to, F.pandas_udf(scored, "double")(F.col(text)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

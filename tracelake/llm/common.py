@@ -90,6 +90,25 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("__k1"), F.xxhash64(F.lit(1), *columns).alias("__k2")]
 
 
+SALTS = 64
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """df with a column salt that spreads rows evenly, whatever they hold. Write the rows down (cut) before lookup reads
+    them: a number by place is only the same again where the rows are."""
+    return df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows (with salt) and the columns of found, which has one row a key; nulls where there is none.
+
+    A key that holds a third of all rows would meet in one task. So each key is first given to the salts that occur with
+    it, SALTS at most, and rows join on key and salt.
+    """
+    spread = rows.select(*on, "salt").distinct().join(found, on)
+    return rows.join(spread, [*on, "salt"], "left").drop("salt")
+
+
 def bounded_sample(labelled: DataFrame, key: str, bound: int) -> DataFrame:
     """About `bound` labelled rows at most, the same ones on every run: those whose hash falls under a share.
 

@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality, secrets, sharding, toxicity, urls
+from tracelake.llm import bpe, cotraining, decontaminate, licenses, lloyd, neardup, quality, search, secrets, sharding, simhash, toxicity, urls
 from tracelake.llm.common import shared_dir, table
 
 
@@ -52,10 +52,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    made = [op1_secrets, op2_quality, op3_urls, op4_neardup, op5_cotraining, op6_licenses, op7_toxicity, op8_sharding, op9_decontaminate, op10_bpe]
+    made = [op1_secrets, op2_quality, op3_urls, op4_neardup, op5_cotraining, op6_licenses, op7_toxicity, op8_sharding, op9_decontaminate, op10_bpe, op11_search, op12_lloyd, op13_simhash]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.SQL, "op4_neardup": neardup.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op3_urls": urls.SQL, "op4_neardup": neardup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_search": search.SQL, "op12_lloyd": lloyd.SQL}

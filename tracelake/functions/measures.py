@@ -23,6 +23,11 @@ def counts_only(value: Column, *counts: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("counts must not be negative")).cast("double")).otherwise(value)
 
 
+def filled(count: Column, message: str) -> Column:
+    """A count of a one-row aggregate, or an error where it is 0: the query tells by itself that its input is empty."""
+    return F.when(count == 0, F.raise_error(F.lit(message)).cast("bigint")).otherwise(count)
+
+
 def dependency(ab: Column, ba: Column) -> Column:
     """How surely a is followed by b rather than b by a, from -1 to 1."""
     a, b = ab.cast("double"), ba.cast("double")

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import fitness
+from tracelake.functions.measures import filled, fitness
+from tracelake.functions.written import written
 from tracelake.operators import variants as v
 
 
@@ -60,8 +61,9 @@ def sequence_net(activities: list[str]) -> PetriNet:
 STRATEGIES = ("most_frequent_variant", "most_frequent_variant_for_outcome", "documented")
 
 
-def reference(log: DataFrame, strategy: str, outcome: str | None = None, documented: list[str] | None = None) -> dict:
-    """activities, supporting and eligible cases of the reference model, and what it is; one row reaches the driver."""
+def reference(log: DataFrame, strategy: str, outcome: str | None = None, documented: list[str] | None = None, cases: DataFrame | None = None) -> dict:
+    """activities, supporting and eligible cases of the reference model, and what it is; one row reaches the driver.
+    cases: the log's named sequences, where they are at hand."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "documented":
@@ -71,8 +73,8 @@ def reference(log: DataFrame, strategy: str, outcome: str | None = None, documen
     if strategy == "most_frequent_variant_for_outcome":
         if outcome is None:
             raise ValueError("an outcome is needed")
-        log = log.where(F.col("outcome") == outcome)
-    top = v.top(log, 1).select("seq", "case_count", "_total").head()
+        log, cases = log.where(F.col("outcome") == outcome), None
+    top = v.top(log, 1, cases).select("seq", "case_count", "_total").head()
     if top is None:
         raise ValueError(f"no case with outcome {outcome}" if outcome else "empty event log")
     of = f"cases that end as {outcome}" if strategy == STRATEGIES[1] else "all cases"
@@ -114,16 +116,21 @@ def fold(seq: Column, net: PetriNet) -> Column:
     return F.aggregate(seq, start, step, finish)
 
 
-def replay(log: DataFrame, net: PetriNet, validate: bool = True) -> DataFrame:
-    """Per case the token counts, fitness and whether it fits. Each distinct sequence is replayed once."""
-    if validate and log.isEmpty():
-        raise ValueError("empty event log")
-    cases = v.named(v.sequences(log))
+def replay(log: DataFrame | None, net: PetriNet, cases: DataFrame | None = None) -> DataFrame:
+    """Per case the token counts, fitness and whether it fits. Each distinct sequence is replayed once. An empty log gives
+    no rows here, and an error in summary. cases: the log's named sequences, where they are at hand."""
+    cases = v.named(v.sequences(log)) if cases is None else cases
     replayed = cases.groupBy("_k").agg(F.first("seq").alias("seq")).select("_k", fold(F.col("seq"), net).alias("_r"))
     joined = cases.select("case_id", "_k").join(replayed, "_k").select("case_id", "_r.*")
     return joined.withColumn("fitness", fitness(F.col("missing"), F.col("consumed"), F.col("remaining"), F.col("produced"))).withColumn("fits", (F.col("missing") == 0) & (F.col("remaining") == 0))
 
 
+def replay_most_frequent(log: DataFrame) -> DataFrame:
+    """replay on the net of the most frequent variant. The log's sequences are written once, for the variant and the replay."""
+    cases = written(v.named(v.sequences(log)))
+    return replay(None, sequence_net(reference(log, STRATEGIES[0], cases=cases)["activities"]), cases)
+
+
 def replay_sequence(log: DataFrame, activities: list[str]) -> DataFrame:
     """The same for a line of different activities, as windows: a place's missing tokens are the depth its running
     count of tokens falls under zero."""
@@ -150,7 +157,7 @@ def summary(replayed: DataFrame) -> DataFrame:
     q = lambda p: F.round(F.percentile("fitness", F.lit(p)), 9)
     got = replayed.agg(F.count("*").alias("cases"), F.count_if("fits").alias("fitting_cases"), *[F.sum(c).alias(f"_{c}") for c in ("missing", "consumed", "remaining", "produced")], F.round(F.avg("fitness"), 9).alias("mean"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
     pooled = fitness(F.col("_missing"), F.col("_consumed"), F.col("_remaining"), F.col("_produced"))
-    return got.select("cases", "fitting_cases", (1 - F.col("fitting_cases") / F.col("cases")).alias("deviating_share"), pooled.alias("log_fitness"), "mean", "p10", "p50", "p90")
+    return got.withColumn("cases", filled(F.col("cases"), "empty event log")).select("cases", "fitting_cases", (1 - F.col("fitting_cases") / F.col("cases")).alias("deviating_share"), pooled.alias("log_fitness"), "mean", "p10", "p50", "p90")
 
 
 def case_outcomes(log: DataFrame) -> DataFrame:

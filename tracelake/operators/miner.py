@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,21 +106,21 @@ def admitted(tri: DataFrame, threshold: float) -> DataFrame:
 def connected(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The heuristic net: model_edges, and for activities left without a way in or out their strongest pair.
 
-    Activities are taken in alphabetical order and each sees what was admitted before, so this runs over the edge
-    list (activities squared at most) on the driver. The log is read once, into its trigrams.
+    Activities are taken in alphabetical order and each sees what was admitted before, so this runs over the pairs of
+    activities on the driver, with what starts or ends a case. The log is read once, into its trigrams, which stay on
+    the executors until edges and pairs are made of them.
     """
     check_threshold(threshold)
     spark = log.sparkSession
-    rows = trigrams(log).collect()
-    tri = spark.createDataFrame(rows, "source string, target string, third string, is_first boolean, n bigint")
-    counts, starts, ends = Counter(), set(), set()
-    for r in rows:
-        counts[r.source, r.target] += r.n
-        starts |= {r.source} if r.is_first else set()
-        ends |= {r.source} if r.target is None else set()
-    names = sorted({s for s, _ in counts})
-    counts = {p: n for p, n in counts.items() if p[1] is not None}
-    edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in admitted(tri, threshold).collect()}
+    tri = trigrams(log).persist()
+    try:
+        edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in admitted(tri, threshold).collect()}
+        rows = tri.groupBy("source", "target").agg(F.sum("n").alias("n"), F.max("is_first").alias("is_first")).collect()
+    finally:
+        tri.unpersist()
+    starts, ends = {r.source for r in rows if r.is_first}, {r.source for r in rows if r.target is None}
+    names = sorted({r.source for r in rows})
+    counts = {(r.source, r.target): r.n for r in rows if r.target is not None}
 
     def strength(pair: tuple[str, str]) -> float:
         ab, ba = counts[pair], counts.get(pair[::-1], 0)

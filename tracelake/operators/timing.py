@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import dispersion, micros, quantile_seconds, seconds, total, weighted_total
+from tracelake.functions.measures import dispersion, filled, micros, quantile_seconds, seconds, total, weighted_total
 from tracelake.functions.quantiles import quantiles_of, with_quantiles
 from tracelake.operators import dfg
 
@@ -38,15 +38,15 @@ def slow_threshold(table: DataFrame, least: int = MIN_OCCURRENCES, quantile: flo
     return table.agg(F.round(F.coalesce(q(F.when(F.col("occurrences") >= least, F.col("p50_seconds"))), q(F.col("p50_seconds"))), 8).alias("slow_threshold_seconds"))
 
 
-def bottlenecks(log: DataFrame, least: int = MIN_OCCURRENCES, quantile: float = SLOW_QUANTILE, most: float = DISPERSION, slow_seconds: float | None = None, validate: bool = True) -> DataFrame:
-    """Transitions with their waits' statistics, share of all waiting time, dispersion and kind."""
+def bottlenecks(log: DataFrame, least: int = MIN_OCCURRENCES, quantile: float = SLOW_QUANTILE, most: float = DISPERSION, slow_seconds: float | None = None) -> DataFrame:
+    """Transitions with their waits' statistics, share of all waiting time, dispersion and kind. A log without transitions
+    makes the query fail: the threshold's one row then meets no transition, so no job has to look beforehand."""
     if not 0 < quantile < 1:
         raise ValueError(f"slow quantile must lie between 0 and 1, both excluded: {quantile}")
     table = waits(log)
-    if validate and table.isEmpty():
-        raise ValueError("no transitions in the event log")
     slow = slow_threshold(table, least, quantile) if slow_seconds is None else log.sparkSession.range(1).select(F.lit(float(slow_seconds)).alias("slow_threshold_seconds"))
-    marked = table.join(F.broadcast(slow)).withColumn("dispersion", dispersion(F.col("q1_seconds"), F.col("q3_seconds")))
+    source = F.when(F.col("source").isNull() & F.col("target").isNull(), F.raise_error(F.lit("no transitions in the event log")).cast("string")).otherwise(F.col("source"))
+    marked = slow.join(F.broadcast(table), how="left").withColumn("source", source).withColumn("dispersion", dispersion(F.col("q1_seconds"), F.col("q3_seconds")))  # pairs of activities
     share = F.coalesce(F.try_divide(F.col("_s").cast("double"), F.nullif(F.sum("_s").over(Window.partitionBy()).cast("double"), F.lit(0.0))), F.lit(0.0))
     marked = marked.withColumn("share_of_total_time", share).withColumn("kind", kind(F.col("occurrences"), F.col("p50_seconds"), F.col("dispersion"), F.col("slow_threshold_seconds"), least, most))
     return marked.select("source", "target", "occurrences", "cases", "total_seconds", "share_of_total_time", "mean_seconds", *[f"{n}_seconds" for n in NAMES], "max_seconds", "dispersion", "kind")
@@ -71,10 +71,9 @@ def repeats(log: DataFrame) -> DataFrame:
     return dfg.require(log).groupBy("case_id", "activity").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).where("n > 1")
 
 
-def rework_cases(log: DataFrame, validate: bool = True) -> DataFrame:
-    """Per case: repeated events and activities, the length of the union of their spans, and its share of the cycle time."""
-    if validate and log.isEmpty():
-        raise ValueError("empty event log")
+def rework_cases(log: DataFrame) -> DataFrame:
+    """Per case: repeated events and activities, the length of the union of their spans, and its share of the cycle time.
+    An empty log gives no rows here, and an error in rework_totals."""
     by_start = Window.partitionBy("case_id").orderBy("first", "last", "activity").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max("last").over(by_start)
     fresh = F.greatest(micros(F.greatest("first", F.coalesce(reached, F.col("first"))), F.col("last")), F.lit(0))
@@ -106,4 +105,5 @@ def rework_totals(cases: DataFrame) -> DataFrame:
     spread = with_quantiles(cases.where(hit).select(micro("rework_seconds").alias("micro")), [], "micro", [0.5, 0.9, 0.99])
     q = lambda i, name: F.coalesce(quantile_seconds(F.get("_q", F.lit(i))), F.lit(0.0)).alias(name)
     both = sums.join(F.broadcast(spread))  # one row each
+    both = both.withColumn("cases", filled(F.col("cases"), "empty event log"))
     return both.select("cases", "cases_with_rework", "rework_events", "rework_seconds", "cycle_time_seconds", "time_share", "case_share", q(0, "p50"), q(1, "p90"), q(2, "p99"), "mean")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import SEPARATOR, micros, quantile_seconds, seconds, total
-from tracelake.functions.quantiles import with_quantiles
+from tracelake.functions.measures import SEPARATOR, filled, micros, quantile_seconds, seconds, total
+from tracelake.functions.quantiles import quantiles_of, with_quantiles
+from tracelake.functions.written import written
 from tracelake.operators import dfg
 
 PARTS = 256  # variants are put in order in so many ranges
@@ -59,11 +60,12 @@ def variants(log: DataFrame) -> DataFrame:
     return ranked(log).drop("_k", "_upto", "_total")
 
 
-def top(log: DataFrame, limit: int) -> DataFrame:
-    """The first variants, the same columns; the others are counted, never put in order. seq: the activities."""
-    cases = named(sequences(log))
+def top(log: DataFrame, limit: int, cases: DataFrame | None = None) -> DataFrame:
+    """The first variants, the same columns; the others are counted, never put in order. seq: the activities.
+    cases: the log's named sequences, where they are at hand."""
+    whole = (dfg.require(log).agg(F.count_distinct("case_id")) if cases is None else cases.agg(F.count("*"))).toDF("_total")
+    cases = named(sequences(log)) if cases is None else cases
     found = cases.groupBy("_k").agg(F.first("seq").alias("seq"), F.count("*").alias("case_count"), F.min("case_id").alias("_first")).withColumn("variant", F.array_join("seq", SEPARATOR))
-    whole = dfg.require(log).agg(F.count_distinct("case_id").alias("_total"))
     order = [F.desc("case_count"), F.col("variant"), F.col("_first")]
     few = found.orderBy(*order).limit(limit).join(F.broadcast(whole))  # one row
     upto = F.sum("case_count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of `limit` rows
@@ -103,29 +105,46 @@ def case_statistics(log: DataFrame) -> DataFrame:
     return joined.select("case_id", "start_time", "end_time", seconds(micros(F.col("start_time"), F.col("end_time"))).alias("cycle_time_seconds"), "activity_count", "variant_rank", (F.col("variant_rank") == 1).alias("is_happy_path"), "outcome")
 
 
-def distribution(values: DataFrame, column: str, by: list[str] | None = None, validate: bool = True) -> DataFrame:
-    """count, mean, min, p50, p90, p99, max of a column of seconds; nulls are dropped, and nothing at all is an error."""
+def happy_cases(log: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """case_id of the cases that follow the most frequent variant (ties: by its text, then by its first case), found
+    without ranking the others. cases: the log's named sequences, where they are at hand."""
+    cases = (named(sequences(log)) if cases is None else cases).select("case_id", "_k", F.array_join("seq", SEPARATOR).alias("variant"))
+    found = cases.groupBy("_k").agg(F.count("*").alias("case_count"), F.first("variant").alias("variant"), F.min("case_id").alias("_first"))
+    best = found.orderBy(F.desc("case_count"), "variant", "_first").limit(1).select("_k")
+    return cases.join(F.broadcast(best), "_k").select("case_id")  # one row
+
+
+def case_spans(log: DataFrame) -> DataFrame:
+    """case_id, cycle_time_seconds, is_happy_path: what a histogram needs, without ranks."""
+    spans = dfg.require(log).groupBy("case_id").agg(micros(F.min("timestamp"), F.max("timestamp")).alias("_m"))
+    joined = spans.join(happy_cases(log).withColumn("_happy", F.lit(True)), "case_id", "left")
+    return joined.select("case_id", seconds(F.col("_m")).alias("cycle_time_seconds"), F.col("_happy").isNotNull().alias("is_happy_path"))
+
+
+def distribution(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """count, mean, min, p50, p90, p99, max of a column of seconds; nulls are dropped. Nothing at all makes the query
+    fail, or has no rows where it is told by groups."""
     by = by or []
     known = values.where(F.col(column).isNotNull()).select(*by, column, F.round(F.col(column) * 1e6).cast("bigint").alias("_micro"))
-    if validate and known.isEmpty():
-        raise ValueError("no values to summarize")
     sums = known.groupBy(*by).agg(F.count("*").alias("count"), seconds(total(F.col("_micro")).cast("double") / F.count("*")).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
     spread = with_quantiles(known, by, "_micro", [0.5, 0.9, 0.99])
-    both = sums.join(spread, by) if by else sums.join(F.broadcast(spread))  # one row each
+    both = sums.join(spread, by) if by else sums.join(F.broadcast(spread)).withColumn("count", filled(F.col("count"), "no values to summarize"))  # one row each
     q = lambda i, name: quantile_seconds(F.get("_q", F.lit(i))).alias(name)
     return both.select(*by, "count", "mean", "min", q(0, "p50"), q(1, "p90"), q(2, "p99"), "max")
 
 
 def histogram(cases: DataFrame, bins: int = 30) -> DataFrame:
-    """Cases by days of cycle time, happy path and others, with empty bins and an overflow bin past the 99th percentile."""
-    days = F.col("cycle_time_seconds") / 86400
-    micro = cases.select(F.round(F.col("cycle_time_seconds") * 1e6).cast("bigint").alias("micro"))
+    """Cases by days of cycle time, happy path and others, with empty bins and an overflow bin past the 99th percentile.
+    Cases are counted by cycle time once, and written; percentile and bins follow from the counts."""
+    micro = F.round(F.col("cycle_time_seconds") * 1e6).cast("bigint")
+    times = written(cases.groupBy(micro.alias("micro")).agg(F.count("*").alias("n"), F.count_if("is_happy_path").alias("happy")))
     longest = F.round(F.get("_q", F.lit(0)) / F.lit(86400e6), 6)
-    width = with_quantiles(micro, [], "micro", [0.99]).select(F.greatest(F.lit(1), F.ceil(longest)).alias("upper"))
+    width = quantiles_of(times, [], "micro", "n", [0.99]).select(F.greatest(F.lit(1), F.ceil(longest)).alias("upper"))
     width = width.withColumn("width", F.greatest(F.lit(1), F.ceil(F.col("upper") / bins))).withColumn("bins", F.ceil(F.col("upper") / F.col("width")))
     every = width.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins"))).alias("bin"), "width", "bins")
-    counts = cases.select(days.alias("days"), "is_happy_path").join(F.broadcast(width)).select(F.least(F.floor(F.col("days") / F.col("width")), F.col("bins")).alias("bin"), "is_happy_path")
-    counts = counts.groupBy("bin").agg(F.count_if("is_happy_path").alias("happy"), F.count_if(~F.col("is_happy_path")).alias("other"))
+    days = F.col("micro") / F.lit(1e6) / F.lit(86400)
+    counts = times.join(F.broadcast(width)).select(F.least(F.floor(days / F.col("width")), F.col("bins")).alias("bin"), "n", "happy")  # one row
+    counts = counts.groupBy("bin").agg(F.sum("happy").alias("happy"), F.sum(F.col("n") - F.col("happy")).alias("other"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return every.join(counts, "bin", "left").select("bin", (F.col("bin") * F.col("width")).cast("bigint").alias("from_days"), (F.col("bin") == F.col("bins")).alias("overflow"), zero("happy"), zero("other"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import conformance, dfg, miner, normalize, timing, variants
 from tracelake.plans import adapters as a
-from tracelake.plans import reports, views
+from tracelake.plans import opportunities, reports, views
 from tracelake.sources import store, xes
 
 VIEW_TO_BUY = ["view", "click", "purchase"]
@@ -149,11 +149,6 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
     _FOUND[name] = (query, oracle)
 
 
-def modal_fulfilment(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    log = a.fulfilment(s, d)
-    return log, conformance.reference(log, "most_frequent_variant")["activities"]
-
-
 # graphs
 add("dfg_edges", lambda s, d: dfg.edges(a.user_day(s, d)), sql("SELECT source, target, count(*) AS frequency, count(DISTINCT case_id) AS case_frequency, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean_duration_seconds, round(quantile_cont(micro, 0.5) / 1e6, 8) AS median_duration_seconds FROM steps WHERE target IS NOT NULL GROUP BY ALL", steps("ud")))
 add("dfg_start_activities", lambda s, d: dfg.end_counts(a.user_day(s, d), True), sql("SELECT activity, count(*) AS cases FROM (SELECT arg_min(activity, event_index) AS activity FROM ud GROUP BY case_id) GROUP BY activity"))
@@ -209,7 +204,7 @@ add("case_statistics", lambda s, d: variants.case_statistics(a.user_day_outcomes
 SUMMARY = "count(*) AS count, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean, CAST(min(micro) AS DOUBLE) / 1e6 AS min, round(quantile_cont(micro, 0.5) / 1e6, 8) AS p50, round(quantile_cont(micro, 0.9) / 1e6, 8) AS p90, round(quantile_cont(micro, 0.99) / 1e6, 8) AS p99, CAST(max(micro) AS DOUBLE) / 1e6 AS max FROM stats"
 add("cycle_time_summary", lambda s, d: variants.distribution(variants.case_statistics(a.user_day(s, d)), "cycle_time_seconds"), sql("SELECT " + SUMMARY, seqs("ud")))
 add("cycle_time_by_happy_path", lambda s, d: variants.distribution(variants.case_statistics(a.user_day(s, d)), "cycle_time_seconds", ["is_happy_path"]), sql("SELECT variant_rank = 1 AS is_happy_path, " + SUMMARY + " GROUP BY 1", seqs("ud")))
-add("cycle_time_histogram", lambda s, d: variants.histogram(variants.case_statistics(a.fulfilment(s, d))), sql(
+add("cycle_time_histogram", lambda s, d: variants.histogram(variants.case_spans(a.fulfilment(s, d))), sql(
     ", days AS (SELECT CAST(micro AS DOUBLE) / 1e6 / 86400 AS days, variant_rank = 1 AS happy FROM stats), u AS (SELECT greatest(1, CAST(ceil(round(quantile_cont(days, 0.99), 6)) AS BIGINT)) AS upper FROM days), w AS (SELECT greatest(1, CAST(ceil(upper / 30.0) AS BIGINT)) AS width, upper FROM u), b AS (SELECT width, CAST(ceil(CAST(upper AS DOUBLE) / width) AS BIGINT) AS bins FROM w), every AS (SELECT unnest(range(0, bins + 1)) AS bin, width, bins FROM b), binned AS (SELECT least(CAST(floor(days / width) AS BIGINT), bins) AS bin, happy FROM days, b) "
     "SELECT e.bin, CAST(e.bin * width AS BIGINT) AS from_days, e.bin = bins AS overflow, count(*) FILTER (happy) AS happy, count(*) FILTER (NOT happy) AS other FROM every e LEFT JOIN binned USING (bin) GROUP BY e.bin, width, bins", seqs("ful")))
 VO = ", vo AS (SELECT variant_rank, coalesce(outcome, 'no_terminal_state') AS outcome, count(*) AS cases FROM stats GROUP BY ALL)"
@@ -231,19 +226,9 @@ add("replay_documented", lambda s, d: conformance.replay_sequence(a.user_day_out
 add("replay_fold", lambda s, d: conformance.replay(a.user_day_outcomes(s, d), conformance.sequence_net(VIEW_TO_BUY)), sql(REPLAYED, BUY))
 
 
-def replay_dialogue(s: SparkSession, d: str) -> DataFrame:
-    log = a.dialogue(s, d)
-    return conformance.replay(log, conformance.sequence_net(conformance.reference(log, "most_frequent_variant")["activities"]))
-
-
-def replay_modal(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    log, activities = modal_fulfilment(s, d)
-    return log, conformance.replay(log, conformance.sequence_net(activities))
-
-
 FOLDED = "SELECT case_id, produced, consumed, missing, remaining, unknown_activities, fitness, fits FROM folded"
-add("replay_repeated_labels", replay_dialogue, sql(FOLDED, seqs("dlg"), FOLD))
-add("replay_modal", lambda s, d: replay_modal(s, d)[1], sql(FOLDED, seqs("ful"), FOLD))
+add("replay_repeated_labels", lambda s, d: conformance.replay_most_frequent(a.dialogue(s, d)), sql(FOLDED, seqs("dlg"), FOLD))
+add("replay_modal", lambda s, d: conformance.replay_most_frequent(a.fulfilment(s, d)), sql(FOLDED, seqs("ful"), FOLD))
 add("replay_summary", lambda s, d: conformance.summary(conformance.replay_sequence(a.user_day_outcomes(s, d), VIEW_TO_BUY)), sql("SELECT count(*) AS cases, count(*) FILTER (fits) AS fitting_cases, 1 - CAST(count(*) FILTER (fits) AS DOUBLE) / count(*) AS deviating_share, 0.5 * (1.0 - CAST(sum(missing) AS DOUBLE) / sum(consumed)) + 0.5 * (1.0 - CAST(sum(remaining) AS DOUBLE) / sum(produced)) AS log_fitness, round(avg(fitness), 9) AS mean, round(quantile_cont(fitness, 0.1), 9) AS p10, round(quantile_cont(fitness, 0.5), 9) AS p50, round(quantile_cont(fitness, 0.9), 9) AS p90 FROM replayed", BUY))
 BY_OUTCOME = ", co AS (SELECT case_id, any_value(outcome) AS outcome FROM udo GROUP BY case_id)"
 add("fitness_by_outcome", lambda s, d: conformance.fitness_by_outcome(conformance.replay_sequence(log := a.user_day_outcomes(s, d), VIEW_TO_BUY), log), sql("SELECT coalesce(outcome, 'no terminal state') AS outcome, round(avg(fitness), 9) AS mean_fitness, count(*) AS cases, count(*) FILTER (fits) AS fitting_cases FROM replayed LEFT JOIN co USING (case_id) GROUP BY 1", BUY, BY_OUTCOME))
@@ -268,7 +253,6 @@ add("variant_model_gap", lambda s, d: views.variant_model_gap(log := a.fulfilmen
 
 NODES = ", nodes AS (SELECT activity, count(*) AS events, coalesce(any_value(s.n), 0) AS starts, coalesce(any_value(e.n), 0) AS ends FROM {log} LEFT JOIN (SELECT activity, count(*) AS n FROM (SELECT arg_min(activity, event_index) AS activity FROM {log} GROUP BY case_id) GROUP BY 1) s USING (activity) LEFT JOIN (SELECT activity, count(*) AS n FROM (SELECT arg_max(activity, event_index) AS activity FROM {log} GROUP BY case_id) GROUP BY 1) e USING (activity) GROUP BY activity)"
 add("map_nodes", lambda s, d: views.map_nodes(a.fulfilment(s, d)), sql("SELECT * FROM nodes", NODES.format(log="ful")))
-add("process_map_placed", lambda s, d: views.placed_nodes(a.fulfilment(s, d)).drop("layer", "x", "y"), sql("SELECT * FROM nodes", NODES.format(log="ful")))
 add("map_text", lambda s, d: views.mermaid_lines(a.user_day(s, d), 12), sql(
     ", shown AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, source, target) AS r FROM pairs QUALIFY r <= 12), ids AS (SELECT activity, 'n' || CAST(row_number() OVER (ORDER BY activity) - 1 AS VARCHAR) AS id FROM (SELECT source AS activity FROM shown UNION SELECT target FROM shown)), sizes AS (SELECT activity, count(*) AS n FROM ud GROUP BY 1), "
     "lines_of AS (SELECT 0 AS part, 0 AS r, 'flowchart LR' AS text UNION ALL SELECT 1, row_number() OVER (ORDER BY activity), '    ' || id || '[\"' || activity || '<br/>' || format('{:,}', n) || '\"]' FROM ids JOIN sizes USING (activity) "
@@ -281,6 +265,12 @@ add("variant_sequence", lambda s, d: s.createDataFrame([(" > ".join(variants.seq
 add("dfg_top_edges", lambda s, d: dfg.by_frequency(dfg.edges(a.user_day(s, d))).limit(10).select("source", "target", "frequency"), sql("SELECT source, target, frequency FROM pairs ORDER BY frequency DESC, source, target LIMIT 10", steps("ud")))
 add("edge_frequency", lambda s, d: s.createDataFrame([(x, y, dfg.frequency(a.user_day(s, d), x, y)) for x, y in (("view", "click"), ("click", "gone"))], "source string, target string, frequency bigint"), sql("SELECT x AS source, y AS target, coalesce(frequency, 0) AS frequency FROM (VALUES ('view', 'click'), ('click', 'gone')) v(x, y) LEFT JOIN pairs ON source = x AND target = y", steps("ud")))
 
+def connected_sql(log: str) -> list[str]:
+    return [steps(log), TWO_LOOPS, _edges, CONNECT.format(log=log)]
+
+
+opportunities.register(add, sql, steps, seqs, NODES, connected_sql)
+
 # dirty text
 add("messy_rows", lambda s, d: normalize.classified(a.messy_raw(s, d)).selectExpr("case_id", "event_index", "activity", "lifecycle", "unix_micros(ts) AS us", "resource", "reason", "status"), sql("SELECT * FROM dirty", DIRTY))
 add("messy_exclusions", lambda s, d: normalize.exclusion_counts(normalize.classified(a.messy_raw(s, d))).select("reason", "events"), sql("SELECT t.reason, count(x.reason) AS events FROM unnest(['missing_case_id', 'duplicate_case_id', 'missing_activity', 'missing_timestamp', 'unparseable_timestamp', 'out_of_order']) t(reason) LEFT JOIN dirty x ON x.reason = t.reason GROUP BY ALL", DIRTY))

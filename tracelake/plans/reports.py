@@ -82,11 +82,11 @@ def discovery_summary(log: DataFrame, policy: str | None = None, threshold: floa
     return "\n".join([*lines, *paragraph("Caveats", f"- {o['lifecycle']}", "- Measures near 1 come from many observations; rare behaviour may be missing from the model.")])
 
 
-def diagnosis(log: DataFrame, reference: dict, validate: bool = True) -> dict:
+def diagnosis(log: DataFrame, reference: dict) -> dict:
     """The tables that a diagnosis consists of; see diagnostic_report."""
     activities = reference["activities"]
-    replayed = conformance.replay(log, conformance.sequence_net(activities), validate)
-    return {"reference": reference, "cases": replayed, "summary": conformance.summary(replayed), "by_outcome": conformance.fitness_by_outcome(replayed, log), "bottlenecks": timing.bottlenecks(log, validate=validate), "rework_cases": timing.rework_cases(log, validate), "rework_activities": timing.rework_activities(log)}
+    replayed = conformance.replay(log, conformance.sequence_net(activities))
+    return {"reference": reference, "cases": replayed, "summary": conformance.summary(replayed), "by_outcome": conformance.fitness_by_outcome(replayed, log), "bottlenecks": timing.bottlenecks(log), "rework_cases": timing.rework_cases(log), "rework_activities": timing.rework_activities(log)}
 
 
 def diagnostic_report(log: DataFrame, activities: list[str] | dict, policy: str | None = None, top: int = TOP) -> str:

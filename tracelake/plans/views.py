@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators import dfg, miner, variants
+from tracelake.operators import dfg, miner, placing, variants
 from tracelake.plans import layout
 
 #: Of each lifecycle policy: its name in reports, and what follows from it for the figures.
@@ -67,21 +67,18 @@ def map_nodes(log: DataFrame) -> DataFrame:
     return nodes.select("activity", "events", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("starts", "ends")])
 
 
+def placed_nodes(log: DataFrame, threshold: float = 0.9, edges: DataFrame | None = None) -> DataFrame:
+    """The nodes of the process map with counts and places. edges: the model's, where they are at hand."""
+    nodes = map_nodes(log)
+    return nodes.join(placing.places(nodes, miner.connected(log, threshold) if edges is None else edges), "activity")
+
+
 def process_map(log: DataFrame, threshold: float = 0.9) -> dict:
     """Nodes with places and counts, model edges with their timing."""
-    counts = {r["activity"]: r for r in plain(map_nodes(log))}
     times = dfg.edges(log).drop("frequency", "case_frequency")
-    rows = plain(miner.connected(log, threshold).join(times, ["source", "target"], "left").orderBy("source", "target"))
-    starts = sorted(a for a, r in counts.items() if r["starts"])
-    placed = layout.layered(sorted(counts), [(e["source"], e["target"]) for e in rows], starts)
-    return {"nodes": [counts[p.activity] | {"layer": p.layer, "x": p.x, "y": p.y} for p in placed], "edges": rows}
-
-
-def placed_nodes(log: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """The nodes of the process map as a table."""
-    columns = ["activity", "layer", "x", "y", "events", "starts", "ends"]
-    rows = [tuple(n[c] for c in columns) for n in process_map(log, threshold)["nodes"]]
-    return log.sparkSession.createDataFrame(rows, "activity string, layer int, x double, y double, events bigint, starts bigint, ends bigint")
+    edges = miner.connected(log, threshold)
+    rows = plain(edges.join(times, ["source", "target"], "left").orderBy("source", "target"))
+    return {"nodes": plain(placed_nodes(log, threshold, edges).orderBy("layer", "order")), "edges": rows}
 
 
 def top_variants(log: DataFrame, limit: int = 25, cases: DataFrame | None = None) -> list[dict]:

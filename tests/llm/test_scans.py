@@ -104,7 +104,7 @@ def test_decontamination(spark, all_docs, benchmark):
     empty = decontaminate.report(all_docs, bench.limit(0))
     assert empty.where("contaminated or n_hit > 0").count() == 0 and empty.count() == len(want)
     assert decontaminate.remove_spans(all_docs, bench).count() == len(want)
-    joined = sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(all_docs, bench, broadcast_windows=0).collect())
+    joined = sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(all_docs, bench, broadcast_windows=0, broadcast_hits=0).collect())
     assert joined == got
 
 
@@ -116,11 +116,11 @@ def test_words_of_other_alphabets(spark, bound):
     bench = spark.createDataFrame([(1, item), (1, item), (2, "\u00c9T\u00c9 \u0130x"), (3, None)], "item_id long, text string")
     texts = [f"{ten.upper()} \u039f\u0394\u039f\u03a3.twelve", f"{ten} \u03bf\u03b4\u03bf\u03c2 twelve", "\u00c9t\u00c9 \u0130X", "\u00e9t\u00e9 i\u0307x", item, item, None, ""]
     docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, judged string, known string")
-    rows = {r.doc_id: r for r in decontaminate.report(docs, bench, broadcast_windows=bound).collect()}
+    rows = {r.doc_id: r for r in decontaminate.report(docs, bench, broadcast_windows=bound, broadcast_hits=bound).collect()}
     assert [rows[i].n_hit for i in range(8)] == [13, 0, 2, 0, 13, 13, 0, 0]
-    kept = decontaminate.remove_documents(docs, bench, broadcast_windows=bound)
+    kept = decontaminate.remove_documents(docs, bench, broadcast_windows=bound, broadcast_hits=bound)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7]
-    cut = decontaminate.remove_spans(docs, bench, broadcast_windows=bound)
+    cut = decontaminate.remove_spans(docs, bench, broadcast_windows=bound, broadcast_hits=bound)
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()}[2] == ""
 
 

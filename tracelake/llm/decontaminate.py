@@ -1,11 +1,13 @@
-"""Benchmark decontamination: windows of test words, looked up in a broadcast hash set of the benchmark's windows.
+"""Benchmark decontamination: windows of test words in a broadcast hash set, which a scan of all texts' windows meets.
 
-Every window of `width` consecutive benchmark words (a shorter item is one window) goes into a hash table: an array of
-buckets, each with the windows whose hash falls into it, which every executor gets once. A document's windows of the
-same lengths are hashed, and a window is hit if its bucket holds the same words; so each hit is verified where it is
-found, in one pass over the texts and without any shuffle. The table is sent out only while its counted size is within
-`broadcast_windows`; beyond it the hashes meet by a shuffled join, and only then the words of the texts with hits. Words
-are the exact ones in both: lower-casing by the rules of other alphabets would depend on what stands beside a word.
+1. Every window of `width` consecutive benchmark words (a shorter item is one window) is hashed. The hashes are broadcast
+   as the hash side of a join while their counted number is within `broadcast_windows`; beyond it the same join shuffles,
+   with salted keys, since a common window may stand in very many texts.
+2. A document's windows of the same lengths are hashed and meet that set, one after the other. What is left are the few
+   places with a hit; they are gathered by document, and equal rows share them.
+3. Verify. The texts that have hits are cut again at these places, and a hit counts if the window holds the same words.
+   Words are the exact ones in both: lower-casing by the rules of other alphabets would depend on what stands beside a word.
+4. The verdict joins back to all rows: by broadcast while the counted hits are few, else by a shuffle with salted keys.
 
 Cases: null or empty texts have no words and no hits; items without words have no window; repeated items and rows count
 each on their own, rows with equal key and text alike; a very long text is one row, scanned in time that grows with its
@@ -18,14 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import alnum_words, bind, row_key, unused
+from tracelake.llm.common import ALNUM_WORD, alnum_words, any_case, bind, cut, row_key, unused
 
 WIDTH = 13
 BROADCAST_WINDOWS = 100_000  # about 250 bytes each: 13 words, hash and items
+BROADCAST_HITS = 200_000  # places, of about 50 bytes
+SALTS = 16
 
 
-def starts(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+def window_hash(words: Column, i: Column, n: int) -> Column:
+    """Hash of n words from place i on, each fetched by its place: a slice would walk to it from the first. Places past
+    the end change nothing."""
+    return F.xxhash64(*[F.get(words, i + j) for j in range(n)])
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -34,56 +40,53 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     n = F.least(F.size("w"), F.lit(width))
     each = words.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
     cut = each.select("item", "n", F.slice("w", F.col("i"), F.col("n")).alias("part"))
-    named = cut.select("n", F.xxhash64("part").alias("window_hash"), F.array_join("part", " ").alias("window"), "item")
+    named = cut.select("n", window_hash(F.col("part"), F.lit(0), width).alias("window_hash"), F.array_join("part", " ").alias("window"), "item")
     return named.groupBy("n", "window_hash", "window").agg(F.collect_set("item").alias("items"))
 
 
-def hash_table(known: DataFrame, buckets: int) -> DataFrame:
-    """One row: `buckets` lists of (window_hash, window, items)."""
-    held = known.groupBy(F.pmod("window_hash", F.lit(buckets)).alias("at")).agg(F.collect_list(F.struct("window_hash", "window", "items")).alias("held"))
-    every = known.sparkSession.range(buckets).select(F.col("id").alias("at")).join(held, "at", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "held"))), lambda b: b["held"]).alias("of"))
-
-
 def hashed_windows(words: Column, n: int) -> Column:
     """The windows of n words: array of i (start, from 0), n, h."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice(words, i + 1, n)).alias("h")))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), window_hash(words, i, n).alias("h")))
 
 
 def text_of(words: Column, x: Column) -> Column:
     """The words of a window as one text; words hold no spaces."""
-    return F.array_join(F.slice(words, x["i"] + 1, x["n"]), " ")
+    return F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda j: F.get(words, x["i"] + j)), " ")
 
 
 def span(x: Column) -> Column:
     return F.struct(x["i"].alias("first"), (x["i"] + x["n"] - 1).alias("last"))
 
 
-def looked_up(words: Column, sizes: list[int], table: Column, buckets: int) -> Column:
-    """The hits among a text's windows: array of at (first, last word) and items."""
-    bucket = lambda x: F.get(table, F.pmod(x["h"], F.lit(buckets)).cast("int"))
+def salted_join(rows: DataFrame, few: DataFrame, on: Column, how: str) -> DataFrame:
+    """A join whose keys are dealt out SALTS times, by the place of a row: few, the smaller side, stands at every salt."""
+    a, b = unused("salt_of_row", rows), unused("salt", few)
+    spread = rows.withColumn(a, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = few.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(every, on & (F.col(a) == F.col(b)), how).drop(a, b)
 
-    def hit(x: Column) -> Column:
-        same = F.filter(bucket(x), lambda e: e["window"] == text_of(words, x))
-        return F.struct(span(x).alias("at"), F.flatten(F.transform(same, lambda e: e["items"])).alias("items"))
 
-    near = [F.filter(hashed_windows(words, n), lambda x: F.exists(bucket(x), lambda e: e["window_hash"] == x["h"])) for n in sizes]
-    return F.filter(F.transform(F.concat(*near), hit), lambda x: F.size(x["items"]) > 0)
+def near_hits(docs: DataFrame, known: DataFrame, sizes: list[int], key: str, text: str, broadcast: bool) -> DataFrame:
+    """h1, h2 (the row's key and text), xs: the places whose window has the hash of a benchmark window; written down."""
+    k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    windows = bind(alnum_words(F.col(f"`{text}`")), lambda w: F.concat(*[hashed_windows(w, n) for n in sizes]))
+    each = docs.select(k1.alias("h1"), k2.alias("h2"), F.explode(windows).alias("x"))
+    hashes = known.select("window_hash").distinct()
+    same = F.col("x.h") == F.col("window_hash")
+    met = each.join(F.broadcast(hashes), same, "left_semi") if broadcast else salted_join(each, hashes, same, "inner")
+    return cut(met.groupBy("h1", "h2").agg(F.collect_set("x").alias("xs")))
 
 
-def joined_hits(docs: DataFrame, known: DataFrame, sizes: list[int], key: str, text: str) -> DataFrame:
-    """h1, h2 (the row's key and text), hits: the same for a benchmark too large to broadcast. Hashes go through the
-    shuffle alone; the words of the texts with hits are made again."""
+def true_hits(docs: DataFrame, known: DataFrame, near: DataFrame, key: str, text: str, few: bool, broadcast: bool) -> DataFrame:
+    """h1, h2, hits (at: first and last word, items): those of near_hits whose words are the benchmark's; written down."""
     k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    keyed = docs.select(k1.alias("h1"), k2.alias("h2"), alnum_words(F.col(f"`{text}`")).alias("w"))
-    windows = F.explode(F.concat(*[hashed_windows(F.col("w"), n) for n in sizes])).alias("x")
-    near = keyed.select("h1", "h2", windows).join(known.select("window_hash").distinct(), F.col("x.h") == F.col("window_hash"), "left_semi")
-    of_doc = near.groupBy("h1", "h2").agg(F.collect_set("x").alias("xs"))
-    again = keyed.join(of_doc, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    cut = F.transform("xs", lambda x: F.struct(x["h"].alias("window_hash"), text_of(F.col("w"), x).alias("window"), span(x).alias("at")))
-    true = again.select("h1", "h2", F.explode(cut).alias("x")).select("h1", "h2", "x.*").join(known, ["window_hash", "window"])
-    return true.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "items")).alias("hits"))
+    rows, same = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("t")), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    again = rows.join(F.broadcast(near), same) if few else salted_join(rows, near, same, "inner")
+    cut_out = bind(alnum_words(F.col("t")), lambda w: F.transform("xs", lambda x: F.struct(x["h"].alias("window_hash"), text_of(w, x).alias("window"), span(x).alias("at"))))
+    true = again.select("h1", "h2", F.explode(cut_out).alias("x")).select("h1", "h2", "x.*").distinct()  # equal rows once
+    true = true.join(F.broadcast(known) if broadcast else known, ["window_hash", "window"])
+    return cut(true.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "items")).alias("hits")))
 
 
 def covered(positions: Column) -> Column:
@@ -93,32 +96,34 @@ def covered(positions: Column) -> Column:
     return F.aggregate(positions, start, step)["n"]
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, str]:
+def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hits: int = BROADCAST_HITS) -> tuple[DataFrame, str]:
     """All rows and columns of docs and one more, whose name is returned too: a struct of n_words, n_hit, items,
     positions, contaminated (a word in `share` or more is hit)."""
-    known = benchmark_windows(benchmark, text=text, width=width)
+    known = cut(benchmark_windows(benchmark, width=width))
     counts = {r.n: r["count"] for r in known.groupBy("n").count().collect()}  # at most `width` rows
-    sizes, total, to, words = sorted(counts), sum(counts.values()), unused("judged", docs), alnum_words(F.col(f"`{text}`"))
+    sizes, to = sorted(counts), unused("judged", docs)
+    # as many as alnum_words gives, without cutting the text up
+    n_words = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(any_case(ALNUM_WORD))), F.lit(0)).cast("bigint")
     none = F.array().cast("array<struct<at:struct<first:int,last:int>,items:array<string>>>")
 
-    def verdict(w: Column, hits: Column) -> Column:
+    def verdict(words: Column, hits: Column) -> Column:
         spans = lambda h: F.array_sort(F.array_distinct(F.transform(h, lambda x: x["at"])))
         items = lambda h: F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: x["items"]))))
-        n_words = F.size(w).cast("bigint")
-        told = lambda h, at, n: F.struct(n_words.alias("n_words"), n.alias("n_hit"), items(h).alias("items"), at.alias("positions"), ((n > 0) & (share * n >= n_words)).alias("contaminated"))
+        told = lambda h, at, n: F.struct(words.alias("n_words"), n.alias("n_hit"), items(h).alias("items"), at.alias("positions"), ((n > 0) & (share * n >= words)).alias("contaminated"))
         return bind(hits, lambda h: bind(spans(h), lambda at: bind(covered(at), lambda n: told(h, at, n))))
 
-    # all is one expression that names the text and the table once: no row ever holds the table, and a filter on the
-    # verdict, which Spark moves into the scan, works it out once
-    if total <= broadcast_windows:
-        buckets, table = max(1, 2 * total), unused("known", docs)
-        hits = lambda w: bind(F.col(table), lambda t: looked_up(w, sizes, t, buckets)) if sizes else none
-        seen = docs.withColumn(table, hash_table(known, buckets).scalar())
-        return seen.withColumn(to, bind(words, lambda w: verdict(w, hits(w)))).drop(table), to
+    if not sizes:
+        return docs.withColumn(to, bind(n_words, lambda w: verdict(w, none))), to
+    broadcast = sum(counts.values()) <= broadcast_windows
+    near = near_hits(docs, known, sizes, key, text, broadcast)
+    few = (near.agg(F.sum(F.size("xs").cast("bigint"))).head()[0] or 0) <= broadcast_hits
     a, b, c, d, found = (unused(n, docs) for n in ("row_a", "row_b", "hit_a", "hit_b", "hits"))
+    hits = true_hits(docs, known, near, key, text, few, broadcast).toDF(c, d, found)
     k1, k2 = row_key(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    joined = docs.withColumn(a, k1).withColumn(b, k2).join(joined_hits(docs, known, sizes, key, text).toDF(c, d, found), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
-    return joined.withColumn(to, bind(words, lambda w: verdict(w, F.coalesce(found, none)))).drop(a, b, c, d, found), to
+    rows, same = docs.withColumn(a, k1).withColumn(b, k2), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+    joined = rows.join(F.broadcast(hits), same, "left") if few else salted_join(rows, hits, same, "left")
+    # one expression that names the text once, so a filter on the verdict works it out once
+    return joined.withColumn(to, bind(n_words, lambda w: verdict(w, F.coalesce(found, none)))).drop(a, b, c, d, found), to
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import bind, unused
-from tracelake.llm.spans import match_spans, replace_spans
+from tracelake.llm.spans import SPAN, in_blocks, match_spans, replace_spans, runs
 
 #: Kinds in their order, pattern, the group whose size counts, and its least size.
 KINDS = [
@@ -98,10 +98,25 @@ def looks_random(token: Column, table: list[float], threshold: float = THRESHOLD
     return F.when(digit & (F.char_length(token) >= LONG), enough(token, F.lit(0.0))).when(F.char_length(tight) >= LEAST, enough(tight, need)).otherwise(False)
 
 
-def covered(span: Column, base: Column) -> Column:
-    """Whether spans, sorted by start, together cover all of a span."""
-    reach = F.aggregate(base, span["start"], lambda at, b: F.when((b["start"] <= at) & (b["end"] > at), b["end"]).otherwise(at))
-    return reach >= span["end"]
+def uncovered(found: Column, base: Column) -> Column:
+    """Those of found that base, which is sorted by start too, does not cover whole: array of start, end.
+
+    Both lists are merged: a span is covered if the run of base spans that began last reaches its end.
+    """
+    none = F.array().cast(SPAN)
+    part = lambda x, rank: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"))
+    both = F.array_sort(F.concat(F.transform(runs(base), lambda x: part(x, 0)), F.transform(found, lambda x: part(x, 1))))
+
+    def step(s: Column, x: Column) -> Column:
+        stays = F.when((x["rank"] == 1) & (x["end"] > s["reach"]), F.concat(s["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))).otherwise(s["out"])
+        return F.struct(F.when(x["rank"] == 0, x["end"]).otherwise(s["reach"]).alias("reach"), stays.alias("out"))
+
+    def block(s: Column, of: Column) -> Column:
+        done = F.aggregate(of, F.struct(s["reach"].alias("reach"), none.alias("out")), step)
+        return bind(done, lambda d: F.struct(d["reach"].alias("reach"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    empty = F.struct(F.lit(-1).alias("reach"), F.array(none).alias("out"))
+    return bind(both, lambda of: F.flatten(F.aggregate(in_blocks(of), empty, block)["out"]))
 
 
 def spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
@@ -114,7 +129,7 @@ def spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Col
         kept = F.filter(match_spans(text, F.lit(pattern), group), at_least(least))
         found.append(F.when(text.rlike(pattern), F.transform(kept, shape(rank, kind))).otherwise(none))
     likely = F.filter(match_spans(text, F.lit(TOKEN)), lambda s: looks_random(s["word"], table, threshold))
-    more = lambda base: F.transform(F.filter(likely, lambda s: ~covered(s, base)), shape(len(KINDS), "random"))
+    more = lambda base: F.transform(uncovered(likely, base), shape(len(KINDS), "random"))
     return bind(F.array_sort(F.concat(*found)), lambda base: F.when(text.rlike(TOKEN), F.array_sort(F.concat(base, more(base)))).otherwise(base))
 
 

@@ -43,13 +43,47 @@ def match_spans(text: Column, pattern: Column, group: int = 0) -> Column:
     return bind(bind(words, lambda w: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(w)).alias("p"), w.alias("w"), parts.alias("g"))), placed)
 
 
-def replace_spans(text: Column, spans: Column, by: str) -> Column:
-    """text with every run of overlapping or touching spans (sorted by start) replaced once."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def in_blocks(items: Column) -> Column:
+    """An array in arrays of BLOCK; an empty one gives one that is empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
+def runs(spans: Column) -> Column:
+    """Spans, sorted by start, with overlapping and touching ones made one: array of start, end. Put together in blocks."""
+    none = F.array().cast(SPAN)
+    state = lambda start, end, out: F.struct(start.alias("start"), end.alias("end"), out.alias("out"))
+    closed = lambda s: F.when(s["end"] < 0, none).otherwise(F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = (x["start"] > s["at"]) | ((x["start"] == 0) & (s["at"] == 0))
-        grown = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(by))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, grown).otherwise(s["out"]).alias("out"))
+        grown = state(s["start"], F.greatest(s["end"], x["end"]), s["out"])
+        return F.when(x["start"] <= s["end"], grown).otherwise(state(x["start"], x["end"], F.concat(s["out"], closed(s))))
+
+    def block(s: Column, of: Column) -> Column:
+        done = F.aggregate(of, state(s["start"], s["end"], none), step)
+        return bind(done, lambda d: state(d["start"], d["end"], F.concat(s["out"], F.array(d["out"]))))
+
+    places = F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    empty = state(F.lit(0), F.lit(-1), F.array(none))
+    return bind(places, lambda of: bind(F.aggregate(in_blocks(of), empty, block), lambda s: F.concat(F.flatten(s["out"]), closed(s))))
+
+
+def replace_spans(text: Column, spans: Column, by: str) -> Column:
+    """text with every run of overlapping or touching spans (sorted by start) replaced once.
+
+    A place in a text is found by counting from its start. So BLOCK runs at a time are cut out first, and what stands
+    between them is counted within that part only.
+    """
+
+    def between(gone: Column) -> Column:
+        end = lambda of, i, else_: F.coalesce(F.get(of, i)["end"], else_)
+
+        def pieces(block: Column, lo: Column) -> Column:
+            part = F.substring(text, lo + 1, end(block, F.size(block) - 1, lo) - lo)
+            one = lambda here, x, i: F.substring(here, end(block, i - 1, lo) - lo + 1, x["start"] - end(block, i - 1, lo))
+            return bind(part, lambda here: F.transform(block, lambda x, i: one(here, x, i)))
+
+        before = F.transform(in_blocks(gone), lambda block, b: bind(end(gone, b * BLOCK - 1, F.lit(0)), lambda lo: pieces(block, lo)))
+        rest = F.substring(text, end(gone, F.size(gone) - 1, F.lit(0)) + 1, F.char_length(text))
+        return F.array_join(F.concat(F.flatten(before), F.array(rest)), by)
 
-    return F.aggregate(spans, empty, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return bind(runs(spans), between)

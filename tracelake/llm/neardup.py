@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm import textvec
-from tracelake.llm.common import cut, small_batches, unused
+from tracelake.llm.common import cut, lookup, salted, small_batches, unused
 
 BANDS, ROWS = 40, 5
 BUCKETS = BANDS * ROWS
@@ -235,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the row's id is its component's)."""
-    rows = cut(sketched(docs, key, text, words))
+    rows = cut(salted(sketched(docs, key, text, words)))
     surrogate = F.lit(NULL_IDS) + F.col("h1").bitwiseAND(F.lit(NULL_IDS - 1))
     classes = rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("size"), F.first("regs").alias("regs"))
     classes = cut(classes.select("h1", "h2", F.coalesce("least", surrogate).alias("node"), "size", "regs"))
@@ -253,7 +253,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     roots = components(links)
 
     named = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    joined = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    joined = lookup(rows.select("id", "n", "h1", "h2", "salt"), named, ["h1", "h2"])  # copies by the million share a digest
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("root") < NULL_IDS, F.col("root"))
     kept = F.when(F.col("n") == 0, F.lit(True)).otherwise(F.coalesce(F.col("id") == component, F.lit(False)))
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))

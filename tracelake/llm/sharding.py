@@ -9,8 +9,10 @@ Versions of the map are stored as Parquet folders with the bytes per slot that t
 the caller gives. A run reads the latest one and keeps it while loads and shards are the same; otherwise it stores the
 next version, which moves only the slots that the edit names.
 
-Hash input is the key with the text's hash, so that one key with very many rows still spreads over slots. The places of
-records within a shard are counted per virtual slot and then offset by the slots before it; no task orders a shard.
+Hash input is the key with the text's hash, so that one key with very many rows still spreads over slots. Rows equal in
+both have one slot for good, so only such rows can make a shard much larger than others. The places of records within a
+shard are counted by part of a virtual slot and then offset by the parts before; rows are dealt to parts by their place
+in the input and written, so no task orders a shard, and equal rows by the million are many tasks' work.
 
 Cases: a text of any length counts by its bytes, so one larger than the mean shard makes its shard the largest; equal
 loads go to the shard with the lower number; a null text has size 1 and the checksum of the empty text; null keys are hashed like any value; equal rows may
@@ -25,11 +27,12 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shared_dir
+from tracelake.llm.common import cut, shared_dir
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 8
-PARTS = 16  # order parts of a virtual slot
+PARTS = 32  # order parts of a virtual slot
+RUNS_AT_ONCE = 20
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", virtual_slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -116,27 +119,44 @@ def load_map(spark, at: str) -> tuple[dict, dict[int, int]] | None:
     return {"version": rows[0].version, "shards": rows[0].shards, "slots": {r.virtual_slot: r.shard for r in rows}}, {r.virtual_slot: r.bytes for r in rows if r.bytes}
 
 
+def store_map(spark, held: dict, loads: dict[int, int], at: str) -> bool:
+    """Store a version under a name that no other run has given: written aside, then named by one rename. False if
+    another run was first, whose version is then the stored one."""
+    aside, name = f"_new_{uuid.uuid4().hex}", f"v={held['version']}"
+    map_table(spark, held, loads).coalesce(1).write.parquet(f"{at}/{aside}")
+    (files, new), (_, to) = _files(spark, f"{at}/{aside}"), _files(spark, f"{at}/{name}")
+    if not files.exists(to):
+        files.rename(new, to)
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(to, aside)):
+            return not files.exists(new)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(to, aside), True)  # moved into a folder that came in between
+    files.delete(new, True)
+    return False
+
+
 def current_map(spark, loads: dict[int, int], shards: int, at: str, virtual_slots: int = VIRTUAL_SLOTS) -> dict:
-    """The map to place rows by: the stored one, or its next version where loads or shards have changed, which is stored."""
-    found = load_map(spark, at)
-    if found is None:
-        held = first_map(loads, shards, virtual_slots)
-    elif len(found[0]["slots"]) != virtual_slots:
-        raise ValueError(f"the map under {at} has {len(found[0]['slots'])} virtual slots, not {virtual_slots}: records are hashed for good")
-    elif found[0]["shards"] == shards and found[1] == {v: b for v, b in loads.items() if b}:
-        return found[0]
-    else:
-        held = rebalanced(found[0], loads, shards)
-    # what is overwritten was left by a write that did not end
-    map_table(spark, held, loads).coalesce(1).write.mode("overwrite").parquet(f"{at}/v={held['version']}")
-    return held
+    """The map to place rows by: the stored one, or its next version where loads or shards have changed, which is stored.
+    Of two runs at once one names a version; the other goes on from what it finds then."""
+    for _ in range(RUNS_AT_ONCE):
+        found = load_map(spark, at)
+        if found is None:
+            held = first_map(loads, shards, virtual_slots)
+        elif len(found[0]["slots"]) != virtual_slots:
+            raise ValueError(f"the map under {at} has {len(found[0]['slots'])} virtual slots, not {virtual_slots}: records are hashed for good")
+        elif found[0]["shards"] == shards and found[1] == {v: b for v, b in loads.items() if b}:
+            return found[0]
+        else:
+            held = rebalanced(found[0], loads, shards)
+        if store_map(spark, held, loads, at):
+            return held
+    raise OSError(f"{RUNS_AT_ONCE} other runs have changed the map under {at} meanwhile")
 
 
 def placed(rows: DataFrame, held: dict) -> DataFrame:
     """rows with shard and slot, the place within the shard, gapless from 0."""
     slots = [held["slots"][v] for v in range(len(held["slots"]))]
     shard = F.get(F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>"), F.col("__virtual"))
-    parted = rows.withColumn("shard", shard).withColumn("__part", F.pmod(F.shiftrightunsigned("__hash", 20), F.lit(PARTS)).cast("int"))
+    parted = cut(rows.withColumn("shard", shard).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")))
     counts = parted.groupBy("shard", "__virtual", "__part").agg(F.count("*").alias("__n"))  # slots x PARTS rows at most
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__virtual", "__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     offsets = counts.select("__virtual", "__part", before.alias("__before"))

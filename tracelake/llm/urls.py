@@ -8,8 +8,8 @@ The filter has one row per block, so its size follows from its parameter; within
 beyond that the same join shuffles. The exact join never broadcasts by hint.
 
 Cases: an empty table gives an empty table; a url of any length is one row, read by three patterns; of two rules with
-equal length the first listed one wins; columns of pages named like this module's own (two underscores before) are not
-allowed, others pass by; a null url, or one without ://, has an empty host and path, fits no rule and is not listed; listed nulls are
+equal length the first listed one wins; columns of pages whose names begin with two underscores, as this module's own do,
+raise ValueError, others pass by; a null url, or one without ://, has an empty host and path, fits no rule and is not listed; listed nulls are
 passed by; repeated listed URLs count once; repeated pages give repeated rows; an empty list lets everything pass.
 """
 
@@ -68,6 +68,8 @@ def build(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """pages with __host, __path, __rule, __possible, __listed and __verdict."""
+    if taken := [c for c in pages.columns if c.startswith("__")]:
+        raise ValueError(f"columns must not begin with two underscores: {', '.join(taken)}")
     names = listed.select(canonical(F.col("url")).alias("name")).where(F.col("name").isNotNull()).distinct()
     blocks = max(1, names.count() * BITS_PER_URL // 512 + 1)
     bloom = build(names, blocks)
@@ -78,7 +80,9 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", broadcast_block
     pick = lambda values: F.coalesce(*[F.when(fits[i], F.lit(values[i])) for i in longest])
     read = pages.withColumn("__host", host(F.col(url))).withColumn("__path", path(F.col(url))).withColumn("__name", canonical(F.col(url)))
     ruled = read.withColumn("__rule", pick([h + p for _, h, p in RULES])).withColumn("__by_rule", pick([v for v, _, _ in RULES]))
-    probed = ruled.withColumn("__block", block(F.col("__name"), blocks)).join(bloom, "__block", "left")
+    # pages without a name meet no block, and are dealt out by their place, not gathered under null
+    nowhere = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    probed = ruled.withColumn("__block", F.coalesce(block(F.col("__name"), blocks), nowhere)).join(bloom, "__block", "left")
     hit = F.lit(True)
     for k in range(WORDS):
         hit = hit & (F.col(f"__w{k}").bitwiseAND(bit(F.col("__name"), k)) != 0)

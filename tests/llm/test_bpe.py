@@ -96,3 +96,14 @@ def test_other_parts_are_refused(tmp_path):
     (tmp_path / "odd.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="normalizer"):
         bpe.Merger.read(str(tmp_path / "odd.json"))
+
+
+def test_the_word_cache_is_bounded_and_keeps_frequent_words(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 10)
+    made = []
+    cache = bpe._Cache(lambda w: made.append(w) or w.upper())
+    for k in range(200):
+        assert cache["often"] == "OFTEN" and cache[f"w{k}"] == f"W{k}"
+        assert len(cache) + len(cache.before) <= 20
+    assert made.count("often") == 1 and len(made) == 201
+    assert cache["x" * 100] == "X" * 100 and "x" * 100 not in cache

@@ -50,7 +50,7 @@ HANDLED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_
 SPACES = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SHORT = 24  # symbols; longer words are merged with a heap
-CACHED_WORD, CACHED_WORDS = 32, 500_000  # per worker and kind
+CACHED_WORD, CACHED_WORDS = 32, 50_000  # per worker, kind and generation
 ROWS = 256
 
 
@@ -216,16 +216,21 @@ class Decoder:
 
 
 class _Cache(dict):
-    """A string to what it becomes; filled on demand."""
+    """A string to what it becomes; filled on demand. Of a full generation those asked for again pass into the next, so
+    memory is bounded and frequent words stay."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.before: dict = {}
 
     def __missing__(self, string: str):
-        made = self.make(string)
+        made = self.before.pop(string, None)
+        if made is None:
+            made = self.make(string)
         if len(string) <= CACHED_WORD:
             if len(self) >= CACHED_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[string] = made
         return made

@@ -11,6 +11,7 @@ from tracelake.operators import conformance, dfg, miner, normalize, timing, vari
 from tracelake.plans import adapters as a
 from tracelake.plans import opportunities, reports, views
 from tracelake.sources import store, xes
+from tracelake.streaming import running
 
 VIEW_TO_BUY = ["view", "click", "purchase"]
 
@@ -308,6 +309,14 @@ def stored_again(s: SparkSession, d: str) -> DataFrame:
     return store.read_log(s, at, ordered=True)
 
 
+def running_edges(s: SparkSession, d: str) -> DataFrame:
+    """The log in four batches by place in the case, then the edges that were kept up to date."""
+    log, at = a.fulfilment(s, d), f"{store.scratch(s)}/counts"
+    for k, part in enumerate(("event_index < 2", "event_index BETWEEN 2 AND 3", "event_index BETWEEN 4 AND 6", "event_index > 6")):
+        running.update(log.where(part), k, at)
+    return running.edges(s, at)
+
+
 def report_again(s: SparkSession, d: str) -> DataFrame:
     at = f"{store.scratch(s)}/ingestion_report.json"
     reports.write_ingestion_report(normalize.classified(a.messy_raw(s, d)), at, {"table": "events"})
@@ -327,6 +336,7 @@ add("xes_round_trip", xes_again, sql("SELECT case_id, row_number() OVER (PARTITI
 add("xes_event_counts", xes_counts, sql("SELECT count(*) AS counted, count(*) AS parsed FROM ud"))
 add("csv_round_trip", lambda s, d: csv_again(s, d).selectExpr(*TIMED), KEPT)
 add("stored_log", lambda s, d: stored_again(s, d).selectExpr(*TIMED), KEPT)
+add("running_edges", running_edges, sql("SELECT source, target, count(*) AS frequency, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean_duration_seconds, round(quantile_cont(micro, 0.5) / 1e6, 8) AS median_duration_seconds FROM steps WHERE target IS NOT NULL GROUP BY ALL", steps("ful")))
 add("ingestion_report_file", report_again, sql("SELECT 'start_else_complete' AS policy, count(*) AS parsed_events, count(*) FILTER (status = 'normalized') AS normalized_events, count(*) FILTER (reason = 'out_of_order') AS out_of_order, count(*) FILTER (lifecycle = 'start') AS start FROM dirty", DIRTY))
 add("discovery_outputs", lambda s, d: outputs(s, reports.write_discovery(a.user_day_outcomes(s, d), store.scratch(s))), sql("SELECT 'dfg_edges.csv' AS name, count(*) AS rows FROM pairs UNION ALL SELECT 'variants.csv', count(*) FROM ranked UNION ALL SELECT 'case_statistics.csv', count(*) FROM seqs UNION ALL SELECT unnest(['dfg.mmd', 'heuristic_net.json', 'discovery_summary.md']), 1", steps("ud"), seqs("ud")))
 add("diagnosis_outputs", lambda s, d: outputs(s, reports.write_diagnosis(log := a.fulfilment(s, d), conformance.reference(log, "most_frequent_variant"), store.scratch(s))), sql("SELECT 'conformance_cases.csv' AS name, count(*) AS rows FROM cyc UNION ALL SELECT 'rework_cases.csv', count(*) FROM cyc UNION ALL SELECT 'rework_activities.csv', count(DISTINCT activity) FROM reps UNION ALL SELECT 'bottlenecks.csv', count(*) FROM pairs UNION ALL SELECT unnest(['conformance_summary.json', 'diagnostic_report.md']), 1", steps("ful"), REWORK.format(log="ful")))

@@ -50,7 +50,7 @@ HANDLED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_
 SPACES = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SHORT = 24  # symbols; longer words are merged with a heap
-CACHED_WORD, CACHED_WORDS = 32, 50_000  # per worker, kind and generation
+CACHED_WORD, CACHED_WORDS = 32, 150_000  # per worker, kind and generation
 ROWS = 256
 
 

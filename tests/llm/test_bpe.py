@@ -107,3 +107,6 @@ def test_the_word_cache_is_bounded_and_keeps_frequent_words(monkeypatch):
         assert len(cache) + len(cache.before) <= 20
     assert made.count("often") == 1 and len(made) == 201
     assert cache["x" * 100] == "X" * 100 and "x" * 100 not in cache
+    cache.hold(3)
+    assert len(cache) + len(cache.before) <= 6
+    assert [cache[f"w{k}"] for k in range(20)] == [f"W{k}" for k in range(20)] and len(cache) + len(cache.before) <= 6

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelake.llm import bpe, decontaminate, neardup, secrets, toxicity
 from tracelake.llm.common import shared_dir, table
 
+#: Fewer than the encoder keeps by itself: here its workers share an executor with those of the other stages.
+ENCODER_WORDS = 30_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that score 0.5 or more; null and empty texts stay, as do all columns. Without labels of both classes none goes."""
@@ -37,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number and digests of the tokens, and the ids themselves, of every document; null and empty texts have none."""
-    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, cached_words=ENCODER_WORDS)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.sources import store, xes
 from tracelake.streaming.ingest import for_each_log
@@ -29,6 +30,8 @@ def test_stored_log(spark, tmp_path):
     rows = [("1", 0, "NA", None, "null", None, None), ("1", 1, "B", None, None, None, "done")]
     log = spark.createDataFrame(rows, store.LOG_SCHEMA)
     store.write_log_csv(log, str(tmp_path / "csv"))
+    store.write_log_csv(quoted := log.withColumn("activity", F.lit('say "x", y')), str(tmp_path / "quoted.csv"), one_file=True)
+    assert sorted(map(tuple, store.read_log_csv(spark, str(tmp_path / "quoted.csv")).collect())) == sorted(map(tuple, quoted.collect()))
     assert sorted(map(tuple, store.read_log_csv(spark, str(tmp_path / "csv")).collect())) == rows
     swapped = log.select("event_index", "case_id", *log.columns[2:])
     store.write_log_csv(swapped, str(tmp_path / "swapped"), one_file=True)
@@ -67,3 +70,30 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(store.RAW_SCHEMA).parquet(str(tmp_path / "in"))
     for_each_log(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "state")).awaitTermination(60)
     assert sum(seen) == 1
+
+
+def test_one_file_keeps_order_and_content(spark, tmp_path):
+    """Many parts, some empty, behind one header; a rewrite takes the place of a file or a folder, and nothing else stays."""
+    at = tmp_path / "out" / "table.csv"
+    rows = [(k, None if k % 7 == 0 else "" if k % 5 == 0 else f'a,"{k}"\nb') for k in range(3000)]
+    found = spark.createDataFrame(rows, 'k int, `odd,"name"` string').repartitionByRange(8, "k").sortWithinPartitions("k")
+    at.mkdir(parents=True)
+    store.write_one_csv(found, str(at))
+    assert at.is_file() and [p.name for p in at.parent.iterdir() if not p.name.endswith(".crc")] == ["table.csv"]
+    again = spark.read.schema(found.schema).options(header=True, enforceSchema=False, multiLine=True, escape='"').csv(str(at))
+    with open(at, newline="") as f:
+        assert f.readline() == 'k,"odd,""name"""\n'
+    assert found.rdd.getNumPartitions() == 8 and [tuple(r) for r in again.collect()] == [(k, v or None) for k, v in rows]
+    assert '\n5,""\n' in at.read_text() and at.read_text().startswith('k,"odd,""name"""\n0,\n')
+    store.write_one_csv(found.where("k < 0"), str(at))
+    assert at.read_text().count("\n") == 1
+    store.write_one_csv(found.where("k = 1").select("k"), str(at))
+    assert at.read_text() == "k\n1\n"
+
+
+def test_a_failed_write_leaves_the_file_before(spark, tmp_path):
+    at = tmp_path / "table.csv"
+    store.write_one_csv(spark.range(3).orderBy("id"), str(at))
+    with pytest.raises(Exception, match="no row"):
+        store.write_one_csv(spark.range(3).selectExpr("cast(raise_error('no row') AS bigint) AS id"), str(at))
+    assert at.read_text() == "id\n0\n1\n2\n" and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["table.csv"]

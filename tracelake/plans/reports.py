@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,43 +136,49 @@ def recorded_policy(spark: SparkSession, path: str) -> str | None:
     return policy if policy in normalize.POLICIES else None
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def discovery_tables(log: DataFrame) -> dict[str, DataFrame]:
+    """The tables among a discovery's outputs, in the order of their files."""
+    return {
+        "dfg_edges.csv": dfg.by_frequency(dfg.edges(log)),
+        "variants.csv": variants.variants(log).orderBy("variant_rank"),
+        "case_statistics.csv": variants.case_statistics(log).orderBy("case_id"),
+    }
 
 
-def write_discovery(log: DataFrame, at: str, policy: str | None = None, threshold: float = 0.9) -> list[str]:
-    """The outputs of a discovery under a folder: edges, map, model, variants, cases, summary. Their paths are returned."""
-    with views.kept(log) as log:
-        return _write_discovery(log, lambda name: f"{at}/{name}", policy, threshold)
+def diagnosis_tables(d: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables among a diagnosis's outputs, in the order of their files."""
+    return {
+        "conformance_cases.csv": d["cases"].orderBy("case_id"),
+        "bottlenecks.csv": d["bottlenecks"].orderBy(F.desc("total_seconds"), "source", "target"),
+        "rework_cases.csv": d["rework_cases"].orderBy("case_id"),
+        "rework_activities.csv": d["rework_activities"].orderBy(F.desc("total_span_seconds"), "activity"),
+    }
 
 
-def _write_discovery(log: DataFrame, to: Callable[[str], str], policy: str | None, threshold: float) -> list[str]:
-    spark = log.sparkSession
-    write_table(dfg.by_frequency(dfg.edges(log)), to("dfg_edges.csv"))
-    store.write_text(spark, views.mermaid(log)["text"], to("dfg.mmd"))
-    store.write_text(spark, views.heuristic_net_json(log, threshold) + "\n", to("heuristic_net.json"))
-    write_table(variants.variants(log).orderBy("variant_rank"), to("variants.csv"))
-    write_table(variants.case_statistics(log).orderBy("case_id"), to("case_statistics.csv"))
-    store.write_text(spark, discovery_summary(log, policy, threshold), to("discovery_summary.md"))
-    return [to(n) for n in ("dfg_edges.csv", "dfg.mmd", "heuristic_net.json", "variants.csv", "case_statistics.csv", "discovery_summary.md")]
+def write_discovery(log: DataFrame, at: str, policy: str | None = None, threshold: float = 0.9) -> list[str]:
+    """The outputs of a discovery under a folder, one file each: edges, map, model, variants, cases, summary. Their paths
+    are returned."""
+    with views.kept(log) as log:
+        spark = log.sparkSession
+        for name, found in discovery_tables(log).items():
+            store.write_one_csv(found, f"{at}/{name}")
+        store.write_text(spark, views.mermaid(log)["text"], f"{at}/dfg.mmd")
+        store.write_text(spark, views.heuristic_net_json(log, threshold) + "\n", f"{at}/heuristic_net.json")
+        store.write_text(spark, discovery_summary(log, policy, threshold), f"{at}/discovery_summary.md")
+    return [f"{at}/{n}" for n in ("dfg_edges.csv", "dfg.mmd", "heuristic_net.json", "variants.csv", "case_statistics.csv", "discovery_summary.md")]
 
 
 def write_diagnosis(log: DataFrame, reference: dict, at: str, policy: str | None = None) -> list[str]:
-    """The outputs of a diagnosis under a folder: cases, summary, bottlenecks, rework by case and activity, report."""
+    """The outputs of a diagnosis under a folder, one file each: cases, summary, bottlenecks, rework by case and
+    activity, report."""
     with views.kept(log) as log:
-        return _write_diagnosis(log, reference, lambda name: f"{at}/{name}", policy)
-
-
-def _write_diagnosis(log: DataFrame, reference: dict, to: Callable[[str], str], policy: str | None) -> list[str]:
-    spark, d = log.sparkSession, diagnosis(log, reference)
-    write_table(d["cases"].orderBy("case_id"), to("conformance_cases.csv"))
-    summary = {"reference": reference, "conformance": plain(d["summary"])[0], "rework": plain(timing.rework_totals(d["rework_cases"]))[0], "kinds": {r["kind"]: r["transitions"] for r in plain(timing.kind_counts(d["bottlenecks"]))}}
-    store.write_text(spark, json.dumps(summary, sort_keys=True, indent=1) + "\n", to("conformance_summary.json"))
-    write_table(d["bottlenecks"].orderBy(F.desc("total_seconds"), "source", "target"), to("bottlenecks.csv"))
-    write_table(d["rework_cases"].orderBy("case_id"), to("rework_cases.csv"))
-    write_table(d["rework_activities"].orderBy(F.desc("total_span_seconds"), "activity"), to("rework_activities.csv"))
-    store.write_text(spark, diagnostic_report(log, reference, policy), to("diagnostic_report.md"))
-    return [to(n) for n in ("conformance_cases.csv", "conformance_summary.json", "bottlenecks.csv", "rework_cases.csv", "rework_activities.csv", "diagnostic_report.md")]
+        spark, d = log.sparkSession, diagnosis(log, reference)
+        for name, found in diagnosis_tables(d).items():
+            store.write_one_csv(found, f"{at}/{name}")
+        summary = {"reference": reference, "conformance": plain(d["summary"])[0], "rework": plain(timing.rework_totals(d["rework_cases"]))[0], "kinds": {r["kind"]: r["transitions"] for r in plain(timing.kind_counts(d["bottlenecks"]))}}
+        store.write_text(spark, json.dumps(summary, sort_keys=True, indent=1) + "\n", f"{at}/conformance_summary.json")
+        store.write_text(spark, diagnostic_report(log, reference, policy), f"{at}/diagnostic_report.md")
+    return [f"{at}/{n}" for n in ("conformance_cases.csv", "conformance_summary.json", "bottlenecks.csv", "rework_cases.csv", "rework_activities.csv", "diagnostic_report.md")]
 
 
 def ingestion_summary(report: dict) -> str:

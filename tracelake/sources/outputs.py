@@ -55,7 +55,7 @@ class Outputs:
 
     def table(self, path: str, schema: str | None = None) -> DataFrame:
         """A table written as CSV; without a schema all columns are text."""
-        reader = self.spark.read.option("header", True)
+        reader = self.spark.read.option("header", True).option("escape", '"')
         return self._get(f"table {schema}", path, lambda: (reader.schema(schema) if schema else reader).csv(path).persist())
 
     def json(self, path: str):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 LOG_SCHEMA = "case_id string, event_index bigint, activity string, timestamp timestamp, resource string, cost double, outcome string"
 RAW_SCHEMA = "case_id string, event_index bigint, activity string, lifecycle string, timestamp string, resource string"
+TIMES, TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+BUFFER = 1 << 20
 
 
 class ChecksumMismatch(ValueError):
@@ -63,16 +65,77 @@ def fetch(url: str, sha256: str, to: str | Path, force: bool = False) -> Path:
 def read_log_csv(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
     """A log from CSV with a header; only the empty cell is null, so NA and null are texts. Columns must stand in the
     schema's order: another header is an error when the log is read."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("timestampFormat", TIMES).option("escape", '"').csv(path)
 
 
 def write_log_csv(log: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV files with headers, ordered by case and position within and between files. one_file: for small exports."""
-    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c, kind in log.dtypes if kind.startswith("timestamp")}  # with and without zone
-    ordered = log.orderBy("case_id", "event_index").withColumns(times)
+    """CSV with headers, ordered by case and position within and between files; one_file: path is a file then."""
+    ordered = log.orderBy("case_id", "event_index")
     if one_file:
-        ordered = ordered.coalesce(1)
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+        return write_one_csv(ordered, path)
+    times = {c: F.date_format(c, TIME) for c, kind in log.dtypes if kind.startswith("timestamp")}  # with and without zone
+    ordered.withColumns(times).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """df as one CSV file with a header, in df's order. Null is the empty cell, an empty text is "" (Spark
+    reads both as null), a quote is doubled.
+
+    The parts are written by as many tasks as df has, beside path, then put together behind the header: by the store
+    itself where it can (HDFS links their blocks), else copied one after the other through a buffer of BUFFER bytes. The
+    file gets its name by one rename, so a reader sees the one before or the whole new one; a crash leaves only files
+    beside it.
+    """
+    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    times = {c: F.date_format(c, TIME) for c, kind in df.dtypes if kind.startswith("timestamp")}
+    fs, folder = _files(spark, f"{aside}.parts")
+    try:
+        df.withColumns(times).write.option("header", False).option("escape", '"').csv(folder.toString())
+        parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getName())
+        quoted = [f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in ',"\n\r') else c for c in df.columns]
+        write_text(spark, ",".join(quoted) + "\n", aside)
+        _join_files(spark, fs, _files(spark, aside)[1], parts)
+        _rename_over(spark, aside, path)
+    finally:
+        fs.delete(folder, True)
+        fs.delete(_files(spark, aside)[1], False)
+
+
+def _join_files(spark: SparkSession, fs, head, parts: list) -> None:
+    """Put files behind head, in their order."""
+    gateway, hadoop = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop
+    if not parts:
+        return
+    if fs.hasPathCapability(head, "fs.capability.paths.concat"):
+        named = gateway.new_array(hadoop.fs.Path, len(parts))
+        for k, part in enumerate(parts):
+            named[k] = part
+        fs.concat(head, named)
+        return
+    begun = fs.makeQualified(head).suffix(".head")
+    fs.rename(head, begun)
+    out = fs.create(head, True)
+    try:
+        for part in [begun, *parts]:
+            source = fs.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(source, out, BUFFER, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+        fs.delete(begun, False)
+
+
+def _rename_over(spark: SparkSession, old: str, new: str) -> None:
+    """Name a file new, in place of the file there; a folder there, as earlier versions left it, goes first."""
+    gateway, hadoop = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop
+    fs, at = _files(spark, new)
+    if fs.exists(at) and fs.getFileStatus(at).isDirectory():
+        fs.delete(at, True)
+    options = gateway.new_array(getattr(hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(hadoop.fs, "Options$Rename").OVERWRITE
+    hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(_files(spark, old)[1]), fs.makeQualified(at), options)
 
 
 def _files(spark: SparkSession, at: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.measures import micros, quantile_seconds, seconds, weighted_total
 from tracelake.functions.quantiles import quantiles_of
+from tracelake.functions.written import written
 
 NEEDED = ("case_id", "event_index", "activity", "timestamp")
 
@@ -33,9 +34,9 @@ PAIR = ["source", "target"]
 
 def counted_steps(log: DataFrame) -> DataFrame:
     """source, target, micro, n (occurrences), k (cases that have the pair here first): all that is told of pairs
-    follows from these counts, so the log is read once."""
+    follows from these counts, which are written down, so the log is read once."""
     fresh = F.row_number().over(Window.partitionBy("case_id", *PAIR).orderBy("micro")) == 1  # in the case's partition
-    return occurrences(log).withColumn("fresh", fresh.cast("int")).groupBy(*PAIR, "micro").agg(F.count("*").alias("n"), F.sum("fresh").alias("k"))
+    return written(occurrences(log).withColumn("fresh", fresh.cast("int")).groupBy(*PAIR, "micro").agg(F.count("*").alias("n"), F.sum("fresh").alias("k")))
 
 
 def edges(log: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from logs import drawn, frame
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import timing
-from tracelake.plans import adapters
+from tracelake.operators import miner, timing
+from tracelake.plans import adapters, views
 
 
 @pytest.fixture
@@ -32,3 +32,10 @@ def test_slow_threshold(readings):
     log, times = readings
     timing.slow_threshold(timing.waits(log)).collect()
     assert times() == 1
+
+
+@pytest.mark.parametrize("made", [views.map_crossings, views.placed_nodes, views.map_nodes, views.graph_nodes, views.graph_crossings, miner.connected, miner.model_edges, miner.orphans_of, miner.pairs, miner.two_loops])
+def test_model_and_map(readings, made):
+    log, times = readings
+    made(log).collect()
+    assert times() == 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.measures import check_threshold, dependency, footprint, self_loop, two_loop
+from tracelake.functions.written import written
 from tracelake.operators import dfg
 
 KINDS = ["causal", "length_one_loop", "length_two_loop", "best_connection"]
@@ -13,11 +14,18 @@ EDGES = "source string, target string, kind string, dependency double, frequency
 
 
 def trigrams(log: DataFrame) -> DataFrame:
-    """source, target, third, is_first, n: how often activities stand one behind the other. target and third are null at
-    a case's end, is_first tells its first event. One pass over the log; all that is mined follows from these few rows."""
+    """source, target, third, is_first, is_last, n: how often activities stand one behind the other. target and third are
+    null at a case's end, is_first and is_last tell its first and last event. One pass over the log; these few rows are
+    written down, and all that is mined follows from them."""
     order = dfg.in_case()
-    steps = dfg.require(log).select(F.col("activity").alias("source"), F.lead("activity").over(order).alias("target"), F.lead("activity", 2).over(order).alias("third"), (F.row_number().over(order) == 1).alias("is_first"))
-    return steps.groupBy("source", "target", "third", "is_first").agg(F.count("*").alias("n"))
+    steps = dfg.require(log).select(F.col("activity").alias("source"), F.lead("activity").over(order).alias("target"), F.lead("activity", 2).over(order).alias("third"), (F.row_number().over(order) == 1).alias("is_first"), F.lead(F.lit(1)).over(order).isNull().alias("is_last"))
+    return written(steps.groupBy("source", "target", "third", "is_first", "is_last").agg(F.count("*").alias("n")))
+
+
+def nodes(tri: DataFrame) -> DataFrame:
+    """activity, events, starts, ends: zero where an activity starts or ends no case."""
+    of = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).cast("bigint")
+    return tri.groupBy(F.col("source").alias("activity")).agg(F.sum("n").alias("events"), of("is_first").alias("starts"), of("is_last").alias("ends"))
 
 
 def frequencies(tri: DataFrame) -> DataFrame:
@@ -37,10 +45,11 @@ def pairs(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     The pairs of the (few) activities are spanned from their distinct list, not from the events.
     """
     check_threshold(threshold)
-    names = dfg.activity_counts(log).select("activity")
+    tri = trigrams(log)
+    names = tri.select(F.col("source").alias("activity")).distinct()
     grid = names.agg(F.array_sort(F.collect_list("activity")).alias("all"))
     spanned = grid.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a <> b")
-    seen = frequencies(trigrams(log))
+    seen = frequencies(tri)
     ab = seen.toDF("a", "b", "ab")
     ba = seen.toDF("b", "a", "ba")
     both = spanned.join(ab, ["a", "b"], "left").join(ba, ["a", "b"], "left").select("a", "b", F.coalesce("ab", F.lit(0)).alias("ab"), F.coalesce("ba", F.lit(0)).alias("ba"))
@@ -107,17 +116,17 @@ def connected(log: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The heuristic net: model_edges, and for activities left without a way in or out their strongest pair.
 
     Activities are taken in alphabetical order and each sees what was admitted before, so this runs over the pairs of
-    activities on the driver, with what starts or ends a case. The log is read once, into its trigrams, which stay on
-    the executors until edges and pairs are made of them.
+    activities on the driver, with what starts or ends a case. The log is read once, into its trigrams.
     """
     check_threshold(threshold)
-    spark = log.sparkSession
-    tri = trigrams(log).persist()
-    try:
-        edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in admitted(tri, threshold).collect()}
-        rows = tri.groupBy("source", "target").agg(F.sum("n").alias("n"), F.max("is_first").alias("is_first")).collect()
-    finally:
-        tri.unpersist()
+    return net(trigrams(log), threshold)
+
+
+def net(tri: DataFrame, threshold: float) -> DataFrame:
+    """connected, from trigrams."""
+    spark = tri.sparkSession
+    edges = {(r.source, r.target): (r.kind, r.dependency, r.frequency) for r in admitted(tri, threshold).collect()}
+    rows = tri.groupBy("source", "target").agg(F.sum("n").alias("n"), F.max("is_first").alias("is_first")).collect()
     starts, ends = {r.source for r in rows if r.is_first}, {r.source for r in rows if r.target is None}
     names = sorted({r.source for r in rows})
     counts = {(r.source, r.target): r.n for r in rows if r.target is not None}
@@ -139,6 +148,12 @@ def connected(log: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def orphans(log: DataFrame, edges: DataFrame) -> DataFrame:
-    """Activities without any edge to another activity."""
+    """Activities without any edge to another activity. log: anything with an activity in each row."""
     linked = edges.where("source <> target").select(F.explode(F.array("source", "target")).alias("activity"))
-    return dfg.activity_counts(log).select("activity").join(linked, "activity", "left_anti")
+    return log.select("activity").distinct().join(linked, "activity", "left_anti")
+
+
+def orphans_of(log: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """orphans of the log's model_edges, told from one reading of the log."""
+    tri = trigrams(log)
+    return orphans(nodes(tri), admitted(tri, check_threshold(threshold)))

@@ -191,7 +191,7 @@ for _log, _sql in (("user_day", "ud"), ("fulfilment", "ful"), ("dialogue", "dlg"
     _edges = f", every AS (SELECT *, 'causal' AS kind, 0 AS r FROM ({CAUSAL}) UNION ALL SELECT *, 'length_one_loop', 1 FROM ({SELF}) UNION ALL SELECT *, 'length_two_loop', 2 FROM loops2), model AS (SELECT source, target, kind, dependency, frequency FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY r) AS k FROM every) WHERE k = 1)"
     add(f"model_edges_no_connect_{_log}", lambda s, d, f=getattr(a, _log): miner.model_edges(f(s, d)), sql("SELECT * FROM model", steps(_sql), TWO_LOOPS, _edges))
     add(f"model_edges_{_log}", lambda s, d, f=getattr(a, _log): miner.connected(f(s, d)), sql("SELECT * FROM connected", steps(_sql), TWO_LOOPS, _edges, CONNECT.format(log=_sql)))
-    add(f"orphan_activities_{_log}", lambda s, d, f=getattr(a, _log): miner.orphans(f(s, d), miner.model_edges(f(s, d))), sql(f"SELECT DISTINCT activity FROM {_sql} WHERE activity NOT IN (SELECT source FROM model WHERE source <> target UNION ALL SELECT target FROM model WHERE source <> target)", steps(_sql), TWO_LOOPS, _edges))
+    add(f"orphan_activities_{_log}", lambda s, d, f=getattr(a, _log): miner.orphans_of(f(s, d)), sql(f"SELECT DISTINCT activity FROM {_sql} WHERE activity NOT IN (SELECT source FROM model WHERE source <> target UNION ALL SELECT target FROM model WHERE source <> target)", steps(_sql), TWO_LOOPS, _edges))
 add("model_edges_sorted", lambda s, d: miner.connected(a.fulfilment(s, d)).orderBy("source", "target").limit(7), sql("SELECT * FROM connected ORDER BY source, target LIMIT 7", steps("ful"), TWO_LOOPS, _edges.replace("dlg", "ful"), CONNECT.format(log="ful")))
 
 # variants and cases

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import automation, dfg, miner, network, placing
+from tracelake.operators import automation, dfg, network
 from tracelake.plans import adapters as a
 from tracelake.plans import views
 
@@ -91,6 +91,6 @@ def register(add: Callable, sql: Callable, steps: Callable, seqs: Callable, node
         of_model = nodes.format(log=name), *connected(name), ", edges_of AS (SELECT source, target FROM connected)", PLACES.format()
         add(f"process_map_placed{tail}", lambda s, d, f=log: views.placed_nodes(f(s, d)), sql(PLACED, *of_model))
         of_graph = steps(name), nodes.format(log=name), ", edges_of AS (SELECT source, target FROM pairs)", PLACES.format()
-        add(f"graph_placed{tail}", lambda s, d, f=log: (lambda x: views.placed_nodes(x, edges=dfg.frequencies(x)))(f(s, d)), sql(PLACED, *of_graph))
-        add(f"map_crossings{tail}", lambda s, d, f=log: (lambda x: placing.crossings(views.placed_nodes(x), miner.connected(x)))(f(s, d)), sql(CROSSED, *of_model))
-        add(f"graph_crossings{tail}", lambda s, d, f=log: (lambda x, e: placing.crossings(views.placed_nodes(x, edges=e), e))(f(s, d), dfg.frequencies(f(s, d))), sql(CROSSED, *of_graph))
+        add(f"graph_placed{tail}", lambda s, d, f=log: views.graph_nodes(f(s, d)), sql(PLACED, *of_graph))
+        add(f"map_crossings{tail}", lambda s, d, f=log: views.map_crossings(f(s, d)), sql(CROSSED, *of_model))
+        add(f"graph_crossings{tail}", lambda s, d, f=log: views.graph_crossings(f(s, d)), sql(CROSSED, *of_graph))

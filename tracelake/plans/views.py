@@ -61,24 +61,48 @@ def overview(log: DataFrame, policy: str | None = None, cases: DataFrame | None
 
 def map_nodes(log: DataFrame) -> DataFrame:
     """activity, events, starts, ends: zero where an activity starts or ends no case."""
-    nodes = dfg.activity_counts(log)
-    for name, first in (("starts", True), ("ends", False)):
-        nodes = nodes.join(dfg.end_counts(log, first).withColumnRenamed("cases", name), "activity", "left")
-    return nodes.select("activity", "events", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("starts", "ends")])
+    return miner.nodes(miner.trigrams(log))
 
 
-def placed_nodes(log: DataFrame, threshold: float = 0.9, edges: DataFrame | None = None) -> DataFrame:
-    """The nodes of the process map with counts and places. edges: the model's, where they are at hand."""
-    nodes = map_nodes(log)
-    return nodes.join(placing.places(nodes, miner.connected(log, threshold) if edges is None else edges), "activity")
+def placed(tri: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of a map with counts and places. tri: the log's trigrams."""
+    nodes = miner.nodes(tri)
+    return nodes.join(placing.places(nodes, edges), "activity")
+
+
+def placed_nodes(log: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The nodes of the process map with counts and places. Nodes and model follow from one reading of the log."""
+    tri = miner.trigrams(log)
+    return placed(tri, miner.net(tri, threshold))
+
+
+def map_crossings(log: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """One row: crossings of the process map's edges, told from one reading of the log."""
+    tri = miner.trigrams(log)
+    edges = miner.net(tri, threshold)
+    return placing.crossings(placed(tri, edges), edges)
+
+
+def graph_nodes(log: DataFrame) -> DataFrame:
+    """placed_nodes over all directly-follows edges."""
+    tri = miner.trigrams(log)
+    return placed(tri, miner.frequencies(tri))
+
+
+def graph_crossings(log: DataFrame) -> DataFrame:
+    """map_crossings over all directly-follows edges."""
+    tri = miner.trigrams(log)
+    edges = miner.frequencies(tri)
+    return placing.crossings(placed(tri, edges), edges)
 
 
 def process_map(log: DataFrame, threshold: float = 0.9) -> dict:
     """Nodes with places and counts, model edges with their timing."""
     times = dfg.edges(log).drop("frequency", "case_frequency")
-    edges = miner.connected(log, threshold)
+    tri = miner.trigrams(log)
+    edges = miner.net(tri, threshold)
     rows = plain(edges.join(times, ["source", "target"], "left").orderBy("source", "target"))
-    return {"nodes": plain(placed_nodes(log, threshold, edges).orderBy("layer", "order")), "edges": rows}
+    return {"nodes": plain(placed(tri, edges).orderBy("layer", "order")), "edges": rows}
 
 
 def top_variants(log: DataFrame, limit: int = 25, cases: DataFrame | None = None) -> list[dict]:

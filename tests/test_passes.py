@@ -5,7 +5,7 @@ from logs import drawn, frame
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import miner, timing
+from tracelake.operators import miner, timing, variants
 from tracelake.plans import adapters, views
 
 
@@ -19,7 +19,7 @@ def readings(spark):
         seen.add(1)
         return x
 
-    log = spark.createDataFrame(rows, frame(spark, drawn(7)).schema).withColumn("activity", F.udf(note, "string").asNondeterministic()("activity"))
+    log = spark.createDataFrame(rows, frame(spark, drawn(7)).schema).withColumn("case_id", F.udf(note, "string").asNondeterministic()("case_id"))
     return log, lambda: seen.value / len(rows)
 
 
@@ -39,3 +39,24 @@ def test_model_and_map(readings, made):
     log, times = readings
     made(log).collect()
     assert times() == 1
+
+
+def cycle_days(log):
+    return variants.days_of(variants.spans(log))
+
+
+def model_gap(log):
+    return views.variant_model_gap(log, log.select(F.col("activity").alias("source"), F.col("activity").alias("target")).limit(0))
+
+
+@pytest.mark.parametrize("made", [variants.variants, variants.case_statistics, variants.case_spans, variants.coverage, cycle_days, model_gap, lambda log: variants.top(log, 3)])
+def test_variants(readings, made):
+    log, times = readings
+    made(log).collect()
+    assert times() == 1
+
+
+def test_sequence(readings):
+    log, times = readings
+    variants.sequence(log, 2)
+    assert times() == 1

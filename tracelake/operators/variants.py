@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.measures import SEPARATOR, filled, micros, quantile_seconds, seconds, total
-from tracelake.functions.quantiles import quantiles_of, with_quantiles
+from tracelake.functions.measures import SEPARATOR, filled, micros, quantile_seconds, seconds, weighted_total
+from tracelake.functions.quantiles import quantiles_of
 from tracelake.functions.written import written
 from tracelake.operators import dfg
 
@@ -28,10 +28,11 @@ def sequences(log: DataFrame) -> DataFrame:
     return dfg.require(log).groupBy("case_id").agg(in_order().alias("seq"))
 
 
-def counted(log: DataFrame) -> DataFrame:
-    """_k, variant, length, case_count, _first of each variant."""
-    cases = named(sequences(log)).select("case_id", "_k", F.array_join("seq", SEPARATOR).alias("variant"), F.size("seq").cast("bigint").alias("length"))
-    return cases.groupBy("_k").agg(F.first("variant").alias("variant"), F.first("length").alias("length"), F.count("*").alias("case_count"), F.min("case_id").alias("_first"))
+def counted(cases: DataFrame) -> DataFrame:
+    """_k, seq, variant, length, case_count, _known, _first of each variant, from named sequences; written down, so what
+    follows from it does not read the log again. _known: its cases that have a name."""
+    found = cases.groupBy("_k").agg(F.first("seq").alias("seq"), F.count("*").alias("case_count"), F.count("case_id").alias("_known"), F.min("case_id").alias("_first"))
+    return written(found.withColumn("variant", F.array_join("seq", SEPARATOR)).withColumn("length", F.size("seq").cast("bigint")))
 
 
 def place() -> Column:
@@ -39,10 +40,9 @@ def place() -> Column:
     return F.struct((-F.col("case_count")).alias("minus"), F.col("variant").alias("variant"), F.col("_first").alias("first"))
 
 
-def ranked(log: DataFrame) -> DataFrame:
-    """_k and the variant's columns. No task puts all variants in order: they are dealt to ranges that a sample of them
+def ranked(found: DataFrame) -> DataFrame:
+    """_k, seq and the variant's columns, from the log's counted variants. No task puts all variants in order: they are dealt to ranges that a sample of them
     bounds, numbered within each range, and offset by the ranges before it."""
-    found = counted(log)
     slots = found.groupBy(F.pmod(F.xxhash64("_k"), F.lit(PARTS)).alias("slot")).agg(F.min_by(place(), F.xxhash64("_k")).alias("at"))
     bounds = slots.agg(F.array_sort(F.collect_list("at")).alias("bounds"))  # PARTS entries at most
     dealt = found.withColumn("_bounds", bounds.scalar()).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= place()))).drop("_bounds")
@@ -53,41 +53,41 @@ def ranked(log: DataFrame) -> DataFrame:
     numbered = dealt.withColumn("_i", F.row_number().over(here)).withColumn("_upto", F.sum("case_count").over(here.rowsBetween(Window.unboundedPreceding, 0)))
     joined = numbered.join(F.broadcast(offsets), "_part").withColumn("_upto", F.col("_upto") + F.col("_cb"))
     rank = (F.col("_i") + F.col("_nb")).cast("bigint").alias("variant_rank")
-    return joined.select("_k", rank, "variant", "length", "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (F.col("_upto") / F.col("_total")).alias("cumulative_share"), "_upto", "_total")
+    return joined.select("_k", "seq", rank, "variant", "length", "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (F.col("_upto") / F.col("_total")).alias("cumulative_share"), "_upto", "_total")
 
 
 def variants(log: DataFrame) -> DataFrame:
-    return ranked(log).drop("_k", "_upto", "_total")
+    return ranked(counted(named(sequences(log)))).drop("_k", "seq", "_upto", "_total")
 
 
-def top(log: DataFrame, limit: int, cases: DataFrame | None = None) -> DataFrame:
+def top(log: DataFrame, limit: int, cases: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """The first variants, the same columns; the others are counted, never put in order. seq: the activities.
-    cases: the log's named sequences, where they are at hand."""
-    whole = (dfg.require(log).agg(F.count_distinct("case_id")) if cases is None else cases.agg(F.count("*"))).toDF("_total")
-    cases = named(sequences(log)) if cases is None else cases
-    found = cases.groupBy("_k").agg(F.first("seq").alias("seq"), F.count("*").alias("case_count"), F.min("case_id").alias("_first")).withColumn("variant", F.array_join("seq", SEPARATOR))
+    cases: the log's named sequences, found: its counted variants, where they are at hand."""
+    found = counted(named(sequences(dfg.require(log))) if cases is None else cases) if found is None else found
+    whole = found.agg(F.sum("_known").alias("_total"))
     order = [F.desc("case_count"), F.col("variant"), F.col("_first")]
     few = found.orderBy(*order).limit(limit).join(F.broadcast(whole))  # one row
     upto = F.sum("case_count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of `limit` rows
-    return few.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("variant_rank"), "variant", F.size("seq").cast("bigint").alias("length"), "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (upto / F.col("_total")).alias("cumulative_share"), "seq", "_total")
+    return few.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("variant_rank"), "variant", "length", "case_count", (F.col("case_count") / F.col("_total")).alias("case_share"), (upto / F.col("_total")).alias("cumulative_share"), "seq", "_total")
 
 
 def sequence(log: DataFrame, rank: int) -> list[str]:
     """The activities of the variant with a rank."""
-    found = ranked(log).where(F.col("variant_rank") == rank).select("_k").head() if rank >= 1 else None
+    found = ranked(counted(named(sequences(log)))).where(F.col("variant_rank") == rank).select("seq").head() if rank >= 1 else None
     if found is None:
         raise ValueError(f"no variant has rank {rank}")
-    return list(named(sequences(log)).where((F.col("_k.a") == found["_k"]["a"]) & (F.col("_k.b") == found["_k"]["b"])).select("seq").head().seq)
+    return list(found.seq)
 
 
-def coverage(log: DataFrame, share: float = 0.8) -> DataFrame:
+def coverage(log: DataFrame, share: float = 0.8, found: DataFrame | None = None) -> DataFrame:
     """How many of the most frequent variants hold that share of the cases; 0 for an empty log.
 
     Variants are counted by how frequent they are; of each such level as many are needed as it takes to fill the gap.
+    found: the log's counted variants, where they are at hand.
     """
     if not 0 < share <= 1:
         raise ValueError(f"share must lie in (0, 1]: {share}")
-    cases = named(sequences(log)).groupBy("_k").agg(F.count("*").alias("case_count"))
+    cases = named(sequences(log)).groupBy("_k").agg(F.count("*").alias("case_count")) if found is None else found
     levels = cases.groupBy("case_count").agg(F.count("*").alias("_n")).withColumn("_cases", F.col("_n") * F.col("case_count"))
     upto = F.sum("_cases").over(Window.orderBy(F.desc("case_count")).rowsBetween(Window.unboundedPreceding, 0))
     needed = F.ceil(F.round(F.lit(share) * F.sum("_cases").over(Window.partitionBy()), 9))
@@ -101,23 +101,34 @@ def case_statistics(log: DataFrame) -> DataFrame:
     """Per case: start, end, cycle time, events, variant, whether it is the most frequent one, outcome."""
     outcome = F.first("outcome", ignorenulls=True) if "outcome" in log.columns else F.lit(None).cast("string")
     cases = dfg.require(log).groupBy("case_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("activity_count"), in_order().alias("seq"), outcome.alias("outcome"))
-    joined = named(cases).drop("seq").join(ranked(log).select("_k", "variant_rank"), "_k")
+    cases = written(named(cases))
+    joined = cases.drop("seq").join(ranked(counted(cases)).select("_k", "variant_rank"), "_k")
     return joined.select("case_id", "start_time", "end_time", seconds(micros(F.col("start_time"), F.col("end_time"))).alias("cycle_time_seconds"), "activity_count", "variant_rank", (F.col("variant_rank") == 1).alias("is_happy_path"), "outcome")
 
 
-def happy_cases(log: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """case_id of the cases that follow the most frequent variant (ties: by its text, then by its first case), found
-    without ranking the others. cases: the log's named sequences, where they are at hand."""
-    cases = (named(sequences(log)) if cases is None else cases).select("case_id", "_k", F.array_join("seq", SEPARATOR).alias("variant"))
+def spans(log: DataFrame) -> DataFrame:
+    """case_id, cycle_time_seconds."""
+    return dfg.require(log).groupBy("case_id").agg(seconds(micros(F.min("timestamp"), F.max("timestamp"))).alias("cycle_time_seconds"))
+
+
+def happy(cases: DataFrame) -> DataFrame:
+    """One row: _k of the most frequent variant (ties: by its text, then by its first case), found without ranking the
+    others. cases: case_id, _k and variant."""
     found = cases.groupBy("_k").agg(F.count("*").alias("case_count"), F.first("variant").alias("variant"), F.min("case_id").alias("_first"))
-    best = found.orderBy(F.desc("case_count"), "variant", "_first").limit(1).select("_k")
-    return cases.join(F.broadcast(best), "_k").select("case_id")  # one row
+    return F.broadcast(found.orderBy(F.desc("case_count"), "variant", "_first").limit(1).select("_k"))
+
+
+def happy_cases(log: DataFrame) -> DataFrame:
+    """case_id of the cases that follow the most frequent variant. The cases are written down, so the log is read once."""
+    cases = written(named(sequences(log)).select("case_id", "_k", F.array_join("seq", SEPARATOR).alias("variant")))
+    return cases.join(happy(cases), "_k").select("case_id")
 
 
 def case_spans(log: DataFrame) -> DataFrame:
     """case_id, cycle_time_seconds, is_happy_path: what a histogram needs, without ranks."""
-    spans = dfg.require(log).groupBy("case_id").agg(micros(F.min("timestamp"), F.max("timestamp")).alias("_m"))
-    joined = spans.join(happy_cases(log).withColumn("_happy", F.lit(True)), "case_id", "left")
+    found = dfg.require(log).groupBy("case_id").agg(micros(F.min("timestamp"), F.max("timestamp")).alias("_m"), in_order().alias("seq"))
+    cases = written(named(found).select("case_id", "_m", "_k", F.array_join("seq", SEPARATOR).alias("variant")))
+    joined = cases.join(happy(cases).withColumn("_happy", F.lit(True)), "_k", "left")
     return joined.select("case_id", seconds(F.col("_m")).alias("cycle_time_seconds"), F.col("_happy").isNotNull().alias("is_happy_path"))
 
 
@@ -126,8 +137,10 @@ def distribution(values: DataFrame, column: str, by: list[str] | None = None) ->
     fail, or has no rows where it is told by groups."""
     by = by or []
     known = values.where(F.col(column).isNotNull()).select(*by, column, F.round(F.col(column) * 1e6).cast("bigint").alias("_micro"))
-    sums = known.groupBy(*by).agg(F.count("*").alias("count"), seconds(total(F.col("_micro")).cast("double") / F.count("*")).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-    spread = with_quantiles(known, by, "_micro", [0.5, 0.9, 0.99])
+    known = written(known.groupBy(*by, "_micro").agg(F.count("*").alias("_n"), F.min(column).alias("_min"), F.max(column).alias("_max")))  # values are computed once
+    n = F.coalesce(F.sum("_n"), F.lit(0))
+    sums = known.groupBy(*by).agg(n.alias("count"), seconds(weighted_total(F.col("_micro"), F.col("_n")).cast("double") / n).alias("mean"), F.min("_min").alias("min"), F.max("_max").alias("max"))
+    spread = quantiles_of(known, by, "_micro", "_n", [0.5, 0.9, 0.99])
     both = sums.join(spread, by) if by else sums.join(F.broadcast(spread)).withColumn("count", filled(F.col("count"), "no values to summarize"))  # one row each
     q = lambda i, name: quantile_seconds(F.get("_q", F.lit(i))).alias(name)
     return both.select(*by, "count", "mean", "min", q(0, "p50"), q(1, "p90"), q(2, "p99"), "max")

@@ -261,7 +261,7 @@ add("map_text", lambda s, d: views.mermaid_lines(a.user_day(s, d), 12), sql(
     "SELECT row_number() OVER (ORDER BY part, r) - 1 AS line, text FROM lines_of", steps("ud")))
 add("overview", lambda s, d: views.overview_row(a.user_day(s, d)), sql("SELECT (SELECT count(*) FROM ud) AS events, (SELECT count(*) FROM seqs) AS cases, (SELECT count(*) FROM ud) - (SELECT count(*) FROM seqs) AS transitions, (SELECT count(DISTINCT activity) FROM ud) AS activities, count(*) FILTER (upto - case_count < ceil(round(CAST(0.8 AS DOUBLE) * total, 9))) AS variants_needed, count(*) AS variants, count(*) FILTER (case_count = 1) AS singletons, max(CAST(case_count AS DOUBLE) / total) AS top_share FROM upto", seqs("ud")))
 add("top_variants_outcomes", lambda s, d: variants.outcomes_by_count(variants.case_statistics(a.user_day_outcomes(s, d))).where("variant_rank <= 25").select("variant_rank", F.posexplode("outcomes").alias("position", "o")).select("variant_rank", F.col("position").cast("bigint").alias("position"), "o.outcome", "o.cases"), sql("SELECT variant_rank, row_number() OVER (PARTITION BY variant_rank ORDER BY cases DESC, outcome) - 1 AS position, outcome, cases FROM vo WHERE variant_rank <= 25", seqs("udo", OUTCOME), VO))
-add("cycle_time_days", lambda s, d: variants.days_of(variants.case_statistics(a.fulfilment(s, d))), sql("SELECT p50 / 86400 AS p50_days, p90 / 86400 AS p90_days, p99 / 86400 AS p99_days FROM (SELECT " + SUMMARY + ")", seqs("ful")))
+add("cycle_time_days", lambda s, d: variants.days_of(variants.spans(a.fulfilment(s, d))), sql("SELECT p50 / 86400 AS p50_days, p90 / 86400 AS p90_days, p99 / 86400 AS p99_days FROM (SELECT " + SUMMARY + ")", seqs("ful")))
 add("variant_sequence", lambda s, d: s.createDataFrame([(" > ".join(variants.sequence(a.fulfilment(s, d), 3)),)], "variant string"), sql("SELECT variant FROM ranked WHERE variant_rank = 3", seqs("ful")))
 add("dfg_top_edges", lambda s, d: dfg.by_frequency(dfg.edges(a.user_day(s, d))).limit(10).select("source", "target", "frequency"), sql("SELECT source, target, frequency FROM pairs ORDER BY frequency DESC, source, target LIMIT 10", steps("ud")))
 add("edge_frequency", lambda s, d: s.createDataFrame([(x, y, dfg.frequency(a.user_day(s, d), x, y)) for x, y in (("view", "click"), ("click", "gone"))], "source string, target string, frequency bigint"), sql("SELECT x AS source, y AS target, coalesce(frequency, 0) AS frequency FROM (VALUES ('view', 'click'), ('click', 'gone')) v(x, y) LEFT JOIN pairs ON source = x AND target = y", steps("ud")))

@@ -35,8 +35,9 @@ def plain(df: DataFrame) -> list[dict]:
 def overview_row(log: DataFrame) -> DataFrame:
     """One row: events, cases, transitions, activities, variants, coverage, share of the most frequent variant."""
     counts, activities = dfg.totals(log), log.agg(F.count_distinct("activity").alias("activities"))
-    top = variants.top(log, 1).select(F.col("case_share").alias("top_share"))
-    return counts.join(activities).join(variants.coverage(log)).join(top, how="left")  # one row each
+    found = variants.counted(variants.named(variants.sequences(log)))
+    top = variants.top(log, 1, found=found).select(F.col("case_share").alias("top_share"))
+    return counts.join(activities).join(variants.coverage(log, found=found)).join(top, how="left")  # one row each
 
 
 @contextmanager
@@ -115,8 +116,8 @@ def top_variants(log: DataFrame, limit: int = 25, cases: DataFrame | None = None
 
 def variant_model_gap(log: DataFrame, edges: DataFrame) -> DataFrame:
     """variant_rank and the number of its steps that are no edge of the model."""
-    seqs = variants.named(variants.sequences(log)).groupBy("_k").agg(F.first("seq").alias("seq"))
-    ranked = variants.ranked(log).select("variant_rank", "_k")
+    seqs = variants.counted(variants.named(variants.sequences(log)))
+    ranked = variants.ranked(seqs).select("variant_rank", "_k")
     steps = seqs.select("_k", F.explode(F.filter(F.transform("seq", lambda x, i: F.struct(x.alias("source"), F.get("seq", i + 1).alias("target"))), lambda p: p["target"].isNotNull())).alias("p")).select("_k", "p.*")
     gone = steps.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti").groupBy("_k").agg(F.count("*").alias("missing"))
     return ranked.join(gone, "_k", "left").select("variant_rank", F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing_steps"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.measures import micros
+from tracelake.functions.written import written
 from tracelake.operators import dfg, variants
 
 #: What each dimension weighs. Volume comes first, since what is rare pays for no project however regular it is. The two
@@ -16,14 +17,15 @@ MOST_SCENARIOS = 10_000
 
 
 def contexts(log: DataFrame) -> DataFrame:
-    """activity, before, after (null at a case's ends), n, in_loop, off_path, exceptions, seconds, squares, followed.
+    """activity, before, after (null at a case's ends), n, in_loop, off_path, exceptions, seconds, squares, followed, first
+    and last time.
 
     One shuffle of the log by case. An event is in a loop if it lies between the first and the last of an activity that
     its case repeats: the furthest last of all activities up to here reaches it. Rows number activities cubed at most.
     """
     order, same = dfg.in_case(), Window.partitionBy("case_id", "activity")
     steps = dfg.require(log).select(
-        "case_id", "event_index", "activity", F.lag("activity").over(order).alias("before"), F.lead("activity").over(order).alias("after"),
+        "case_id", "event_index", "activity", "timestamp", F.lag("activity").over(order).alias("before"), F.lead("activity").over(order).alias("after"),
         (micros(F.col("timestamp"), F.lead("timestamp").over(order)) / F.lit(1e6)).alias("seconds"),
         F.when(F.count("*").over(same) > 1, F.max("event_index").over(same)).alias("again"),
     )
@@ -33,15 +35,17 @@ def contexts(log: DataFrame) -> DataFrame:
     return marked.groupBy("activity", "before", "after").agg(
         F.count("*").alias("n"), F.count_if("loop").alias("in_loop"), F.count_if("off").alias("off_path"), F.count_if(F.col("loop") | F.col("off")).alias("exceptions"),
         F.sum("seconds").alias("seconds"), F.sum(F.col("seconds") * F.col("seconds")).alias("squares"), F.count("seconds").alias("followed"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
     )
 
 
-def dimensions(log: DataFrame) -> DataFrame:
-    """Per activity what the score is made of: counts, entropies in bits, variation of the time to the next event, rates."""
+def dimensions(found: DataFrame) -> DataFrame:
+    """Per activity what the score is made of: counts, entropies in bits, variation of the time to the next event, rates.
+    found: the log's contexts."""
     mine = Window.partitionBy("activity")
     total = F.sum("n").over(mine)
     bits = lambda c: F.col("n") / total * -F.log2(F.sum("n").over(Window.partitionBy("activity", c)) / total)
-    rows = contexts(log).withColumn("h_before", bits("before")).withColumn("h_after", bits("after"))
+    rows = found.withColumn("h_before", bits("before")).withColumn("h_after", bits("after"))
     count = F.sum("n")
     mean = F.try_divide(F.sum("seconds"), F.sum("followed"))
     spread = F.sqrt(F.greatest(F.sum("squares") / F.nullif(F.sum("followed"), F.lit(0)) - mean * mean, F.lit(0.0)))
@@ -57,17 +61,17 @@ def weighed(weights: dict[str, float]) -> Column:
     return sum((F.col(c) * F.lit(float(w)) for c, w in weights.items()), F.lit(0.0))
 
 
-def scores(log: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def scores(log: DataFrame, weights: dict[str, float] | None = None, found: DataFrame | None = None) -> DataFrame:
     """Per activity the four dimensions, each from 0 to 1, the weighted score and the rank.
 
     volume: logarithm of its events against the most frequent activity's. repetitiveness: how sure the step before is,
     against equal odds of all activities and a case's start. rule_clarity: how sure the next step is, and how steady the
     time to it, half each. regularity: share of its events that are neither in a loop nor off the happy path. Activities
-    are few, so their maximum and ranks are windows over all.
+    are few, so their maximum and ranks are windows over all. found: the log's contexts, where they are at hand.
     """
     score, every = weighed(weights or WEIGHTS), Window.partitionBy()
     even = F.log2(F.count("*").over(every) + 1)
-    known = dimensions(log).withColumn("even", even).withColumn("most", F.max("events").over(every))
+    known = dimensions(contexts(log) if found is None else found).withColumn("even", even).withColumn("most", F.max("events").over(every))
     made = known.select(
         "*",
         (F.log1p("events") / F.log1p("most")).alias("volume"),
@@ -103,8 +107,9 @@ def business_case(log: DataFrame, adoption: list[float], growth: list[float], co
     """
     if months < 1 or not 0 < touch <= 1 or hourly <= 0 or interest <= -1:
         raise ValueError("months, touch and hourly must be positive, touch at most 1, interest above -1")
-    span = dfg.require(log).agg(F.greatest(micros(F.min("timestamp"), F.max("timestamp")) / F.lit(86400e6 * 365.25 / 12), F.lit(1.0)).alias("span"))
-    best = scores(log, weights).where(F.col("rank") <= candidates).join(F.broadcast(span))  # one row
+    found = written(contexts(log))  # for the scores and the log's span
+    span = found.agg(F.greatest(micros(F.min("first"), F.max("last")) / F.lit(86400e6 * 365.25 / 12), F.lit(1.0)).alias("span"))
+    best = scores(log, weights, found).where(F.col("rank") <= candidates).join(F.broadcast(span))  # one row
     hours = F.coalesce("mean_seconds", F.lit(0.0)) * touch / 3600
     rows = F.broadcast(best.select("activity", "rank", (F.col("events") / F.col("span") * hours * hourly).alias("monthly"))).join(scenarios(log, adoption, growth, cost))  # a few rows for each scenario
 

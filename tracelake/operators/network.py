@@ -65,16 +65,17 @@ def meetings(log: DataFrame, by: str = "resource") -> DataFrame:
     return passed.groupBy("source", "target", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
 
 
-def sparse_teams(log: DataFrame, frequent: float = FREQUENT, expected: float = EXPECTED, by: str = "resource") -> DataFrame:
+def sparse_teams(log: DataFrame, frequent: float = FREQUENT, expected: float = EXPECTED, by: str = "resource", met: DataFrame | None = None) -> DataFrame:
     """source, target, a, b, meetings, expected_elsewhere: two resources that pass work to each other at a frequent pair of
     activities, and nowhere else, though `expected` meetings or more could be expected there.
 
     frequent: least share of all meetings. Expected elsewhere, if partners were drawn at random: the meetings of one
-    outside this pair of activities, times those of the other, by twice all meetings outside it.
+    outside this pair of activities, times those of the other, by twice all meetings outside it. met: the log's
+    meetings, where they are at hand.
     """
     if not 0 <= frequent <= 1 or expected < 0:
         raise ValueError("frequent must lie in [0, 1], and expected must not be negative")
-    met = written(meetings(log, by))
+    met = written(meetings(log, by)) if met is None else met
     pair = met.groupBy("source", "target").agg(F.sum("n").alias("here"))
     often = pair.withColumn("all", F.sum("here").over(Window.partitionBy())).where(F.col("here") >= F.lit(frequent) * F.col("all"))
     ends = met.select("source", "target", F.explode(F.array("a", "b")).alias("r"), "n")
@@ -90,8 +91,9 @@ def sparse_teams(log: DataFrame, frequent: float = FREQUENT, expected: float = E
 
 def team_sparsity(log: DataFrame, frequent: float = FREQUENT, expected: float = EXPECTED, by: str = "resource") -> DataFrame:
     """Per frequent pair of activities: the pairs of resources that meet at it, those of them that sparse_teams tells, their share."""
-    met = meetings(log, by).groupBy("source", "target").agg(F.count("*").alias("pairs"), F.sum("n").alias("here"))
+    every = written(meetings(log, by))
+    met = every.groupBy("source", "target").agg(F.count("*").alias("pairs"), F.sum("n").alias("here"))
     often = met.withColumn("all", F.sum("here").over(Window.partitionBy())).where(F.col("here") >= F.lit(frequent) * F.col("all"))
-    found = sparse_teams(log, frequent, expected, by).groupBy("source", "target").agg(F.count("*").alias("sparse"))
+    found = sparse_teams(log, frequent, expected, by, every).groupBy("source", "target").agg(F.count("*").alias("sparse"))
     told = often.join(found, ["source", "target"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0)))
     return told.select("source", "target", "pairs", "sparse", F.round(F.col("sparse") / F.col("pairs"), 9).alias("sparsity"))

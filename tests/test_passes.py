@@ -5,8 +5,10 @@ from logs import drawn, frame
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import miner, timing, variants
-from tracelake.plans import adapters, views
+from tracelake.operators import automation, conformance, miner, network, timing, variants
+from tracelake.plans import adapters, catalog, reports, views
+from tracelake.sources import store
+from tracelake.streaming import running
 
 
 @pytest.fixture
@@ -60,3 +62,38 @@ def test_sequence(readings):
     log, times = readings
     variants.sequence(log, 2)
     assert times() == 1
+
+
+@pytest.mark.parametrize("made", [timing.rework_cases, timing.rework_activities, timing.bottlenecks, network.team_sparsity, conformance.replay_most_frequent])
+def test_diagnosed(readings, made):
+    log, times = readings
+    made(log).collect()
+    assert times() == 1
+
+
+def test_business_case(readings):
+    """One reading for the contexts, one for the happy path."""
+    log, times = readings
+    automation.business_case(log, [0.5], [0.0], [100.0]).collect()
+    assert times() == 2
+
+
+@pytest.mark.parametrize("write", [reports.write_discovery, lambda log, at: reports.write_diagnosis(log, None, at)])
+def test_outputs(readings, write, tmp_path):
+    log, times = readings
+    write(log, str(tmp_path / "o"))
+    assert times() == 1
+
+
+def test_running_update_reads_once(readings, tmp_path):
+    log, times = readings
+    running.update(log, 0, str(tmp_path / "c"))
+    assert times() == 1
+
+
+@pytest.mark.parametrize("name", ["stored_log", "running_edges"])
+def test_log_is_made_once(spark, monkeypatch, name):
+    """What the queries store in several steps is written once and read from there."""
+    made, staged = [], store.staged
+    monkeypatch.setattr(store, "staged", lambda df, at: made.append(at) or staged(df, at))
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1

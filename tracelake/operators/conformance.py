@@ -119,7 +119,7 @@ def fold(seq: Column, net: PetriNet) -> Column:
 def replay(log: DataFrame | None, net: PetriNet, cases: DataFrame | None = None) -> DataFrame:
     """Per case the token counts, fitness and whether it fits. Each distinct sequence is replayed once. An empty log gives
     no rows here, and an error in summary. cases: the log's named sequences, where they are at hand."""
-    cases = v.named(v.sequences(log)) if cases is None else cases
+    cases = written(v.named(v.sequences(log))) if cases is None else cases
     replayed = cases.groupBy("_k").agg(F.first("seq").alias("seq")).select("_k", fold(F.col("seq"), net).alias("_r"))
     joined = cases.select("case_id", "_k").join(replayed, "_k").select("case_id", "_r.*")
     return joined.withColumn("fitness", fitness(F.col("missing"), F.col("consumed"), F.col("remaining"), F.col("produced"))).withColumn("fits", (F.col("missing") == 0) & (F.col("remaining") == 0))

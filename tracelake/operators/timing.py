@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.measures import dispersion, filled, micros, quantile_seconds, seconds, total, weighted_total
 from tracelake.functions.quantiles import quantiles_of, with_quantiles
+from tracelake.functions.written import written
 from tracelake.operators import dfg
 
 MIN_OCCURRENCES, SLOW_QUANTILE, DISPERSION = 30, 0.75, 0.5
@@ -66,29 +67,38 @@ def kind_counts(marked: DataFrame) -> DataFrame:
     return F.broadcast(every).join(counts, "kind", "left").select("kind", F.coalesce("transitions", F.lit(0)).cast("bigint").alias("transitions"))
 
 
+def held(log: DataFrame) -> DataFrame:
+    """case_id, activity, n, first, last of the activities of each case."""
+    return dfg.require(log).groupBy("case_id", "activity").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
 def repeats(log: DataFrame) -> DataFrame:
-    """case_id, activity, n, first, last of activities that a case holds twice or more."""
-    return dfg.require(log).groupBy("case_id", "activity").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).where("n > 1")
+    """held, of activities that a case holds twice or more."""
+    return held(log).where("n > 1")
 
 
 def rework_cases(log: DataFrame) -> DataFrame:
     """Per case: repeated events and activities, the length of the union of their spans, and its share of the cycle time.
-    An empty log gives no rows here, and an error in rework_totals."""
+    An empty log gives no rows here, and an error in rework_totals. The log is read once, into its cases' activities."""
     by_start = Window.partitionBy("case_id").orderBy("first", "last", "activity").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max("last").over(by_start)
+    again = lambda c: F.when(F.col("n") > 1, c)
+    reached = F.max(again(F.col("last"))).over(by_start)
     fresh = F.greatest(micros(F.greatest("first", F.coalesce(reached, F.col("first"))), F.col("last")), F.lit(0))
-    per_case = repeats(log).withColumn("fresh", fresh).groupBy("case_id").agg(F.sum(F.col("n") - 1).alias("rework_events"), F.count("*").alias("repeated_activities"), total(F.col("fresh")).alias("_r"))
-    cycles = log.groupBy("case_id").agg(micros(F.min("timestamp"), F.max("timestamp")).alias("_c"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    joined = cycles.join(per_case, "case_id", "left").withColumn("_r", F.coalesce("_r", F.lit(0).cast("decimal(29,0)")))
+    joined = held(log).withColumn("fresh", again(fresh)).groupBy("case_id").agg(
+        zero(F.sum(again(F.col("n") - 1))).alias("rework_events"), F.count_if(F.col("n") > 1).alias("repeated_activities"),
+        F.coalesce(total(F.col("fresh")), F.lit(0).cast("decimal(29,0)")).alias("_r"), micros(F.min("first"), F.max("last")).alias("_c"),
+    )
     share = F.when(F.col("_c") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_r").cast("double"), F.col("_c").cast("double")))
-    return joined.select("case_id", zero("rework_events").alias("rework_events"), zero("repeated_activities").alias("repeated_activities"), seconds(F.col("_r")).alias("rework_seconds"), seconds(F.col("_c")).alias("cycle_time_seconds"), share.alias("rework_share_of_cycle_time"))
+    return joined.select("case_id", "rework_events", "repeated_activities", seconds(F.col("_r")).alias("rework_seconds"), seconds(F.col("_c")).alias("cycle_time_seconds"), share.alias("rework_share_of_cycle_time"))
 
 
 def rework_activities(log: DataFrame) -> DataFrame:
-    spans = repeats(log).withColumn("span", micros(F.col("first"), F.col("last")))
-    found = spans.groupBy("activity").agg(F.count("*").alias("cases_with_rework"), F.sum(F.col("n") - 1).alias("repeat_occurrences"), total(F.col("span")).alias("_s"))
-    joined = found.join(with_quantiles(spans, ["activity"], "span", [0.5]), "activity")
+    """Per activity its repeats and their spans. Spans are counted by length and written down, so the log is read once."""
+    spans = repeats(log).groupBy("activity", micros(F.col("first"), F.col("last")).alias("span")).agg(F.count("*").alias("k"), F.sum(F.col("n") - 1).alias("e"))
+    spans = written(spans)
+    found = spans.groupBy("activity").agg(F.sum("k").alias("cases_with_rework"), F.sum("e").alias("repeat_occurrences"), weighted_total(F.col("span"), F.col("k")).alias("_s"))
+    joined = found.join(quantiles_of(spans, ["activity"], "span", "k", [0.5]), "activity")
     return joined.select("activity", "cases_with_rework", "repeat_occurrences", seconds(F.col("_s")).alias("total_span_seconds"), quantile_seconds(F.get("_q", F.lit(0))).alias("median_span_seconds"))
 
 

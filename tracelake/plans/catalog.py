@@ -303,7 +303,8 @@ def csv_again(s: SparkSession, d: str) -> DataFrame:
 
 
 def stored_again(s: SparkSession, d: str) -> DataFrame:
-    at, log = f"{store.scratch(s)}/log", a.fulfilment(s, d)
+    folder = store.scratch(s)
+    at, log = f"{folder}/log", store.staged(a.fulfilment(s, d), f"{folder}/given")
     store.replace_log(log.where("activity = 'Placed'"), at)
     store.replace_log(log, at, {"policy": "start_else_complete"})
     return store.read_log(s, at, ordered=True)
@@ -311,7 +312,8 @@ def stored_again(s: SparkSession, d: str) -> DataFrame:
 
 def running_edges(s: SparkSession, d: str) -> DataFrame:
     """The log in four batches by place in the case, then the edges that were kept up to date."""
-    log, at = a.fulfilment(s, d), f"{store.scratch(s)}/counts"
+    folder = store.scratch(s)
+    log, at = store.staged(a.fulfilment(s, d).select(*dfg.NEEDED), f"{folder}/given"), f"{folder}/counts"
     for k, part in enumerate(("event_index < 2", "event_index BETWEEN 2 AND 3", "event_index BETWEEN 4 AND 6", "event_index > 6")):
         running.update(log.where(part), k, at)
     return running.edges(s, at)
@@ -338,11 +340,6 @@ def file_again(s: SparkSession, found: DataFrame) -> DataFrame:
     return s.read.schema(found.schema).options(header=True, enforceSchema=False, escape='"', **times).csv(at)
 
 
-def diagnosis_of(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    log = a.fulfilment(s, d)
-    return reports.diagnosis_tables(reports.diagnosis(log, conformance.reference(log, "most_frequent_variant")))
-
-
 TIMED = ["case_id", "event_index", "activity", "date_format(timestamp, 'yyyy-MM-dd HH:mm:ss') AS at", "resource", "outcome"]
 KEPT = sql("SELECT case_id, event_index, activity, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at, resource, outcome FROM ful")
 add("xes_round_trip", xes_again, sql("SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY event_index) - 1 AS event_index, activity, lifecycle, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, resource FROM ud"))
@@ -352,11 +349,11 @@ add("stored_log", lambda s, d: stored_again(s, d).selectExpr(*TIMED), KEPT)
 add("running_edges", running_edges, sql("SELECT source, target, count(*) AS frequency, CAST(sum(micro) AS DOUBLE) / count(*) / 1e6 AS mean_duration_seconds, round(quantile_cont(micro, 0.5) / 1e6, 8) AS median_duration_seconds FROM steps WHERE target IS NOT NULL GROUP BY ALL", steps("ful")))
 add("ingestion_report_file", report_again, sql("SELECT 'start_else_complete' AS policy, count(*) AS parsed_events, count(*) FILTER (status = 'normalized') AS normalized_events, count(*) FILTER (reason = 'out_of_order') AS out_of_order, count(*) FILTER (lifecycle = 'start') AS start FROM dirty", DIRTY))
 add("discovery_outputs", lambda s, d: outputs(s, reports.write_discovery(a.user_day_outcomes(s, d), store.scratch(s))), sql("SELECT 'dfg_edges.csv' AS name, count(*) AS rows FROM pairs UNION ALL SELECT 'variants.csv', count(*) FROM ranked UNION ALL SELECT 'case_statistics.csv', count(*) FROM seqs UNION ALL SELECT unnest(['dfg.mmd', 'heuristic_net.json', 'discovery_summary.md']), 1", steps("ud"), seqs("ud")))
-add("diagnosis_outputs", lambda s, d: outputs(s, reports.write_diagnosis(log := a.fulfilment(s, d), conformance.reference(log, "most_frequent_variant"), store.scratch(s))), sql("SELECT 'conformance_cases.csv' AS name, count(*) AS rows FROM cyc UNION ALL SELECT 'rework_cases.csv', count(*) FROM cyc UNION ALL SELECT 'rework_activities.csv', count(DISTINCT activity) FROM reps UNION ALL SELECT 'bottlenecks.csv', count(*) FROM pairs UNION ALL SELECT unnest(['conformance_summary.json', 'diagnostic_report.md']), 1", steps("ful"), REWORK.format(log="ful")))
+add("diagnosis_outputs", lambda s, d: outputs(s, reports.write_diagnosis(a.fulfilment(s, d), None, store.scratch(s))), sql("SELECT 'conformance_cases.csv' AS name, count(*) AS rows FROM cyc UNION ALL SELECT 'rework_cases.csv', count(*) FROM cyc UNION ALL SELECT 'rework_activities.csv', count(DISTINCT activity) FROM reps UNION ALL SELECT 'bottlenecks.csv', count(*) FROM pairs UNION ALL SELECT unnest(['conformance_summary.json', 'diagnostic_report.md']), 1", steps("ful"), REWORK.format(log="ful")))
 for _file, _same in (("dfg_edges", "dfg_edges"), ("variants", "variants_table"), ("case_statistics", "case_statistics")):
-    add(f"file_{_file}", lambda s, d, f=_file: file_again(s, reports.discovery_tables(a.user_day_outcomes(s, d))[f"{f}.csv"]), _FOUND[_same][1])
+    add(f"file_{_file}", lambda s, d, f=_file: file_again(s, reports.DISCOVERY[f"{f}.csv"](a.user_day_outcomes(s, d))), _FOUND[_same][1])
 for _file, _same in (("conformance_cases", "replay_modal"), ("bottlenecks", "bottlenecks"), ("rework_cases", "rework_cases"), ("rework_activities", "rework_activities")):
-    add(f"file_{_file}", lambda s, d, f=_file: file_again(s, diagnosis_of(s, d)[f"{f}.csv"]), _FOUND[_same][1])
+    add(f"file_{_file}", lambda s, d, f=_file: file_again(s, reports.DIAGNOSIS[f"{f}.csv"](a.fulfilment(s, d))), _FOUND[_same][1])
 
 
 def queries() -> dict[str, Query]:

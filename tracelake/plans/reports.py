@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions.written import written
 from tracelake.operators import conformance, dfg, miner, normalize, timing, variants
 from tracelake.plans import views
 from tracelake.plans.views import lifecycle_label, lifecycle_note, plain
@@ -58,15 +59,17 @@ def cut_short(variant: str, most: int = 8) -> str:
     return variant if len(steps) <= most else variants.SEPARATOR.join([*steps[:most], f"… ({len(steps)} steps)"])
 
 
-def discovery_summary(log: DataFrame, policy: str | None = None, threshold: float = 0.9) -> str:
-    """What the log looks like: size, variants, cycle times, outcomes of the paths, map, model, caveats."""
-    with views.kept(variants.case_statistics(log)) as cases:
+def discovery_summary(log: DataFrame, policy: str | None = None, threshold: float = 0.9, cases: DataFrame | None = None, tri: DataFrame | None = None) -> str:
+    """What the log looks like: size, variants, cycle times, outcomes of the paths, map, model, caveats. cases: the log's
+    case statistics, tri: its trigrams, where they are at hand."""
+    with views.kept(variants.case_statistics(log) if cases is None else cases) as cases:
         o, top, mix = views.overview(log, policy, cases), views.top_variants(log, TOP, cases), plain(variants.outcome_mix(cases).orderBy(F.desc("cases"), "outcome"))
-    edges = miner.connected(log, threshold)
-    net, drawn = plain(edges.orderBy("source", "target")), views.mermaid(log)
+    tri = miner.trigrams(log) if tri is None else tri
+    edges = miner.net(tri, threshold)
+    net, drawn = plain(edges.orderBy("source", "target")), views.mermaid(log, tri=tri)
     kinds = {k: sum(e["kind"] == k for e in net) for k in miner.KINDS}
     pairs = {frozenset((e["source"], e["target"])) for e in net if e["kind"] == "length_two_loop"}
-    alone = [r.activity for r in miner.orphans(log, edges).orderBy("activity").collect()]
+    alone = [r.activity for r in miner.orphans(miner.nodes(tri), edges).orderBy("activity").collect()]
     lines = ["# Discovery summary", "", f"Lifecycle: {lifecycle_label(policy)}. {counted(o['events'], 'event')} in {counted(o['cases'], 'case')}, {counted(o['activities'], 'activity', 'activities')}, {counted(o['transitions'], 'transition')}.", ""]
     spread = f"{counted(o['variants'], 'variant')}, of which {o['variants_needed']:,} hold 80 % of the cases; {o['singletons']:,} occur once. The most frequent one holds {o['top_share']:.1%}."
     rows = [[v["variant_rank"], f"{v['case_count']:,}", f"{v['case_share']:.1%}", f"{v['cumulative_share']:.1%}", v["length"], cut_short(v["variant"]), ", ".join(f"{x['outcome']} {x['cases']:,}" for x in v["outcomes"] or [])] for v in top]
@@ -81,16 +84,20 @@ def discovery_summary(log: DataFrame, policy: str | None = None, threshold: floa
     return "\n".join([*lines, *paragraph("Caveats", f"- {o['lifecycle']}", "- Measures near 1 come from many observations; rare behaviour may be missing from the model.")])
 
 
-def diagnosis(log: DataFrame, reference: dict) -> dict:
-    """The tables that a diagnosis consists of; see diagnostic_report."""
-    activities = reference["activities"]
-    replayed = conformance.replay(log, conformance.sequence_net(activities))
-    return {"reference": reference, "cases": replayed, "summary": conformance.summary(replayed), "by_outcome": conformance.fitness_by_outcome(replayed, log), "bottlenecks": timing.bottlenecks(log), "rework_cases": timing.rework_cases(log), "rework_activities": timing.rework_activities(log)}
+def diagnosis(log: DataFrame, reference: dict | None = None) -> dict:
+    """The tables that a diagnosis consists of; see diagnostic_report. reference: the most frequent variant if none is
+    given. What has a row for each case is written down, since several tables and texts are made of it."""
+    cases = written(variants.named(variants.sequences(log)))
+    reference = conformance.reference(log, "most_frequent_variant", cases=cases) if reference is None else reference
+    replayed = written(conformance.replay(None, conformance.sequence_net(reference["activities"]), cases))
+    return {"reference": reference, "cases": replayed, "summary": conformance.summary(replayed), "by_outcome": conformance.fitness_by_outcome(replayed, log), "bottlenecks": timing.bottlenecks(log), "rework_cases": written(timing.rework_cases(log)), "rework_activities": timing.rework_activities(log)}
 
 
-def diagnostic_report(log: DataFrame, activities: list[str] | dict, policy: str | None = None, top: int = TOP) -> str:
-    """Does the log follow the reference, where does time go, and how much work is repeated?"""
-    d = diagnosis(log, activities if isinstance(activities, dict) else conformance.reference(log, "documented", documented=activities))
+def diagnostic_report(log: DataFrame, activities: list[str] | dict, policy: str | None = None, top: int = TOP, d: dict | None = None) -> str:
+    """Does the log follow the reference, where does time go, and how much work is repeated? d: the diagnosis, where it is
+    at hand."""
+    if d is None:
+        d = diagnosis(log, activities if isinstance(activities, dict) else conformance.reference(log, "documented", documented=activities))
     s, w = plain(d["summary"])[0], plain(timing.rework_totals(d["rework_cases"]))[0]
     marked = plain(d["bottlenecks"].orderBy(F.desc("total_seconds"), "source", "target"))  # pairs of activities
     kinds = {k: [b for b in marked if b["kind"] == k] for k in timing.KINDS}
@@ -136,22 +143,34 @@ def recorded_policy(spark: SparkSession, path: str) -> str | None:
     return policy if policy in normalize.POLICIES else None
 
 
-def discovery_tables(log: DataFrame) -> dict[str, DataFrame]:
-    """The tables among a discovery's outputs, in the order of their files."""
-    return {
-        "dfg_edges.csv": dfg.by_frequency(dfg.edges(log)),
-        "variants.csv": variants.variants(log).orderBy("variant_rank"),
-        "case_statistics.csv": variants.case_statistics(log).orderBy("case_id"),
-    }
+def by_cost(found: DataFrame, cost: str, *names: str) -> DataFrame:
+    return found.orderBy(F.desc(cost), *names)
+
+
+#: The tables among a discovery's outputs, each made from a log, in the order of their files.
+DISCOVERY = {
+    "dfg_edges.csv": lambda log: dfg.by_frequency(dfg.edges(log)),
+    "variants.csv": lambda log: variants.variants(log).orderBy("variant_rank"),
+    "case_statistics.csv": lambda log: written(variants.case_statistics(log)).orderBy("case_id"),
+}
+
+#: The same of a diagnosis against the most frequent variant. Rows of all cases are written down before they are put in
+#: order, for which they are looked at twice.
+DIAGNOSIS = {
+    "conformance_cases.csv": lambda log: written(conformance.replay_most_frequent(log)).orderBy("case_id"),
+    "bottlenecks.csv": lambda log: by_cost(timing.bottlenecks(log), "total_seconds", "source", "target"),
+    "rework_cases.csv": lambda log: written(timing.rework_cases(log)).orderBy("case_id"),
+    "rework_activities.csv": lambda log: by_cost(timing.rework_activities(log), "total_span_seconds", "activity"),
+}
 
 
 def diagnosis_tables(d: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables among a diagnosis's outputs, in the order of their files."""
+    """The tables of a diagnosis that is at hand, in the order of their files."""
     return {
         "conformance_cases.csv": d["cases"].orderBy("case_id"),
-        "bottlenecks.csv": d["bottlenecks"].orderBy(F.desc("total_seconds"), "source", "target"),
+        "bottlenecks.csv": by_cost(d["bottlenecks"], "total_seconds", "source", "target"),
         "rework_cases.csv": d["rework_cases"].orderBy("case_id"),
-        "rework_activities.csv": d["rework_activities"].orderBy(F.desc("total_span_seconds"), "activity"),
+        "rework_activities.csv": by_cost(d["rework_activities"], "total_span_seconds", "activity"),
     }
 
 
@@ -160,24 +179,26 @@ def write_discovery(log: DataFrame, at: str, policy: str | None = None, threshol
     are returned."""
     with views.kept(log) as log:
         spark = log.sparkSession
-        for name, found in discovery_tables(log).items():
-            store.write_one_csv(found, f"{at}/{name}")
-        store.write_text(spark, views.mermaid(log)["text"], f"{at}/dfg.mmd")
-        store.write_text(spark, views.heuristic_net_json(log, threshold) + "\n", f"{at}/heuristic_net.json")
-        store.write_text(spark, discovery_summary(log, policy, threshold), f"{at}/discovery_summary.md")
+        cases, tri = written(variants.case_statistics(log)), miner.trigrams(log)
+        for name in ("dfg_edges.csv", "variants.csv"):
+            store.write_one_csv(DISCOVERY[name](log), f"{at}/{name}")
+        store.write_one_csv(cases.orderBy("case_id"), f"{at}/case_statistics.csv")
+        store.write_text(spark, views.mermaid(log, tri=tri)["text"], f"{at}/dfg.mmd")
+        store.write_text(spark, views.heuristic_net_json(log, threshold, tri) + "\n", f"{at}/heuristic_net.json")
+        store.write_text(spark, discovery_summary(log, policy, threshold, cases, tri), f"{at}/discovery_summary.md")
     return [f"{at}/{n}" for n in ("dfg_edges.csv", "dfg.mmd", "heuristic_net.json", "variants.csv", "case_statistics.csv", "discovery_summary.md")]
 
 
-def write_diagnosis(log: DataFrame, reference: dict, at: str, policy: str | None = None) -> list[str]:
+def write_diagnosis(log: DataFrame, reference: dict | None, at: str, policy: str | None = None) -> list[str]:
     """The outputs of a diagnosis under a folder, one file each: cases, summary, bottlenecks, rework by case and
-    activity, report."""
+    activity, report. reference: the most frequent variant if none is given."""
     with views.kept(log) as log:
         spark, d = log.sparkSession, diagnosis(log, reference)
         for name, found in diagnosis_tables(d).items():
             store.write_one_csv(found, f"{at}/{name}")
-        summary = {"reference": reference, "conformance": plain(d["summary"])[0], "rework": plain(timing.rework_totals(d["rework_cases"]))[0], "kinds": {r["kind"]: r["transitions"] for r in plain(timing.kind_counts(d["bottlenecks"]))}}
+        summary = {"reference": d["reference"], "conformance": plain(d["summary"])[0], "rework": plain(timing.rework_totals(d["rework_cases"]))[0], "kinds": {r["kind"]: r["transitions"] for r in plain(timing.kind_counts(d["bottlenecks"]))}}
         store.write_text(spark, json.dumps(summary, sort_keys=True, indent=1) + "\n", f"{at}/conformance_summary.json")
-        store.write_text(spark, diagnostic_report(log, reference, policy), f"{at}/diagnostic_report.md")
+        store.write_text(spark, diagnostic_report(log, d["reference"], policy, d=d), f"{at}/diagnostic_report.md")
     return [f"{at}/{n}" for n in ("conformance_cases.csv", "conformance_summary.json", "bottlenecks.csv", "rework_cases.csv", "rework_activities.csv", "diagnostic_report.md")]
 
 

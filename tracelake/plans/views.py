@@ -123,18 +123,21 @@ def variant_model_gap(log: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.join(gone, "_k", "left").select("variant_rank", F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing_steps"))
 
 
-def heuristic_net_json(log: DataFrame, threshold: float = 0.9) -> str:
-    edges = plain(miner.connected(log, threshold).orderBy("source", "target"))
-    nodes = plain(map_nodes(log).orderBy("activity"))
+def heuristic_net_json(log: DataFrame, threshold: float = 0.9, tri: DataFrame | None = None) -> str:
+    """tri: the log's trigrams, where they are at hand."""
+    tri = miner.trigrams(log) if tri is None else tri
+    edges = plain(miner.net(tri, threshold).orderBy("source", "target"))
+    nodes = plain(miner.nodes(tri).orderBy("activity"))
     of = lambda value: {r["activity"]: r[value] for r in nodes if value == "events" or r[value]}
     net = {"threshold": threshold, "edges": edges, "activities": of("events"), "starts": of("starts"), "ends": of("ends"), "cases": plain(dfg.totals(log))[0]["cases"]}
     return json.dumps(net, sort_keys=True, indent=1)
 
 
-def mermaid(log: DataFrame, max_edges: int = layout.MAX_EDGES) -> dict:
-    """The most frequent edges of the log as Mermaid text, with its caption."""
-    counts = {r.activity: r.events for r in dfg.activity_counts(log).collect()}
-    return layout.mermaid([(r.source, r.target, r.frequency) for r in dfg.frequencies(log).collect()], max_edges, counts)
+def mermaid(log: DataFrame, max_edges: int = layout.MAX_EDGES, tri: DataFrame | None = None) -> dict:
+    """The most frequent edges of the log as Mermaid text, with its caption. tri: the log's trigrams, where they are at hand."""
+    tri = miner.trigrams(log) if tri is None else tri
+    counts = {r.activity: r.events for r in miner.nodes(tri).collect()}
+    return layout.mermaid([(r.source, r.target, r.frequency) for r in miner.frequencies(tri).collect()], max_edges, counts)
 
 
 def mermaid_lines(log: DataFrame, max_edges: int = layout.MAX_EDGES) -> DataFrame:

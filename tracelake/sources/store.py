@@ -151,6 +151,12 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in found if n.startswith("v=") and n[2:].isdigit())
 
 
+def staged(df: DataFrame, at: str) -> DataFrame:
+    """df, written at a path and read from there by all that follows."""
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def replace_log(log: DataFrame, path: str, audit: dict | None = None) -> int:
     """Replace the log at path by a new version: written aside, read back, checked, then named by one rename.
 

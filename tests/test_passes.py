@@ -1,9 +1,12 @@
 """How often a log is read: each reading of a row is counted."""
 
+import random
+
 import pytest
 from logs import drawn, frame
 
 from pyspark.sql import functions as F
+from test_plans import plain_betweenness
 
 from tracelake.operators import automation, conformance, miner, network, timing, variants
 from tracelake.plans import adapters, catalog, reports, views
@@ -97,3 +100,16 @@ def test_log_is_made_once(spark, monkeypatch, name):
     made, staged = [], store.staged
     monkeypatch.setattr(store, "staged", lambda df, at: made.append(at) or staged(df, at))
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
+
+
+@pytest.mark.parametrize("bound", [10**6, 40, 0])
+def test_betweenness_by_components(spark, monkeypatch, bound):
+    """Two dense components and a path: those within the bound need no waves of joined rows."""
+    far, used = network.far, []
+    monkeypatch.setattr(network, "NEAR", bound)
+    monkeypatch.setattr(network, "far", lambda *given: used.append(1) or far(*given))
+    draw = random.Random(5)
+    edges = [(f"a{x}", f"a{y}") for x in range(60) for y in range(60) if x != y and draw.random() < 0.3]
+    edges += [(f"b{x}", f"b{y}") for x in range(30) for y in range(30) if x != y and draw.random() < 0.2] + [(f"c{x}", f"c{x + 1}") for x in range(12)]
+    got = {r.resource: r.betweenness for r in network.betweenness(spark.createDataFrame(edges, "giver string, taker string")).collect()}
+    assert got == {a: pytest.approx(b, abs=1e-6) for a, b in plain_betweenness(edges).items()} and len(used) == (bound < 60)

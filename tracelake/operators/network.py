@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from tracelake.functions.written import written
 from tracelake.operators import dfg
 
 BROADCAST_EDGES = 200_000  # of two short names
+NEAR, STRIP = 8192, 128  # resources of a component whose edges go to a task as bits; sources of a task at a time
 FREQUENT, EXPECTED = 0.01, 1.0
 
 
@@ -18,18 +23,95 @@ def links(edges: DataFrame, giver: str, taker: str) -> DataFrame:
     return F.broadcast(made) if made.count() <= BROADCAST_EDGES else made
 
 
-def betweenness(edges: DataFrame, giver: str = "giver", taker: str = "taker", sources: DataFrame | None = None) -> DataFrame:
-    """resource, betweenness, share: how much of all shortest paths between two others lead through a resource.
-
-    Edges are directed and count alike. Waves go out from all sources at once: a row is a source, a node that it has
-    reached and the number of shortest ways there. On the way back each wave hands its dependencies to the one before,
-    by shares of ways. A step is a join with the edge table, so there are as many as the longest shortest path is long,
-    twice. share: of (n - 1) (n - 2) pairs. sources (column resource): only paths from these; all where none is given.
-    Work and rows grow with sources times edges and sources times nodes, as exact betweenness does.
-    """
-    e = links(edges, giver, taker)
-    nodes = written(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    begin = nodes if sources is None else nodes.join(sources.select(F.col("resource").alias("node")).distinct(), "node", "left_semi")
+def components(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, c: the smallest node that edges lead to from it, whatever their direction. Names spread along edges and from
+    where they came from, until none changes."""
+    both = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
+    at = nodes.select("node", F.col("node").alias("c"))
+    while True:
+        beside = both.join(at.select(F.col("node").alias("y"), "c"), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("b"))
+        nearer = written(at.join(beside, "node", "left").select("node", F.least("c", "b").alias("n"), F.col("c").alias("old")))
+        ahead = nearer.select(F.col("node").alias("n"), F.col("n").alias("nn"))
+        moved = written(nearer.join(ahead, "n").select("node", F.least("n", "nn").alias("c"), "old"))
+        at = moved.select("node", "c")
+        if moved.where("c <> old").isEmpty():
+            return at
+
+
+def product(x: np.ndarray, bits: np.ndarray, rows: np.ndarray, columns: np.ndarray, back: bool) -> np.ndarray:
+    """x times the edges from rows to columns, or times the edges back, unpacked a few rows at a time."""
+    out = np.zeros((len(x), len(rows) if back else len(columns)))
+    for k in range(0, len(rows), 512):
+        part = np.unpackbits(bits[rows[k : k + 512]], axis=1)[:, columns].astype(np.float64)
+        if back:
+            out[:, k : k + 512] = x @ part.T
+        else:
+            out += x[:, k : k + 512] @ part
+    return out
+
+
+def through(bits: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """What of all shortest paths from the sources leads through each node of a component, whose edges are bits."""
+    m, here = len(bits), np.arange(len(sources))
+    ways, level = np.zeros((len(sources), m)), np.full((len(sources), m), -1, np.int32)
+    ways[here, sources], level[here, sources] = 1, 0
+    front, every, depth = ways, np.arange(m), 0
+    while True:
+        rows = np.flatnonzero(front.any(axis=0))
+        front = np.where(level < 0, product(front[:, rows], bits, rows, every, False), 0.0)
+        if not front.any():
+            break
+        depth += 1
+        level[front > 0] = depth
+        ways = ways + front
+    passed = np.zeros_like(ways)
+    for k in range(depth, 1, -1):
+        ahead, rows = np.flatnonzero((level == k).any(axis=0)), np.flatnonzero((level == k - 1).any(axis=0))
+        each = np.divide(1 + passed[:, ahead], ways[:, ahead], out=np.zeros((len(sources), len(ahead))), where=level[:, ahead] == k)
+        passed[:, rows] += np.where(level[:, rows] == k - 1, ways[:, rows] * product(each, bits, rows, ahead, True), 0.0)
+    return passed.sum(axis=0)
+
+
+def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """c, m, i, bits: the edges of one node as bits over the component's nodes."""
+    for rows in batches:
+        made = []
+        for m, to in zip(rows["m"], rows["to"], strict=True):
+            flags = np.zeros(m, np.uint8)
+            flags[to] = 1
+            made.append(np.packbits(flags).tobytes())
+        yield rows[["c", "m", "i"]].assign(bits=made)
+
+
+def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """c, i, passed for each strip of sources with its component's edges."""
+    for rows in batches:
+        for c, m, at, bits, sources in zip(rows["c"], rows["m"], rows["at"], rows["bits"], rows["sources"], strict=True):
+            table = np.zeros((m, -(-m // 8)), np.uint8)
+            table[at] = np.frombuffer(b"".join(bits), np.uint8).reshape(len(at), -1)
+            found = through(table, np.asarray(sources))
+            i = np.flatnonzero(found)
+            yield pd.DataFrame({"c": c, "i": i.astype(np.int32), "passed": found[i]})
+
+
+def near(e: DataFrame, numbered: DataFrame, begin: DataFrame) -> DataFrame:
+    """v, passed over components that numbered (node, c, m, i) names: a task gets a strip of sources and the edges of its
+    component as bits, NEAR squared of them at most, and does the waves there and back as products of matrices."""
+    to = numbered.select(F.col("node").alias("v"), F.col("i").alias("j"))
+    lists = e.join(numbered.withColumnRenamed("node", "u"), "u").join(to, "v").groupBy("c", "m", "i").agg(F.collect_list("j").alias("to"))
+    bits = lists.mapInPandas(packed, "c string, m int, i int, bits binary")
+    tables = bits.groupBy("c", "m").agg(F.collect_list(F.struct("i", "bits")).alias("t")).select("c", "m", F.col("t.i").alias("at"), F.col("t.bits").alias("bits"))
+    starts = numbered.join(begin, "node", "left_semi").groupBy("c", F.floor(F.col("i") / STRIP).alias("k")).agg(F.collect_list("i").alias("sources"))
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = starts.join(tables, "c").repartition(parts, "c", "k").select("c", "m", "at", "bits", "sources")
+    sums = dealt.mapInPandas(strips, "c string, i int, passed double").groupBy("c", "i").agg(F.sum("passed").alias("passed"))
+    return written(sums.join(numbered, ["c", "i"]).select(F.col("node").alias("v"), "passed"))
+
+
+def far(e: DataFrame, begin: DataFrame) -> DataFrame:
+    """v, passed by joins: waves go out from all sources at once, a row is a source, a node that it has reached and the
+    number of shortest ways there. On the way back each wave hands its dependencies to the one before, by shares of
+    ways. A step is a join with the edge table, so there are as many as the longest shortest path is long, twice."""
     waves = [begin.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("ways"))]
     seen = waves[0].select("s", "v")
     while True:
@@ -51,10 +133,32 @@ def betweenness(edges: DataFrame, giver: str = "giver", taker: str = "taker", so
     every = parts[0] if parts else waves[0].select("v", F.lit(0.0).alias("passed"))
     for part in parts[1:]:
         every = every.union(part)
-    sums = every.groupBy("v").agg(F.sum("passed").alias("passed"))
-    n = F.count("*").over(Window.partitionBy())
-    told = nodes.join(sums, F.col("node") == F.col("v"), "left").select(F.col("node").alias("resource"), F.coalesce("passed", F.lit(0.0)).alias("b"), n.alias("n"))
-    return told.select("resource", F.round("b", 6).alias("betweenness"), F.round(F.coalesce(F.try_divide("b", ((F.col("n") - 1) * (F.col("n") - 2)).cast("double")), F.lit(0.0)), 9).alias("share"))
+    return every.groupBy("v").agg(F.sum("passed").alias("passed"))
+
+
+def betweenness(edges: DataFrame, giver: str = "giver", taker: str = "taker", sources: DataFrame | None = None) -> DataFrame:
+    """resource, betweenness, share: how much of all shortest paths between two others lead through a resource.
+
+    Edges are directed and count alike. No path leaves a component, so components of up to NEAR resources are worked on
+    in tasks of their own, each for a strip of sources; larger ones by joins of waves with edges. share: of
+    (n - 1) (n - 2) pairs. sources (column resource): only paths from these; all where none is given. Work grows with
+    sources times edges of each component, as exact betweenness does.
+    """
+    e = links(edges, giver, taker)
+    nodes = written(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    begin = nodes if sources is None else nodes.join(sources.select(F.col("resource").alias("node")).distinct(), "node", "left_semi")
+    n = nodes.count()
+    named = components(e, nodes)
+    sized = written(named.join(named.groupBy("c").agg(F.count("*").cast("int").alias("m")), "c"))
+    numbered = written(sized.where(F.col("m") <= NEAR).withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("node")) - 1))
+    sums = near(e, numbered, begin)
+    rest = sized.where(F.col("m") > NEAR).select("node")
+    if not rest.isEmpty():
+        kept = written(e.join(rest.withColumnRenamed("node", "u"), "u", "left_semi"))
+        sums = sums.union(far(kept, begin.join(rest, "node", "left_semi")))
+    told = nodes.join(sums, F.col("node") == F.col("v"), "left").select(F.col("node").alias("resource"), F.coalesce("passed", F.lit(0.0)).alias("b"))
+    pairs = F.lit(float((n - 1) * (n - 2)))
+    return told.select("resource", F.round("b", 6).alias("betweenness"), F.round(F.coalesce(F.try_divide("b", pairs), F.lit(0.0)), 9).alias("share"))
 
 
 def meetings(log: DataFrame, by: str = "resource") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from logs import drawn, frame
 
@@ -113,3 +114,39 @@ def test_betweenness_by_components(spark, monkeypatch, bound):
     edges += [(f"b{x}", f"b{y}") for x in range(30) for y in range(30) if x != y and draw.random() < 0.2] + [(f"c{x}", f"c{x + 1}") for x in range(12)]
     got = {r.resource: r.betweenness for r in network.betweenness(spark.createDataFrame(edges, "giver string, taker string")).collect()}
     assert got == {a: pytest.approx(b, abs=1e-6) for a, b in plain_betweenness(edges).items()} and len(used) == (bound < 60)
+
+
+@pytest.mark.parametrize("held", [2**25, 0])
+def test_betweenness_keeps_no_row_per_pair(spark, monkeypatch, held):
+    """Larger components: what is written has at most the edges' rows, or the share of the sources that go at a time."""
+    kept, sizes = network.written, []
+
+    def noted(df):
+        made = kept(df)
+        sizes.append(made.count())
+        return made
+
+    for name, value in {"written": noted, "NEAR": 8, "HELD": held, "AT_ONCE": 900, "CHEAP": 1, "PART": 64}.items():
+        monkeypatch.setattr(network, name, value)
+    draw = random.Random(6)
+    edges = [(f"a{x}", f"a{y}") for x in range(60) for y in range(60) if x != y and draw.random() < 0.08]
+    edges += [(f"b{x}", f"b{x + 1}") for x in range(12)] + [("c0", "c1"), ("c1", "c2")]
+    got = {r.resource: r.betweenness for r in network.betweenness(spark.createDataFrame(edges, "giver string, taker string")).collect()}
+    assert got == {a: pytest.approx(b, abs=1e-6) for a, b in plain_betweenness(edges).items()}
+    assert max(sizes) <= (len(edges) if held else 60 * 60 / 2)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_walks_by_chosen_and_by_all_edges(monkeypatch, seed):
+    """Each way to sum over edges, a few edges and sources at a time, on random graphs."""
+    draw = random.Random(seed)
+    m = draw.randrange(2, 30)
+    pairs = sorted({(x, y) for x, y in ((draw.randrange(m), draw.randrange(m)) for _ in range(4 * m)) if x != y} | {(0, 1)})
+    first = np.searchsorted([x for x, _ in pairs], np.arange(m + 1))
+    out = network.Edges(first, np.array([y for _, y in pairs], np.int32))
+    want = plain_betweenness(pairs)
+    for cheap, part in ((5, 2**20), (10**6, 64), (1, 3), (0.01, 64)):
+        monkeypatch.setattr(network, "CHEAP", cheap)
+        monkeypatch.setattr(network, "PART", part)
+        got = sum(network.passed_on(out, out.back(), np.arange(a, min(m, a + 7))) for a in range(0, m, 7))
+        assert {a: got[a] for a in want} == pytest.approx(want)
